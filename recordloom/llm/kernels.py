@@ -75,3 +75,44 @@ def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         hi = min(n, max(hi, lo + 1))
         yield lo, hi
         lo = hi
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Columns of equal length as one byte string (see unpack)."""
+    return len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
+    for kind in kinds:
+        a = np.frombuffer(blob, dtype=kind, count=n, offset=at)
+        at += a.nbytes
+        out.append(a)
+    return out
+
+
+def unpack_all(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    parts = [unpack(b, *kinds) for b in blobs]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
+
+
+def split_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, row numbers in their order) for each distinct value of an integer column."""
+    if not len(key):
+        return
+    order = np.argsort(key, kind="stable")
+    got = key[order]
+    cut = np.flatnonzero(got[1:] != got[:-1]) + 1
+    for rows in np.split(order, cut):
+        yield int(key[rows[0]]), rows
+
+
+def starts_of_runs(*keys: np.ndarray) -> np.ndarray:
+    """True where a row of sorted columns differs from the row before it."""
+    n = len(keys[0])
+    new = np.zeros(n, dtype=bool)
+    if n:
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new
