@@ -5,17 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from recordloom.llm.decontaminate import leak_report
 from recordloom.llm.ngram_join import ngram_components
+from recordloom.llm.pack import pack_tokens
+from recordloom.llm.phrase_dedup import remove_repeats
+from recordloom.llm.shard import histogram_shards
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = histogram_shards(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_histogram_sharding": op4_histogram_sharding,
+        "op5_decontamination": op5_decontamination,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_packing": op7_packing,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
     }
 
 
