@@ -8,16 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.decontaminate import leak_report
+from recordloom.llm.html_text import extract_main_text
+from recordloom.llm.language_id import document_rows, fit_documents, identify, page_rows
+from recordloom.llm.nearest import nearest
 from recordloom.llm.ngram_join import ngram_components
 from recordloom.llm.pack import pack_tokens
 from recordloom.llm.phrase_dedup import remove_repeats
 from recordloom.llm.shard import histogram_shards
+from recordloom.llm.token_counts import word_piece_counts
+from recordloom.llm.warc_zip import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id) by text, declared language and source, and pages (page_id) by text, markup, address and host."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = fit_documents(docs)
+    of_docs = identify(document_rows(docs), model, ["doc_id"])
+    of_pages = identify(page_rows(pages), model, ["page_id"])
+    none = F.lit(None).cast("long")
+    return of_docs.select("doc_id", none.alias("page_id"), "lang", "confidence", "rejected").unionAll(of_pages.select(none.alias("doc_id"), "page_id", "lang", "confidence", "rejected"))
+
+
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = histogram_shards(_table(spark, sf_dir, "documents"), shards=8)
     return placed.select(
@@ -37,19 +60,56 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = write_archives(_table(spark, sf_dir, "pages"))
+    return read_archives(packages, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_piece_counts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
+        "op3_language_id": op3_language_id,
         "op4_histogram_sharding": op4_histogram_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_packing": op7_packing,
+        "op8_warc_zip": op8_warc_zip,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_word_piece_counts": op10_word_piece_counts,
     }
 
 
+NEAREST_SQL = """
+with v as (
+    select vec_id, embedding::double[] as e from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d as (
+    select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score
+    from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+), r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+b as (select page_id, strlen(payload) as n, sha1(payload) as digest from p),
+k as (select digest, max(page_id) as keep from b where n >= 1000 group by digest)
+select b.page_id, cast(n as bigint) as payload_bytes, b.digest as payload_digest,
+       case when b.page_id < k.keep then 'revisit' else 'response' end as record_type,
+       case when b.page_id < k.keep then k.keep end as refers_to
+from b left join k on b.digest = k.digest and b.n >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_nearest_neighbours": NEAREST_SQL, "op8_warc_zip": WARC_SQL}
