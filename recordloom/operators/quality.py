@@ -143,7 +143,8 @@ def with_defects(records: DataFrame, only: list[int] | None = None) -> DataFrame
 
 
 def defect_rows(records: DataFrame, only: list[int] | None = None) -> DataFrame:
-    return with_defects(records, only).select("ID", F.explode("defects").alias("d")).select("ID", "d.field", "d.code")
+    # an outer explode, filtered afterwards: else the whole array is computed again for a filter ahead of it
+    return with_defects(records, only).select("ID", F.explode_outer("defects").alias("d")).filter("d is not null").select("ID", "d.field", "d.code")
 
 
 def fatal_defects() -> Column:

@@ -30,8 +30,8 @@ select
   case when k % 10 in (6, 7, 8) or k = 20 then cast(doc_id % 4 + 1 as string) end as number,
   case k % 8 when 0 then cast(doc_id % 300 + 1 as string) || '--' || cast(doc_id % 300 + 12 as string) when 1 then cast(doc_id % 300 + 50 as string) || '--' || cast(doc_id % 300 + 1 as string)
     when 2 then cast(doc_id % 300 + 100 as string) || '-' || cast(doc_id % 300 + 110 as string) when 3 then '1123--45' when 4 then 'n.pag.' when 5 then 'xi--xx' else null end as pages,
-  case when k % 6 = 0 then null when k = 41 then '11.5/abc' when k % 6 = 1 then 'https://doi.org/10.' || cast(1000 + doc_id % 9 as string) || '/' || source || '.' || cast(cast(floor(doc_id / 3) as bigint) as string)
-    else '10.' || cast(1000 + doc_id % 9 as string) || '/' || source || '.' || cast(cast(floor(doc_id / 3) as bigint) as string) end as doi,
+  case when k % 6 = 0 then null when k = 41 then '11.5/abc' when k % 6 = 1 then 'https://doi.org/10.' || cast(1000 + cast(floor(doc_id / 3) as bigint) % 9 as string) || '/rec.' || cast(cast(floor(doc_id / 3) as bigint) as string)
+    else '10.' || cast(1000 + cast(floor(doc_id / 3) as bigint) % 9 as string) || '/rec.' || cast(cast(floor(doc_id / 3) as bigint) as string) end as doi,
   case when k % 7 = 0 then 'http://www.' || source || '.org/' || cast(doc_id % 500 as string) when k % 7 = 3 then 'https://www.' || source || '.org/' || cast(doc_id % 500 as string) || '/' end as url,
   case when k % 10 = 1 then case when k = 31 then '12-34' when k = 51 then 'ISBN 978-3-16-148410-0' else '9783161484100' end when k = 43 then '9783161484100' end as isbn,
   case when k % 15 = 2 then null when k % 15 = 4 then 'en' when k % 15 = 5 then 'english' when lang = 'en' then 'eng' when lang = 'de' then 'deu' when lang = 'fr' then 'fra' when lang = 'es' then 'spa' else lang end as language,
@@ -42,7 +42,7 @@ select
   case (doc_id * 5) % 14 {_STATE} end as status,
   case when (doc_id * 5) % 14 in (11, 12, 13) then 'c1=' || case when (doc_id * 5) % 14 = 11 or doc_id % 2 = 0 then 'out' else 'in' end || ';c2=in' end as screening_criteria,
   source || '.bib/' || lpad(cast(doc_id as string), 6, '0') || case when k % 9 = 0 then ';md_crossref.bib/' || lpad(cast(doc_id as string), 6, '0') else '' end
-    || case when k % 11 = 0 then ';web.bib/' || lpad(cast(cast(floor(doc_id / 2) as bigint) as string), 6, '0') else '' end as origins,
+    || case when k % 11 in (0, 1) then ';web.bib/' || lpad(cast(cast(floor(doc_id / 2) as bigint) as string), 6, '0') else '' end as origins,
   case when k % 13 = 5 then 'CURATED' end as curated, text
 from (select doc_id, coalesce(text, '') as text, lang, source, doc_id % 60 as k, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 60) as head from {{documents}}) d
 """
@@ -57,4 +57,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_records(sql: str) -> str:
     """DuckDB SQL over the same records, as a table named r."""
+    if sql.startswith("with recursive "):
+        return f"with recursive r as ({DUCK_RECORDS}), {sql[15:]}"
     return f"with r as ({DUCK_RECORDS}) {sql}" if not sql.lstrip().lower().startswith("with ") else f"with r as ({DUCK_RECORDS}), {sql.lstrip()[5:]}"
