@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import linking, quality, reports, review, scalars
+from recordloom.plans import feeds, linking, quality, reports, review, scalars
 
-MODULES = [quality, scalars, review, linking, reports]
+MODULES = [quality, scalars, review, linking, reports, feeds]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
