@@ -180,22 +180,24 @@ def _select(tags: list[str], parents: list[int], links: list[int], runs: list[tu
     if not chars[0]:
         return ""
     ratio = lchars[body] / max(1, chars[body])
-    density = []
-    for c, lc, t, lt in zip(chars, lchars, count, lcount):
+
+    def score(c: int, lc: int, t: int, lt: int) -> float:
         if not c:
-            density.append(0.0)
-            continue
+            return 0.0
         base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
         arg = c / max(1, lc) * (t + lt) / max(1, lt)
-        density.append(c / (t + lt) * (math.log(arg) / math.log(base) if base > 1.0000001 and arg > 1 else math.log(max(arg, 1.0)) if arg > 1 else 0.0))
-    total = [0.0] * k
-    own = [0] * k  # characters directly in the node count like one more child
+        # without links the base is e's logarithm, 1: the logarithm to it is the natural one
+        return c / (t + lt) * math.log(max(arg, 1.0) + 1.0) / (math.log(base) if base > math.e else 1.0)
+
+    density = [score(*x) for x in zip(chars, lchars, count, lcount)]
+    own = [0] * k  # characters directly in a node count like one more child
     for node, text, linked, _ in runs:
         if not linked:
             own[node] += len("".join(text.split()))
+    total = [score(n, 0, 1, 0) for n in own]
     for i in range(1, k):
         total[parents[i]] += density[i]
-    best = max(range(k), key=lambda i: (total[i] + own[i], -i))
+    best = max(range(k), key=lambda i: (total[i], -i))
     path = [best]
     while parents[path[-1]] >= 0 and path[-1] != body:
         path.append(parents[path[-1]])
