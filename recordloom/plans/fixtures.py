@@ -33,7 +33,7 @@ select
   case when k % 6 = 0 then null when k = 41 then '11.5/abc' when k % 6 = 1 then 'https://doi.org/10.' || cast(1000 + cast(floor(doc_id / 3) as bigint) % 9 as string) || '/rec.' || cast(cast(floor(doc_id / 3) as bigint) as string)
     else '10.' || cast(1000 + cast(floor(doc_id / 3) as bigint) % 9 as string) || '/rec.' || cast(cast(floor(doc_id / 3) as bigint) as string) end as doi,
   case when k % 7 = 0 then 'http://www.' || source || '.org/' || cast(doc_id % 500 as string) when k % 7 = 3 then 'https://www.' || source || '.org/' || cast(doc_id % 500 as string) || '/' end as url,
-  case when k % 10 = 1 then case when k = 31 then '12-34' when k = 51 then 'ISBN 978-3-16-148410-0' else '9783161484100' end when k = 43 then '9783161484100' end as isbn,
+  case when k % 10 = 1 then case when k = 31 then 'no isbn' when k = 51 then 'ISBN 978-3-16-148410-0' else '9783161484100' end when k = 43 then '9783161484100' end as isbn,
   case when k % 15 = 2 then null when k % 15 = 4 then 'en' when k % 15 = 5 then 'english' when lang = 'en' then 'eng' when lang = 'de' then 'deu' when lang = 'fr' then 'fra' when lang = 'es' then 'spa' else lang end as language,
   case when k = 42 then 'An abstract that stops here...' when k = 49 then 'Caf&#233; and ™ symbols' else substr(text, 1, 200) end as abstract,
   'topic' || cast(doc_id % 11 as string) || ', topic' || cast(doc_id % 13 as string) as keywords,
