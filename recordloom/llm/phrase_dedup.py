@@ -300,7 +300,9 @@ def _cut_texts(with_text: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Tabl
             # a range may begin or end inside a character: what is left of that character goes too
             out["kept_text"].append("".join(p.decode("utf-8", "ignore") for p in (*kept, raw[at:])) if with_text else None)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        carried = {n: docs.column(n) for n in docs.column_names if n.startswith("_c")}
         return pa.table({
+            **carried,
             "doc_id": pa.array(out["doc_id"], pa.int64()), **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")},
             "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "spans": pa.array(out["spans"], span), "kept_text": pa.array(out["kept_text"], pa.string()),
         })
@@ -315,17 +317,12 @@ def _prime(n: int) -> int:
     return n
 
 
-def remove_repeats(
-    docs: DataFrame, length: int = 100, trigger: int = 24, bucket_bytes: int = 8 << 20, hot_phrases: int = 2000, hold: int = 1_000_000, with_text: bool = True
-) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` also spans
-    (array of start, end in bytes) and kept_text.
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
 
-    Null texts count as empty; texts shorter than ``length`` keep all bytes. Rows without doc_id are left out. Rows
-    that repeat a doc_id count as one document (its places are not earlier than themselves) and each get a
-    row. An empty table gives no rows; other columns don't matter.
-    """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+
+def _repeats(docs: DataFrame, carry: list[str], length: int, trigger: int, bucket_bytes: int, hot_phrases: int, hold: int, with_text: bool) -> DataFrame:
+    """The operator's rows, with the columns ``carry`` as _c0, _c1, ... ahead of them."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry))).filter("doc_id is not null")
     total = src.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     n_docs = _prime(int(min(1 << 16, -(-total // bucket_bytes))))
     buckets = n_docs
@@ -338,7 +335,37 @@ def remove_repeats(
     opened = texts.groupBy("db").cogroup(merged.groupBy("db")).applyInArrow(_fetch(length, buckets, n_docs), BLOBS)
     sorted_ = opened.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sort_suffixes(length, n_docs), BLOBS).withColumnRenamed("bucket", "db")
     ranges = merged.filter(F.col("kind") == RANGES).unionAll(sorted_)
-    out = texts.groupBy("db").cogroup(ranges.groupBy("db")).applyInArrow(
-        _cut_texts(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
-    )
+    kinds = dict(docs.dtypes)
+    schema = "".join(f"_c{i} {kinds[c]}, " for i, c in enumerate(carry)) + OUT
+    return texts.groupBy("db").cogroup(ranges.groupBy("db")).applyInArrow(_cut_texts(with_text), schema)
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = 100, trigger: int = 24, bucket_bytes: int = 8 << 20, hot_phrases: int = 2000, hold: int = 1_000_000, with_text: bool = True
+) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` also spans
+    (array of start, end in bytes) and kept_text.
+
+    Null texts count as empty; texts shorter than ``length`` keep all bytes. Rows without doc_id are left out. Rows
+    that repeat a doc_id count as one document (its places are not earlier than themselves) and each get a
+    row. An empty table gives no rows; other columns don't matter.
+    """
+    out = _repeats(docs, [], length, trigger, bucket_bytes, hot_phrases, hold, with_text)
     return out if with_text else out.drop("spans", "kept_text")
+
+
+def cut_repeats(docs: DataFrame, length: int = 100, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, str]:
+    """docs with the kept text in place of ``text`` and the bytes removed in a further column, whose name is returned too.
+
+    All columns travel with the texts, so nothing is joined back. Rows without doc_id are passed on as they are.
+    """
+    name = "n_removed"
+    while name in docs.columns:
+        name += "_"
+    carry = [c for c in docs.columns if c != "text"]
+    marked = docs.withColumn("__null", F.col("text").isNull())
+    out = _repeats(marked, [*carry, "__null"], length, 24, bucket_bytes, 2000, 1_000_000, True)
+    text = F.when(~F.col(f"_c{len(carry)}"), F.col("kept_text"))
+    back = {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
+    cut = out.select(*(back.get(c, text).alias(c) for c in docs.columns), F.col("n_removed").alias(name))
+    return cut.unionAll(docs.filter("doc_id is null").withColumn(name, F.lit(0).cast("long"))), name

@@ -380,3 +380,16 @@ def test_zip64_directory(tmp_path):
         assert len(zip_members(f, many.stat().st_size)) == 65_600
     with pytest.raises(ValueError, match="not a ZIP"), open(__file__, "rb") as f:
         zip_members(f, 100)
+
+
+def test_cut_repeats_keeps_columns(spark):
+    from recordloom.llm.phrase_dedup import cut_repeats
+
+    rng = random.Random(8)
+    a = prose(rng, 60)
+    rows = [(1, "x" + a), (2, "y" + a), (3, None), (4, ""), (None, a), (5, "short")]
+    df = docs(spark, rows).withColumn("n_removed", F.lit("mine"))
+    out, removed = cut_repeats(df)
+    assert removed == "n_removed_" and out.columns == [*df.columns, removed]
+    got = {r.doc_id: (r.text, r.n_removed_, r.size, r.n_removed) for r in out.collect()}
+    assert got == {1: ("x" + a, 0, 1, "mine"), 2: ("y", len(a), 1, "mine"), 3: (None, 0, 1, "mine"), 4: ("", 0, 1, "mine"), None: (a, 0, 1, "mine"), 5: ("short", 0, 1, "mine")}
