@@ -14,7 +14,7 @@ from recordloom.llm.decontaminate import find_leaks
 from recordloom.llm.language_id import document_rows, fit_documents, identify
 from recordloom.llm.ngram_join import ngram_components
 from recordloom.llm.pack import pack_tokens
-from recordloom.llm.phrase_dedup import remove_repeats
+from recordloom.llm.phrase_dedup import cut_repeats
 from recordloom.session import materialize
 
 
@@ -32,11 +32,10 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 100 that start earlier in the corpus are cut; documents of which nothing is left go."""
-    kept = remove_repeats(docs).filter("n_removed > 0").dropDuplicates(["doc_id"]).select("doc_id", F.trim("kept_text").alias("_kept"))
-    cut = docs.join(kept, "doc_id", "left").filter("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    size = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns({"text": text, "n_chars": size}).select(docs.columns)
+    cut, removed = cut_repeats(docs)
+    hit = F.col(removed) > 0
+    size = F.when(hit, F.char_length(F.trim("text")).cast("long")).otherwise(F.col("n_chars"))
+    return cut.filter(~hit | (F.trim("text") != "")).withColumns({"n_chars": size, "text": F.when(hit, F.trim("text")).otherwise(F.col("text"))}).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
