@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.session import materialize
+from recordloom.session import materialize, release, table_of, with_table
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -36,13 +36,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .unionAll(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = materialize(small, "cc")
+        before, e = e, materialize(small, "cc")
+        release(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)
     else:
         raise RuntimeError("connected_components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    return with_table(out, table_of(e))

@@ -26,8 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: cuts the lineage and
-    survives lost executors."""
+    survives lost executors. ``release`` deletes the table when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return with_table(spark.read.schema(df.schema).parquet(path), path)
+
+
+def with_table(df: DataFrame, path: str | None) -> DataFrame:
+    """Note the written table that a lazy result still reads."""
+    df._written_table = path
+    return df
+
+
+def table_of(df: DataFrame) -> str | None:
+    return getattr(df, "_written_table", None)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that only finished work has read."""
+    for df in tables:
+        if path := table_of(df):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
