@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import kernels as K
-from recordloom.session import materialize
+from recordloom.session import materialize, release
 
 SLOTS = 1 << 15
 LOWER = np.arange(256, dtype=np.uint8)
@@ -200,7 +200,9 @@ def identify(
     none = F.array(*([F.lit(0.0)] * k))
     joined = first.join(priors, "host", "left").select(*keys, "_grams", "_known", "_logs", "_p", F.coalesce("_d", none).alias("_d"), F.coalesce("_h", none).alias("_h"))
     fused = _fuse(langs, keys, [x / sum(whole) for x in whole], domain_weight, host_weight, min_known, min_confidence)
-    return joined.mapInArrow(fused, typed(keys) + "lang string, confidence double, rejected string")
+    out = materialize(joined.mapInArrow(fused, typed(keys) + "lang string, confidence double, rejected string"), "op3-out")
+    release(first, by_host)
+    return out
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import kernels as K
 from recordloom.operators.graph import connected_components
-from recordloom.session import materialize
+from recordloom.session import materialize, release
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -383,7 +383,7 @@ def _split_part_links(big: DataFrame, num: int, den: int, block_sets: int) -> Da
 
 
 def ngram_components(
-    docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, block_tokens: int = 2_000_000, bucket_bytes: int = 16 << 20, block_sets: int = 4000
+    docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, block_tokens: int = 1_000_000, bucket_bytes: int = 8 << 20, block_sets: int = 4000
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id.
 
@@ -414,6 +414,7 @@ def ngram_components(
     placed = sets.join(parts.withColumnRenamed("node", "eid").withColumnRenamed("component", "part"), "eid")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n_part")).withColumnRenamed("component", "part")
     placed = materialize(placed.join(sizes, "part").select("part", "n_part", "eid", "n", "tokens"), "op6-parts")
+    release(sets, tokens, parts)
     n_sets, n_big = placed.agg(F.count("*"), F.count(F.when(F.col("n_part") > block_sets, 1))).first()
     n_groups = int(max(16, -(-n_sets // 1000)))
     links = (
@@ -423,10 +424,13 @@ def ngram_components(
     )
     if n_big:
         links = links.unionAll(_split_part_links(placed.filter(F.col("n_part") > block_sets), num, den, block_sets))
-    label = connected_components(links, "a", "b").withColumnRenamed("node", "eid")
+    found = connected_components(links, "a", "b")
+    label = found.withColumnRenamed("node", "eid")
     rooted = texts.join(label, "eid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "eid").alias("root"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = materialize(rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "op6-out")
+    release(flat, placed, found)
+    return out
 
 
 def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
