@@ -17,13 +17,13 @@ select
   'R' || lpad(cast(doc_id as string), 7, '0') as ID, doc_id as seq,
   case k % 10 when 0 then 'inproceedings' when 1 then 'book' when 2 then 'phdthesis' when 3 then 'misc' when 4 then 'online' when 5 then 'inproceedings' else 'article' end as ENTRYTYPE,
   case k when 7 then case when lang = 'en' then upper(head) else head end when 11 then 'doi:10.1000/' || cast(doc_id as string) when 13 then head || '...' when 17 then '12345 678 90'
-    when 19 then null when 23 then 'UNKNOWN' when 29 then head || ' - Research Paper' when 36 then 'The Journal of src' || cast(cast(floor(doc_id / 7) as bigint) % 5 as string) when 37 then 'Study_of.things2' when 38 then 'Editorial' else head end as title,
+    when 19 then null when 23 then 'UNKNOWN' when 29 then head || ' - Research Paper' when 36 then 'The Journal of src' || cast(cast(floor(doc_id / 7) as bigint) % 11 as string) when 37 then 'Study_of.things2' when 38 then 'Editorial' else head end as title,
   case k when 5 then null when 8 then 'UNKNOWN' when 14 then '{{{{Open Source Group}}}}' when 21 then 'Smith, John and others' when 26 then 'SMITH, JOHN AND LEE, KIM' when 33 then 'Jones, Ann, and Lee, K.'
     when 34 then 'von Berg, Max and Lee, K. von' when 39 then 'University of Harvard' when 44 then 'Dr Smith, John' when 47 then 'Meyer,' when 51 then 'smith, john'
     else case doc_id % 7 when 0 then 'Müller, Anna' when 1 then 'van Dyke, J. P.' when 2 then 'O''Neil, Sean' when 3 then 'Garcia, José' when 4 then 'Tanaka, Yuki' when 5 then 'Lee, K.' else 'Brown, Tom' end
       || case doc_id % 5 when 0 then '' when 1 then ' and Rossi, Carla' when 2 then ' and Kim, Min and Ng, Wei' when 3 then ' and Ng, Wei and Kim, Min and Rossi, Carla' else ' and Ng, Wei' end end as author,
   case when k = 16 then null when k = 18 then 'UNKNOWN' when k % 12 = 0 then 'forthcoming' when k = 27 then '20XX' else cast(1990 + doc_id % 35 as string) end as year,
-  case when k % 10 in (6, 7, 8, 9) or k = 15 then case when k = 46 then 'MISQ' when k = 48 then 'Workshop on ' || source when k = 56 then null when k = 59 then 'JOURNAL OF INFORMATION SYSTEMS' else 'Journal of src' || cast(cast(floor(doc_id / 7) as bigint) % 5 as string) end end as journal,
+  case when k % 10 in (6, 7, 8, 9) or k = 15 then case when k = 46 then 'MISQ' when k = 48 then 'Workshop on ' || source when k = 56 then null when k = 59 then 'JOURNAL OF INFORMATION SYSTEMS' else 'Journal of src' || cast(cast(floor(doc_id / 7) as bigint) % 11 as string) end end as journal,
   case when k % 10 in (0, 5) or k = 58 then case when k = 25 then 'Proc. of ' || source when k = 35 then 'Journal of Things' when k = 45 then null else 'Proceedings of the ' || source || ' Conference' end end as booktitle,
   case when k % 10 = 1 then 'Publisher ' || source end as publisher, case when k % 10 = 2 then 'School of ' || source end as school,
   case when k % 10 in (6, 7, 8, 9) and k <> 9 then case when k = 28 then 'UNKNOWN' else cast(doc_id % 7 + 1 as string) end end as volume,

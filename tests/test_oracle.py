@@ -33,6 +33,9 @@ def test_query(spark, duck, name):
     df = queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
+    if name not in oracle_sql():  # no SQL can express it: tested in test_units.py
+        assert got
+        return
     want = duck.sql(oracle_sql()[name])
     assert sorted(want.columns) == cols
     at = [want.columns.index(c) for c in cols]

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
+from recordloom.functions.names import parse_name
 from recordloom.functions.similarity import best_window_ratio, indel_ratio, lcs_length
-from recordloom.operators import dedupe, history, lookup, quality, reports
+from recordloom.operators import dedupe, fulltext, history, lookup, quality, reports
 from recordloom.operators.graph import connected_components
 from recordloom.sources import formats
 from recordloom.streaming import feed
@@ -82,6 +83,36 @@ def test_lcs_and_ratios():
     assert best_window_ratio("abc", "xxabcxx") == 100 and best_window_ratio("", "") == 100
 
 
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("Donald E. Knuth", ("Donald E.", None, "Knuth", None)),
+        ("Ludwig van der Berg", ("Ludwig", "van der", "Berg", None)),
+        ("von Last, Jr, First", ("First", "von", "Last", "Jr")),
+        ("de la Cruz, Ana Maria", ("Ana Maria", "de la", "Cruz", None)),
+        ("{Open Source Group}", (None, None, "{Open Source Group}", None)),
+        ("Plato", (None, None, "Plato", None)),
+        ("", (None, None, None, None)),
+    ],
+)
+def test_names(name, want):
+    got = parse_name(name)
+    assert (got["first"], got["von"], got["last"], got["jr"]) == want
+
+
+TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>A title</title></titleStmt><sourceDesc><biblStruct><analytic><author><persName><forename>J</forename><surname>Smith</surname></persName></author></analytic></biblStruct></sourceDesc></fileDesc>
+<profileDesc><abstract><p>What it   is about.</p></abstract><textClass><keywords><term>one</term><term>two</term></keywords></textClass></profileDesc></teiHeader>
+<text><body><div><p>Short.</p><p>This paragraph has more than forty characters in it.</p></div></body><back><listBibl><biblStruct xml:id="b0"><analytic><title>Cited</title></analytic><monogr><imprint><date when="2001-05"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>"""
+
+
+def test_tei(spark):
+    got = {r.id: r for r in fulltext.tei_documents(spark.createDataFrame([("a", TEI), ("b", "<broken"), ("c", None)], "id string, xml string")).collect()}
+    a = got["a"]
+    assert (a.title, a.abstract, a.keywords, a.authors, a.error) == ("A title", "What it is about.", ["one", "two"], ["Smith, J."], None)
+    assert a.paragraphs == ["This paragraph has more than forty characters in it."] and [tuple(r) for r in a.references] == [("b0", "Cited", "2001")]
+    assert got["b"].error and got["c"].error and got["b"].title is None
+
+
 def test_similarity_of_known_pair(spark):
     a = {"title": "EDITORIAL", "author": "Rai, Arun", "year": "2020", "journal": "MIS Quarterly", "volume": "45", "number": "1", "pages": "1--3"}
     r = record(spark, **a).unionAll(record(spark, **(a | {"author": "Rai, A", "journal": "MISQ"})).withColumn("ID", F.lit("R2")))
