@@ -18,16 +18,20 @@ from recordloom.llm.phrase_dedup import cut_repeats
 from recordloom.session import materialize
 
 
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """docs without the given doc_ids. The ids are written first, so the planner joins by their measured size and texts are only exchanged when the ids are many."""
+    return docs.join(materialize(ids.select("doc_id").distinct(), label), "doc_id", "left_anti").select(docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, an unknown language, no clear posterior) go."""
     verdict = identify(document_rows(docs), fit_documents(docs), ["doc_id"])
-    return docs.join(verdict.filter("rejected is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, verdict.filter("rejected is not null"), "pipeline-rejected")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (word 5-grams, Jaccard 0.75) the smallest doc_id stays."""
-    extra = ngram_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, ngram_components(docs).filter("doc_id <> component_id"), "pipeline-near")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +44,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item with at most a tenth of it edited go."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
