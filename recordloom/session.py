@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the Arrow batches that go to Python tasks by bytes, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: cuts the lineage and
     survives lost executors. ``release`` deletes the table when nothing reads it any more."""
