@@ -15,7 +15,7 @@ from recordloom.llm.language_id import document_rows, fit_documents, identify
 from recordloom.llm.ngram_join import ngram_components
 from recordloom.llm.pack import pack_tokens
 from recordloom.llm.phrase_dedup import cut_repeats
-from recordloom.session import materialize
+from recordloom.session import bound_batches, materialize
 
 
 def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
@@ -25,17 +25,20 @@ def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, an unknown language, no clear posterior) go."""
+    bound_batches(spark)
     verdict = identify(document_rows(docs), fit_documents(docs), ["doc_id"])
     return _without(docs, verdict.filter("rejected is not null"), "pipeline-rejected")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (word 5-grams, Jaccard 0.75) the smallest doc_id stays."""
+    bound_batches(spark)
     return _without(docs, ngram_components(docs).filter("doc_id <> component_id"), "pipeline-near")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 100 that start earlier in the corpus are cut; documents of which nothing is left go."""
+    bound_batches(spark)
     cut, removed = cut_repeats(docs)
     hit = F.col(removed) > 0
     size = F.when(hit, F.char_length(F.trim("text")).cast("long")).otherwise(F.col("n_chars"))
@@ -44,11 +47,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item with at most a tenth of it edited go."""
+    bound_batches(spark)
     return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 1024."""
+    bound_batches(spark)
     return pack_tokens(docs)
 
 
