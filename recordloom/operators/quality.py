@@ -84,54 +84,55 @@ def _swapped_range(field: str) -> Column:
 
 _container = [f for f in ("journal", "booktitle")]
 
-#: number -> (defect code, {field: check}); a check that is null doesn't hold
-CHECKS: dict[int, tuple[str, dict[str, Column]]] = {}
+#: number -> defect code
+CODES = {
+    1: "missing", 2: "incomplete-field", 3: "inconsistent-with-entrytype", 4: "inconsistent-content", 5: "container-title-abbreviated",
+    6: "identical-values-between-title-and-container", 7: "mostly-all-caps", 8: "doi-not-matching-pattern", 10: "isbn-not-matching-pattern",
+    11: "pubmedid-not-matching-pattern", 13: "language-format-error", 14: "language-unknown", 15: "year-format", 16: "page-range",
+    17: "erroneous-symbol-in-field", 18: "erroneous-term-in-field", 19: "erroneous-title-field", 20: "name-format-separators",
+    21: "name-format-titles", 22: "name-abbreviated", 23: "name-particles", 24: "html-tags", 25: "thesis-with-multiple-authors",
+}
 
 
-def _build() -> dict[int, tuple[str, dict[str, Column]]]:
+def checks() -> dict[int, tuple[str, dict[str, Column]]]:
+    """number -> (defect code, {field: check}); a check that is null doesn't hold. Columns need a session, so they are made when asked for."""
     terms = lambda f: reduce(lambda a, b: a | b, (F.lower(c(f)).contains(t) for t in ERRONEOUS_TERMS[f]))
     forbidden = {}
     for field in dict.fromkeys(f for fields in FORBIDDEN.values() for f in fields if f != "issue"):
         forbidden[field] = c(field).isNotNull() & c("ENTRYTYPE").isin([t for t, fields in FORBIDDEN.items() if field in fields])
     return {
-        1: ("missing", {f: missing(f) for f in ("author", "title", "year", "journal", "booktitle", "volume", "number", "publisher", "school", "url")}),
-        2: ("incomplete-field", {f: incomplete(f) for f in ("title", "journal", "booktitle", "author", "abstract")}),
-        3: ("inconsistent-with-entrytype", forbidden),
-        4: ("inconsistent-content", {
+        1: (CODES[1], {f: missing(f) for f in ("author", "title", "year", "journal", "booktitle", "volume", "number", "publisher", "school", "url")}),
+        2: (CODES[2], {f: incomplete(f) for f in ("title", "journal", "booktitle", "author", "abstract")}),
+        3: (CODES[3], forbidden),
+        4: (CODES[4], {
             "journal": F.lower(c("journal")).contains("conference") | F.lower(c("journal")).contains("workshop"),
             "booktitle": F.lower(c("booktitle")).contains("journal"),
         }),
-        5: ("container-title-abbreviated", {
+        5: (CODES[5], {
             "journal": known("journal") & (F.char_length("journal") < 6) & (F.upper("journal") == c("journal")),
             "booktitle": known("booktitle") & (((F.char_length("booktitle") < 6) & (F.upper("booktitle") == c("booktitle"))) | c("booktitle").contains("Proc.")),
         }),
-        6: ("identical-values-between-title-and-container", {f: known("title") & known(f) & (_bare("title") == _bare(f)) for f in _container}),
-        7: ("mostly-all-caps", {f: mostly_caps(f) for f in ("title", "author", "journal", "booktitle")}),
-        8: ("doi-not-matching-pattern", {"doi": ~c("doi").rlike(r"^10.[0-9]{4,9}/")}),
-        10: ("isbn-not-matching-pattern", {"isbn": ~c("isbn").rlike(ISBN)}),
-        11: ("pubmedid-not-matching-pattern", {"pubmedid": ~c("pubmedid").rlike(r"^[0-9]{1,8}(\.[0-9])?$")}),
-        13: ("language-format-error", {"language": F.char_length("language") != 3}),
-        14: ("language-unknown", {"title": known("title") & c("language").isNull()}),
-        15: ("year-format", {"year": known("year") & ~c("year").rlike("^[0-9]{4}$")}),
-        16: ("page-range", {"pages": _swapped_range("pages")}),
-        17: ("erroneous-symbol-in-field", {f: c(f).rlike("[�™]") for f in ("author", "title", "journal", "booktitle", "abstract")}),
-        18: ("erroneous-term-in-field", {f: terms(f) for f in ERRONEOUS_TERMS}),
-        19: ("erroneous-title-field", {"title": known("title") & broken_title("title")}),
-        20: ("name-format-separators", {"author": known("author") & bad_separators("author")}),
-        21: ("name-format-titles", {"author": F.lower(F.concat(F.lit(" "), F.regexp_replace("author", "[,.]", " "), F.lit(" "))).rlike(" (dr|phd|prof) ")}),
-        22: ("name-abbreviated", {"author": F.regexp_replace("author", "[ .]+$", "").rlike("(and others|et al)$")}),
-        23: ("name-particles", {"author": _particle("author")}),
-        24: ("html-tags", {f: c(f).rlike("&#[0-9]+;") for f in ("author", "title", "journal", "booktitle", "abstract", "keywords")}),
-        25: ("thesis-with-multiple-authors", {"author": c("ENTRYTYPE").isin("thesis", "phdthesis", "mastersthesis") & c("author").contains(" and ")}),
+        6: (CODES[6], {f: known("title") & known(f) & (_bare("title") == _bare(f)) for f in _container}),
+        7: (CODES[7], {f: mostly_caps(f) for f in ("title", "author", "journal", "booktitle")}),
+        8: (CODES[8], {"doi": ~c("doi").rlike(r"^10.[0-9]{4,9}/")}),
+        10: (CODES[10], {"isbn": ~c("isbn").rlike(ISBN)}),
+        11: (CODES[11], {"pubmedid": ~c("pubmedid").rlike(r"^[0-9]{1,8}(\.[0-9])?$")}),
+        13: (CODES[13], {"language": F.char_length("language") != 3}),
+        14: (CODES[14], {"title": known("title") & c("language").isNull()}),
+        15: (CODES[15], {"year": known("year") & ~c("year").rlike("^[0-9]{4}$")}),
+        16: (CODES[16], {"pages": _swapped_range("pages")}),
+        17: (CODES[17], {f: c(f).rlike("[�™]") for f in ("author", "title", "journal", "booktitle", "abstract")}),
+        18: (CODES[18], {f: terms(f) for f in ERRONEOUS_TERMS}),
+        19: (CODES[19], {"title": known("title") & broken_title("title")}),
+        20: (CODES[20], {"author": known("author") & bad_separators("author")}),
+        21: (CODES[21], {"author": F.lower(F.concat(F.lit(" "), F.regexp_replace("author", "[,.]", " "), F.lit(" "))).rlike(" (dr|phd|prof) ")}),
+        22: (CODES[22], {"author": F.regexp_replace("author", "[ .]+$", "").rlike("(and others|et al)$")}),
+        23: (CODES[23], {"author": _particle("author")}),
+        24: (CODES[24], {f: c(f).rlike("&#[0-9]+;") for f in ("author", "title", "journal", "booktitle", "abstract", "keywords")}),
+        25: (CODES[25], {"author": c("ENTRYTYPE").isin("thesis", "phdthesis", "mastersthesis") & c("author").contains(" and ")}),
     }
 
 
-def checks() -> dict[int, tuple[str, dict[str, Column]]]:
-    if not CHECKS:
-        CHECKS.update(_build())
-    return CHECKS
-
-
 def with_defects(records: DataFrame, only: list[int] | None = None) -> DataFrame:
     """records plus ``defects``: array of (field, code), from one projection. Curated records (column ``curated``) have none."""
     found = []

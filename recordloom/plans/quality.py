@@ -84,7 +84,7 @@ def _sql_checks() -> dict[int, dict[str, str]]:
 
 def _defects_sql(only: list[int]) -> str:
     sql = _sql_checks()
-    codes = {n: code for n, (code, _) in quality.checks().items()}
+    codes = quality.CODES
     return " union all ".join(f"select ID, '{f}' as field, '{codes[n]}' as code from r where curated is null and ({cond})" for n in only for f, cond in sql[n].items())
 
 
@@ -152,7 +152,7 @@ _POST_SQL = "(values " + ", ".join(f"('{x}', '{s}')" for x, members in POST.item
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"status_report": status_report, "Q0_quality_model": quality_model}
-    for n, (code, _) in quality.checks().items():
+    for n, code in quality.CODES.items():
         out[f"Q{n}_{code.replace('-', '_')}"] = partial(_defects, only=[n])
     return out | {
         "P9_fatal_defects": fatal, "P10_set_prepared": prepared, "A3_origin_statistics": origins_stats, "A4_origin_states": origin_states, "A5_screening_statistics": screening,
@@ -161,9 +161,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    every = list(quality.checks())
+    every = list(quality.CODES)
     out = {"Q0_quality_model": with_records(f"select field, code, count(*) as n from ({_defects_sql(every)}) group by field, code")}
-    for n, (code, _) in quality.checks().items():
+    for n, code in quality.CODES.items():
         out[f"Q{n}_{code.replace('-', '_')}"] = with_records(_defects_sql([n]))
     weights = "(values " + ", ".join(f"('{s}', {w})" for s, w in status.STEPS_DONE.items()) + ") w(status, steps)"
     return out | {

@@ -180,7 +180,7 @@ def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as versions of a file: does each begin with the one before?"""
-    v = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 1).alias("content"))
+    v = _t(spark, sf_dir, "conversations").select("conv_id", "turn", c("text").alias("content"))
     return H.appended_only(v, "conv_id", "turn", "content").groupBy("appended").agg(F.count("*").alias("n"))
 
 
@@ -207,7 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from recordloom.plans.quality import _defects_sql
-    from recordloom.operators.quality import checks
+    from recordloom.operators.quality import CODES
     from recordloom.operators.status import TRANSITIONS
 
     inn = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
@@ -221,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
             b as (select min(y) as a, max(y) as z from y), o as (select outlet, y from y union all select 'All', y from y),
             g as (select n.outlet, s.y, count(o.y) as n from (select distinct outlet from o) n cross join (select unnest(range(a, z + 1)) as y from b) s left join o on o.outlet = n.outlet and o.y = s.y group by all)
             select outlet, (select a from b) as first_year, string_agg(cast(n as string), ',' order by y) as counts, cast(sum(n) as bigint) as total from g group by outlet""",
-        "A10_source_by_defect": f"""with d as (select distinct ID, code from ({_defects_sql(list(checks()))})), s as (select ID, split_part(unnest(string_split(origins, ';')), '/', 1) as source from r)
+        "A10_source_by_defect": f"""with d as (select distinct ID, code from ({_defects_sql(list(CODES))})), s as (select ID, split_part(unnest(string_split(origins, ';')), '/', 1) as source from r)
             select case when grouping(source) = 1 then 'All' else source end as source, case when grouping(code) = 1 then 'All' else code end as code, count(*) as n from d join s on s.ID = d.ID group by cube (source, code)""",
         "A11_entrytypes": "select ENTRYTYPE, count(*) as n, count(*) filter (status = 'md_needs_manual_preparation') as n_manual from r group by ENTRYTYPE",
         "A16_matching_rate": "select n, m, m / n as rate from (select count(*) as n, count(*) filter (seq in (select doc_id from labels)) as m from r)",
@@ -253,5 +253,5 @@ def oracle_sql() -> dict[str, str]:
         "W3_next_ids": "with d as (select source || '-' || lpad(cast(doc_id as string), 8, '0') as source_identifier, doc_id from documents), k as (select source_identifier, lpad(cast(1 + doc_id // 4 as string), 6, '0') as id from d where doc_id % 4 = 0) select * from k union all select source_identifier, lpad(cast((select max(cast(id as bigint)) from k) + row_number() over (order by source_identifier) as string), 6, '0') from d where doc_id % 4 <> 0",
         "W5_change_log": "with x as (select *, row_number() over w as n, lag(role) over w as pr, lag(text) over w as pt from conversations window w as (partition by conv_id order by turn)), y as (select case when n = 1 then 'new' when role is not distinct from pr and text is not distinct from pt then 'same' else 'changed' end as kind, case when n = 1 then '' else array_to_string(list_filter([case when role is distinct from pr then 'role' end, case when text is distinct from pt then 'text' end], lambda v: v is not null), ',') end as fields from x) select kind, fields, count(*) as n from y group by 1, 2",
         "W6_transitions": f"with h as (select user_id, event_id, {state} as dest, lag({state}) over (partition by user_id order by event_id) as source from events) select h.user_id, h.event_id, h.source, h.dest, coalesce((select min(operation) from {trans} where t.source = h.source and t.dest = h.dest), 'invalid_transition') as operation from h where h.source is not null and h.source <> h.dest",
-        "S20_append_only": "with x as (select substr(text, 1, 1) as c, lag(substr(text, 1, 1)) over (partition by conv_id order by turn) as b from conversations) select coalesce(starts_with(c, b), true) as appended, count(*) as n from x group by 1",
+        "S20_append_only": "with x as (select text as c, lag(text) over (partition by conv_id order by turn) as b from conversations) select coalesce(starts_with(c, b), true) as appended, count(*) as n from x group by 1",
     }
