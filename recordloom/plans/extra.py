@@ -57,7 +57,7 @@ def p37(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).select("ID", T.toc_key().alias("toc"), F.lower(F.substring("title", 1, 12)).alias("t"), F.lower(F.substring("author", 1, 8)).alias("a")).filter("toc is not null and t is not null and a is not null")
+    r = records(spark, sf_dir).select("ID", T.toc_key().alias("toc"), F.lower("title").alias("t"), F.lower("author").alias("a")).filter("toc is not null and t is not null and a is not null")
     pairs = r.select(c("ID").alias("a_ID"), "toc", c("t").alias("at"), c("a").alias("aa")).join(r.select(c("ID").alias("b_ID"), "toc", c("t").alias("bt"), c("a").alias("ba")), "toc").filter("a_ID < b_ID")
     # the bound of the similarity is a plain expression: most pairs don't reach the UDF
     return pairs.filter(0.6 * ratio_bound(c("at"), c("bt")) + 0.4 * ratio_bound(c("aa"), c("ba")) >= 40).withColumn("sim", F.round(0.4 * ratio_udf("aa", "ba") + 0.6 * ratio_udf("at", "bt"), 4))
@@ -76,7 +76,7 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much a record changed against an edited one."""
-    r = records(spark, sf_dir).select("ID", F.lower(F.substring("title", 1, 15)).alias("a"), F.lower(F.concat(F.lit("the "), F.substring("title", 3, 13))).alias("b"))
+    r = records(spark, sf_dir).select("ID", F.lower("title").alias("a"), F.lower(F.concat(F.lit("the "), F.substring("title", 3, 1 << 30))).alias("b"))
     return r.filter("a is not null").select("ID", F.round(1 - ratio_udf("a", "b") / 100, 6).alias("change_score"))
 
 
@@ -117,17 +117,17 @@ def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-def _beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("ID", F.lower(F.substring("title", 1, 20)).alias("t"), F.lower(F.substring("text", 5, 60)).alias("u"), F.lower("journal").alias("j"))
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("ID", F.lower("title").alias("t"), F.lower("abstract").alias("u"), F.lower("journal").alias("j"))
 
 
 def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _beginnings(spark, sf_dir).select("ID", F.round(partial_ratio_udf("t", "u"), 6).alias("ratio"))
+    return _titles(spark, sf_dir).select("ID", F.round(partial_ratio_udf("t", "u"), 6).alias("ratio"))
 
 
 def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of a query's title and container with a found one's, 0 to 100."""
-    return _beginnings(spark, sf_dir).filter("j is not null").select("ID", F.round(0.6 * partial_ratio_udf("t", "u") + 0.4 * partial_ratio_udf("j", F.lit("journal of things")), 6).alias("similarity"))
+    return _titles(spark, sf_dir).filter("j is not null").select("ID", F.round(0.6 * partial_ratio_udf("t", "u") + 0.4 * partial_ratio_udf("j", F.lit("journal of things")), 6).alias("similarity"))
 
 
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     ratio = lambda a, b: f"(case when {a} = '' and {b} = '' then 100.0 when {a} = '' or {b} = '' then 0.0 else 200.0 * {LCS_SQL.format(a=a, b=b)} / (length({a}) + length({b})) end)"
-    pairs = f"k as materialized (select ID, {TOC_SQL} as toc, lower(substr(title, 1, 12)) as t, lower(substr(author, 1, 8)) as a from r where title is not null and author is not null), s as (select a.ID as a_ID, b.ID as b_ID, round(0.4 * {ratio('a.a', 'b.a')} + 0.6 * {ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID)"
+    pairs = f"k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t, lower(author) as a from r where title is not null and author is not null), s as (select a.ID as a_ID, b.ID as b_ID, round(0.4 * {ratio('a.a', 'b.a')} + 0.6 * {ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID)"
     bib = "'@' || ENTRYTYPE || '{' || ID || ',' || chr(10) || array_to_string(list_filter([" + ", ".join(f"case when {f} is not null and {f} <> '' then '   {f.ljust(28)} = {{' || {f} || '}}' end" for f in ("author", "title", "year")) + "], lambda x: x is not null), ',' || chr(10)) || ',' || chr(10) || '}' || chr(10)"
     new = lambda f: f"case when e and n_{f} is not null and n_{f} <> 'UNKNOWN' then n_{f} when e and n_{f} is null then null else {f} end as {f}"
     fill = lambda f, v: f"case when curated is null and seq % 2 = 0 and ({f} is null or {f} in ('', 'UNKNOWN', 'forthcoming')) then '{v}' else {f} end as {f}"
@@ -196,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "P37_distribute": "with t as (select ID as origin, lpad(cast(seq // 5 + 1 as string), 6, '0') as id from r where seq % 5 = 0) select * from t union all select ID, lpad(cast((select max(cast(id as bigint)) from t) + row_number() over (order by ID) as string), 6, '0') from r where seq % 5 = 1",
         "J8_issue_pairs": f"with {pairs} select a_ID, b_ID, sim from s where sim >= 55",
         "J9_ranked_candidates": f"with {pairs}, x as (select *, row_number() over (partition by a_ID order by sim desc, b_ID) as place from s where sim >= 40) select a_ID, b_ID, place from x where place <= 2",
-        "D3_change_score": f"with k as (select ID, lower(substr(title, 1, 15)) as a, lower('the ' || substr(title, 3, 13)) as b from r where title is not null) select ID, round(1 - {ratio('a', 'b')} / 100, 6) as change_score from k",
+        "D3_change_score": f"with k as (select ID, lower(title) as a, lower('the ' || substr(title, 3)) as b from r where title is not null) select ID, round(1 - {ratio('a', 'b')} / 100, 6) as change_score from k",
         "Q29_pdf_incomplete": f"with k as (select ID, {expected} as expected, cast(seq % 12 + 1 as integer) as found from r where file is not null and pages is not null) select ID, cast(expected as integer) as expected, found from k where expected <> found",
         "W2_eligible_ids": "select ID from r where status in ('md_imported', 'md_prepared')",
         "W8_origin_order": "select ID, array_to_string(list_sort(string_split(origins, ';')), ';') as origins, cast(len(string_split(origins, ';')) as integer) as n from r",

@@ -172,13 +172,13 @@ def _apply(spark: SparkSession, sf_dir: str, build: Callable[[], Column]) -> Dat
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).select("seq", F.substring("title", 1, 12).alias("t"))
+    r = records(spark, sf_dir).select("seq", c("title").alias("t"))
     nxt = r.select((F.col("seq") - 1).alias("seq"), F.col("t").alias("u"))
     return r.join(nxt, "seq")
 
 
 def indel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each title's beginning with that of the next record."""
+    """Similarity of each title with that of the next record."""
     return _pairs(spark, sf_dir).select("seq", F.round(ratio_udf("t", "u"), 6).alias("ratio"))
 
 
@@ -196,6 +196,6 @@ def oracle_sql() -> dict[str, str]:
     out = {k: with_records(f"select ID, {sql} as value from r") for k, (_, sql) in _FUNCTIONS.items()}
     lcs = LCS_SQL.format(a="t", b="u")
     out["F30_indel_ratio"] = with_records(f"""
-        with p as (select a.seq, substr(a.title, 1, 12) as t, substr(b.title, 1, 12) as u from r a join r b on b.seq = a.seq + 1)
+        with p as (select a.seq, a.title as t, b.title as u from r a join r b on b.seq = a.seq + 1)
         select seq, round(case when t is null or u is null then null when t = '' and u = '' then 100.0 when t = '' or u = '' then 0.0 else 200.0 * {lcs} / (length(t) + length(u)) end, 6) as ratio from p""")
     return out
