@@ -8,7 +8,9 @@ is computed (C, T characters and tags, LC, LT those of links, NC characters outs
 with the largest sum of its children's densities is taken as the content; the smallest density on its path
 from the body is the threshold that further subtrees beside the path must reach. Inline markup counts as text of
 its block. Parts that a page marks as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments of readers are left out beforehand.
+comments of readers are left out beforehand. Such a part ends where its element does: at its end tag, where HTML implies
+the end, or at its parent's end tag. One that has no end tag at all also ends where a new section begins (an inline one or
+a form control: where any block begins).
 """
 
 from __future__ import annotations
@@ -26,12 +28,26 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# elements whose content is text up to their end tag (or up to the page's end), whatever it looks like
+RAW_TEXT = frozenset("script style textarea title iframe xmp noembed noframes".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW_TEXT}
+SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])[^>]*>", re.I)
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math canvas object select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIP = frozenset("head nav footer aside form fieldset menu dialog audio video figure input".split()) | RAW
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+ROWS = frozenset("tr td th".split())
+GROUPS = frozenset("thead tbody tfoot".split())
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": ROWS, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | dict.fromkeys(GROUPS, ROWS | GROUPS)
+# li, dt and dd don't end across a block other than address, div and p
+ITEMS = CLOSES_P - {"address", "div", "p"} | {"td", "th", "button", "object", "select", "template", "noscript"}
+SCOPE = {"li": ITEMS, "dt": ITEMS, "dd": ITEMS, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}} | dict.fromkeys(GROUPS, {"table"})
+END_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"button", "table", "td", "th", "object"}} | dict.fromkeys(ROWS | GROUPS, {"table"})
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+# what ends a dropped element that has no end tag
+SECTION = frozenset("article aside footer h1 header main nav section".split())
+BLOCK_START = CLOSES_P | SECTION | GROUPS | ROWS | {"li", "dt", "dd"}
+CONTROLS = frozenset("button select noscript object canvas svg math audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # words of class names and ids that mark what isn't the article
 MARKS = re.compile(
@@ -56,39 +72,77 @@ def _boilerplate(tag: str, attrs: str) -> bool:
     return False
 
 
+def _raw_end(page: str, tag: str, at: int) -> tuple[int, int]:
+    """Where a raw text element's content and its end tag end."""
+    if tag != "script":
+        m = RAW_END[tag].search(page, at)
+        return (m.start(), m.end()) if m else (len(page), len(page))
+    escaped = 0  # 1: after <!--, 2: in a script named there
+    for m in SCRIPT.finditer(page, at):
+        if m[1] is None:
+            escaped = max(1, escaped) if m[0] == "<!--" else 0
+        elif m[1] and escaped < 2:
+            return m.start(), m.end()
+        elif escaped:
+            escaped = 1 if m[1] else 2
+    return len(page), len(page)
+
+
+def _tokens(page: str) -> tuple[list[tuple[int, int, str, str, str]], set[int]]:
+    """Tags and comments as (position, end, / of an end tag, name, attributes), and which start tags have an end tag of their own."""
+    out: list[tuple[int, int, str, str, str]] = []
+    ended: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
+        if close:
+            if opened.get(tag):
+                ended.add(opened[tag].pop())
+        elif tag in RAW_TEXT and not attrs.endswith("/"):
+            at = _raw_end(page, tag, at)[1]
+        elif tag and tag not in VOID:
+            opened.setdefault(tag, []).append(len(out))
+        out.append((m.start(), at, close or "", tag, attrs or ""))
+    out.append((len(page), len(page), "", "", ""))
+    return out, ended
+
+
 def extract(page: str) -> str:
     """The main text: blocks joined by an empty line, white space within a block as one space."""
     tags, parents, runs = ["html"], [-1], []  # runs: (block node, text, in a link, break number)
     links = [0]
     stack, names = [0], ["html"]
-    in_link, block_no, at, n = 0, 0, 0, len(page)
+    in_link, block_no, at = 0, 0, 0
+    dropped, has_end = 0, False  # where on the stack a subtree that is left out begins, and whether that element has an end tag
 
     def pop_to(i: int) -> None:
-        nonlocal in_link, block_no
+        nonlocal in_link, block_no, dropped
         for tag in names[i:]:
             if tag == "a":
                 in_link -= 1
             elif tag not in INLINE:
                 block_no += 1
         del stack[i:], names[i:]
+        if i <= dropped:
+            dropped = 0
 
-    skip_to = 0
-    while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            text = page[at:end]
-            runs.append((stack[-1], htmllib.unescape(text) if "&" in text else text, in_link > 0, block_no))
-        if not m:
-            break
-        at = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    tokens, ended = _tokens(page)
+    for number, (start, end, close, tag, attrs) in enumerate(tokens):
+        if start > at:
+            text = page[at:start]
+            if names[-1] == "head" and not text.isspace():
+                pop_to(len(names) - 1)
+            if not dropped:
+                runs.append((stack[-1], htmllib.unescape(text) if "&" in text else text, in_link > 0, block_no))
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if close:
             if tag in VOID:
-                if tag == "br":
+                if tag == "br" and not dropped:
                     runs.append((stack[-1], " ", False, block_no))
                 continue
             for i in range(len(names) - 1, 0, -1):
@@ -97,47 +151,57 @@ def extract(page: str) -> str:
                     break
                 if names[i] not in INLINE and tag in INLINE:
                     break  # an inline end tag doesn't close blocks
+                if names[i] in END_SCOPE.get(tag, ()):
+                    break
             continue
         if tag in ("html", "body"):
             if tag == "body" and "body" not in names:
+                if dropped:
+                    pop_to(dropped)
                 tags.append("body")
                 parents.append(0)
                 links.append(0)
                 stack.append(len(tags) - 1)
                 names.append("body")
             continue
+        if names[-1] == "head" and tag not in IN_HEAD:
+            pop_to(len(names) - 1)
+        if dropped and not has_end:
+            root = names[dropped]
+            inline = root in INLINE or root in CONTROLS
+            if root != "head" and (tag in SECTION or inline and (tag in BLOCK_START or tag == root)):
+                pop_to(dropped)
         if tag == "br":
-            runs.append((stack[-1], " ", False, block_no))
+            if not dropped:
+                runs.append((stack[-1], " ", False, block_no))
             continue
-        inside_article = "article" in names
-        drop = tag in SKIP or (tag == "header" and not inside_article) or _boilerplate(tag, attrs)
         if tag in CLOSES_P and "p" in names:
             i = len(names) - 1 - names[::-1].index("p")
-            if all(x in INLINE or x == "p" for x in names[i:]):
+            if not END_SCOPE["p"].intersection(names[i:]):
                 pop_to(i)
         if tag in SAME:
+            like = 0
             for i in range(len(names) - 1, 0, -1):
                 if names[i] in SAME[tag]:
-                    pop_to(i)
-                    break
-                if names[i] in SCOPE[tag]:
+                    like = i
+                elif names[i] in SCOPE[tag]:
                     break
-        if tag in VOID or attrs.endswith("/") and tag in RAW:
-            if tag not in INLINE:
-                block_no += 1
-            continue
-        if drop:
-            # leave the whole element out: find its end
-            skip_to = _end_of(page, tag, at)
-            at = skip_to
+            if like:
+                pop_to(like)
+        if tag in VOID or tag in RAW_TEXT or attrs.endswith("/") and tag in RAW:
             if tag not in INLINE:
                 block_no += 1
             continue
-        if tag in INLINE:
+        if not dropped and (tag in SKIP or (tag == "header" and "article" not in names) or _boilerplate(tag, attrs)):
+            dropped, has_end = len(names), number in ended
+        if tag == "a":
+            in_link += 1
+        if dropped:
+            stack.append(-1)
+            block_no += tag not in INLINE
+        elif tag in INLINE:
             stack.append(stack[-1])
-            if tag == "a":
-                in_link += 1
-                links[stack[-1]] += 1
+            links[stack[-1]] += tag == "a"
         else:
             block_no += 1
             tags.append(tag)
@@ -148,20 +212,6 @@ def extract(page: str) -> str:
     return _select(tags, parents, links, runs)
 
 
-def _end_of(page: str, tag: str, at: int) -> int:
-    """Position after the end tag that matches an element opened before ``at``."""
-    find = re.compile(rf"<!--.*?-->|<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.S | re.I)
-    depth = 1
-    while m := find.search(page, at):
-        at = m.end()
-        if m[1] is None:
-            continue
-        depth += -1 if m[1] else 0 if tag in RAW and tag not in ("svg", "object") else 1
-        if not depth:
-            return at
-    return len(page) if tag in RAW or tag == "head" else at  # never closed
-
-
 def _select(tags: list[str], parents: list[int], links: list[int], runs: list[tuple[int, str, bool, int]]) -> str:
     k = len(tags)
     chars, lchars, count, lcount = [0] * k, [0] * k, [1] * k, list(links)

@@ -303,6 +303,30 @@ def test_extract():
         extract(broken)
 
 
+ARTICLE = "<article><p>First paragraph of the text.</p><p>Second one of it.</p></article>"
+SHOWN = "First paragraph of the text.\n\nSecond one of it."
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><body>{ARTICLE}</body></html>",
+    f"<html><head><title>T</title><meta charset=utf-8>{ARTICLE}",
+    "<head><title>T</title>First paragraph of the text.<p>Second one of it.",
+    "<body><p class='notice'>Cookies<p>First paragraph of the text.<p>Second one of it.",
+    "<body><p class='notice'>Cookies<p>First paragraph of the text.</p><p>Second one of it.</p></body>",
+    "<body><ul><li class=ad>Buy<li>First paragraph of the text.<li>Second one of it.</ul></body>",
+    "<body><table><tr class=ad><td>Buy<tr><td class=sidebar>More<td>First paragraph of the text.<td>Second one of it.</table></body>",
+    f"<body><nav><a href=/>Home</a>{ARTICLE}<nav><a href=/>End</a></nav></body>",
+    f"<body><div><nav><a href=/>Home</a></div>{ARTICLE}<nav><a href=/>End</a></nav></body>",
+    f"<body><aside>See also{ARTICLE}<aside>More</aside></body>",
+    f"<body><div><select><option>a<option>b</div>{ARTICLE}</body>",
+    *(f"<body><{tag}>x{ARTICLE}</body>" for tag in ("select", "button", "noscript")),
+    f"<body><nav><ul><li>a<ul><li>b</ul><p>c<div>d</div></ul></nav>{ARTICLE}<div class=ad><p>x<p>y</div></body>",
+    f"<body><script>if (a) '<nav>'; <!-- <script></script> --></script>{ARTICLE}</body>",
+])
+def test_extract_ends_dropped_elements_without_end_tags(page):
+    assert extract(page) == SHOWN
+
+
 def test_extract_main_text(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x"), (3, "u", "<p>" + "long text " * 50_000 + "</p>", "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
