@@ -10,7 +10,9 @@ For each row the posterior of a language multiplies four kinds of evidence:
   languages are sums, over all their rows, of posteriors from the other three kinds; a row's own share is taken out of its
   prior. Sums are grouped aggregations with partial sums, so a host with a third of all rows costs one row per task.
 
-The trigram model is fitted on a bounded sample of labelled rows (about ``fit_rows``); everything else covers all rows.
+The trigram model is fitted on a bounded sample of labelled rows: labels are counted over all rows, and each language keeps
+about ``fit_rows`` / languages of its own rows (``LEAST_ROWS`` at least, all of them where it has no more), so no label is lost
+and none depends on how many rows the others have. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from recordloom.llm import kernels as K
 from recordloom.session import materialize, release
 
 SLOTS = 1 << 15
+LEAST_ROWS = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -71,11 +74,22 @@ class TrigramModel:
         self.has = counts > 0
 
 
-def fit(labelled: DataFrame, fit_rows: int = 4000) -> TrigramModel:
-    """labelled (id, lang, text): fitted on about ``fit_rows`` rows chosen by the hash of the id. Rows without a label or text are left out."""
+def fit_sample(labelled: DataFrame, fit_rows: int = 4000) -> DataFrame:
+    """The rows of labelled (id, lang, text) with a label and a text; of a language with more than its share of ``fit_rows`` every so manieth by hash."""
     rows = labelled.filter("lang is not null and text is not null")
-    step = max(1, -(-rows.count() // fit_rows))
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(step).cast("long")) == 0)
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    share = max(LEAST_ROWS, fit_rows // max(1, len(counts)))
+    steps = {r["lang"]: -(-r["count"] // share) for r in counts if r["count"] > share}
+    if not steps:
+        return rows
+    step = F.coalesce(F.create_map(*(F.lit(x) for kv in steps.items() for x in kv))[F.col("lang")].cast("long"), F.lit(1).cast("long"))
+    # rows without an id are told apart by their texts
+    return rows.filter(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), step) == 0)
+
+
+def fit(labelled: DataFrame, fit_rows: int = 4000) -> TrigramModel:
+    """labelled (id, lang, text): fitted on ``fit_sample``. Rows without a label or text are left out."""
+    sample = fit_sample(labelled, fit_rows)
     got = sample.select("lang", "text").mapInArrow(_count_trigrams, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique())  # at most SLOTS rows for each language came back
     counts = np.zeros((len(languages), SLOTS))

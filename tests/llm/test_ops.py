@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.decontaminate import ItemIndex, find_leaks, leak_report
 from recordloom.llm.html_text import extract, extract_main_text
-from recordloom.llm.language_id import address_parts, document_rows, fit_documents, identify, markup_language
+from recordloom.llm.language_id import address_parts, document_rows, fit, fit_documents, fit_sample, identify, markup_language
 from recordloom.llm.nearest import nearest
 from recordloom.llm.ngram_join import ngram_components
 from recordloom.llm.pack import pack_tokens, vocabulary_path
@@ -350,6 +350,18 @@ def test_language_id(spark):
     assert {r.rejected for r in identify(document_rows(held), empty, ["doc_id"]).collect()} == {"unknown language"}
 
 
+def test_language_id_keeps_a_rare_language_among_many_rows(spark):
+    rng = random.Random(3)
+    words = {"en": ["the", "and", "with", "from"], "de": ["und", "der", "nicht", "schön"], "fi": ["ja", "että", "kanssa", "mutta"]}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    rows = [(i, lang, text(lang)) for i, lang in enumerate(["en", "de"] * 1500 + ["fi"] * 9)] + [(None, "en", text("en")) for _ in range(300)] + [(9000, None, "x"), (9001, "sv", None)]
+    labelled = spark.createDataFrame(rows, "id long, lang string, text string").repartition(3)
+    kept = {r["lang"]: r["count"] for r in fit_sample(labelled, 200).groupBy("lang").count().collect()}
+    assert kept["fi"] == 9 and all(32 <= kept[x] <= 100 for x in ("en", "de")) and len(kept) == 3
+    held = spark.createDataFrame([(i, text("fi"), "fi" if i % 2 else None, None) for i in range(20)], "doc_id long, text string, lang string, source string")
+    assert {(r.lang, r.rejected) for r in identify(document_rows(held), fit(labelled, 200), ["doc_id"]).collect()} == {("fi", None)}
+
+
 def test_host_prior_decides_what_the_text_leaves_open(spark):
     train = spark.createDataFrame([(i, t, lang, "x") for i, (t, lang) in enumerate([("aaa bbb ccc", "en"), ("xxx yyy zzz", "de")] * 20)], "doc_id long, text string, lang string, source string")
     rows = [(i, "xxx yyy zzz", None, "h.example.de") for i in range(30)] + [(100, "aaa xxx", None, "h.example.de"), (101, "aaa xxx", None, "other")]
