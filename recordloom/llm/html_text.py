@@ -25,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # elements whose content is text up to their end tag (or up to the page's end), whatever it looks like
-RAW_TEXT = frozenset("script style textarea title iframe xmp noembed noframes".split())
+RAW_TEXT = frozenset("script style textarea title xmp".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW_TEXT}
 SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])[^>]*>", re.I)
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math canvas object select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIP = frozenset("head nav footer aside form fieldset menu dialog audio video figure input".split()) | RAW
+# menus, headers, footers, sidebars, forms and their controls, scripts (with what stands in for them) and styles; a header is one outside of articles
+SKIP = frozenset("head title nav menu footer aside form fieldset input textarea select button script noscript template style".split())
+# written as <.../> they have no content, though HTML asks for an end tag
+EMPTY = frozenset("script style textarea title iframe xmp noembed noframes svg math canvas object select button noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ROWS = frozenset("tr td th".split())
 GROUPS = frozenset("thead tbody tfoot".split())
@@ -47,7 +49,7 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 # what ends a dropped element that has no end tag
 SECTION = frozenset("article aside footer h1 header main nav section".split())
 BLOCK_START = CLOSES_P | SECTION | GROUPS | ROWS | {"li", "dt", "dd"}
-CONTROLS = frozenset("button select noscript object canvas svg math audio video".split())
+CONTROLS = frozenset("button select noscript object canvas svg math audio video iframe".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # words of class names and ids that mark what isn't the article
 MARKS = re.compile(
@@ -102,7 +104,10 @@ def _tokens(page: str) -> tuple[list[tuple[int, int, str, str, str]], set[int]]:
             if opened.get(tag):
                 ended.add(opened[tag].pop())
         elif tag in RAW_TEXT and not attrs.endswith("/"):
-            at = _raw_end(page, tag, at)[1]
+            stop, at = _raw_end(page, tag, at)
+            if tag not in SKIP:  # its text is shown as it is written
+                out += [(m.start(), m.end(), "", tag, attrs), (stop, at, "/", tag, "")]
+                continue
         elif tag and tag not in VOID:
             opened.setdefault(tag, []).append(len(out))
         out.append((m.start(), at, close or "", tag, attrs or ""))
@@ -136,7 +141,7 @@ def extract(page: str) -> str:
             if names[-1] == "head" and not text.isspace():
                 pop_to(len(names) - 1)
             if not dropped:
-                runs.append((stack[-1], htmllib.unescape(text) if "&" in text else text, in_link > 0, block_no))
+                runs.append((stack[-1], htmllib.unescape(text) if "&" in text and names[-1] not in RAW_TEXT else text, in_link > 0, block_no))
         at = end
         if not tag:
             continue
@@ -188,7 +193,7 @@ def extract(page: str) -> str:
                     break
             if like:
                 pop_to(like)
-        if tag in VOID or tag in RAW_TEXT or attrs.endswith("/") and tag in RAW:
+        if tag in VOID or tag in RAW_TEXT and tag in SKIP or attrs.endswith("/") and (tag in EMPTY or "svg" in names or "math" in names):
             if tag not in INLINE:
                 block_no += 1
             continue

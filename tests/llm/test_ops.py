@@ -327,6 +327,22 @@ def test_extract_ends_dropped_elements_without_end_tags(page):
     assert extract(page) == SHOWN
 
 
+@pytest.mark.parametrize("part", [
+    "<figure><pre>let x = 1</pre><figcaption>Listing</figcaption></figure>", "<figure><table><tr><td>cell</table></figure>", "<figure><blockquote>said</blockquote></figure>", "<math><mi>x</mi></math>",
+    "<object data=x><p>let</object>", "<audio src=x>no sound</audio>", "<video src=x>no film</video>", "<dialog open>cell</dialog>", "<svg><path d='M0'/><text>cell</text></svg>", "<canvas>cell</canvas>",
+    "<iframe src=x>cell</iframe>", "<xmp>a &lt; <b></xmp>", "<div data-hidden='false' data-id='comments'>cell</div>", "<div data-role=navigation title='a class=ad b'>cell</div>", "<p x-style='display:none' my-class=ad>cell</p>",
+])
+def test_extract_keeps_what_no_rule_names(part):
+    want = {"<figure><pre>": ["let x = 1", "Listing"], "<figure><blo": ["said"], "<math><mi>x": ["x"], "<object data": ["let"], "<audio src=x": ["no sound"], "<video src=x": ["no film"], "<xmp>a &lt; ": ["a &lt; <b>"]}
+    page = f"<body><article><p>First paragraph of the text.</p>{part}<p>Second one of it.</p></article></body>"
+    assert extract(page).split("\n\n") == ["First paragraph of the text.", *next((v for k, v in want.items() if part.startswith(k)), ["cell"]), "Second one of it."]
+
+
+@pytest.mark.parametrize("part", ["<div hidden>x</div>", "<div\nid=comments>x</div>", "<div data-x='1'class='ad'>x</div>", "<p STYLE='display: none'>x</p>", "<div aria-hidden=true>x</div>"])
+def test_extract_drops_what_a_mark_names(part):
+    assert extract(f"<body><article><p>First paragraph of the text.</p>{part}<p>Second one of it.</p></article></body>") == SHOWN
+
+
 def test_extract_main_text(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x"), (3, "u", "<p>" + "long text " * 50_000 + "</p>", "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
