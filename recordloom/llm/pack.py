@@ -11,6 +11,8 @@ powers of two, which need no padding either.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -32,13 +34,20 @@ FAN = 64
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of ranks at ``path``. Special strings in a text are ordinary text."""
+    """The byte-level BPE of ranks at ``path``, with the added tokens of the tokenizer file of the same name beside it, if there is one."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if os.path.exists(beside := os.path.splitext(path)[0] + ".json"):
+        with open(beside, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens", [])
+        if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+            raise ValueError(f"added tokens that look at their neighbours: {odd}")
+        added = {t["content"]: t["id"] for t in tokens}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def vocabulary_path() -> str:
@@ -144,7 +153,7 @@ def _pack_texts(size: int, windows: int, vocabulary: str | None, with_ids: bool,
             ids, texts = batch.column(0), batch.column(1)
             for s in range(0, len(ids), 500):
                 for doc, text in zip(ids.slice(s, 500).to_pylist(), texts.slice(s, 500).to_pylist()):
-                    toks = np.array([*enc.encode_ordinary(text or ""), end_id], dtype="<u4")
+                    toks = np.array([*enc.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
                     pack.put((doc, 0, len(toks), toks))
                 yield table(pack.rows(with_ids))
         yield table(pack.rows(with_ids, part))
@@ -171,7 +180,7 @@ def pack_tokens(docs: DataFrame, size: int = 1024, windows: int = 64, vocabulary
     """docs (doc_id, text, ...) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the
     ids (binary, little-endian unsigned 32-bit).
 
-    A document is its token ids followed by ``end_id``; a null or empty text is that id alone. ``size`` must be a power of two.
+    A document is its token ids (an added token in a text is that token) followed by ``end_id``; a null or empty text is that id alone. ``size`` must be a power of two.
     Every id lies in exactly one piece, and no sequence needs padding: its length is ``size`` or, at the very
     end, a smaller power of two. Rows that repeat a doc_id, or have none, are packed as documents of their own. An empty
     table gives no rows; other columns don't matter. ``vocabulary`` is the path of a rank file on every executor.

@@ -209,6 +209,19 @@ def test_pack_tokens(spark):
     assert pack_tokens(docs(spark, [])).count() == 0
 
 
+def test_pack_tokens_matches_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a  <|endoftext|><|endoftext|>  b\n<|endoftext|>\n", "<|endoftext", "no <|ENDOFTEXT|> here", "plain"]
+    got = {r.doc_id: r for r in pack_tokens(docs(spark, list(enumerate(texts)))).collect() if r.start == 0}
+    for d, text in enumerate(texts):
+        ids = [*reference.encode(text, add_special_tokens=False).ids, 0]
+        assert got[d].doc_tokens == len(ids) and np.frombuffer(got[d].ids, dtype="<u4").tolist() == ids[: got[d].length]
+    assert reference.encode(texts[0], add_special_tokens=False).ids == [505, 50256, 11545]
+
+
 def test_token_counts(spark):
     import base64
 
