@@ -81,10 +81,10 @@ def pairs_on(records: DataFrame, keys: dict[str, Column], carry: list[str], max_
     return joined.groupBy(*(f"a_{x}" for x in carry), *(f"b_{x}" for x in carry)).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def global_id_pairs(records: DataFrame) -> DataFrame:
-    """Pairs that share a DOI, an address, a PubMed number or the record key."""
+def global_id_pairs(records: DataFrame, max_block: int | None = None) -> DataFrame:
+    """Pairs that share a DOI, an address, a PubMed number or the record key: all of them, unless only components are asked for (``max_block``)."""
     keys = {"doi": T.normalise_doi(c("doi")), "url": F.regexp_replace("url", "/+$", ""), "pubmedid": c("pubmedid"), "key": T.record_key()}
-    return pairs_on(records, keys, ["ID"], max_block=200)
+    return pairs_on(records, keys, ["ID"], max_block=max_block)
 
 
 def cross_level_veto(a: str = "a_ENTRYTYPE", b: str = "b_ENTRYTYPE") -> Column:

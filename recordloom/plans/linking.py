@@ -110,7 +110,7 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.components(D.global_id_pairs(records(spark, sf_dir))).select("ID", "component")
+    return D.components(D.global_id_pairs(records(spark, sf_dir), max_block=200)).select("ID", "component")
 
 
 def d8(spark: SparkSession, sf_dir: str) -> DataFrame:

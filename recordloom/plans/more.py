@@ -76,7 +76,7 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records merged by all of their global ids: each component's smallest id and its size."""
-    comp = D.components(D.global_id_pairs(records(spark, sf_dir)))
+    comp = D.components(D.global_id_pairs(records(spark, sf_dir), max_block=200))
     return comp.groupBy("component").agg(F.count("*").alias("n"))
 
 

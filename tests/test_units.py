@@ -233,3 +233,13 @@ def test_entry_works_without_the_optional_parts(spark):
 
     assert E.entry(spark).count() == 15
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_global_id_pairs_of_a_large_block(spark):
+    rows = [(f"R{i:04d}", f"10.1000/{i // 2}", "https://a.org/x/", None) for i in range(201)]
+    r = spark.createDataFrame(rows, "ID string, doi string, url string, pubmedid string")
+    names = ["author", "year", "title", "journal", "booktitle", "volume", "number", "ENTRYTYPE", "pages", "school", "publisher", "isbn"]
+    r = r.select("*", *(F.lit(None).cast("string").alias(n) for n in names))
+    got = {(p.a_ID, p.b_ID): p.kinds for p in dedupe.global_id_pairs(r).collect()}
+    assert len(got) == 201 * 200 // 2
+    assert got["R0002", "R0003"] == ["doi", "url"] and got["R0003", "R0004"] == ["url"]
