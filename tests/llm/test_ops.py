@@ -7,7 +7,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from recordloom.llm.decontaminate import ItemIndex, find_leaks, leak_report
@@ -85,10 +87,17 @@ def test_ngram_components_empty_and_null_ids(spark):
     assert ngram_components(docs(spark, [(None, "a b c d e f"), (1, None)])).collect() == [(1, 0, 1)]
 
 
+def text_order(t):
+    """The operator's order of rows of one doc_id."""
+    h = xxhash.xxh64((t or "").encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_repeats(rows, length=100):
+    """By row (doc_id, text); rows alike in both are one document."""
     seen, out = {}, {}
-    for d, t in sorted(set(rows), key=lambda r: r[0]):
-        b = (t or "").encode()
+    for d, t in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0], text_order(r[1]))):
+        b = t.encode()
         cut = bytearray(len(b))
         for i in range(len(b) - length + 1):
             w = b[i : i + length]
@@ -98,22 +107,36 @@ def brute_repeats(rows, length=100):
                 seen[w] = 1
         kept = bytes(x for x, y in zip(b, cut) if not y)
         spans = sum(1 for i in range(len(b)) if cut[i] and (i == 0 or not cut[i - 1]))
-        out[d] = (len(b), sum(cut), spans, hashlib.sha256(kept).hexdigest())
+        out[d, t] = (sum(cut), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
     return out
 
 
 @pytest.mark.parametrize(("hot", "hold"), [(2000, 1_000_000), (1, 50), (3, 7)])
 def test_remove_repeats(spark, hot, hold):
-    rows = [(d, t) for d, t in corpus(2) if (d, t) != (300, None)]
-    got = remove_repeats(docs(spark, rows).repartition(3), hot_phrases=hot, hold=hold)
+    rng = random.Random(12)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = corpus(2) + [(901, a), (905, "zz" + a), (905, b), (905, b), (906, b[3:] + a[:150]), (907, "ab" * 400), (908, "ab" * 90), (909, "\u00e9" * 130)]
     want = brute_repeats(rows)
-    for r in got.collect():
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
-        assert len(r.spans) == r.n_spans and sum(s.end - s.start for s in r.spans) == r.n_removed
-    assert got.count() == len(rows)
+    got = remove_repeats(docs(spark, rows).repartition(3), hot_phrases=hot, hold=hold).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept_text) for r in got) == sorted((d, len((t or "").encode()), *want[d, t or ""]) for d, t in rows)
+    assert all(len(r.spans) == r.n_spans and sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
+    assert {r.n_removed for r in got if r.kept_text == b} == {0}
     assert remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_order():
+    import recordloom.llm.phrase_dedup as P
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 900).astype(np.uint8)
+    data[400:700] = data[100:400]
+    start = np.arange(0, len(data) - 100)
+    order, new = P.suffix_order(data, start, 100)
+    strings = [data[i : i + 100].tobytes() for i in start]
+    assert order.tolist() == sorted(range(len(start)), key=lambda i: (strings[i], i))
+    assert new.tolist() == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(len(order))]
+
+
 def test_remove_repeats_segments(spark, monkeypatch):
     """A text longer than a segment is parsed piecewise with the same result."""
     import recordloom.llm.phrase_dedup as P
@@ -124,7 +147,15 @@ def test_remove_repeats_segments(spark, monkeypatch):
     data = np.frombuffer(rows[0][1].encode(), dtype=np.uint8)
     whole = P.parse(data, np.array([0, len(data)]), 100, 24)
     assert int(whole[4].sum()) == len(data) - 99
-    assert {r.doc_id: r.n_removed for r in remove_repeats(docs(spark, rows)).collect()} == {d: v[1] for d, v in brute_repeats(rows).items()}
+    want = {d: v[0] for (d, _), v in brute_repeats(rows).items()}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "ver": [7, 8], "text": ["short", a]})
+    for segment in (1 << 20, 500):
+        monkeypatch.setattr(P, "SEGMENT", segment)
+        blobs = [r for b in P._parse_texts(100, 24, 1, 1, 10**9)(iter([batch])) for r in b.to_pylist()]
+        phrases = [P.K.unpack(r["blob"], *P.PHRASE) for r in blobs if r["kind"] == P.PHRASES]
+        strings = sorted((d, lo + k) for _, _, doc, _, start, count, _ in phrases for d, lo, n in zip(doc.tolist(), start.tolist(), count.tolist()) for k in range(n))
+        assert strings == [(2, k) for k in range(len(a) - 99)]
+    assert {r.doc_id: r.n_removed for r in remove_repeats(docs(spark, rows)).collect()} == want
 
 
 def edit_distance(item, text):
