@@ -3,16 +3,20 @@
 A benchmark item of m bytes that occurs in a text with at most k edits shares at least ``m + 1 - q - k q`` of
 its q-grams with that place, and all of them on diagonals (text position less item position) that span no more than k.
 Texts are scanned in Arrow tasks, whole and in blocks of bytes: every position's q-gram is looked up in the
-items' q-grams, the hits are counted in overlapping diagonal bands per text and item, bands
-that reach the lemma's bound are kept, and a banded alignment verifies each of them.
+items' q-grams, the text positions that hit are counted in overlapping diagonal bands per text and item, bands
+that reach the lemma's bound are kept, and a banded alignment verifies each of them, many at a time.
 
 The items are the one thing that every task holds. They are taken in blocks of at most ``block_bytes``, and
-each block scans the texts anew, so what is sent stays bounded whatever the benchmark's size.
+each block scans the texts anew, so what is sent stays bounded whatever the benchmark's size. What a task
+holds beside an Arrow batch is bounded too: texts longer than a block are looked up in windows that overlap by the longest
+item and its budget, hits are counted in slices, and a q-gram that an item repeats within a band stands there
+with its first and last place only.
 Case of A-Z is ignored and every white-space byte equals a space; positions are those of the text's UTF-8 bytes.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -28,15 +32,15 @@ PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[65:91] += 32
 PLAIN[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
 MATCH = "doc_id long, item_id long, start long, end long, edits int"
-UNIT = 1 << 32
+#: bytes looked up at once; counted hits at once; verified bands at once
+BLOCK, LOOK, HITS, POOL = 1 << 20, 1 << 16, 1 << 20, 4096
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each position as one integer."""
-    g = data.astype(np.uint64)
-    for step in (1, 2, 4):
-        g = g[:-step] | (g[step:] << np.uint64(8 * step)) if len(g) > step else g[:0]
-    return g
+    """The 8 bytes at each position as one integer (a view)."""
+    if len(data) < Q:
+        return np.zeros(0, dtype=np.uint64)
+    return np.ndarray((len(data) - Q + 1,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
 
 
 class ItemIndex:
@@ -51,92 +55,173 @@ class ItemIndex:
         self.k = np.minimum((self.m * edit_rate).astype(np.int64), (self.m - Q) // Q)
         self.bound = self.m + 1 - Q - self.k * Q
         self.shift = np.array([max(4, int(k).bit_length()) for k in self.k], dtype=np.int64)  # band width 2**shift > k
-        g = [grams(d) for d in self.data]
-        item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        at = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
-        allg = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        order = np.argsort(allg, kind="stable")
-        self.item, self.at = item[order], at[order]
-        self.gram, self.first, self.count = np.unique(allg[order], return_index=True, return_counts=True)
-        self.bits = max(16, int(len(allg) * 16).bit_length())
+        self.reach = int((self.m + self.k).max()) if kept else 0
+        gram = np.concatenate([grams(d) for d in self.data]) if kept else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(kept)), self.m - Q + 1)
+        at = np.concatenate([np.arange(n - Q + 1) for n in self.m]) if kept else np.zeros(0, np.int64)
+        order = np.lexsort((at, item, gram))
+        gram, item, at = gram[order], item[order], at[order]
+        first = np.flatnonzero(K.starts_of_runs(gram, item, at >> self.shift[item]))
+        n = np.diff(np.append(first, len(gram)))
+        # of more than two places in a stretch of a band's width, the outer ones fall into all the bands that the others do
+        dense = np.repeat(n > 2, n)
+        keep = ~dense
+        keep[first] = keep[first + n - 1] = True
+        self.item, self.at, self.dense = item[keep], at[keep], dense[keep]
+        self.gram, self.first, self.count = np.unique(gram[keep], return_index=True, return_counts=True)
+        self.bits = max(16, int(len(self.gram) * 16).bit_length())
         self.filter = np.zeros(1 << self.bits, dtype=bool)
         self.filter[self._slot(self.gram)] = True
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
-        return ((g * np.uint64(K.BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = g * np.uint64(K.BASE)
+        slot >>= np.uint64(64 - self.bits)
+        return slot.view(np.int64)
 
-    def bands(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text number, item number, first diagonal of the band in the text) that reach the bound."""
+    def bands(self, data: np.ndarray, off: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, item number, first diagonal of the band in the text) that reach the bound; data begins at byte ``base`` of its first text."""
         g = grams(data)
+        none = np.zeros(0, np.int64)
         if not len(g) or not len(self.gram):
-            return
-        pos = np.flatnonzero(self.filter[self._slot(g)])
+            return none, none, none
+        pos = np.concatenate([s + np.flatnonzero(self.filter[self._slot(g[s : s + LOOK])]) for s in range(0, len(g), LOOK)])
         at = np.minimum(np.searchsorted(self.gram, g[pos]), len(self.gram) - 1)
         ok = self.gram[at] == g[pos]
         pos, at = pos[ok], at[ok]
         doc = np.searchsorted(off, pos, "right") - 1
         inside = pos + Q <= off[doc + 1]  # not across two texts
         pos, at, doc = pos[inside], at[inside], doc[inside]
-        n = self.count[at]
-        row = np.repeat(np.arange(len(pos)), n)
-        entry = self.first[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        item = self.item[entry]
-        diag = (pos - off[doc])[row] - self.at[entry]
-        doc = doc[row]
-        shift = self.shift[item]
-        band = diag >> shift
-        low = (diag - (band << shift)) < self.k[item]  # then it is also in the overlap of the band before
-        doc, item, band = np.concatenate([doc, doc[low]]), np.concatenate([item, item[low]]), np.concatenate([band, band[low] - 1])
-        order = np.lexsort((band, item, doc))
-        doc, item, band = doc[order], item[order], band[order]
-        first = np.flatnonzero(K.starts_of_runs(doc, item, band))
-        many = np.diff(np.append(first, len(doc))) >= self.bound[item[first]]
-        for i in first[many].tolist():
-            yield int(doc[i]), int(item[i]), int(band[i] << self.shift[item[i]])
-
-    def align(self, text: np.ndarray, j: int, diag: int) -> tuple[int, int, int] | None:
-        """Best place (start, end, edits) of item j in the text on the band's diagonals, if within budget."""
-        item, m, k = self.data[j], int(self.m[j]), int(self.k[j])
-        lo, width = diag - k, (1 << int(self.shift[j])) + 3 * k + 1
-        a, b = max(0, lo), max(0, min(len(text), lo + width + m))
-        exact = text[a:b].tobytes().find(item.tobytes())
-        if exact >= 0:
-            return a + exact, a + exact + m, 0
-        padded = np.full(width + m, 256, dtype=np.int16)
-        if b > a:
-            padded[a - lo : b - lo] = text[a:b]
-        start = np.arange(lo, lo + width)
-        far = np.int64(1) << 60
-        step = np.arange(width, dtype=np.int64) * UNIT
-        d = np.where((start >= 0) & (start <= len(text)), start, far).astype(np.int64)  # cost in the high half, start in the low one
-        for i in range(m):
-            here = d + UNIT * (padded[i : i + width] != item[i])
-            here[:-1] = np.minimum(here[:-1], d[1:] + UNIT)
-            d = np.minimum.accumulate(here - step) + step
-        t = int(np.argmin(d))
-        edits = int(d[t] // UNIT)
-        return (int(d[t] % UNIT), m + lo + t, edits) if edits <= k else None
+        rel = pos - off[doc] + base
+        keys, counts = none, none
+        for i, j in K.chunks(np.concatenate([[0], np.cumsum(self.count[at])]), HITS):
+            n = self.count[at[i:j]]
+            row = np.repeat(np.arange(i, j), n)
+            entry = np.repeat(self.first[at[i:j]] - (np.cumsum(n) - n), n) + np.arange(len(row))
+            item = self.item[entry]
+            shift = self.shift[item]
+            diag = rel[row] - self.at[entry]
+            band = diag >> shift
+            low = ((diag - (band << shift)) < self.k[item]) | self.dense[entry]  # then it is (or another of its stretch may be) also in the overlap of the band before
+            # 24 bits of text number, 19 of item number, 20 of band
+            key = (doc[row] << 39) | (item << 20) | (band + (1 << 19))
+            key, row = np.concatenate([key, key[low] - 1]), np.concatenate([row, row[low]])
+            order = np.lexsort((row, key))
+            key = key[order]
+            key = key[K.starts_of_runs(key, row[order])]  # each text position once
+            first = np.flatnonzero(K.starts_of_runs(key))
+            n = np.diff(np.append(first, len(key)))
+            keys, back = np.unique(np.concatenate([keys, key[first]]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+        doc, item, band = keys >> 39, (keys >> 20) & ((1 << 19) - 1), (keys & ((1 << 20) - 1)) - (1 << 19)
+        many = counts >= self.bound[item]
+        return doc[many], item[many], (band << self.shift[item])[many]
+
+    def align(self, found: list[tuple[np.ndarray, int, int]]) -> list[tuple[int, int, int] | None]:
+        """For each (text, item, first diagonal of a band) the best place (start, end, edits) of the item on the band's diagonals, if within budget."""
+        out: list[tuple[int, int, int] | None] = [None] * len(found)
+        alike = defaultdict(list)
+        for n, (text, j, diag) in enumerate(found):
+            lo, width, m = diag - int(self.k[j]), self.width(j), int(self.m[j])
+            a, b = max(0, lo), max(0, min(len(text), lo + width + m))
+            exact = text[a:b].tobytes().find(self.data[j].tobytes())
+            if exact >= 0:
+                out[n] = (a + exact, a + exact + m, 0)
+            else:
+                alike[int(self.k[j])].append(n)
+        for k, group in alike.items():
+            for s in range(0, len(group), 256):
+                for n, place in zip(group[s : s + 256], self._align([found[n] for n in group[s : s + 256]], k)):
+                    out[n] = place
+        return out
+
+    def width(self, j: int) -> int:
+        return (1 << int(self.shift[j])) + 3 * int(self.k[j]) + 1
+
+    def _align(self, found: list[tuple[np.ndarray, int, int]], k: int) -> list[tuple[int, int, int] | None]:
+        """Bands of items with one edit budget, a column each; a cell holds the cost in its high part and the start's diagonal in its low part."""
+        m = np.array([self.m[j] for _, j, _ in found])
+        width, most = self.width(found[0][1]), int(m.max())
+        narrow = width < 1 << 12 and most < 1 << 17
+        kind, unit, far = (np.int32, np.int32(1 << 12), np.int32(1 << 30)) if narrow else (np.int64, np.int64(1 << 32), np.int64(1 << 60))
+        text = np.full((width + most, len(found)), 256, dtype=np.int16)
+        item = np.full((most, len(found)), 257, dtype=np.int16)
+        d = np.full((width, len(found)), far, dtype=kind)
+        for c, (t, j, diag) in enumerate(found):
+            lo = diag - k
+            a, b = max(0, lo), max(0, min(len(t), lo + width + most))
+            text[a - lo : b - lo, c] = t[a:b]
+            item[: m[c], c] = self.data[j]
+            i, e = max(0, -lo), max(0, min(width, len(t) - lo + 1))
+            d[i:e, c] = np.arange(i, e)
+        step = (np.arange(width, dtype=kind) * unit)[:, None]
+        out: list[tuple[int, int, int] | None] = [None] * len(found)
+        alive = np.arange(len(found))
+        for i in range(most + 1):
+            done = m[alive] == i
+            if done.any():
+                for c in np.flatnonzero(done).tolist():
+                    t = int(np.argmin(d[:, c]))
+                    edits, start = divmod(int(d[t, c]), int(unit))
+                    if edits <= k:
+                        lo = found[alive[c]][2] - k
+                        out[alive[c]] = (lo + start, i + lo + t, edits)
+            if done.any() or i % 32 == 31:  # what is above its budget stays there
+                stay = ~done & (d.min(axis=0) < (k + 1) * int(unit))
+                alive, d, text, item = alive[stay], np.ascontiguousarray(d[:, stay]), text[:, stay], item[:, stay]
+                if not len(alive):
+                    break
+            here = d + (text[i : i + width] != item[i]) * unit
+            np.minimum(here[:-1], d[1:] + unit, out=here[:-1])
+            here -= step
+            d = np.minimum.accumulate(here, axis=0)
+            d += step
+        return out
+
+
+def _windows(off: np.ndarray, reach: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, text after the last, first byte, byte after the last) of blocks; a longer text comes in windows that overlap by ``reach``."""
+    for lo, hi in K.chunks(off, BLOCK):
+        s, e = int(off[lo]), int(off[hi])
+        while hi - lo == 1 and e - s > BLOCK + reach:
+            yield lo, hi, s, s + BLOCK + reach
+            s += BLOCK
+        yield lo, hi, s, e
 
 
 def _scan(items: list[tuple[int, str]], edit_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items, edit_rate)
+
+        def verified(pool: list[tuple[int | None, int, np.ndarray, int, int]]) -> pa.RecordBatch:
+            """pool: (doc_id, row, text, item, diagonal)."""
+            places = index.align([x[2:] for x in pool])
+            rows = sorted({(row, doc, index.ids[j], *place) for (doc, row, _, j, _), place in zip(pool, places) if place})
+            types = [pa.int64()] * 4 + [pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c + 1] for r in rows], t) for c, t in enumerate(types)], names=["doc_id", "item_id", "start", "end", "edits"])
+
+        pool: list[tuple[int | None, int, np.ndarray, int, int]] = []
+        seen = 0
         for batch in batches:
-            ids = batch.column(0)
             data, off = K.buffers(batch.column(1))
-            found: set[tuple[int, int, int, int, int]] = set()
-            for lo, hi in K.chunks(off):
-                own = off[lo : hi + 1] - off[lo]
-                part = PLAIN[data[off[lo] : off[hi]]]
-                for doc, item, diag in index.bands(part, own):
-                    hit = index.align(part[own[doc] : own[doc + 1]], item, diag)
-                    if hit:
-                        found.add((lo + doc, index.ids[item], *hit))
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3)), pa.array([r[4] for r in rows], pa.int32())],
-                names=["doc_id", "item_id", "start", "end", "edits"],
-            )
+            found: set[tuple[int, int, int]] = set()
+            for lo, hi, s, e in _windows(off, index.reach):
+                own = off[lo : hi + 1] - off[lo] if hi - lo > 1 else np.array([0, e - s])
+                doc, item, diag = index.bands(PLAIN[data[s:e]], own, s - int(off[lo]) if hi - lo == 1 else 0)
+                found.update(zip((lo + doc).tolist(), item.tolist(), diag.tolist()))
+            row, text = -1, data[:0]
+            for doc, item, diag in sorted(found):
+                if doc != row:  # the rows of one text are verified together, so none is reported twice
+                    if len(pool) >= POOL:
+                        yield verified(pool)
+                        pool = []
+                    row, text = doc, PLAIN[data[off[doc] : off[doc + 1]]]
+                pool.append((batch.column(0)[doc].as_py(), seen + doc, text, item, diag))
+            seen += batch.num_rows
+            if sum(len(x[2]) for x in pool) > 16 * BLOCK:
+                yield verified(pool)
+                pool = []
+        if pool:
+            yield verified(pool)
 
     return run
 

@@ -210,6 +210,37 @@ def test_find_leaks_in_blocks(spark):
     assert sorted(map(tuple, find_leaks(docs(spark, rows), bench, block_bytes=500).collect())) == one and len(one) == 12
 
 
+def scan(items, rows, rate=0.1):
+    import recordloom.llm.decontaminate as D
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    return [tuple(r.values()) for b in D._scan(items, rate)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_find_leaks_in_windows_and_slices(monkeypatch):
+    """Long texts are looked up in windows and hits counted in slices, with the same places."""
+    import recordloom.llm.decontaminate as D
+
+    rng = random.Random(6)
+    items = [(i, prose(rng, 25)) for i in range(4)] + [(9, "ab" * 150)]
+    rows = [(1, " ".join(prose(rng, 15) + " " + items[i % 4][1][: -1 - i % 3] + "x" for i in range(12))), (2, "ab" * 400), (2, "z" + "ab" * 160), (3, None), (4, items[1][1]), (4, items[1][1]), (5, "a" * 3000)]
+    whole = scan(items, rows)
+    assert {r[:2] for r in whole} == {(1, i) for i in range(4)} | {(2, 9), (4, 1)} and sum(r[0] == 4 for r in whole) == 2
+    monkeypatch.setattr(D, "BLOCK", 700)
+    monkeypatch.setattr(D, "HITS", 50)
+    monkeypatch.setattr(D, "LOOK", 33)
+    assert scan(items, rows) == whole
+
+
+def test_find_leaks_in_repetitive_text_stays_small():
+    """A million bytes of the letters that an item repeats: no place's hits are spelled out one by one."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert scan([(1, "ab" * 600)], [(1, "a" * 1_000_000), (2, "ba" * 100_000)])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600 << 10
+
+
 def test_pack_tokens(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
