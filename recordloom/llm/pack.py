@@ -10,16 +10,16 @@ powers of two, which need no padding either.
 
 from __future__ import annotations
 
-import base64
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,32 +29,74 @@ from recordloom.session import materialize
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open_at long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
+TYPES = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
 FAN = 64
+# fixed values: Unicode's white space
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: the coarser form of the byte-level split: its parts never cross these, so each can be encoded by itself
+WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
+class Encoder:
+    """Ids of a tokenizer file as the tokenizers library makes them, without special tokens around a text (those inside are matched).
+
+    A byte-level BPE is asked for each word once and its ids are kept (``keep`` words at most); other kinds are asked for whole texts.
+    """
+
+    def __init__(self, path: str, keep: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added, split = spec.get("added_tokens") or [], spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.by_word = bool(plain and not spec.get("normalizer") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added))
+        tokens = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, tokens))})") if tokens else None
+        self.keep = keep
+        self.known: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)  # of a byte-level token: a character stands for a byte
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that begin with a space are asked for in one text: the split falls between them, and the tokens' lengths tell them apart."""
+        joined = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        alone = list(set(words).difference(joined))
+        self.known.update(zip(alone, self._ask(alone)))
+        if joined:
+            ids = self._ask(["".join(joined)])[0]
+            cut = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in joined])) + 1
+            self.known.update(zip(joined, (ids[i:j] for i, j in zip([0, *cut.tolist()], cut.tolist()))))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.by_word:
+            return self._ask(texts)
+        words = [[w for p in self.added.split(t) for w in (WORDS.findall(p) if not self.added.fullmatch(p) else [p])] if self.added and self.added.search(t) else WORDS.findall(t) for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        if len(self.known) + len(new) > self.keep:
+            self.known, new = {}, list(set(chain.from_iterable(words)))
+        self._learn(new)
+        out = [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
+        if len(self.known) > self.keep or sum(map(len, new)) > 16 * self.keep:
+            self.known = {}
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of ranks at ``path``, with the added tokens of the tokenizer file of the same name beside it, if there is one."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    added = {}
-    if os.path.exists(beside := os.path.splitext(path)[0] + ".json"):
-        with open(beside, encoding="utf-8") as f:
-            tokens = json.load(f).get("added_tokens", [])
-        if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
-            raise ValueError(f"added tokens that look at their neighbours: {odd}")
-        added = {t["content"]: t["id"] for t in tokens}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-
-
-def vocabulary_path() -> str:
-    """The same vocabulary and ids as byte_bpe_50k.json, as ranks (several times faster to apply)."""
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Windows:
@@ -139,60 +181,61 @@ def _sequence_base(level: int, group: int) -> int:
     return (level << 58) | (group << 30)
 
 
-def _pack_texts(size: int, windows: int, vocabulary: str | None, with_ids: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(TYPES)], names=COLUMNS)
+
+
+def _pack_texts(size: int, windows: int, tokenizer: str | None, with_ids: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        enc = encoder(vocabulary or vocabulary_path())
+        enc = encoder(tokenizer or tokenizer_path())
         pack = Windows(size, windows, _sequence_base(0, part))
-        types = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=COLUMNS)
-
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for s in range(0, len(ids), 500):
-                for doc, text in zip(ids.slice(s, 500).to_pylist(), texts.slice(s, 500).to_pylist()):
-                    toks = np.array([*enc.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
+            for s in range(0, len(ids), 200):
+                docs = ids.slice(s, 200).to_pylist()
+                for doc, got in zip(docs, enc.encode([t or "" for t in texts.slice(s, 200).to_pylist()])):
+                    got.append(end_id)
+                    toks = np.array(got, dtype="<u4")
                     pack.put((doc, 0, len(toks), toks))
-                yield table(pack.rows(with_ids))
-        yield table(pack.rows(with_ids, part))
+                yield from _table(pack.rows(with_ids)).to_batches()
+        yield from _table(pack.rows(with_ids, part)).to_batches()
 
     return run
 
 
-def _merge_open(size: int, windows: int, level: int, last: bool, with_ids: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        group = int(key[0])
+def _merge_open(size: int, windows: int, level: int, last: bool, with_ids: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        group = key[0].as_py()
         pack = Windows(size, windows, _sequence_base(level, group))
-        for r in df.sort_values(["open_at", "sequence_id", "offset"]).itertuples(index=False):
-            pack.put((None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), int(r.doc_tokens), np.frombuffer(r.ids, dtype="<u4")))
+        t = t.sort_by([("open_at", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        for doc, start, total, ids in zip(*(t.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))):
+            pack.put((doc, start, total, np.frombuffer(ids, dtype="<u4")))
         pack.merge()
         if last:
             pack.close()
-        out = pd.DataFrame(pack.rows(with_ids, None if last else group), columns=COLUMNS)
-        return out.astype({"doc_id": "Int64", "open_at": "Int64"})
+        return _table(pack.rows(with_ids, None if last else group))
 
     return run
 
 
-def pack_tokens(docs: DataFrame, size: int = 1024, windows: int = 64, vocabulary: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pack_tokens(docs: DataFrame, size: int = 1024, windows: int = 64, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the
     ids (binary, little-endian unsigned 32-bit).
 
-    A document is its token ids (an added token in a text is that token) followed by ``end_id``; a null or empty text is that id alone. ``size`` must be a power of two.
+    A document is its ids by the tokenizers library and the file ``tokenizer`` (a path on every executor), followed by ``end_id``; a null or empty text is that id alone. ``size`` must be a power of two.
     Every id lies in exactly one piece, and no sequence needs padding: its length is ``size`` or, at the very
     end, a smaller power of two. Rows that repeat a doc_id, or have none, are packed as documents of their own. An empty
-    table gives no rows; other columns don't matter. ``vocabulary`` is the path of a rank file on every executor.
+    table gives no rows; other columns don't matter.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    now = materialize(src.mapInArrow(_pack_texts(size, windows, vocabulary, with_ids, end_id), PIECE), "op7")
+    now = materialize(src.mapInArrow(_pack_texts(size, windows, tokenizer, with_ids, end_id), PIECE), "op7")
     done = [now.filter("open_at is null")]
     for level in (1, 2, 3):
         # groups of 64 tasks, of 64 of those, and all that is left: at most one window from each of up to 4096 tasks
         last = level == 3
         key = F.lit(0).cast("long") if last else F.floor(F.col("open_at") / FAN).cast("long")
-        now = materialize(now.filter("open_at is not null").groupBy(key.alias("g")).applyInPandas(_merge_open(size, windows, level, last, with_ids), PIECE), f"op7-{level}")
+        now = materialize(now.filter("open_at is not null").groupBy(key.alias("g")).applyInArrow(_merge_open(size, windows, level, last, with_ids), PIECE), f"op7-{level}")
         done.append(now.filter("open_at is null"))
     out = done[0]
     for d in done[1:]:

@@ -17,7 +17,7 @@ from recordloom.llm.html_text import extract, extract_main_text
 from recordloom.llm.language_id import address_parts, document_rows, fit, fit_documents, fit_sample, identify, markup_language
 from recordloom.llm.nearest import nearest
 from recordloom.llm.ngram_join import ngram_components
-from recordloom.llm.pack import pack_tokens, vocabulary_path
+from recordloom.llm.pack import Encoder, pack_tokens, tokenizer_path
 from recordloom.llm.phrase_dedup import remove_repeats
 from recordloom.llm.shard import histogram_shards
 from recordloom.llm.token_counts import PieceCounter, word_piece_counts
@@ -245,10 +245,9 @@ def test_pack_tokens(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    rows = [(d, t) for d, t in corpus(7) if d != 300] + [(None, "no id")]
+    rows = [(d, t) for d, t in corpus(7) if d != 300] + [((1 << 60) + 1, "large id " * 90), (None, "no id"), ((1 << 60) + 3, "x<|endoftext|> y")]
     got = pack_tokens(docs(spark, rows).repartition(5), windows=3).collect()
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     ids = {d: np.array([*reference.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for d, t in rows}
     seen, sequences = defaultdict(list), defaultdict(list)
     for r in got:
@@ -284,9 +283,27 @@ def test_pack_tokens_matches_added_tokens_inside_texts(spark):
     assert reference.encode(texts[0], add_special_tokens=False).ids == [505, 50256, 11545]
 
 
+def test_encoder_equals_its_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    parts = list(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u200b\u2028\u202f\u205f\u3000\ufeff") + [*"aZ9'\u00e9\u65e5.!-\u0663\u00b2", "'s", "'ll", " the", "<|endoftext|>", "<|endof", "  ", "\n\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [prose(rng, 500), "", "a" * 5000]
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for keep in (200_000, 50):
+        own = Encoder(tokenizer_path(), keep)
+        assert own.by_word and [x for i in range(0, len(texts), 100) for x in own.encode(texts[i : i + 100])] == want
+    words = Tokenizer.from_file(tokenizer_path().replace("byte_bpe_50k", "word_bpe_49k"))
+    own = Encoder(tokenizer_path().replace("byte_bpe_50k", "word_bpe_49k"))
+    assert not own.by_word and own.encode(texts[:50]) == [words.encode(t, add_special_tokens=False).ids for t in texts[:50]]
+
+
 def test_token_counts(spark):
     import base64
 
+    from recordloom.llm.token_counts import vocabulary_path
+
     vocabulary = [base64.b64decode(line.split()[0]) for line in open(vocabulary_path(), "rb")]
     known = set(vocabulary)
 
