@@ -1,14 +1,19 @@
 """Main text of HTML pages by composite text density (operator 1).
 
-Each page is parsed into a light DOM in an Arrow task. For every block node the link-adjusted characters per tag
+Each page is parsed into a DOM of all its elements in an Arrow task. For every node the link-adjusted characters per tag
 
     d = C/T * log(C/LC * T/LT) / log(ln(C/NC * LC + LCb/Cb * C + e))
 
-is computed (C, T characters and tags, LC, LT those of links, NC characters outside of links, b the body). The node
-with the largest sum of its children's densities is taken as the content; the smallest density on its path
-from the body is the threshold that further subtrees beside the path must reach. Inline markup counts as text of
-its block. Parts that a page marks as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments of readers are left out beforehand. Such a part ends where its element does: at its end tag, where HTML implies
+is computed (C, T characters and tags, LC, LT those of links, at least 1, NC characters outside of links, b the body; the second logarithm's
+argument is e at least). The node with the largest sum of its children's densities is the content (characters directly in a node count as a child of
+one tag); if that is a paragraph or inline markup, the element around it. The smallest density on its path from the body is the
+threshold that further subtrees beside the path must reach; blocks of prose there (paragraphs, headings, lists, tables that aren't mostly links) and
+articles need not.
+
+Parts that a page marks as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+comments of readers are left out of all this. Words of class names and ids that only hint at it (widget, related) count for less: where a
+tenth of the page's text or less lies outside of such parts, they are let in, and only those that don't hold the content go. A marked part ends
+where its element does: at its end tag, where HTML implies
 the end, or at its parent's end tag. One that has no end tag at all also ends where a new section begins (an inline one or
 a form control: where any block begins).
 """
@@ -53,25 +58,38 @@ CONTROLS = frozenset("button select noscript object canvas svg math audio video
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # words of class names and ids that mark what isn't the article
 MARKS = re.compile(
-    r"^(ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|nav|navbar|navigation|topbar|"
-    r"breadcrumbs?|footer|site-?header|page-?header|masthead|comments?|comment-?list|comments-area|replies|disqus\w*|respond|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar)$"
+    r"^(ad|ads|adv|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|nav|navbar|navigation|topbar|"
+    r"breadcrumbs?|footer|site-?header|page-?header|masthead|comments?|comment-?list|comments-area|replies|disqus\w*|respond)$"
 )
+# those that hint at it
+HINTS = re.compile(r"^(promo\w*|banner|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar)$")
+PREFIXES = ("ad-", "ads-", "comment-", "cookie-", "sidebar-", "menu-", "nav-")
 KEEP = frozenset("html body main article".split())
+# what stays beside the content unless it is mostly links
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure details".split())
+# what isn't a whole content by itself
+PART = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption".split())
+HINT, MARK = 1, 2
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str) -> int:
+    """MARK, HINT or 0, by the attributes."""
     if tag in KEEP or not attrs:
-        return False
+        return 0
+    found = 0
     for name, a, b, c in ATTR.findall(attrs):
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return MARK
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and any(MARKS.match(w) or (w.startswith(("ad-", "ads-", "comment-", "cookie-", "sidebar-", "menu-", "nav-"))) for w in value.replace("_", "-").split()):
-            return True
-    return False
+            return MARK
+        if name in ("class", "id"):
+            for w in value.replace("_", "-").split():
+                if MARKS.match(w) or w.startswith(PREFIXES):
+                    return MARK
+                if HINTS.match(w):
+                    found = HINT
+    return found
 
 
 def _raw_end(page: str, tag: str, at: int) -> tuple[int, int]:
@@ -117,11 +135,10 @@ def _tokens(page: str) -> tuple[list[tuple[int, int, str, str, str]], set[int]]:
 
 def extract(page: str) -> str:
     """The main text: blocks joined by an empty line, white space within a block as one space."""
-    tags, parents, runs = ["html"], [-1], []  # runs: (block node, text, in a link, break number)
-    links = [0]
+    tags, parents, marks, runs = ["html"], [-1], [0], []  # runs: (node, text, in a link, break number)
     stack, names = [0], ["html"]
     in_link, block_no, at = 0, 0, 0
-    dropped, has_end = 0, False  # where on the stack a subtree that is left out begins, and whether that element has an end tag
+    dropped, has_end = 0, False  # where on the stack a marked subtree begins, and whether that element has an end tag
 
     def pop_to(i: int) -> None:
         nonlocal in_link, block_no, dropped
@@ -134,20 +151,26 @@ def extract(page: str) -> str:
         if i <= dropped:
             dropped = 0
 
+    def push(tag: str, mark: int) -> None:
+        tags.append(tag)
+        parents.append(stack[-1])
+        marks.append(mark)
+        stack.append(len(tags) - 1)
+        names.append(tag)
+
     tokens, ended = _tokens(page)
     for number, (start, end, close, tag, attrs) in enumerate(tokens):
         if start > at:
             text = page[at:start]
             if names[-1] == "head" and not text.isspace():
                 pop_to(len(names) - 1)
-            if not dropped:
-                runs.append((stack[-1], htmllib.unescape(text) if "&" in text and names[-1] not in RAW_TEXT else text, in_link > 0, block_no))
+            runs.append((stack[-1], htmllib.unescape(text) if "&" in text and names[-1] not in RAW_TEXT else text, in_link > 0, block_no))
         at = end
         if not tag:
             continue
         if close:
             if tag in VOID:
-                if tag == "br" and not dropped:
+                if tag == "br":
                     runs.append((stack[-1], " ", False, block_no))
                 continue
             for i in range(len(names) - 1, 0, -1):
@@ -163,11 +186,7 @@ def extract(page: str) -> str:
             if tag == "body" and "body" not in names:
                 if dropped:
                     pop_to(dropped)
-                tags.append("body")
-                parents.append(0)
-                links.append(0)
-                stack.append(len(tags) - 1)
-                names.append("body")
+                push("body", 0)
             continue
         if names[-1] == "head" and tag not in IN_HEAD:
             pop_to(len(names) - 1)
@@ -177,8 +196,7 @@ def extract(page: str) -> str:
             if root != "head" and (tag in SECTION or inline and (tag in BLOCK_START or tag == root)):
                 pop_to(dropped)
         if tag == "br":
-            if not dropped:
-                runs.append((stack[-1], " ", False, block_no))
+            runs.append((stack[-1], " ", False, block_no))
             continue
         if tag in CLOSES_P and "p" in names:
             i = len(names) - 1 - names[::-1].index("p")
@@ -197,79 +215,91 @@ def extract(page: str) -> str:
             if tag not in INLINE:
                 block_no += 1
             continue
-        if not dropped and (tag in SKIP or (tag == "header" and "article" not in names) or _boilerplate(tag, attrs)):
+        mark = MARK if tag in SKIP or tag == "header" and not {"article", "main"}.intersection(names) else _boilerplate(tag, attrs)
+        if mark and not dropped:
             dropped, has_end = len(names), number in ended
         if tag == "a":
             in_link += 1
-        if dropped:
-            stack.append(-1)
-            block_no += tag not in INLINE
-        elif tag in INLINE:
-            stack.append(stack[-1])
-            links[stack[-1]] += tag == "a"
-        else:
-            block_no += 1
-            tags.append(tag)
-            parents.append(stack[-1])
-            links.append(0)
-            stack.append(len(tags) - 1)
-        names.append(tag)
-    return _select(tags, parents, links, runs)
+        block_no += tag not in INLINE
+        push(tag, mark)
+    return _select(tags, parents, marks, runs)
 
 
-def _select(tags: list[str], parents: list[int], links: list[int], runs: list[tuple[int, str, bool, int]]) -> str:
+def densities(tags: list[str], parents: list[int], left_out: list[bool], runs: list[tuple[int, str, bool, int]]) -> tuple[list[float], list[float], list[int], list[int]]:
+    """(density, sum of the children's densities, characters, characters in links) of every node, without the nodes left out."""
     k = len(tags)
-    chars, lchars, count, lcount = [0] * k, [0] * k, [1] * k, list(links)
+    chars, lchars, own = [0] * k, [0] * k, [0] * k
+    count = [0 if out else 1 for out in left_out]
+    lcount = [int(t == "a" and not out) for t, out in zip(tags, left_out)]
     for node, text, linked, _ in runs:
-        size = len("".join(text.split()))
-        chars[node] += size
-        if linked:
-            lchars[node] += size
+        if not left_out[node]:
+            size = len("".join(text.split()))
+            chars[node] += size
+            if linked:
+                lchars[node] += size
+            else:
+                own[node] += size
     for i in range(k - 1, 0, -1):
         p = parents[i]
         chars[p] += chars[i]
         lchars[p] += lchars[i]
         count[p] += count[i]
         lcount[p] += lcount[i]
-    body = next((i for i, t in enumerate(tags) if t == "body"), 0)
-    if not chars[0]:
-        return ""
+    body = tags.index("body") if "body" in tags else 0
     ratio = lchars[body] / max(1, chars[body])
 
-    def score(c: int, lc: int, t: int, lt: int) -> float:
+    def density(c: int, lc: int, t: int, lt: int) -> float:
         if not c:
             return 0.0
-        base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
-        arg = c / max(1, lc) * (t + lt) / max(1, lt)
-        # without links the base is e's logarithm, 1: the logarithm to it is the natural one
-        return c / (t + lt) * math.log(max(arg, 1.0) + 1.0) / (math.log(base) if base > math.e else 1.0)
+        base = max(math.e, math.log(c / max(1, c - lc) * lc + ratio * c + math.e))
+        return c / t * max(0.0, math.log(c / max(1, lc) * t / max(1, lt))) / math.log(base)
 
-    density = [score(*x) for x in zip(chars, lchars, count, lcount)]
-    own = [0] * k  # characters directly in a node count like one more child
-    for node, text, linked, _ in runs:
-        if not linked:
-            own[node] += len("".join(text.split()))
-    total = [score(n, 0, 1, 0) for n in own]
+    dense = [density(*x) for x in zip(chars, lchars, count, lcount)]
+    total = [density(n, 0, 1, 0) for n in own]
     for i in range(1, k):
-        total[parents[i]] += density[i]
+        total[parents[i]] += dense[i]
+    return dense, total, chars, lchars
+
+
+def _select(tags: list[str], parents: list[int], marks: list[int], runs: list[tuple[int, str, bool, int]]) -> str:
+    k = len(tags)
+    level = list(marks)  # with what is above
+    for i in range(1, k):
+        level[i] = max(level[i], level[parents[i]])
+    sizes = [0, 0, 0]
+    for node, text, _, _ in runs:
+        sizes[level[node]] += len("".join(text.split()))
+    if not sizes[0] + sizes[HINT]:
+        return ""
+    most = HINT if sizes[0] * 10 < sizes[0] + sizes[HINT] else 0
+    dense, total, chars, lchars = densities(tags, parents, [x > most for x in level], runs)
     best = max(range(k), key=lambda i: (total[i], -i))
     path = [best]
-    while parents[path[-1]] >= 0 and path[-1] != body:
+    while parents[path[-1]] >= 0 and tags[path[-1]] != "body":
         path.append(parents[path[-1]])
-    article = next((i for name in ("article", "main") for i in path if tags[i] == name), None)
-    threshold = min(density[i] for i in path)
-    chosen = {best if article is None else article}
-    if article is None:
-        on_path = set(path)
-        beside = [i for i in range(1, k) if parents[i] in on_path and i not in on_path and density[i] > 0]
-        chosen |= {i for i in beside if density[i] >= threshold or tags[i] in ("h1", "h2")}
-    inside = [False] * k
+    threshold = min(dense[i] for i in path)
+    while len(path) > 1 and (tags[path[0]] in PART or tags[path[0]] in INLINE):
+        path.pop(0)
+    on_path = set(path)
+
+    def beside(i: int) -> bool:
+        if tags[i] in PROSE and 2 * lchars[i] <= chars[i] or tags[i] == "article":
+            return True
+        return dense[i] >= threshold and dense[i] > 0
+
+    inside, out = [False] * k, [False] * k
     for i in range(k):
-        inside[i] = i in chosen or (parents[i] >= 0 and inside[parents[i]])
+        p = parents[i]
+        out[i] = p >= 0 and out[p] or marks[i] == MARK or marks[i] == HINT and not (most and i in on_path)
+        inside[i] = i == path[0] or p >= 0 and (inside[p] or p in on_path and i not in on_path and beside(i))
+    own = [0] * k  # text directly in the elements around the content
+    for node, text, linked, _ in runs:
+        if node in on_path and not inside[node] and not linked:
+            own[node] += len("".join(text.split()))
     blocks: list[str] = []
     last, held = None, []
     for node, text, _, number in runs:
-        if not inside[node]:
+        if out[node] or not inside[node] and not (own[node] and own[node] * math.log(max(1, own[node])) >= threshold):
             continue
         if number != last and held:
             blocks.append(" ".join("".join(held).split()))

@@ -356,6 +356,24 @@ def test_histogram_shards(spark):
     assert {r.shard for r in histogram_shards(docs(spark, [(1, "a"), (2, "b")])).collect()} <= set(range(8))
 
 
+def test_histogram_shards_counts_and_names(spark):
+    """Bytes below each boundary counted anew; internal names of the input stay; without the text the same places."""
+    rng = random.Random(2)
+    rows = [(i, "t" * rng.randint(0, 300) if i % 7 else "copy " * 40, "h", "d", "n") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h string, _d string, _n string")
+    got = histogram_shards(df, shards=5, part_rows=10).collect()
+    assert {(r._h, r._d, r._n) for r in got} == {("h", "d", "n")} and sorted((r.doc_id, r.text) for r in got) == sorted(r[:2] for r in rows)
+    total, below = sum(len(t) + 1 for _, t, *_ in rows), 0
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.text] += r.size
+    for s in range(1, 5):
+        below += sum(r.size for r in got if r.shard == s - 1)
+        assert abs(below - total * s / 5) <= max(301, 0.001 * total / 5)
+    narrow = histogram_shards(df, shards=5, with_text=False).collect()
+    assert "text" not in narrow[0] and sorted((r.doc_id, r.size, r.shard, r.slot) for r in narrow) == sorted((r.doc_id, r.size, r.shard, r.slot) for r in got)
+
+
 def test_histogram_shards_is_native(spark):
     plan = histogram_shards(docs(spark, corpus(1))).select("doc_id", "slot")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
@@ -435,6 +453,62 @@ def test_extract_drops_what_a_mark_names(part):
     assert extract(f"<body><article><p>First paragraph of the text.</p>{part}<p>Second one of it.</p></article></body>") == SHOWN
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<div><p class="ad">Buy<p>text</p><p>more</p></div>', "text|more"),
+    ('<ul><li class="ad">Buy<li>text<li>more</ul>', "text|more"),
+    ("<body><article><p>first one</p></article><article><p>the second, longer one</p></article></body>", "first one|the second, longer one"),
+    ("<article><p>outer text</p><article><p>inner text that is quite a bit longer</p></article></article>", "outer text|inner text that is quite a bit longer"),
+    ('<section id="related"><p>All of the article</p><p>more</p></section>', "All of the article|more"),
+    ('<div class="article social"><p>All of the article</p></div>', "All of the article"),
+    ('<div class="widget"><h1>Head</h1><p>All of the article</p><div class="share">Share it</div></div>', "Head|All of the article"),
+    ("<body><header>Site</header><main><header><h1>Head</h1></header><p>All of the article</p></main></body>", "Head|All of the article"),
+    ('<body><div class="related"><a href=1>Other</a></div><div><p>Long paragraph of the article, with its words.</p><p>Ok.</p></div></body>', "Long paragraph of the article, with its words.|Ok."),
+    ("<body><div><a href=1>one</a> <a href=2>two</a></div><h2>Head</h2><div><p>Long paragraph of the article, <a href=x>linked</a>.</p><div>And another that has no paragraph's tag at all.</div></div></body>",
+     "Head|Long paragraph of the article, linked.|And another that has no paragraph's tag at all."),
+])
+def test_extract_chooses_by_density(page, want):
+    assert extract(page).split("\n\n") == want.split("|")
+
+
+def test_densities_by_a_walk():
+    """Against the definition, node by node."""
+    import math
+
+    from recordloom.llm.html_text import densities
+
+    rng = random.Random(5)
+    for _ in range(40):
+        k = rng.randint(2, 25)
+        parents = [-1, 0, *(rng.randrange(i) for i in range(2, k))]
+        tags = ["html", "body", *(rng.choice(["div", "p", "a", "b"]) for _ in range(2, k))]
+        above = lambda i: [] if i < 0 else [i, *above(parents[i])]
+        out = [False] * k
+        for i in range(2, k):
+            out[i] = out[parents[i]] or rng.random() < 0.1
+        runs = [(i, "x y" * rng.randint(0, 9), any(tags[j] == "a" for j in above(i)), 0) for i in (rng.randrange(k) for _ in range(30))]
+        within = [[j for j in range(k) if i in above(j) and not out[j]] for i in range(k)]
+        letters = lambda nodes, links: sum(len(t.replace(" ", "")) for n, t, linked, _ in runs if n in nodes and (linked or not links))
+
+        def density(c, lc, t, lt):
+            if not c:
+                return 0
+            lcb, cb = letters(within[1], True), max(1, letters(within[1], False))
+            base = max(math.e, math.log(c / max(1, c - lc) * lc + lcb / cb * c + math.e))
+            return c / t * max(0, math.log(c / max(1, lc) * t / max(1, lt), base))
+
+        want = [density(letters(w, False), letters(w, True), len(w), sum(tags[j] == "a" for j in w)) for w in within]
+        own = [density(0 if out[i] else sum(len(t.replace(" ", "")) for n, t, linked, _ in runs if n == i and not linked), 0, 1, 0) for i in range(k)]
+        dense, total, *_ = densities(tags, parents, out, runs)
+        assert np.allclose(dense, want)
+        assert np.allclose(total, [own[i] + sum(want[j] for j in range(k) if parents[j] == i) for i in range(k)])
+
+
+def test_extract_needs_no_article_tag(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect() if r.html]
+    for page in pages:
+        assert extract(page.replace("<article>", "<div>").replace("</article>", "</div>")) == extract(page) != ""
+
+
 def test_extract_main_text(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x"), (3, "u", "<p>" + "long text " * 50_000 + "</p>", "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
