@@ -8,7 +8,8 @@ For each row the posterior of a language multiplies four kinds of evidence:
 * the suffix of the address, right with ``suffix_trust`` for suffixes that belong to a language;
 * a prior of the host, smoothed towards its domain, and that towards the corpus. The host's and domain's
   languages are sums, over all their rows, of posteriors from the other three kinds; a row's own share is taken out of its
-  prior. Sums are grouped aggregations with partial sums, so a host with a third of all rows costs one row per task.
+  prior. Sums are grouped aggregations with partial sums, so a host with a third of all rows costs one row per task; the sums of large hosts are
+  broadcast to their rows, and rows without a host pass by the join.
 
 The trigram model is fitted on a bounded sample of labelled rows: labels are counted over all rows, and each language keeps
 about ``fit_rows`` / languages of its own rows (``LEAST_ROWS`` at least, all of them where it has no more), so no label is lost
@@ -25,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import kernels as K
+from recordloom.llm.skew import join_by_weight
 from recordloom.session import materialize, release
 
 SLOTS = 1 << 15
 LEAST_ROWS = 64
+#: bytes scored at once
+SLICE = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
@@ -127,17 +131,20 @@ def _score(model: TrigramModel, names: list[str], text_weight: float, declared_t
             data, off = K.buffers(batch.column(m + 2))
             means = np.zeros((len(off) - 1, 2 * k))
             grams = np.maximum(np.diff(off) - 2, 0)
-            for lo, hi in K.chunks(off, 1 << 18):
-                part = data[off[lo] : off[hi]]
-                own = off[lo : hi + 1] - off[lo]
-                if len(part) < 3:
-                    continue
-                slots = trigram_slots(part)
-                sums = np.zeros((len(slots) + 1, 2 * k))
-                np.cumsum(table[slots], axis=0, dtype=np.float64, out=sums[1:])
-                s = np.minimum(own[:-1], len(slots))
-                e = np.maximum(s, own[1:] - 2)
-                means[lo:hi] = (sums[e] - sums[s]) / np.maximum(e - s, 1)[:, None]
+            for lo, hi in K.chunks(off, SLICE):
+                for at in range(int(off[lo]), max(int(off[hi]) - 2, int(off[lo]) + 1), SLICE):  # more than one slice: one very long text
+                    part = data[at : min(int(off[hi]), at + SLICE + 2)] if hi - lo == 1 else data[off[lo] : off[hi]]
+                    own = off[lo : hi + 1] - off[lo] if hi - lo > 1 else np.array([0, len(part)])
+                    if len(part) < 3:
+                        continue
+                    slots = trigram_slots(part)
+                    sums = np.zeros((len(slots) + 1, 2 * k))
+                    np.cumsum(table[slots], axis=0, dtype=np.float64, out=sums[1:])
+                    s = np.minimum(own[:-1], len(slots))
+                    means[lo:hi] += sums[np.maximum(s, own[1:] - 2)] - sums[s]
+                    if hi - lo > 1:
+                        break
+            means /= np.maximum(grams, 1)[:, None]
             logs = means[:, :k] * np.minimum(grams, text_weight)[:, None]
             logs += _agreement(batch.column(m), model.languages, declared_trust) + _agreement(batch.column(m + 1), model.languages, suffix_trust, SUFFIXES)
             yield pa.RecordBatch.from_arrays(
@@ -204,15 +211,16 @@ def identify(
         _score(model, names, text_weight, declared_trust, suffix_trust), typed(names) + "_grams long, _known array<double>, _logs array<double>, _p array<double>"
     )
     first = materialize(scored, "op3")
-    by_host = materialize(first.groupBy("host", "domain").agg(*(F.sum(F.col("_p")[i]).alias(f"s{i}") for i in range(k))), "op3-host")
+    by_host = materialize(first.groupBy("host", "domain").agg(F.count("*").alias("_rows"), *(F.sum(F.col("_p")[i]).alias(f"s{i}") for i in range(k))), "op3-host")
     sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
-    whole = [float(x or 0.0) + 1.0 for x in by_host.agg(*sums).first()]
+    n_rows, *whole = by_host.agg(F.sum("_rows"), *sums).first()
+    whole = [float(x or 0.0) + 1.0 for x in whole]
     packed = F.array(*(F.col(f"s{i}") for i in range(k)))
-    hosts = by_host.filter("host is not null").groupBy("host").agg(F.max("domain").alias("_domain"), *sums).select("host", "_domain", packed.alias("_h"))
+    hosts = by_host.filter("host is not null").groupBy("host").agg(F.max("domain").alias("_domain"), F.sum("_rows").alias("_rows"), *sums).select("host", "_domain", "_rows", packed.alias("_h"))
     domains = by_host.filter("domain is not null").groupBy("domain").agg(*sums).select(F.col("domain").alias("_domain"), packed.alias("_d"))
     priors = hosts.join(domains, "_domain", "left").drop("_domain")
     none = F.array(*([F.lit(0.0)] * k))
-    joined = first.join(priors, "host", "left").select(*keys, "_grams", "_known", "_logs", "_p", F.coalesce("_d", none).alias("_d"), F.coalesce("_h", none).alias("_h"))
+    joined = join_by_weight(first.select("host", *keys, "_grams", "_known", "_logs", "_p"), priors, "host", "_rows", n_rows or 0).select(*keys, "_grams", "_known", "_logs", "_p", F.coalesce("_d", none).alias("_d"), F.coalesce("_h", none).alias("_h"))
     fused = _fuse(langs, keys, [x / sum(whole) for x in whole], domain_weight, host_weight, min_known, min_confidence)
     out = materialize(joined.mapInArrow(fused, typed(keys) + "lang string, confidence double, rejected string"), "op3-out")
     release(first, by_host)

@@ -1,11 +1,12 @@
 """Nearest neighbours by a block matrix join (operator 2).
 
-Candidates and queries are dealt into blocks of bounded size; a tile is one block of each. Within a tile the
-vectors are quantised to int8 with a scale of their own, and one integer matrix product gives all distances
-of the tile with an error of at most the sum of the two quantisation errors. A pair survives when its smallest
-possible distance isn't above the k-th smallest largest-possible one of its query; survivors are recomputed in double
-precision from the original vectors and the tile's k nearest of each query are kept in a heap. Heaps of
-tiles are merged by query. The result is exact.
+Candidates and queries are dealt into blocks of about ``block_bytes`` of vectors; a task joins one block of each. Within it, tiles of
+``query_tile`` by ``candidate_tile`` vectors are quantised to int8 with a scale of their own for each vector, and one matrix product of the
+int8 values gives all distances of the tile with an error of at most the sum of the two quantisation errors. (Their product is taken in float32 where
+all sums of products of such integers are exact in it, that is up to 1,040 components, and in double beyond: matrix libraries have no integer product.) A pair
+survives when its smallest possible distance is above neither the k-th smallest largest-possible one of its query in the tile nor the k-th best
+distance that earlier tiles of the block left; survivors are recomputed in double precision from the original vectors and enter
+the query's heap. The heaps of blocks are merged by query, in a tree of at most ``fan`` at a time. The result is exact.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, vec_id long, score double, block long"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,8 +39,8 @@ def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(s)
 
 
-def tile_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
-    """The k nearest of each query within a tile, exact: (query, candidate, distance)."""
+def tile_survivors(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, candidate number) of the pairs of a tile that may be among the k nearest, whose distance has to be ``bound`` at most."""
     with np.errstate(all="ignore"):
         q8, qs, qe = quantise(q)
         c8, cs, ce = quantise(c)
@@ -54,69 +55,83 @@ def tile_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     low[~np.isfinite(low)] = -np.inf  # sums that overflow bound nothing: such pairs are recomputed
     high[~np.isfinite(high) | own] = np.inf
     kth = min(k, len(cid)) - 1
-    limit = np.partition(high, kth, axis=1)[:, kth]
-    i, j = np.nonzero((low <= limit[:, None]) & ~own)
-    with np.errstate(over="ignore"):
-        d = exact_distance(q[i], c[j])
-    out: tuple[list[int], list[int], list[float]] = ([], [], [])
-    first = np.searchsorted(i, np.arange(len(qid) + 1))
-    for r in range(len(qid)):
-        at = slice(first[r], first[r + 1])
-        for dist, vec in heapq.nsmallest(k, zip(d[at].tolist(), cid[j[at]].tolist())):
-            out[0].append(int(qid[r]))
-            out[1].append(vec)
-            out[2].append(dist)
+    limit = np.minimum(np.partition(high, kth, axis=1)[:, kth], bound)
+    return np.nonzero((low <= limit[:, None]) & ~own)
+
+
+def block_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, query_tile: int, candidate_tile: int) -> list[tuple[int, int, float]]:
+    """The k nearest of each query within a block, exact: (query, candidate, distance)."""
+    out = []
+    for i in range(0, len(qid), query_tile):
+        ids, rows = qid[i : i + query_tile], q[i : i + query_tile]
+        heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        bound = np.full(len(ids), np.inf)
+        for j in range(0, len(cid), candidate_tile):
+            part = c[j : j + candidate_tile]
+            a, b = tile_survivors(ids, rows, cid[j : j + candidate_tile], part, k, bound)
+            with np.errstate(over="ignore"):
+                d = exact_distance(rows[a], part[b])
+            for r, dist, vec in zip(a.tolist(), d.tolist(), cid[j + b].tolist()):
+                _offer(heaps[r], k, dist, vec)
+            bound = np.array([-h[0][0] if len(h) == k else np.inf for h in heaps])
+        out += [(int(ids[r]), -v, -s) for r, heap in enumerate(heaps) for s, v in heap]
     return out
 
 
-def _tile(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(queries: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(cands):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found = tile_nearest(queries["qid"].to_numpy(), np.stack(queries["qv"]), cands["id"].to_numpy(), np.stack(cands["v"]), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+def _offer(heap: list[tuple[float, int]], k: int, dist: float, vec: int) -> None:
+    item = (-dist, -vec)
+    if len(heap) < k:
+        heapq.heappush(heap, item)
+    elif item > heap[0]:
+        heapq.heapreplace(heap, item)
+
+
+def _tile(k: int, query_tile: int, candidate_tile: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(key: tuple, queries: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(cands):
+            found = block_nearest(queries["qid"].to_numpy(), np.stack(queries["qv"]), cands["id"].to_numpy(), np.stack(cands["v"]), k, query_tile, candidate_tile)
+        return pd.DataFrame([(*r, key[1]) for r in found], columns=["query_id", "vec_id", "score", "block"])
 
     return run
 
 
-def _merge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _merge(k: int, fan: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(df: pd.DataFrame) -> pd.DataFrame:
         heaps: dict[int, list[tuple[float, int]]] = {}
         for q, v, s in zip(df["query_id"].tolist(), df["vec_id"].tolist(), df["score"].tolist()):
-            heap = heaps.setdefault(q, [])
-            item = (-s, -v)
-            if len(heap) < k:
-                heapq.heappush(heap, item)
-            elif item > heap[0]:
-                heapq.heapreplace(heap, item)
-        rows = [(q, rank + 1, -v, -s) for q, heap in heaps.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True))]
-        return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
+            _offer(heaps.setdefault(q, []), k, s, v)
+        rows = [(q, -v, -s, int(df["block"].iloc[0]) // fan, rank + 1) for q, heap in heaps.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True))]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "block", "rank"])
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int = 1024, candidate_block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, block_bytes: int = 16 << 20, query_tile: int = 1024, candidate_tile: int = 4096, fan: int = 32) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> query_id, rank (from 1), vec_id, score (Euclidean), ties to the smaller vec_id.
 
     Queries are the rows where ``is_query`` holds, candidates all rows but those with the query's own vec_id. Rows without vec_id or
     embedding, or whose embedding is empty, zero or has a null or non-finite component, take no part. Vectors are
     compared with those of their own length only. A candidate row that is repeated counts each time; a repeated
-    query has one answer. Empty tables give no rows; other columns don't matter.
+    query has one answer. Empty tables give no rows; other columns don't matter. A candidate is sent once for each block of queries and
+    a query once for each block of candidates, so larger blocks move less.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     v = v.filter(
         F.col("id").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     ).withColumn("dim", F.size("v"))
-    n, nq = v.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    nc, nqb = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
+    size = F.sum(8 * (F.col("dim") + 2))
+    of_all, of_queries, nq = v.agg(size, F.sum(F.when(F.col("q"), 8 * (F.col("dim") + 2))), F.count(F.when(F.col("q"), 1))).first()
+    nc, nqb = (max(1, -(-(x or 0) // block_bytes)) for x in (of_all, of_queries))
     spread = lambda seed, blocks: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks).cast("long"))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     cands = v.select("dim", spread(1, nc).alias("c"), every(nqb).alias("b"), "id", "v")
     queries = v.filter("q").dropDuplicates(["id"]).select(F.col("dim").alias("qdim"), every(nc).alias("qc"), spread(2, nqb).alias("qb"), F.col("id").alias("qid"), F.col("v").alias("qv"))
-    tiles = queries.groupBy("qdim", "qc", "qb").cogroup(cands.groupBy("dim", "c", "b")).applyInPandas(_tile(k), FOUND)
-    groups = max(1, min(4096, nq // 64))
-    return (
-        tiles.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups).cast("long")).alias("g"))
-        .applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
-    )
+    found = queries.groupBy("qdim", "qc", "qb").cogroup(cands.groupBy("dim", "c", "b")).applyInPandas(_tile(k, query_tile, candidate_tile), FOUND)
+    group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, nq // 64)).cast("long")).alias("g")  # about 64 queries, each with k rows of at most ``fan`` blocks
+    while True:
+        found = found.groupBy(group, F.floor(F.col("block") / fan).alias("f")).applyInPandas(_merge(k, fan), FOUND + ", rank int")
+        nc = -(-nc // fan)
+        if nc == 1:
+            return found.select("query_id", "rank", "vec_id", "score")

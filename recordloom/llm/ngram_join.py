@@ -41,6 +41,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTES = K.table(61)
 STEP = np.uint64(0xD6E8FEB86659FD93)
+#: bytes hashed at once; a longer text is shingled by itself
+PIECE = 1 << 20
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +82,46 @@ def shingles(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray,
     return docs[new], toks[new]
 
 
+def _word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words of one text, a stretch of it at a time; those of a longer word are put together from its pieces."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        s, e = int(start[i]), int(end[j - 1])
+        if e - s <= PIECE:
+            out[i:j] = K.span_hash(K.prefix_hash(LOWER[data[s:e]], BYTES), start[i:j] - s, end[i:j] - s)
+        else:
+            whole = 0
+            for at in range(s, e, PIECE):
+                c = K.prefix_hash(LOWER[data[at : min(e, at + PIECE)]], BYTES)
+                whole += int(c[-1]) * pow(K.BASE, at - s, 1 << 64)
+            out[i] = whole % (1 << 64)
+        i = j
+    return K.mix(out + (end - start).astype(np.uint64))
+
+
+def long_text_shingles(data: np.ndarray, words: int) -> np.ndarray:
+    """The sorted distinct shingles of one text of any length: its words are held, not its bytes' hashes."""
+    word = np.zeros(len(data) + 2, dtype=bool)
+    word[1:-1] = ~SPACE[data]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    h = _word_hash(data, edge[::2], edge[1::2])
+    k = min(words, len(h))
+    if not k:
+        return h
+    acc = h[: len(h) - k + 1].copy()
+    for j in range(1, k):
+        acc *= STEP
+        acc += h[j : len(h) - k + 1 + j]
+    return np.unique(K.mix(acc + np.uint64(k)))
+
+
+def _steps(idx: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, which compress better."""
+    return np.diff(idx, prepend=idx.dtype.type(0))
+
+
 def digests(docs: np.ndarray, toks: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set size, two independent 64-bit sums over the set) of each text."""
     size = np.bincount(docs, minlength=n_docs).astype(np.int64)
@@ -89,7 +131,7 @@ def digests(docs: np.ndarray, toks: np.ndarray, n_docs: int) -> tuple[np.ndarray
     return size, c1[e] - c1[e - size], c2[e] - c2[e - size]
 
 
-def _shingle_blocks(words: int, buckets: int, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _shingle_blocks(words: int, buckets: int, block_tokens: int, seen_sets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """documents -> rows (bucket, block, kind, blob): kind 0 shingles dealt by value, kind 1 the block's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +149,7 @@ def _shingle_blocks(words: int, buckets: int, block_tokens: int) -> Callable[[It
             if tokens:
                 tok, idx = (np.concatenate(x) for x in zip(*tokens))
                 for b, at in K.split_by((tok >> np.uint64(16)) % np.uint64(buckets)):
-                    rows.append((b, block, 0, K.pack(tok[at], idx[at])))
+                    rows.append((b, block, 0, K.pack(tok[at], _steps(idx[at]))))
             held, tokens, n_sets, n_tokens, n_texts = [], [], 0, 0, 0
             block_no += 1
             return pa.RecordBatch.from_arrays(
@@ -118,8 +160,12 @@ def _shingle_blocks(words: int, buckets: int, block_tokens: int) -> Callable[[It
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, off = K.buffers(batch.column(1))
-            for lo, hi in K.chunks(off):
-                docs, toks = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
+            for lo, hi in K.chunks(off, PIECE):
+                if off[hi] - off[lo] > PIECE:
+                    toks = long_text_shingles(data[off[lo] : off[hi]], words)
+                    docs = np.zeros(len(toks), dtype=np.int64)
+                else:
+                    docs, toks = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 size, d1, d2 = digests(docs, toks, hi - lo)
                 entity = np.full(hi - lo, -1, dtype=np.int64)
                 for i, key in enumerate(zip(d1.tolist(), d2.tolist())):
@@ -127,7 +173,7 @@ def _shingle_blocks(words: int, buckets: int, block_tokens: int) -> Callable[[It
                         seen.add(key)
                         entity[i] = n_sets
                         n_sets += 1
-                if len(seen) > 2_000_000:
+                if len(seen) > seen_sets:
                     seen.clear()  # only saves work: a set that is sent twice is merged later
                 keep = entity[docs] >= 0
                 tokens.append((toks[keep], entity[docs[keep]].astype(np.uint32)))
@@ -149,7 +195,7 @@ def _count_shared(key: tuple, t: pa.Table) -> pa.Table:
     at = [i for i, k in enumerate(kind) if not k]
     parts = [K.unpack(blob[i], "u8", "u4") for i in at]
     if parts:
-        tok, idx = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        tok, idx = np.concatenate([p[0] for p in parts]), np.concatenate([np.cumsum(p[1], dtype=np.uint32) for p in parts])
         src = np.repeat(np.arange(len(at)), [len(p[0]) for p in parts])
         order = np.argsort(tok, kind="stable")
         new = np.flatnonzero(K.starts_of_runs(tok[order]))
@@ -159,7 +205,7 @@ def _count_shared(key: tuple, t: pa.Table) -> pa.Table:
         keep = np.flatnonzero(df > 1)
         for s, rows in K.split_by(src[keep]):
             rows = keep[rows]
-            out.append((block[at[s]], 0, K.pack(tok[rows], idx[rows], df[rows])))
+            out.append((block[at[s]], 0, K.pack(tok[rows], _steps(idx[rows]), df[rows])))
     return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
 
 
@@ -172,7 +218,10 @@ def _candidates(num: int, den: int) -> Callable[[tuple, pa.Table], pa.Table]:
         eid = np.stack([d1, d2], axis=1).astype(">u8").tobytes()
         eids = [eid[16 * i : 16 * i + 16] if size[i] else None for i in range(len(ids))]
         cols = {"doc_id": ids.tolist(), "n": size.tolist(), "eid": eids, "tokens": [None] * len(ids), "prefix": [None] * len(ids)}
-        tok, idx, df = K.unpack_all([b for k, b in zip(kind, blob) if not k], "u8", "u4", "u4")
+        parts = [K.unpack(b, "u8", "u4", "u4") for k, b in zip(kind, blob) if not k]
+        none = np.zeros(0, np.uint32)
+        tok, df = (np.concatenate([none.astype(kind), *(p[c] for p in parts)]) for c, kind in ((0, np.uint64), (2, np.uint32)))
+        idx = np.concatenate([none, *(np.cumsum(p[1], dtype=np.uint32) for p in parts)])
         order = np.lexsort((tok, df, idx))
         tok, idx, df = tok[order], idx[order], df[order]
         row_of = {int(e): i for i, e in enumerate(entity.tolist()) if e >= 0}
@@ -346,8 +395,8 @@ def _join_across(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _split_part_links(big: DataFrame, num: int, den: int, block_sets: int) -> DataFrame:
-    """Links of parts with more sets than one task should hold. big: part, n_part, eid, n, tokens."""
+def _split_part_links(big: DataFrame, num: int, den: int, block_sets: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links of parts with more sets than one task should hold, and the tables they read. big: part, n_part, eid, n, tokens."""
     n_blocks = F.ceil(F.col("n_part") / block_sets).cast("long")
     big = materialize(big.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("eid"), n_blocks)), "op6-big")
     inside = materialize(
@@ -364,39 +413,44 @@ def _split_part_links(big: DataFrame, num: int, den: int, block_sets: int) -> Da
         .groupBy("bucket").applyInPandas(_join_parts(num, den), LINKS),
         "op6-heads",
     )
+    release(labels)
     both = inside.unionAll(among)
     labels = connected_components(both, "a", "b")
     lab = materialize(big.join(labels.withColumnRenamed("node", "eid"), "eid", "left").withColumn("label", F.coalesce("component", "eid")).drop("component"), "op6-lab")
     top = lab.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    lab = lab.join(top, "part")
     # sets outside the largest component meet every block; those inside it never meet each other again
     cols = ["eid", "n", "tokens", "label"]
-    stored = lab.select("part", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("by"), *cols, F.lit(False).alias("probe")).alias("s")
-    probes = lab.filter("label <> top").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), F.col("block").alias("by"), *cols, F.lit(True).alias("probe"))
-    live = probes.select("part", "by").distinct()
+    outside = lab.join(top, "part").filter("label <> top")
+    probes = outside.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), F.col("block").alias("by"), *cols, F.lit(True).alias("probe"))
+    # a block's sets are sent for the blocks that have probes, and for no others
+    live = outside.select("part", F.col("block").alias("by")).distinct().groupBy("part").agg(F.collect_list("by").alias("live"))
+    stored = lab.join(live, "part").select("part", F.col("block").alias("to"), F.explode("live").alias("by"), *cols, F.lit(False).alias("probe"))
     across = (
-        stored.join(live, ["part", "by"], "left_semi").unionByName(probes)
+        stored.unionByName(probes)
         .withColumn("bucket", F.xxhash64("part", "to", "by"))
         .groupBy("bucket").applyInPandas(_join_across(num, den), LINKS)
     )
-    return both.unionAll(across)
+    release(labels)
+    return both.unionAll(across), [big, inside, among, lab]
 
 
 def ngram_components(
-    docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, block_tokens: int = 1_000_000, bucket_bytes: int = 8 << 20, block_sets: int = 4000
+    docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, block_tokens: int = 1_000_000, bucket_bytes: int = 8 << 20, most_buckets: int = 1 << 16,
+    block_sets: int = 4000, seen_sets: int = 500_000,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id.
 
     Links hold when ``den * |A and B| >= num * |A or B|``; component_id is the smallest doc_id reachable.
     Rows without doc_id are left out. Null, empty and blank texts have an empty set and are linked with
     nothing; texts of fewer than ``words`` words are one shingle. Rows that repeat a doc_id each
-    get a row. An empty table gives no rows; other columns of ``docs`` don't matter.
+    get a row. An empty table gives no rows; other columns of ``docs`` don't matter. Buckets hold the shingles of ``bucket_bytes`` of text up to
+    ``most_buckets`` (0.5 TB at the defaults) and grow from there; each task remembers ``seen_sets`` sets that it has sent, to send equal ones once.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     total = src.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    buckets = int(max(16, min(1 << 16, -(-total // bucket_bytes))))
+    buckets = int(max(16, min(most_buckets, -(-total // bucket_bytes))))
     shared = (
-        src.mapInArrow(_shingle_blocks(words, buckets, block_tokens), "bucket long, block long, kind int, blob binary")
+        src.mapInArrow(_shingle_blocks(words, buckets, block_tokens, seen_sets), "bucket long, block long, kind int, blob binary")
         .repartition(buckets, "bucket")
         .groupBy("bucket").applyInArrow(_count_shared, "block long, kind int, blob binary")
     )
@@ -422,14 +476,16 @@ def ngram_components(
         .withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(n_groups)))
         .groupBy("bucket").applyInPandas(_join_parts(num, den), LINKS)
     )
+    read: list[DataFrame] = []
     if n_big:
-        links = links.unionAll(_split_part_links(placed.filter(F.col("n_part") > block_sets), num, den, block_sets))
+        across, read = _split_part_links(placed.filter(F.col("n_part") > block_sets), num, den, block_sets)
+        links = links.unionAll(across)
     found = connected_components(links, "a", "b")
     label = found.withColumnRenamed("node", "eid")
     rooted = texts.join(label, "eid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "eid").alias("root"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = materialize(rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "op6-out")
-    release(flat, placed, found)
+    release(flat, placed, found, *read)
     return out
 
 

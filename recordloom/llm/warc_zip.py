@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.session import materialize, shared_dir
+from recordloom.llm.skew import join_by_weight
+from recordloom.session import materialize, release, shared_dir
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 INDEX = "indexes/index.cdxj"
@@ -264,7 +265,7 @@ def _read_records(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def write_archives(pages: DataFrame, min_revisit_bytes: int = 1000, member_bytes: int = 32 << 20, salts: int = 16, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, min_revisit_bytes: int = 1000, member_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """pages (page_id, url, html, ...) -> (package, records): the packages written, in the session's shared folder.
 
     Of pages with equal payloads (html in UTF-8; null: empty) of at least ``min_revisit_bytes``, the one with the largest page_id
@@ -273,17 +274,17 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 1000, member_bytes
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    keyed = keyed.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    groups = keyed.filter(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).filter("c > 1")
-    # a payload that very many pages share is joined over several keys
-    groups = groups.select("digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.when(F.col("n") >= min_revisit_bytes, F.pmod(F.xxhash64("page_id", "url"), F.lit(salts).cast("long")).cast("int")))
-    marked = salted.join(groups, ["digest", "salt"], "left")
+    keyed = keyed.withColumn("digest", F.sha1("payload")).withColumn("shared", F.when(F.octet_length("payload") >= min_revisit_bytes, F.col("digest")))
+    groups = materialize(keyed.filter("shared is not null").groupBy("shared").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1"), "op8-groups")
+    # payloads that very many pages share don't meet in a task, and small ones pass by
+    marked = join_by_weight(keyed, groups, "shared", "n", groups.agg(F.sum("n")).first()[0] or 0)
     refers = F.when(F.col("page_id") < F.col("keep"), F.col("keep"))
     folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/packages-{uuid.uuid4().hex}"
-    return materialize(
+    written = materialize(
         marked.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_write_packages(folder, member_bytes, date), "package string, records long"), "op8"
     )
+    release(groups)
+    return written
 
 
 def read_archives(packages: DataFrame, with_payload: bool = True, parts: int | None = None) -> DataFrame:

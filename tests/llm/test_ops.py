@@ -75,13 +75,26 @@ def brute_components(rows, words=5):
     return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block_sets", [4000, 3])
-def test_ngram_components(spark, block_sets):
+@pytest.mark.parametrize(("block_sets", "seen_sets"), [(4000, 500_000), (3, 2)])
+def test_ngram_components(spark, block_sets, seen_sets):
     rows = corpus()
-    got = ngram_components(docs(spark, rows).repartition(3), block_sets=block_sets, block_tokens=500).collect()
+    got = ngram_components(docs(spark, rows).repartition(3), block_sets=block_sets, block_tokens=500, seen_sets=seen_sets).collect()
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
+def test_long_text_shingles(monkeypatch):
+    """A long text's shingles, words put together from pieces, are those of the whole."""
+    import recordloom.llm.ngram_join as N
+
+    rng = random.Random(5)
+    for text in (prose(rng, 300), "  \n" + prose(rng, 40).upper() + " ", "x" * 3000 + " a b c d e", "one two", "", "  ", "w" * 700, "a b c d e " * 50):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        want = N.shingles(data, np.array([0, len(data)]), 5)[1]
+        for piece in (1 << 20, 97):
+            monkeypatch.setattr(N, "PIECE", piece)
+            assert N.long_text_shingles(data, 5).tolist() == want.tolist()
+
+
 def test_ngram_components_empty_and_null_ids(spark):
     assert ngram_components(docs(spark, [])).count() == 0
     assert ngram_components(docs(spark, [(None, "a b c d e f"), (1, None)])).collect() == [(1, 0, 1)]
@@ -385,10 +398,11 @@ def test_nearest(spark):
     vecs += [(400 + i, vecs[7][1]) for i in range(30)] + [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] + [1.0] * 15), (504, [None] + [1.0] * 15), (505, [1e200] * 16), (506, [1.0, 2.0]), (None, [1.0] * 16)]
     df = spark.createDataFrame([(i, v, "x") for i, v in vecs], "vec_id long, embedding array<double>, score string")
     got = defaultdict(list)
-    for r in nearest(df, F.col("vec_id") % 100 == 0, k=10, query_block=2, candidate_block=50).collect():
+    for r in nearest(df.union(df.filter("vec_id in (3, 200)")), F.col("vec_id") % 100 == 0, k=10, block_bytes=9000, query_tile=2, candidate_tile=20, fan=3).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    vecs += [vecs[3], vecs[200]]  # repeated candidates count each time, a repeated query once
     ok = [(i, v) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    for q, qv in ok:
+    for q, qv in dict(ok).items():
         if q % 100:
             continue
         d = sorted((float(np.sqrt(np.add.accumulate((np.array(v) - np.array(qv)) ** 2)[-1])), i) for i, v in ok if i != q and len(v) == len(qv))[:10]
@@ -532,6 +546,43 @@ def test_language_id(spark):
     assert {r.rejected for r in identify(document_rows(held), empty, ["doc_id"]).collect()} == {"unknown language"}
 
 
+def test_language_posterior_by_hand(spark, monkeypatch):
+    """The posterior recomputed from its definition, term by term; long texts in slices."""
+    import recordloom.llm.language_id as L
+
+    rng = random.Random(8)
+    words = {"en": ["the", "and", "with"], "de": ["und", "der", "nicht"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = fit_documents(spark.createDataFrame([(i, text(x, 30), x, "s") for i, x in enumerate(["en", "de"] * 10)], "doc_id long, text string, lang string, source string"))
+    rows = [(i, text(rng.choice(["en", "de"]), rng.randint(1, 4)) + " q" * 3, rng.choice(["en", "de", "xx", None]), rng.choice(["fr", "de", "uk", None]), rng.choice(["h1", "h2", None]), "dom") for i in range(30)]
+    rows = [(*r[:5], r[5] if r[4] else None) for r in rows] + [(99, "the with " * 200, None, None, "h1", "dom")]
+    got = {r.id: r for r in identify(spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string, domain string"), model, ["id"], host_weight=3.0, domain_weight=2.0).collect()}
+    langs, log_p = model.languages, model.log_p.astype(float)
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    logs, posts = {}, {}
+    for i, t, declared, suffix, *_ in rows:
+        slots = L.trigram_slots(np.frombuffer(t.encode(), dtype=np.uint8))
+        x = log_p[:, slots].mean(axis=1) * min(len(slots), 200)
+        for value, trust in ((declared, 0.9), (L.SUFFIXES.get(suffix), 0.8)):
+            if value in langs:
+                x = x + np.log([trust if lang == value else 1 - trust for lang in langs])
+        logs[i], posts[i] = x, share(x)
+    whole = sum(posts.values()) + 1
+    for i, _, _, _, host, domain in rows:
+        prior = whole / whole.sum()
+        for level, name, weight in ((5, domain, 2.0), (4, host, 3.0)):
+            rest = sum((posts[r[0]] for r in rows if name and r[level] == name and r[0] != i), np.zeros(2))
+            prior = (rest + weight * prior) / (rest.sum() + weight)
+        want = share(logs[i] + np.log(prior))
+        assert got[i].lang == langs[int(want.argmax())] and abs(got[i].confidence - want.max()) < 1e-4, i
+    score = L._score(model, ["id"], 200.0, 0.9, 0.8)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "declared": pa.array([None] * 3, pa.string()), "suffix": pa.array([None] * 3, pa.string()), "text": [text("de", 400), "ab", text("en", 3)]})
+    whole = pa.Table.from_batches(score(iter([batch]))).to_pydict()
+    monkeypatch.setattr(L, "SLICE", 64)
+    parts = pa.Table.from_batches(score(iter([batch]))).to_pydict()
+    assert parts["_grams"] == whole["_grams"] and np.allclose(parts["_logs"], whole["_logs"]) and np.allclose(parts["_known"], whole["_known"])
+
+
 def test_language_id_keeps_a_rare_language_among_many_rows(spark):
     rng = random.Random(3)
     words = {"en": ["the", "and", "with", "from"], "de": ["und", "der", "nicht", "schön"], "fi": ["ja", "että", "kanssa", "mutta"]}
