@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.session import materialize, release, table_of, with_table
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternating large-star and small-star steps; the number of rounds grows with the logarithm of
     the component size. Every round is two group-minimum aggregations joined back on their key, so a
     node with very many neighbours is split by the skew join and never gathered. Lineage is cut by
-    a written table each round. Null ends and loops are ignored; repeated edges count once.
+    a written table each round, whose count and checksum are taken as it is written. Null ends and loops are ignored; repeated edges count once.
     """
     e = (
         edges.select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u"))
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: every edge now points from a larger node (u) to a smaller one (v)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
@@ -36,12 +36,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .unionAll(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        before, e = e, materialize(small, "cc")
+        seal = Observation()
+        before, e = e, materialize(small.observe(seal, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "cc")
         release(before)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        now = (seal.get["n"], seal.get["sum"])
+        if now == seen or not now[0]:
             break
-        seen = tuple(now)
+        seen = now
     else:
         raise RuntimeError("connected_components did not settle")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(

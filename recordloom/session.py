@@ -11,21 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, taken from ``spark.checkpoint.dir``.
 
-    Where the session sets none (a local test), a temporary folder is made and set, which is right
-    for a single machine only.
+    Where the session sets none, a temporary folder is made and set if all runs on this machine (a local
+    test); on a cluster that is an error.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         # Spark appends a folder of its own to the configured one
         return spark.conf.get("spark.checkpoint.dir", None) or have.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordloom-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="recordloom-")
     sc.setCheckpointDir(where)
     return where
 
 
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bound the Arrow batches that go to Python tasks by bytes, whatever the length of the texts."""
+    """Bound the Arrow batches that go to Python tasks by bytes, whatever the length of the texts. A setting of the session, read when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
