@@ -53,13 +53,30 @@ class Encoder:
         added, split = spec.get("added_tokens") or [], spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.by_word = bool(plain and not spec.get("normalizer") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added))
-        tokens = sorted((t["content"] for t in added), key=len, reverse=True)
-        self.added = re.compile(f"({'|'.join(map(re.escape, tokens))})") if tokens else None
+        self.added = sorted((t["content"] for t in added), key=len, reverse=True)
         self.keep = keep
-        self.known: dict[str, list[int]] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)  # of a byte-level token: a character stands for a byte
         self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self._forget()
+
+        self.known: dict[str, int] = {}  # word -> its number; a word's ids are flat[end[number] : end[number + 1]]
+        self.end = np.zeros(1, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words, one after the other, and where each word's end."""
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        first = self.end[number]
+        size = self.end[number + 1] - first
+        done = np.cumsum(size)
+        return self.flat[np.repeat(first - (done - size), size) + np.arange(done[-1] if len(done) else 0)], done
+
+    def _forget(self, but: set[str]) -> None:
+        """Keep no words but these, which are in use."""
+        kept = list(but.intersection(self.known))
+        self.flat, done = self._ids(kept)
+        self.known, self.end = dict(zip(kept, range(len(kept)))), np.concatenate([[0], done])
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,24 +85,33 @@ class Encoder:
         """Words that begin with a space are asked for in one text: the split falls between them, and the tokens' lengths tell them apart."""
         joined = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
         alone = list(set(words).difference(joined))
-        self.known.update(zip(alone, self._ask(alone)))
-        if joined:
-            ids = self._ask(["".join(joined)])[0]
-            cut = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in joined])) + 1
-            self.known.update(zip(joined, (ids[i:j] for i, j in zip([0, *cut.tolist()], cut.tolist()))))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids = np.array(self._ask(["".join(joined)])[0], dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in joined])) + 1
+        rest = self._ask(alone)
+        self.known.update(zip(chain(joined, alone), range(len(self.known), len(self.known) + len(words))))
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in rest], dtype=np.int64)])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(rest), dtype="<u4")])
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text that holds added tokens, each of which is a word."""
+        parts = re.split(f"({'|'.join(map(re.escape, self.added))})", text)
+        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else WORDS.findall(p))]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return self._ask(texts)
-        words = [[w for p in self.added.split(t) for w in (WORDS.findall(p) if not self.added.fullmatch(p) else [p])] if self.added and self.added.search(t) else WORDS.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, list(set(chain.from_iterable(words)))
-        self._learn(new)
-        out = [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
-        if len(self.known) > self.keep or sum(map(len, new)) > 16 * self.keep:
-            self.known = {}
-        return out
+            return [np.array(x, dtype="<u4") for x in self._ask(texts)]
+        if not texts:
+            return []
+        split = [self._words(t) if any(a in t for a in self.added) else WORDS.findall(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        distinct = set(words)
+        if len(self.known) + len(distinct) > self.keep or len(self.flat) > 8 * self.keep:
+            self._forget(distinct)
+        self._learn(list(distinct.difference(self.known)))
+        ids, done = self._ids(words)
+        cut = np.concatenate([[0], done])[np.cumsum([len(w) for w in split])]
+        return np.split(ids, cut[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -195,8 +221,7 @@ def _pack_texts(size: int, windows: int, tokenizer: str | None, with_ids: bool,
             for s in range(0, len(ids), 200):
                 docs = ids.slice(s, 200).to_pylist()
                 for doc, got in zip(docs, enc.encode([t or "" for t in texts.slice(s, 200).to_pylist()])):
-                    got.append(end_id)
-                    toks = np.array(got, dtype="<u4")
+                    toks = np.append(got, np.uint32(end_id)).astype("<u4", copy=False)
                     pack.put((doc, 0, len(toks), toks))
                 yield from _table(pack.rows(with_ids)).to_batches()
         yield from _table(pack.rows(with_ids, part)).to_batches()
