@@ -58,8 +58,6 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)  # of a byte-level token: a character stands for a byte
         self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
-        self._forget()
-
         self.known: dict[str, int] = {}  # word -> its number; a word's ids are flat[end[number] : end[number + 1]]
         self.end = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
