@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,16 +28,45 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
+def window_strands(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """The semi-local comparison of a with b by combing strands through the grid of their characters, one antidiagonal at a time.
+
+    (start of the strand that ends below each character of b, end of the strand that starts above it); -1 and len(b) where it enters or
+    leaves at a side. The longest common subsequence of a and b[i:j] is j - i less the strands that start at i or later and end before j.
+    """
+    m, n = len(a), len(b)
+    up = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)[::-1]
+    across = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
+    h, v = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    for d in range(m + n - 1):
+        lo, hi = max(0, d - n + 1), min(m - 1, d)  # rows of a
+        hs, vs = h[m - 1 - hi : m - lo], v[d - hi : d - lo + 1]
+        swap = (up[m - 1 - hi : m - lo] == across[d - hi : d - lo + 1]) | (hs > vs)
+        kept = np.where(swap, vs, hs)
+        vs[swap] = hs[swap]
+        hs[:] = kept
+    start = np.where(v >= m, v - m, -1)
+    end = np.full(n, n, dtype=np.int64)
+    end[start[start >= 0]] = np.flatnonzero(start >= 0)
+    return start, end
+
+
 def best_window_ratio(a: str, b: str) -> float:
     """Highest ratio of the shorter text with a window of its length in the longer one (also cut at either end)."""
     short, long = sorted((a, b), key=len)
-    n = len(short)
-    if not n:
-        return 100.0 if not long else 0.0
-    best = 0.0
-    for i in range(1 - n, len(long)):
-        best = max(best, indel_ratio(short, long[max(0, i) : i + n]))
-    return best
+    m, n = len(short), len(long)
+    if not m:
+        return 100.0 if not n else 0.0
+    start, end = window_strands(short, long)
+    inner = np.cumsum(start >= 0)
+    s = np.arange(n - m)
+    crossing = inner[m - 1] + np.concatenate([[0], np.cumsum((start[s + m] > s).astype(np.int64) - (end[s] < s + m))])
+    best = 100.0 * (m - crossing.min()) / m
+    size = np.arange(1, m)  # cut at the beginning, and at the end
+    for common in (size - inner[: m - 1], size - np.cumsum((end < n)[::-1])[: m - 1]):
+        if len(size):
+            best = max(best, (200.0 * common / (m + size)).max())
+    return float(best)
 
 
 def _pairwise(fn, a: pd.Series, b: pd.Series) -> pd.Series:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
-from recordloom.functions.similarity import ratio_udf
+from recordloom.functions.similarity import ratio_bound, ratio_udf
 from recordloom.operators.graph import connected_components
 from recordloom.schema import POST, RANK
 
@@ -83,8 +83,50 @@ def pairs_on(records: DataFrame, keys: dict[str, Column], carry: list[str], max_
 
 def global_id_pairs(records: DataFrame, max_block: int | None = None) -> DataFrame:
     """Pairs that share a DOI, an address, a PubMed number or the record key: all of them, unless only components are asked for (``max_block``)."""
-    keys = {"doi": T.normalise_doi(c("doi")), "url": F.regexp_replace("url", "/+$", ""), "pubmedid": c("pubmedid"), "key": T.record_key()}
-    return pairs_on(records, keys, ["ID"], max_block=max_block)
+    return pairs_on(records, _global_ids(), ["ID"], max_block=max_block)
+
+
+def _global_ids() -> dict[str, Column]:
+    return {"doi": T.normalise_doi(c("doi")), "url": F.regexp_replace("url", "/+$", ""), "pubmedid": c("pubmedid"), "key": T.record_key()}
+
+
+def global_id_classes(records: DataFrame) -> DataFrame:
+    """kind, ID, representative, n_records: the records that share a DOI, an address, a PubMed number or the record key, each with
+    the smallest ID that has the same. A row for each record of a class, so a value that very many share isn't expanded into its pairs.
+    """
+    keyed = records.select("ID", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in _global_ids().items()))).alias("k")).select("ID", "k.kind", "k.key").filter("key is not null and key <> ''")
+    classes = keyed.groupBy("kind", "key").agg(F.min("ID").alias("representative"), F.count("*").alias("n_records")).filter("n_records > 1")
+    return keyed.join(classes, ["kind", "key"]).select("kind", "ID", "representative", "n_records")
+
+
+def issue_pairs(records: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """Pairs of one issue (a_ID < b_ID) whose similarity, 0.4 of the authors' and 0.6 of the title's ratio, is ``threshold`` or more: a_ID, b_ID, toc, sim."""
+    pairs = _issue_pairs(records).filter("a_ID < b_ID")
+    # the bound of the similarity is a plain expression: most pairs don't reach the UDF
+    return pairs.filter(0.6 * ratio_bound(c("at"), c("bt")) + 0.4 * ratio_bound(c("aa"), c("ba")) >= threshold).withColumn("sim", _issue_similarity()).filter(c("sim") >= threshold).select("a_ID", "b_ID", "toc", "sim")
+
+
+def ranked_candidates(records: DataFrame, top: int = 20, likely: float = 80.0) -> DataFrame:
+    """For each record the ``top`` most similar others of its issue: a_ID, b_ID, sim, place (from 1), likely (similarity above ``likely``)."""
+    ranked = _issue_pairs(records).filter("a_ID <> b_ID").withColumn("sim", _issue_similarity()).withColumn("place", F.row_number().over(Window.partitionBy("a_ID").orderBy(F.desc("sim"), "b_ID")))
+    return ranked.filter(c("place") <= top).select("a_ID", "b_ID", "sim", "place", (c("sim") > likely).alias("likely"))
+
+
+def _issue_pairs(records: DataFrame) -> DataFrame:
+    r = records.select("ID", T.toc_key().alias("toc"), F.lower("title").alias("t"), F.lower("author").alias("a")).filter("toc is not null and t is not null and a is not null")
+    return r.select(c("ID").alias("a_ID"), "toc", c("t").alias("at"), c("a").alias("aa")).join(r.select(c("ID").alias("b_ID"), "toc", c("t").alias("bt"), c("a").alias("ba")), "toc")
+
+
+def _issue_similarity() -> Column:
+    return F.round(0.4 * ratio_udf("aa", "ba") + 0.6 * ratio_udf("at", "bt"), 4)
+
+
+def best_match(records: DataFrame, keys: dict[str, Column], threshold: float) -> DataFrame:
+    """The most similar other record among those that share one of the keys: a_ID, b_ID, similarity; the smaller ID of equals, none under ``threshold``."""
+    r = comparable(records)
+    pairs = pair_similarity(pairs_on(r, keys, ["ID", *(x for x in r.columns if x.startswith("s_"))])).filter(c("similarity") >= threshold).select("a_ID", "b_ID", "similarity")
+    both = pairs.unionByName(pairs.select(c("b_ID").alias("a_ID"), c("a_ID").alias("b_ID"), "similarity"))
+    return both.groupBy("a_ID").agg(F.min_by("b_ID", F.struct(-c("similarity"), c("b_ID"))).alias("b_ID"), F.max("similarity").alias("similarity"))
 
 
 def cross_level_veto(a: str = "a_ENTRYTYPE", b: str = "b_ENTRYTYPE") -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,14 @@ def as_of_rule(facts: DataFrame, rules: DataFrame, key: str, at: str, start: str
     return out.select("_fact.*", *(c(f"_r.{x}").alias(x) for x in rule_cols))
 
 
+def foreign_selection(records: DataFrame, condition: str) -> DataFrame:
+    """Records of another project that meet a condition given as text, once for all of them; one that can't be read or names unknown fields selects none."""
+    try:
+        return records.where(condition)
+    except (ParseException, AnalysisException):
+        return records.limit(0)
+
+
 def import_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
     """decisions (ID, decision: in, out or TODO) -> the status of records that wait for the prescreen."""
     waiting = c("status") == "md_processed"

@@ -83,3 +83,11 @@ def source_matrix(records: DataFrame) -> DataFrame:
     return o.filter("outlet is not null").groupBy("outlet", "source").agg(
         F.count_if(c("status") == "md_imported").alias("n_imported"), F.count_if(c("status").isin(POST["md_processed"])).alias("n_processed"), F.count_if(c("status").isin(POST["pdf_prepared"])).alias("n_prepared")
     )
+
+
+def incomplete_rows(rows: DataFrame, key: str, fields: list[str], open_mark: str = "TODO") -> DataFrame:
+    """Ids of a structured table that stand in several rows (n) or have a field that is still to do (open)."""
+    todo = F.lit(False)
+    for f in fields:
+        todo = todo | F.coalesce(F.col(f) == open_mark, F.lit(False))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.bool_or(todo).alias("open")).filter("n > 1 or open")

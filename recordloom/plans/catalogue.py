@@ -15,5 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
-def oracle_sql() -> dict[str, str]:
+#: their SQL takes the square of a title's length for each pair, so it is for small tables with short titles only (see tests/test_oracle.py)
+SLOW = frozenset({"D2_record_similarity", "D3_change_score", "J8_issue_pairs", "J9_ranked_candidates", "J15_merge_candidates", "J24_enrichment", "F30_indel_ratio"})
+
+
+def all_sql() -> dict[str, str]:
     return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in all_sql().items() if k not in SLOW}

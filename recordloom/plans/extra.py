@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
 from recordloom.functions.names import parse_names_udf
-from recordloom.functions.similarity import partial_ratio_udf, ratio_bound, ratio_udf
+from recordloom.functions.similarity import partial_ratio_udf, ratio_udf
+from recordloom.operators import dedupe as D
 from recordloom.operators import history as H
+from recordloom.operators import lookup as L
 from recordloom.operators import prep as P
 from recordloom.operators import provenance as V
 from recordloom.plans.fixtures import records, with_records
@@ -29,7 +31,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of another project that meet a condition given as text, once for all of them."""
-    return records(spark, sf_dir).filter("seq % 2 = 0").where("ENTRYTYPE = 'article' and volume in ('1', '2')").select("ID")
+    return L.foreign_selection(records(spark, sf_dir), "ENTRYTYPE = 'article' and volume in ('1', '2')").select("ID")
 
 
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,22 +58,14 @@ def p37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.next_ids(there, r.filter("seq % 5 = 1").select(c("ID").alias("origin")), "origin")
 
 
-def _toc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).select("ID", T.toc_key().alias("toc"), F.lower("title").alias("t"), F.lower("author").alias("a")).filter("toc is not null and t is not null and a is not null")
-    pairs = r.select(c("ID").alias("a_ID"), "toc", c("t").alias("at"), c("a").alias("aa")).join(r.select(c("ID").alias("b_ID"), "toc", c("t").alias("bt"), c("a").alias("ba")), "toc").filter("a_ID < b_ID")
-    # the bound of the similarity is a plain expression: most pairs don't reach the UDF
-    return pairs.filter(0.6 * ratio_bound(c("at"), c("bt")) + 0.4 * ratio_bound(c("aa"), c("ba")) >= 40).withColumn("sim", F.round(0.4 * ratio_udf("aa", "ba") + 0.6 * ratio_udf("at", "bt"), 4))
-
-
 def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of an issue by authors and title."""
-    return _toc_pairs(spark, sf_dir).filter("sim >= 55").select("a_ID", "b_ID", "sim")
+    """Pairs of an issue by authors and title, at 70 of 100 or more."""
+    return D.issue_pairs(records(spark, sf_dir)).select("a_ID", "b_ID", "sim")
 
 
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two most similar later records of each record's issue."""
-    place = F.row_number().over(Window.partitionBy("a_ID").orderBy(F.desc("sim"), "b_ID"))
-    return _toc_pairs(spark, sf_dir).filter("sim >= 40").withColumn("place", place).filter("place <= 2").select("a_ID", "b_ID", "place")
+    """The 20 most similar records of each record's issue."""
+    return D.ranked_candidates(records(spark, sf_dir))
 
 
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,18 +178,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     ratio = lambda a, b: f"(case when {a} = '' and {b} = '' then 100.0 when {a} = '' or {b} = '' then 0.0 else 200.0 * {LCS_SQL.format(a=a, b=b)} / (length({a}) + length({b})) end)"
-    pairs = f"k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t, lower(author) as a from r where title is not null and author is not null), s as (select a.ID as a_ID, b.ID as b_ID, round(0.4 * {ratio('a.a', 'b.a')} + 0.6 * {ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID)"
+    pairs = f"k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t, lower(author) as a from r where title is not null and author is not null), s as (select a.ID as a_ID, b.ID as b_ID, round(0.4 * {ratio('a.a', 'b.a')} + 0.6 * {ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID <> b.ID)"
     bib = "'@' || ENTRYTYPE || '{' || ID || ',' || chr(10) || array_to_string(list_filter([" + ", ".join(f"case when {f} is not null and {f} <> '' then '   {f.ljust(28)} = {{' || {f} || '}}' end" for f in ("author", "title", "year")) + "], lambda x: x is not null), ',' || chr(10)) || ',' || chr(10) || '}' || chr(10)"
     new = lambda f: f"case when e and n_{f} is not null and n_{f} <> 'UNKNOWN' then n_{f} when e and n_{f} is null then null else {f} end as {f}"
     fill = lambda f, v: f"case when curated is null and seq % 2 = 0 and ({f} is null or {f} in ('', 'UNKNOWN', 'forthcoming')) then '{v}' else {f} end as {f}"
     expected = _expected_sql().replace("pages", f"({PAGES_SQL})")
     return {k: with_records(v) for k, v in {
-        "P3_foreign_predicate": "select ID from r where seq % 2 = 0 and ENTRYTYPE = 'article' and volume in ('1', '2')",
+        "P3_foreign_predicate": "select ID from r where ENTRYTYPE = 'article' and volume in ('1', '2')",
         "P15_curated": "select ID, 'CURATED' as field, 'https://curation' as source, '' as note from r where curated is not null union all select ID, 'title', 'src/' || cast(seq as string), 'missing' from r where curated is null union all select ID, 'year', 'manual', '' from r where curated is null",
         "P32_manual_import": f"with j as (select *, seq % 4 = 0 as e, case when seq % 8 = 0 then '2015' else year end as n_year, case when seq % 12 <> 0 then volume end as n_volume from r) select ID, {new('year')}, {new('volume')}, case when e and volume is not null and n_volume is null then 'IGNORE:missing' end as volume_note from j",
         "P37_distribute": "with t as (select ID as origin, lpad(cast(seq // 5 + 1 as string), 6, '0') as id from r where seq % 5 = 0) select * from t union all select ID, lpad(cast((select max(cast(id as bigint)) from t) + row_number() over (order by ID) as string), 6, '0') from r where seq % 5 = 1",
-        "J8_issue_pairs": f"with {pairs} select a_ID, b_ID, sim from s where sim >= 55",
-        "J9_ranked_candidates": f"with {pairs}, x as (select *, row_number() over (partition by a_ID order by sim desc, b_ID) as place from s where sim >= 40) select a_ID, b_ID, place from x where place <= 2",
+        "J8_issue_pairs": f"with {pairs} select a_ID, b_ID, sim from s where a_ID < b_ID and sim >= 70",
+        "J9_ranked_candidates": f"with {pairs}, x as (select *, row_number() over (partition by a_ID order by sim desc, b_ID) as place from s) select a_ID, b_ID, sim, cast(place as integer) as place, sim > 80 as likely from x where place <= 20",
         "D3_change_score": f"with k as (select ID, lower(title) as a, lower('the ' || substr(title, 3)) as b from r where title is not null) select ID, round(1 - {ratio('a', 'b')} / 100, 6) as change_score from k",
         "Q29_pdf_incomplete": f"with k as (select ID, {expected} as expected, cast(seq % 12 + 1 as integer) as found from r where file is not null and pages is not null) select ID, cast(expected as integer) as expected, found from k where expected <> found",
         "W2_eligible_ids": "select ID from r where status in ('md_imported', 'md_prepared')",

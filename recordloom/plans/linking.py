@@ -18,9 +18,9 @@ c = F.col
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Records asked for and records of the index."""
+    """Records that aren't processed yet are asked for, processed ones are the index."""
     r = records(spark, sf_dir)
-    return r.filter("seq % 2 = 1"), r.filter("seq % 2 = 0")
+    return r.filter("not processed"), r.filter("processed")
 
 
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.global_id_pairs(records(spark, sf_dir)).select("a_ID", "b_ID", F.array_join("kinds", ",").alias("kinds"))
+    return D.global_id_classes(records(spark, sf_dir))
 
 
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,24 +194,24 @@ def oracle_sql() -> dict[str, str]:
     diff_fields = ("title", "year", "author", "volume")
     m10_fields = ("title", "year", "author", "journal", "pages")
     return {name: with_records(sql) for name, sql in {
-        "J1_first_hit": k + """h as (select a.ID, 0 as kind, b.ID as bid, b.seq from k a join k b on a.doi_key = b.doi_key where a.seq % 2 = 1 and b.seq % 2 = 0
-              union all select a.ID, 1, b.ID, b.seq from k a join k b on a.url_key = b.url_key where a.seq % 2 = 1 and b.seq % 2 = 0
-              union all select a.ID, 2, b.ID, b.seq from k a join k b on a.rec_key = b.rec_key where a.seq % 2 = 1 and b.seq % 2 = 0),
+        "J1_first_hit": k + """h as (select a.ID, 0 as kind, b.ID as bid, b.seq from k a join k b on a.doi_key = b.doi_key where not a.processed and b.processed
+              union all select a.ID, 1, b.ID, b.seq from k a join k b on a.url_key = b.url_key where not a.processed and b.processed
+              union all select a.ID, 2, b.ID, b.seq from k a join k b on a.rec_key = b.rec_key where not a.processed and b.processed),
             x as (select ID, kind, bid, row_number() over (partition by ID order by kind, seq) as n from h)
-            select k.ID, x.bid as index_id, case x.kind when 0 then 'doi' when 1 then 'url' when 2 then 'key' end as via from k left join x on x.ID = k.ID and x.n = 1 where k.seq % 2 = 1""",
-        "J2_toc_lookup": k + """t as (select toc, title_slug, arg_min(ID, seq) as index_id from k where seq % 2 = 0 and toc is not null group by toc, title_slug)
+            select k.ID, x.bid as index_id, case x.kind when 0 then 'doi' when 1 then 'url' when 2 then 'key' end as via from k left join x on x.ID = k.ID and x.n = 1 where not k.processed""",
+        "J2_toc_lookup": k + """t as (select toc, title_slug, arg_min(ID, seq) as index_id from k where processed and toc is not null group by toc, title_slug)
             select k.ID, k.toc as toc_key, t.index_id, case when t.index_id is not null then 'found' when k.toc in (select toc from t) then 'not-in-toc' else 'not-in-index' end as result
-            from k left join t on t.toc = k.toc and t.title_slug = k.title_slug where k.seq % 2 = 1 and k.toc is not null""",
-        "J3_toc_prefix": k + f"""t as (select {pre} as outlet, count(*) as n from k where seq % 2 = 0 and toc is not null group by 1)
-            select ID, {pre} as outlet, coalesce(t.n, 0) as n_index from k left join t on t.outlet = {pre} where seq % 2 = 1 and toc is not null""",
-        "J4_year_of_toc": k + "t as (select toc, arg_min(year, seq) as y from k where seq % 2 = 0 and toc is not null and year is not null group by toc) select ID, t.y as toc_year from k left join t on t.toc = k.toc where seq % 2 = 1",
-        "J5_fields_to_remove": k + f"""t as (select distinct toc from k where seq % 2 = 0 and ENTRYTYPE = 'article' and journal is not null),
-            q as (select ID, {jslug} || '|' || {v} || '|' || {n} as a, {jslug} || '|' || {v} || '|-' as b, {jslug} || '|-|' || {n} as c, {jslug} || '|-|-' as d from r where seq % 2 = 1 and ENTRYTYPE = 'article' and journal is not null)
+            from k left join t on t.toc = k.toc and t.title_slug = k.title_slug where not k.processed and k.toc is not null""",
+        "J3_toc_prefix": k + f"""t as (select {pre} as outlet, count(*) as n from k where processed and toc is not null group by 1)
+            select ID, {pre} as outlet, coalesce(t.n, 0) as n_index from k left join t on t.outlet = {pre} where not processed and toc is not null""",
+        "J4_year_of_toc": k + "t as (select toc, arg_min(year, seq) as y from k where processed and toc is not null and year is not null group by toc) select ID, t.y as toc_year from k left join t on t.toc = k.toc where not processed",
+        "J5_fields_to_remove": k + f"""t as (select distinct toc from k where processed and ENTRYTYPE = 'article' and journal is not null),
+            q as (select ID, {jslug} || '|' || {v} || '|' || {n} as a, {jslug} || '|' || {v} || '|-' as b, {jslug} || '|-|' || {n} as c, {jslug} || '|-|-' as d from r where not processed and ENTRYTYPE = 'article' and journal is not null)
             select ID, case when a in (select toc from t where toc is not null) then '' when b in (select toc from t where toc is not null) then 'number' when c in (select toc from t where toc is not null) then 'volume' when d in (select toc from t where toc is not null) then 'volume,number' end as drop from q""",
         "J6_journal_ranking": f"select ID, coalesce((select array_to_string(list_sort(list(distinct ranking)), ',') from {ranks} where journal_name = journal), 'not included in a ranking') as journal_ranking, coalesce((select bool_or(predatory = 'yes') from {ranks} where journal_name = journal), false) as predatory from r where journal is not null",
-        "J11_global_id_pairs": k + pairs + " select a_ID, b_ID, array_to_string(list_sort(list(distinct kind)), ',') as kinds from p group by a_ID, b_ID",
+        "J11_global_id_pairs": k + pairs + " select f.kind, ID, head as representative, s.n as n_records from f join s on s.kind = f.kind and s.key = f.key where s.n > 1",
         "J12_origin_intersection": "with o as (select ID, unnest(string_split(origins, ';')) as o from r) select distinct a.ID as a_ID, b.ID as b_ID from o a join o b on a.o = b.o and a.ID < b.ID",
-        "J16_cross_set_match": f"with k as (select ID, seq, {DOI_SQL} as d from r where doi is not null) select a.ID as a_ID, b.ID as b_ID from k a join k b on a.d = b.d where a.seq % 2 = 1 and b.seq % 2 = 0",
+        "J16_cross_set_match": f"with k as (select ID, processed, {DOI_SQL} as d from r where doi is not null) select a.ID as a_ID, b.ID as b_ID from k a join k b on a.d = b.d where not a.processed and b.processed",
         "J18_import_decisions": "select r.ID, case when status = 'md_processed' and quality = 1 then 'rev_prescreen_included' when status = 'md_processed' and quality is not null then 'rev_prescreen_excluded' else status end as status from r left join labels l on l.doc_id = r.seq",
         "J20_year_from_issue": """with y as (select journal, volume, number, arg_max(year, seq) as issue_year from r where journal is not null and volume is not null and volume <> 'UNKNOWN' and regexp_matches(year, '^[0-9]{4}$') group by all)
             select r.ID, r.journal, r.volume, r.number, y.issue_year from r left join y on r.journal = y.journal and r.volume = y.volume and r.number is not distinct from y.number

@@ -26,7 +26,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose issue the index has without them."""
     r = records(spark, sf_dir)
-    return L.toc_status(r.filter("seq % 2 = 1"), r.filter("seq % 2 = 0")).filter("result = 'not-in-toc'").select("ID", F.lit("record-not-in-toc").alias("code"))
+    return L.toc_status(r.filter("not processed"), r.filter("processed")).filter("result = 'not-in-toc'").select("ID", F.lit("record-not-in-toc").alias("code"))
 
 
 def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,20 +88,16 @@ def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best match by the number of shared keywords within an outlet."""
-    r = records(spark, sf_dir).select("ID", "journal", F.split("keywords", ", ").alias("k"), "seq").filter("journal is not null and journal <> 'UNKNOWN'")
-    a = r.filter("seq % 20 = 6").select(c("ID").alias("a_ID"), "journal", c("k").alias("ak"))
-    b = r.filter("seq % 20 <> 6").select(c("ID").alias("b_ID"), "journal", c("k").alias("bk"))
-    score = F.size(F.array_intersect("ak", "bk"))
-    return a.join(b, "journal").withColumn("score", score).groupBy("a_ID").agg(F.max("score").alias("score"), F.min_by("b_ID", F.struct(-c("score"), c("b_ID"))).alias("b_ID"))
+    """The most similar other record of the same issue, at 0.5 or more."""
+    return D.best_match(records(spark, sf_dir), {"toc": T.toc_key()}, 0.5)
 
 
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of another project, found by DOI."""
     r = records(spark, sf_dir).withColumn("doi", T.normalise_doi(c("doi"))).filter("doi is not null")
-    other = r.filter("seq % 2 = 0").groupBy("doi").agg(F.min_by("status", "seq").alias("other"))
+    other = r.filter("processed").groupBy("doi").agg(F.min_by("status", "seq").alias("other"))
     out = F.when(c("other").isin(POST["rev_prescreen_included"]) & (c("other") != "rev_prescreen_excluded"), "rev_prescreen_included").when(c("other") == "rev_prescreen_excluded", "rev_prescreen_excluded")
-    return r.filter("seq % 2 = 1").join(other, "doi").select("ID", out.alias("decision"))
+    return r.filter("not processed").join(other, "doi").select("ID", out.alias("decision"))
 
 
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +116,7 @@ def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p35(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works that cite an included one: parts bought together with parts of brand 1."""
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    chosen = _t(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(c("p_partkey").alias("l_partkey"))
+    chosen = _t(spark, sf_dir, "part").filter("p_brand = 'Brand#1'").select(c("p_partkey").alias("l_partkey"))
     orders = li.join(chosen, "l_partkey", "left_semi").select("l_orderkey").distinct()
     return li.join(orders, "l_orderkey", "left_semi").join(chosen, "l_partkey", "left_anti").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n_citing"))
 
@@ -194,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
     comps = linking_sql()["D5_components"]
     kind = "case when starts_with(origin, 'md_') then 'metadata' when starts_with(origin, 'web') then 'web' else 'database' end"
     with_sql = {
-        "Q12_record_not_in_toc": f"with k as materialized (select ID, seq, {TOC_SQL} as toc, {_slug_sql('title')} as ts from r) select ID, 'record-not-in-toc' as code from k where seq % 2 = 1 and toc in (select toc from k where seq % 2 = 0 and toc is not null) and not exists (select 1 from k b where b.seq % 2 = 0 and b.toc = k.toc and b.ts = k.ts)",
+        "Q12_record_not_in_toc": f"with k as materialized (select ID, processed, {TOC_SQL} as toc, {_slug_sql('title')} as ts from r) select ID, 'record-not-in-toc' as code from k where not processed and toc in (select toc from k where processed and toc is not null) and not exists (select 1 from k b where b.processed and b.toc = k.toc and b.ts = k.ts)",
         "Q26_text_defects": f"""with f as (select ID, title, author, {flat('text')} as ft, trim(text) = '' as empty, list_filter(list_transform(string_split(title, ' '), lambda w: {flat('w')}), lambda w: w <> '') as tw,
             list_filter(list_transform(string_split(author, ' and '), lambda n: {flat("trim(split_part(n, ',', 1))")}), lambda w: w <> '') as aw from r)
             select ID, 'no-text-in-pdf' as defect from f where empty union all select ID, 'title-not-in-pdf' from f where not empty and title is not null and {share('tw')} <= 0.9
@@ -202,8 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "A22_source_comparison": f"with o as (select ID, unnest(string_split(origins, ';')) as origin, unnest(range(1, len(string_split(origins, ';')) + 1)) as pos from r) select ID, arg_min(origin, pos) filter ({kind} = 'database') as database, arg_min(origin, pos) filter ({kind} = 'metadata') as metadata, arg_min(origin, pos) filter ({kind} = 'web') as web from o group by ID",
         "D6_primary": f"with k as (select ID, {DOI_SQL} as doi, row_number() over (partition by {DOI_SQL} order by {rank} desc, curated is null, regexp_matches(ID, '[a-z]$'), ID) as n, count(*) over (partition by {DOI_SQL}) as m from r where doi is not null) select doi, ID as primary_id, m as n from k where n = 1",
         "D14_first_source": f"with k as materialized (select ID, seq, status, {TOC_SQL} as toc from r) select ID, toc, 'md_processed' as status from k where seq % 2 = 0 and status = 'md_prepared' and toc is not null and toc not in (select toc from k where toc is not null and seq % 2 = 0 and status in {inn(POST['md_processed'])})",
-        "J14_best_match": "with k as (select ID, seq, journal, string_split(keywords, ', ') as k from r where journal is not null and journal <> 'UNKNOWN'), s as (select a.ID as a_ID, b.ID as b_ID, len(list_distinct(list_intersect(a.k, b.k))) as score from k a join k b on a.journal = b.journal where a.seq % 20 = 6 and b.seq % 20 <> 6), x as (select *, row_number() over (partition by a_ID order by score desc, b_ID) as n from s) select a_ID, cast(score as integer) as score, b_ID from x where n = 1",
-        "J17_other_decisions": f"with k as (select ID, seq, status, {DOI_SQL} as doi from r where doi is not null), o as (select doi, arg_min(status, seq) as other from k where seq % 2 = 0 group by doi) select k.ID, case when other = 'rev_prescreen_excluded' then 'rev_prescreen_excluded' when other in {inn(POST['rev_prescreen_included'])} then 'rev_prescreen_included' end as decision from k join o on o.doi = k.doi where k.seq % 2 = 1",
+        "J17_other_decisions": f"with k as (select ID, seq, status, processed, {DOI_SQL} as doi from r where doi is not null), o as (select doi, arg_min(status, seq) as other from k where processed group by doi) select k.ID, case when other = 'rev_prescreen_excluded' then 'rev_prescreen_excluded' when other in {inn(POST['rev_prescreen_included'])} then 'rev_prescreen_included' end as decision from k join o on o.doi = k.doi where not k.processed",
         "J19_language_import": "select ID, case when l.doc_id is not null then 'eng' else language end as language, case when l.doc_id is not null and status = 'rev_prescreen_excluded' then 'md_prepared' else status end as status from r left join labels l on l.doc_id = r.seq",
         "P17_last_round": "select ID, " + ", ".join(f"case when {f} not in ('', 'NA', 'UNKNOWN') then {f} end as {f}" for f in ("title", "author", "year", "doi")) + " from r",
         "W7_changed": f"with k as (select ID, title, year, first_value(title) over w as pt, first_value(year) over w as py, row_number() over w as n from r where doi is not null window w as (partition by {DOI_SQL} order by seq)) select ID, title is distinct from pt or year is distinct from py as changed from k where n > 1",
@@ -222,5 +217,5 @@ def oracle_sql() -> dict[str, str]:
         "A14_reading_statistics": "select l_suppkey as ID, count(distinct l_orderkey) as n_docs, count(*) as intensity from lineitem group by l_suppkey",
         "A29_average_runtime": "select event_type, round(avg(value), 6) as mean_value, count(*) as n from events group by event_type",
         "D11_unmerge_snapshot": "with n as (select conv_id, arg_max(role, turn) as now from conversations group by conv_id) select c.conv_id, max(turn) as turn, arg_max(role, turn) as role from conversations c join n on n.conv_id = c.conv_id where role is distinct from now group by c.conv_id",
-        "P35_forward_search": "with o as (select distinct l_orderkey from lineitem where l_partkey % 50 = 0 and l_partkey in (select p_partkey from part)) select l_partkey, count(distinct l_orderkey) as n_citing from lineitem where l_orderkey in (select l_orderkey from o) and not (l_partkey % 50 = 0 and l_partkey in (select p_partkey from part)) group by l_partkey",
+        "P35_forward_search": "with c as (select p_partkey from part where p_brand = 'Brand#1'), o as (select distinct l_orderkey from lineitem where l_partkey in (select p_partkey from c)) select l_partkey, count(distinct l_orderkey) as n_citing from lineitem where l_orderkey in (select l_orderkey from o) and l_partkey not in (select p_partkey from c) group by l_partkey",
     }

@@ -117,8 +117,8 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in one issue whose titles are alike; the length bound drops pairs ahead of the similarity."""
     r = records(spark, sf_dir).select("ID", T.toc_key().alias("toc"), F.lower("title").alias("t")).filter("toc is not null and t is not null")
     pairs = r.select(c("ID").alias("a_ID"), "toc", c("t").alias("a")).join(r.select(c("ID").alias("b_ID"), "toc", c("t").alias("b")), "toc").filter("a_ID < b_ID")
-    pairs = pairs.filter(ratio_bound(c("a"), c("b")) >= 60)
-    return pairs.withColumn("sim", F.round(ratio_udf("a", "b"), 4)).filter("sim >= 60").select("a_ID", "b_ID", "sim")
+    pairs = pairs.filter(ratio_bound(c("a"), c("b")) >= 95)
+    return pairs.withColumn("sim", F.round(ratio_udf("a", "b"), 4)).filter("sim > 95").select("a_ID", "b_ID", "sim")
 
 
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "F23_unknown_source": f"select ID, {etype} as ENTRYTYPE, case when length(journal) > 10 and {UPPER_SQL.format('journal')} >= 0.6 then {title_case} else journal end as journal, replace(volume, 'Volume ', '') as volume from r",
         "J10_same_issue_key": f"with k as materialized (select ID, status, {KEY_SQL} as key, {TOC_SQL} as toc from r) select a.ID as a_ID, b.ID as b_ID from k a join k b on a.key = b.key and a.toc = b.toc where a.status in ('md_imported', 'md_prepared') and b.status not in ('md_imported', 'md_prepared')",
         "J13_source_rows": f"with o as (select ID, unnest(string_split(origins, ';')) as origin from r) select ID, o.origin, d.n_chars from o left join (select {src} as origin, n_chars from documents) d on d.origin = o.origin",
-        "J15_merge_candidates": f"with k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t from r where title is not null), s as (select a.ID as a_ID, b.ID as b_ID, round({ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID) select * from s where sim >= 60",
+        "J15_merge_candidates": f"with k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t from r where title is not null), s as (select a.ID as a_ID, b.ID as b_ID, round({ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID) select * from s where sim > 95",
         "J23_files_by_hash": "select ID, pages.url as found from r left join pages on page_id = seq where file is null",
         "J24_enrichment": f"with k as materialized (select ID, seq, {DOI_SQL} as doi, title, volume, year from r), m as (select doi, arg_min(title, seq) as title from k where doi is not null and seq % 3 = 0 group by doi), j as (select k.*, m.doi as md, m.title as mt, coalesce({ratio('lower(k.title)', 'lower(m.title)')} >= 50, false) as ok from k left join m on m.doi = k.doi) select ID, case when md is not null and not ok then null else doi end as doi, case when ok and (volume is null or volume in ('', 'UNKNOWN')) then '77' else volume end as volume, case when ok and (year is null or year in ('', 'UNKNOWN')) then '2011' else year end as year, ok as linked from j",
     }.items()}

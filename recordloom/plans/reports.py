@@ -108,9 +108,9 @@ def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate ids of a structured table and rows still open."""
-    e = _t(spark, sf_dir, "conversations")
-    return e.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.bool_or(c("text").contains("TODO")).alias("open")).filter("n > 1 or open")
+    """A structured table with a row for each DOI: ids that stand twice, and rows with a field still open."""
+    r = records(spark, sf_dir).filter("doi is not null")
+    return R.incomplete_rows(r, "doi", ["title", "author", "year", "volume"], "UNKNOWN")
 
 
 def a28(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "A21_burn_down": "with d as (select cast(ts as date) as day, count(*) as n from events group by 1) select day, cast(sum(n) over (order by day) as bigint) as total, cast(floor(sum(n) over (order by day) * 100 / (select sum(n) from d)) as bigint) as percent from d",
         "A24_ambiguous_labels": "select cast(floor(doc_id / 3) as bigint) as key, count(*) as n, count(distinct quality) as n_labels from labels group by 1 having count(*) > 1 and count(distinct quality) > 1",
         "A26_synthesis": "select status, count(*) as n from (select l_orderkey, case when bool_and(l_linestatus = 'F') then 'rev_synthesized' else 'rev_included' end as status from lineitem group by 1) group by 1",
-        "A27_structured_data": "select conv_id, turn, count(*) as n, bool_or(text like '%TODO%') as open from conversations group by 1, 2 having count(*) > 1 or bool_or(text like '%TODO%')",
+        "A27_structured_data": with_records("select doi, count(*) as n, bool_or('UNKNOWN' in (title, author, year, volume)) as open from (select doi, coalesce(title, '') as title, coalesce(author, '') as author, coalesce(year, '') as year, coalesce(volume, '') as volume from r where doi is not null) group by doi having count(*) > 1 or bool_or('UNKNOWN' in (title, author, year, volume))"),
         "W3_next_ids": "with d as (select source || '-' || lpad(cast(doc_id as string), 8, '0') as source_identifier, doc_id from documents), k as (select source_identifier, lpad(cast(1 + doc_id // 4 as string), 6, '0') as id from d where doc_id % 4 = 0) select * from k union all select source_identifier, lpad(cast((select max(cast(id as bigint)) from k) + row_number() over (order by source_identifier) as string), 6, '0') from d where doc_id % 4 <> 0",
         "W5_change_log": "with x as (select *, row_number() over w as n, lag(role) over w as pr, lag(text) over w as pt from conversations window w as (partition by conv_id order by turn)), y as (select case when n = 1 then 'new' when role is not distinct from pr and text is not distinct from pt then 'same' else 'changed' end as kind, case when n = 1 then '' else array_to_string(list_filter([case when role is distinct from pr then 'role' end, case when text is distinct from pt then 'text' end], lambda v: v is not null), ',') end as fields from x) select kind, fields, count(*) as n from y group by 1, 2",
         "W6_transitions": f"with h as (select user_id, event_id, {state} as dest, lag({state}) over (partition by user_id order by event_id) as source from events) select h.user_id, h.event_id, h.source, h.dest, coalesce((select min(operation) from {trans} where t.source = h.source and t.dest = h.dest), 'invalid_transition') as operation from h where h.source is not null and h.source <> h.dest",

@@ -6,8 +6,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from recordloom.plans.catalogue import oracle_sql, queries
+from recordloom.plans.catalogue import SLOW, all_sql, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,25 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == cols
     at = [want.columns.index(c) for c in cols]
     assert got == sorted(tuple(norm(r[i]) for i in at) for r in want.fetchall())
+
+
+@pytest.fixture(scope="module")
+def short(spark, tmp_path_factory):
+    """Documents with short first lines: the SQL of the slow ones can compare them."""
+    folder = str(tmp_path_factory.mktemp("short"))
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    d.withColumn("text", F.concat(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40), F.lit("\n"), F.substring("text", 1, 80))).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_slow_sql(spark, short, name):
+    folder, con = short
+    df = queries()[name](spark, folder)
+    cols = sorted(df.columns)
+    got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
+    want = con.sql(all_sql()[name])
+    at = [want.columns.index(c) for c in cols]
+    assert got and got == sorted(tuple(norm(r[i]) for i in at) for r in want.fetchall())

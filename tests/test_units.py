@@ -243,3 +243,23 @@ def test_global_id_pairs_of_a_large_block(spark):
     got = {(p.a_ID, p.b_ID): p.kinds for p in dedupe.global_id_pairs(r).collect()}
     assert len(got) == 201 * 200 // 2
     assert got["R0002", "R0003"] == ["doi", "url"] and got["R0003", "R0004"] == ["url"]
+
+
+def test_best_window_ratio_against_every_window():
+    import random
+
+    from recordloom.functions.similarity import best_window_ratio, indel_ratio
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        want = max((indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long))), default=0.0) if n else 100.0 * (not long)
+        assert abs(best_window_ratio(a, b) - want) < 1e-9, (a, b)
+
+
+def test_best_window_ratio_of_long_texts():
+    from recordloom.functions.similarity import best_window_ratio
+
+    assert best_window_ratio("needle in it", "x" * 20_000 + "needle in it" + "y" * 20_000) == 100.0
