@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as T
 from recordloom.functions.similarity import ratio_bound, ratio_udf
 from recordloom.operators.graph import connected_components
+from recordloom.operators.quality import checks
 from recordloom.schema import POST, RANK
 
 # fixed values: titles that many records share
@@ -154,28 +155,87 @@ def primary_order() -> Column:
     return F.struct((-F.coalesce(rank[c("status")], F.lit(0))).alias("r"), c("curated").isNull().alias("c"), c("ID").rlike("[a-z]$").alias("l"), c("ID").alias("i"))
 
 
+IDENTIFYING = ["title", "author", "year", "journal", "booktitle", "volume", "number", "pages"]
+OTHER = ["url", "doi", "language", "file", "ENTRYTYPE"]
+
+
+def _container_fold(values: Column) -> Column:
+    """The outlet's name out of an array in order: one without a point is taken over one with it, and one with a smaller share of capitals over a larger."""
+    better = lambda old, new: (old.contains(".") & ~new.contains(".")) | (T.percent_upper(old) > T.percent_upper(new))
+    return F.aggregate(values, F.get(values, F.lit(0)), lambda old, new: F.when(better(old, new), new).otherwise(old))
+
+
+def _distinct_in_order(rows: DataFrame, key: str, field: str) -> DataFrame:
+    """key, an array of the field's distinct known values by their first place: copies are merged before any array is made."""
+    known = rows.filter(c(field).isNotNull() & ~c(field).isin("", "UNKNOWN")).groupBy(key, field).agg(F.min("seq").alias("seq"))
+    return known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", c(field).alias("v")))), lambda x: x["v"]).alias(f"_{field}"))
+
+
 def merge_groups(grouped: DataFrame, key: str = "component") -> DataFrame:
     """Merge the records of each group field by field; the group's order is ``seq``.
 
     The pairwise rules are folds over that order; each is given here as one ordered aggregate, which needs no
     collected group:
 
-    * year: the last that is four digits, else the last; pages: the first range with two hyphens, else the first;
+    * author: the first without a defect, else the first; year: the last that is four digits, else the last; pages: the first range with two hyphens, else the first;
     * title: the least share of capitals among the first record and those that don't end in a mark, the earliest of equals;
-    * url: the first with https, else the last; other fields: the first that is known;
-    * origins: all of them; status: the highest; file: all, joined.
+    * journal, booktitle: the fold of their distinct values, which each enter once, at their first place (see _container_fold);
+    * url: the first with https, else the last; file: all distinct ones, joined; ENTRYTYPE: the first but misc; other fields: the first that is known;
+    * origins: all of them; status: the highest.
+
+    Of groups with curated records (column ``curated``) fields are the last known ones of these; what no curated record knows is empty if it identifies the work (but for
+    pages), and else comes from the records ahead of the first curated one, by the rules above.
     """
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
+    origins = grouped.select(key, F.explode(F.split("origins", ";")).alias("o")).distinct().groupBy(key).agg(F.concat_ws(";", F.array_sort(F.collect_set("o"))).alias("origins"))
+    all_of = grouped.groupBy(key).agg(F.min_by("ID", "seq").alias("ID"), F.count("*").alias("n_merged"), F.max_by("status", rank[c("status")]).alias("status"), F.min(F.when(c("curated").isNotNull(), c("seq"))).alias("_curated_at"))
+    rows = grouped.join(all_of.select(key, "_curated_at"), key)
     known = lambda f: c(f).isNotNull() & ~c(f).isin("", "UNKNOWN")
+    curated = rows.filter("curated is not null").groupBy(key).agg(*(F.max_by(f, F.when(known(f), c("seq"))).alias(f"_c_{f}") for f in (*IDENTIFYING, *OTHER)))
+    rows = rows.filter(c("_curated_at").isNull() | (c("seq") < c("_curated_at")))
     fill = lambda f: F.coalesce(F.min_by(f, F.when(known(f), c("seq"))), F.min_by(f, "seq")).alias(f)
     title_ok = known("title") & ~c("title").rlike("[*12]$")
-    origins = grouped.select(key, F.explode(F.split("origins", ";")).alias("o")).distinct().groupBy(key).agg(F.concat_ws(";", F.array_sort(F.collect_set("o"))).alias("origins"))
-    merged = grouped.groupBy(key).agg(
-        F.min_by("ID", "seq").alias("ID"), F.count("*").alias("n_merged"), F.max_by("status", rank[c("status")]).alias("status"),
+    bad_author = F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(by_field["author"], F.lit(False)) for _, by_field in checks().values() if "author" in by_field)), F.lit(False))
+    misc = c("ENTRYTYPE").isNull() | c("ENTRYTYPE").isin("", "misc")
+    merged = rows.groupBy(key).agg(
+        F.min_by("author", F.struct((~known("author")).alias("no"), bad_author.alias("bad"), c("seq").alias("s"))).alias("author"),
         F.max_by("year", F.struct(F.coalesce(c("year").rlike("^[0-9]{4}$"), F.lit(False)).alias("ok"), c("seq").alias("seq"))).alias("year"),
         F.min_by("pages", F.struct((~F.coalesce(c("pages").contains("--"), F.lit(False))).alias("no"), c("seq").alias("seq"))).alias("pages"),
         F.coalesce(F.min_by("title", F.when(title_ok, F.struct(T.percent_upper(c("title")).alias("u"), c("seq").alias("s")))), F.min_by("title", "seq")).alias("title"),
         F.coalesce(F.min_by("url", F.when(c("url").startswith("https"), c("seq"))), F.max_by("url", F.when(known("url"), c("seq")))).alias("url"),
-        *(fill(f) for f in ("author", "journal", "booktitle", "volume", "number", "doi", "language")),
+        F.min_by("ENTRYTYPE", F.struct(misc.alias("m"), c("seq").alias("s"))).alias("ENTRYTYPE"),
+        *(fill(f) for f in ("volume", "number", "doi", "language")),
     )
-    return merged.join(origins, key)
+    for f in ("journal", "booktitle", "file"):
+        merged = merged.join(_distinct_in_order(rows, key, f), key, "left").withColumn(f, F.array_join(f"_{f}", ";") if f == "file" else _container_fold(c(f"_{f}"))).drop(f"_{f}")
+    out = all_of.join(origins, key).join(merged, key, "left").join(curated, key, "left")
+    of = lambda f: F.when(c("_curated_at").isNotNull(), c(f"_c_{f}")).otherwise(c(f)) if f in IDENTIFYING and f != "pages" else F.coalesce(f"_c_{f}", f)
+    return out.select(key, "ID", "n_merged", "status", "origins", *(of(f).alias(f) for f in (*IDENTIFYING, *OTHER)))
+
+
+def merge_pairs(grouped: DataFrame, key: str = "component") -> DataFrame:
+    """main_ID, dupe_ID: each record of a group with the one that it is merged into; a group's records meet once, and single ones have no pair."""
+    main = grouped.groupBy(key).agg(F.min_by("ID", primary_order()).alias("main_ID"))
+    return grouped.select(key, c("ID").alias("dupe_ID")).join(main, key).filter("main_ID <> dupe_ID").select("main_ID", "dupe_ID")
+
+
+def pair_labels(pairs: DataFrame, duplicate: float = 0.9, maybe: float = 0.7) -> DataFrame:
+    """pairs of comparable records (a_*, b_*) with ``label``: duplicate, maybe or distinct.
+
+    A pair without both titles or authors, one that the levels of its entries keep apart, and one with a generic title and another volume or number are distinct
+    whatever their similarity.
+    """
+    generic = c("a_s_plain_title").isin(GENERIC_TITLES) & c("b_s_plain_title").isin(GENERIC_TITLES)
+    other_issue = (c("a_s_volume") != c("b_s_volume")) | (c("a_s_number") != c("b_s_number"))
+    lacks = (c("a_s_title") == "") | (c("b_s_title") == "") | (c("a_s_author") == "") | (c("b_s_author") == "")
+    out = lacks | cross_level_veto() | generic & other_issue
+    return pair_similarity(pairs).withColumn("label", F.when(out | (c("similarity") < maybe), "distinct").when(c("similarity") < duplicate, "maybe").otherwise("duplicate"))
+
+
+def fix_clusters(clusters: DataFrame, wrongly_merged: DataFrame, wrongly_apart: DataFrame) -> DataFrame:
+    """clusters (ID, component), IDs to take out of their cluster, and pairs (a_ID, b_ID) to join: ID, component anew. What is taken out stands alone before pairs are joined."""
+    left = clusters.join(wrongly_merged.select("ID", F.lit(True).alias("_out")).distinct(), "ID", "left").select("ID", F.when(c("_out"), c("ID")).otherwise(c("component")).alias("component"))
+    heads = left.groupBy("component").agg(F.min("ID").alias("head"))
+    edges = left.join(heads, "component").select(c("ID").alias("a_ID"), c("head").alias("b_ID")).unionByName(wrongly_apart.select("a_ID", "b_ID"))
+    found = components(edges.filter("a_ID <> b_ID"))
+    return left.select("ID").join(found, "ID", "left").select("ID", F.coalesce("component", "ID").alias("component"))

@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: their SQL takes the square of a title's length for each pair, so it is for small tables with short titles only (see tests/test_oracle.py)
-SLOW = frozenset({"D2_record_similarity", "D3_change_score", "J8_issue_pairs", "J9_ranked_candidates", "J15_merge_candidates", "J24_enrichment", "F30_indel_ratio"})
+SLOW = frozenset({"D2_record_similarity", "D3_change_score", "D4_pair_labels", "J8_issue_pairs", "J9_ranked_candidates", "J15_merge_candidates", "J24_enrichment", "F30_indel_ratio"})
 
 
 def all_sql() -> dict[str, str]:

@@ -109,6 +109,25 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.pair_similarity(pairs).select("a_ID", "b_ID", "similarity")
 
 
+def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pairs with one DOI."""
+    r = D.comparable(records(spark, sf_dir))
+    carry = ["ID", "ENTRYTYPE", *(x for x in r.columns if x.startswith("s_"))]
+    return D.pair_labels(D.pairs_on(r, {"doi": T.normalise_doi(c("doi"))}, carry)).select("a_ID", "b_ID", "label")
+
+
+def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.merge_pairs(_grouped(spark, sf_dir))
+
+
+def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by DOI: theses are taken out, records with one key are joined."""
+    r = records(spark, sf_dir).withColumn("key", T.record_key())
+    keyed = r.filter("key is not null")
+    apart = keyed.select(c("ID").alias("a_ID"), "key").join(keyed.groupBy("key").agg(F.min("ID").alias("b_ID")), "key").filter("a_ID <> b_ID")
+    return D.fix_clusters(_grouped(spark, sf_dir).select("ID", "component"), r.filter("ENTRYTYPE = 'phdthesis'"), apart)
+
+
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.components(D.global_id_pairs(records(spark, sf_dir), max_block=200)).select("ID", "component")
 
@@ -149,7 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "J1_first_hit": j1, "J2_toc_lookup": j2, "J3_toc_prefix": j3, "J4_year_of_toc": j4, "J5_fields_to_remove": j5, "J6_journal_ranking": j6, "J11_global_id_pairs": j11,
         "J12_origin_intersection": j12, "J16_cross_set_match": j16, "J18_import_decisions": j18, "J20_year_from_issue": j20, "J21_as_of_rule": j21, "J22_table_diff": j22,
-        "D1_candidates": d1, "D2_record_similarity": d2, "D5_components": d5, "D8_pair_vetoes": d8, "D10_merged_records": d10, "D15_toc_items": d15, "M2_origins_status": m2, "M10_diff": m10,
+        "D1_candidates": d1, "D2_record_similarity": d2, "D4_pair_labels": d4, "D7_merge_pairs": d7, "D12_fixed_clusters": d12, "D5_components": d5, "D8_pair_vetoes": d8, "D10_merged_records": d10, "D15_toc_items": d15, "M2_origins_status": m2, "M10_diff": m10,
     }
 
 
@@ -158,6 +177,8 @@ _RANK = "case {0} " + " ".join(f"when '{s}' then {n}" for s, n in RANK.items())
 
 
 def oracle_sql() -> dict[str, str]:
+    from recordloom.plans.quality import _sql_checks
+
     # long expressions are computed once, for a table of keys
     k = f"with k as materialized (select *, {DOI_SQL} as doi_key, {_URL} as url_key, {KEY_SQL} as rec_key, {TOC_SQL} as toc, {_slug_sql('title')} as title_slug from r), "
     pre = r"regexp_replace(toc, '\|[^|]*$', '')"
@@ -178,16 +199,29 @@ def oracle_sql() -> dict[str, str]:
     ratio = lambda f: f"(case when a.{f} = '' and b.{f} = '' then 1.0 when a.{f} = '' or b.{f} = '' then 0.0 else (200.0 * {LCS_SQL.format(a='a.' + f, b='b.' + f)} / (length(a.{f}) + length(b.{f}))) / 100 end)"
     generic = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in D.GENERIC_TITLES) + ")"
     w = lambda weights: " + ".join(f"{x} * {y}::double" for x, y in weights.items())
-    merged = f"""with g0 as (select *, {DOI_SQL} as component from r where doi is not null), g as (select *, min(seq) over (partition by component) as first_seq, {_RANK.format('status')} as rank,
-            {UPPER_SQL.format('title')} as up from g0),
-        o as (select component, array_to_string(list_sort(list(distinct o)), ';') as origins from (select component, unnest(string_split(origins, ';')) as o from g) group by component),
-        m as (select component, arg_min(ID, seq) as ID, count(*) as n_merged, arg_max(status, rank) as status,
+    defects = " or ".join(f"coalesce(({by['author']}), false)" for by in _sql_checks().values() if "author" in by)
+    ident, others = D.IDENTIFYING, D.OTHER
+    known = lambda f: f"{f} is not null and {f} not in ('', 'UNKNOWN')"
+    fold = lambda f: f"list_reduce(list(v order by s), lambda x, y: case when (contains(x, '.') and not contains(y, '.')) or {UPPER_SQL.format('x')} > {UPPER_SQL.format('y')} then y else x end)"
+    firsts = lambda f: f"(select component, {f} as v, min(seq) as s from g where {known(f)} group by component, {f})"
+    first_of = lambda f: f"coalesce(min(struct_pack(s := seq, v := {f})) filter ({known(f)}), min(struct_pack(s := seq, v := {f}))).v as {f}"
+    merged = f"""with g0 as (select *, {DOI_SQL} as component from r where doi is not null), g1 as (select *, min(case when curated is not null then seq end) over (partition by component) as curated_at, {_RANK.format('status')} as rank,
+            {UPPER_SQL.format('title')} as up, {defects} as bad from g0),
+        o as (select component, array_to_string(list_sort(list(distinct o)), ';') as origins from (select component, unnest(string_split(origins, ';')) as o from g1) group by component),
+        a as (select component, arg_min(ID, seq) as ID, count(*) as n_merged, arg_max(status, rank) as status, any_value(curated_at) as curated_at from g1 group by component),
+        c as (select component, {', '.join(f"(max(struct_pack(s := seq, v := {f})) filter ({known(f)})).v as c_{f}" for f in (*ident, *others))} from g1 where curated is not null group by component),
+        g as (select * from g1 where curated_at is null or seq < curated_at),
+        m as (select component, coalesce(min(struct_pack(b := bad, s := seq, v := author)) filter ({known('author')}), min(struct_pack(b := bad, s := seq, v := author))).v as author,
             coalesce(max(struct_pack(s := seq, v := year)) filter (regexp_matches(year, '^[0-9]{{4}}$')), max(struct_pack(s := seq, v := year))).v as year,
             coalesce(min(struct_pack(s := seq, v := pages)) filter (pages like '%--%'), min(struct_pack(s := seq, v := pages))).v as pages,
-            coalesce(min(struct_pack(u := up, s := seq, v := title)) filter (title is not null and title not in ('', 'UNKNOWN') and not regexp_matches(title, '[*12]$')), min(struct_pack(u := 0.0::double, s := seq, v := title))).v as title,
-            coalesce(min(struct_pack(s := seq, v := url)) filter (url like 'https%'), max(struct_pack(s := seq, v := url)) filter (url is not null and url not in ('', 'UNKNOWN'))).v as url,
-            {', '.join(f"coalesce(min(struct_pack(s := seq, v := {f})) filter ({f} is not null and {f} not in ('', 'UNKNOWN')), min(struct_pack(s := seq, v := {f}))).v as {f}" for f in ('author', 'journal', 'booktitle', 'volume', 'number', 'doi', 'language'))}
-            from g group by component)"""
+            coalesce(min(struct_pack(u := up, s := seq, v := title)) filter ({known('title')} and not regexp_matches(title, '[*12]$')), min(struct_pack(u := 0.0::double, s := seq, v := title))).v as title,
+            coalesce(min(struct_pack(s := seq, v := url)) filter (url like 'https%'), max(struct_pack(s := seq, v := url)) filter ({known('url')})).v as url,
+            coalesce(min(struct_pack(s := seq, v := ENTRYTYPE)) filter (ENTRYTYPE not in ('', 'misc')), min(struct_pack(s := seq, v := ENTRYTYPE))).v as ENTRYTYPE,
+            {', '.join(first_of(f) for f in ('volume', 'number', 'doi', 'language'))} from g group by component),
+        j as (select component, {fold('journal')} as journal from {firsts('journal')} group by component), b as (select component, {fold('booktitle')} as booktitle from {firsts('booktitle')} group by component),
+        f as (select component, array_to_string(list(v order by s), ';') as file from {firsts('file')} group by component),
+        z as (select a.ID, n_merged, status, origins, {', '.join(f"case when curated_at is not null then c_{x} else {x} end as {x}" if x in ident and x != 'pages' else f"coalesce(c_{x}, {x}) as {x}" for x in (*ident, *others))}
+            from a join o using (component) left join m using (component) left join c using (component) left join j using (component) left join b using (component) left join f using (component))"""
     rules = "(values ('F', 1993, 'volume'), ('F', 1996, 'volume,number'), ('O', 1995, 'number'), ('O', 1998, 'none'), ('P', 1994, 'pages')) t(o_orderstatus, start_year, requires)"
     ranks = "(values ('Journal of src1', 'A', 'no'), ('Journal of src1', 'B+', 'no'), ('Journal of src2', 'C', 'yes'), ('MISQ', 'A*', 'no'), ('Journal of src3', 'B', 'no')) t(journal_name, ranking, predatory)"
     post = "(" + ", ".join(f"'{s}'" for s in POST["md_processed"]) + ")"
@@ -224,14 +258,21 @@ def oracle_sql() -> dict[str, str]:
             p as (select a.ID as a_ID, b.ID as b_ID, {ratio('author')} as author, {ratio('title')} as title, {ratio('year')} as year, case when a.outlet <> '' and b.outlet <> '' then {ratio('outlet')} else 0.0 end as outlet,
               case when a.volume = b.volume then 1 else 0 end as volume, case when a.number = b.number then 1 else 0 end as number, a.journal <> '' and b.journal <> '' as art, a.plain in {generic} and b.plain in {generic} as gen from s a join s b on a.d = b.d and a.ID < b.ID)
             select a_ID, b_ID, round_even(case when art and gen then {w(D.GENERIC_WEIGHTS)} when art then {w(D.ARTICLE_WEIGHTS)} else {w(D.OTHER_WEIGHTS)} end, 4) as similarity from p""",
+        "D4_pair_labels": f"""with s as materialized (select ID, {DOI_SQL} as d, {author} as author, replace(replace(lower({blank('title')}), ':', ''), '-', '') as title, lower({blank('title')}) as plain, {blank('year')} as year, {out_sql} as outlet, {blank('volume')} as volume, {blank('number')} as number, {blank('journal')} as journal, ENTRYTYPE as et from r),
+            p as (select a.ID as a_ID, b.ID as b_ID, {ratio('author')} as author, {ratio('title')} as title, {ratio('year')} as year, case when a.outlet <> '' and b.outlet <> '' then {ratio('outlet')} else 0.0 end as outlet,
+              case when a.volume = b.volume then 1 else 0 end as volume, case when a.number = b.number then 1 else 0 end as number, a.journal <> '' and b.journal <> '' as art, a.plain in {generic} and b.plain in {generic} as gen, a.volume <> b.volume or a.number <> b.number as oi, a.title = '' or b.title = '' or a.author = '' or b.author = '' as lacks, a.et as ae, b.et as be from s a join s b on a.d = b.d and a.ID < b.ID)
+            , q as (select *, round_even(case when art and gen then {w(D.GENERIC_WEIGHTS)} when art then {w(D.ARTICLE_WEIGHTS)} else {w(D.OTHER_WEIGHTS)} end, 4) as sim from p)
+            select a_ID, b_ID, case when lacks or ae = 'proceedings' or be = 'proceedings' or (ae = 'book' and be = 'inbook') or (ae = 'inbook' and be = 'book') or (gen and oi) or sim < 0.7 then 'distinct' when sim < 0.9 then 'maybe' else 'duplicate' end as label from q""",
+        "D7_merge_pairs": f"with g as (select ID, {DOI_SQL} as component, coalesce({_RANK.format('status')}, 0) as rk, curated is null as nc, regexp_matches(ID, '[a-z]$') as let from r where doi is not null), m as (select component, arg_min(ID, struct_pack(r := -rk, c := nc, l := let, i := ID)) as main_ID from g group by component) select main_ID, ID as dupe_ID from g join m using (component) where ID <> main_ID",
+        "D12_fixed_clusters": f"with recursive k as materialized (select ID, ENTRYTYPE, {DOI_SQL} as doi_key, {KEY_SQL} as rec_key from r), l as (select ID, case when ENTRYTYPE = 'phdthesis' then ID else doi_key end as comp from k where doi_key is not null), e as (select ID as x, min(ID) over (partition by comp) as y from l union select ID, min(ID) over (partition by rec_key) from k where rec_key is not null), u as (select x, y from e where x <> y union select y, x from e where x <> y), reach(x, y) as (select x, y from u union select reach.x, u.y from reach join u on u.x = reach.y), n as (select x, least(x, min(y)) as c from reach group by x) select ID, coalesce(n.c, ID) as component from l left join n on n.x = l.ID",
         "D5_components": "with recursive " + k[5:].rstrip() + " " + pairs + ", u as (select a_ID as x, b_ID as y from p union select b_ID, a_ID from p), reach(x, y) as (select x, y from u union select reach.x, u.y from reach join u on u.x = reach.y) select x as ID, least(x, min(y)) as component from reach group by x",
         "D8_pair_vetoes": f"""with s as (select ID, {DOI_SQL} as d, ENTRYTYPE, string_split(origins, ';') as o, list_transform(string_split(origins, ';'), lambda x: split_part(x, '/', 1)) as pre from r),
             p as (select a.ID as a_ID, b.ID as b_ID, a.ENTRYTYPE as ae, b.ENTRYTYPE as be, a.o as ao, b.o as bo, list_intersect(a.pre, b.pre) as sh from s a join s b on a.d = b.d and a.ID < b.ID)
             select a_ID, b_ID, ae = 'proceedings' or be = 'proceedings' or (ae = 'book' and be = 'inbook') or (ae = 'inbook' and be = 'book') as veto,
               len(sh) > 0 and list_sort(list_filter(ao, lambda x: list_contains(sh, split_part(x, '/', 1)))) <> list_sort(list_filter(bo, lambda x: list_contains(sh, split_part(x, '/', 1)))) as same_source from p""",
-        "D10_merged_records": merged + " select m.ID, n_merged, status, year, pages, title, url, author, journal, booktitle, volume, number, doi, language, o.origins from m join o on o.component = m.component",
+        "D10_merged_records": merged + " select * from z",
         "D15_toc_items": "select distinct journal, booktitle, case when journal is not null then volume else year end as part from r where journal is not null or booktitle is not null",
-        "M2_origins_status": merged + " select m.ID, o.origins, status from m join o on o.component = m.component",
+        "M2_origins_status": merged + " select ID, origins, status from z",
         "M10_diff": f"with g as (select *, {DOI_SQL} as comp from r where doi is not null), h as (select * from (select *, row_number() over (partition by comp order by seq) as n from g) where n = 1), d as (select g.ID, unnest(["
         + ", ".join(f"struct_pack(field := '{f}', old := h.{f}, new := g.{f})" for f in m10_fields) + "]) as d from g join h on g.comp = h.comp where g.ID <> h.ID) select ID, d.field as field, case when d.old is null then 'add' when d.new is null then 'remove' else 'change' end as kind, d.old as old, d.new as new from d where d.old is distinct from d.new",
     }.items()} | {
