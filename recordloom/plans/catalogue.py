@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import extra, feeds, linking, more, prep, quality, reports, review, scalars
+from recordloom.plans import catalogues, extra, feeds, linking, more, prep, quality, reports, review, scalars
 
-MODULES = [quality, scalars, review, linking, reports, feeds, prep, more, extra]
+MODULES = [quality, scalars, review, linking, reports, feeds, prep, more, extra, catalogues]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
