@@ -123,7 +123,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, block_bytes: int
     ).withColumn("dim", F.size("v"))
     size = F.sum(8 * (F.col("dim") + 2))
     of_all, of_queries, nq = v.agg(size, F.sum(F.when(F.col("q"), 8 * (F.col("dim") + 2))), F.count(F.when(F.col("q"), 1))).first()
-    nc, nqb = (max(1, -(-(x or 0) // block_bytes)) for x in (of_all, of_queries))
+    blocks = lambda x, least: max(1, -(-x // block_bytes), min(least, -(-x // (1 << 20))))
+    nc, nqb = blocks(of_all or 0, v.sparkSession.sparkContext.defaultParallelism), blocks(of_queries or 0, 1)  # enough tasks, of a megabyte at least
     spread = lambda seed, blocks: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks).cast("long"))
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     cands = v.select("dim", spread(1, nc).alias("c"), every(nqb).alias("b"), "id", "v")
