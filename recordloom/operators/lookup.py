@@ -44,10 +44,13 @@ def toc_status(records: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def same_outlet(records: DataFrame, index: DataFrame) -> DataFrame:
-    """Number of index records in any issue of the record's outlet (the key without its last part)."""
+    """Of each record's outlet (the key without its last part), over all issues: the number of index records, and the earliest one with the record's title."""
     prefix = F.regexp_replace(T.toc_key(), r"\|[^|]*$", "")
-    n = index.select(prefix.alias("outlet")).filter("outlet is not null").groupBy("outlet").agg(F.count("*").alias("n_index"))
-    return records.select("ID", prefix.alias("outlet")).filter("outlet is not null").join(n, "outlet", "left").select("ID", "outlet", F.coalesce("n_index", F.lit(0)).alias("n_index"))
+    of = index.select(prefix.alias("outlet"), T.slug(c("title")).alias("title_key"), "ID", "seq").filter("outlet is not null")
+    n = of.groupBy("outlet").agg(F.count("*").alias("n_index"))
+    titles = of.filter("title_key is not null").groupBy("outlet", "title_key").agg(F.min_by("ID", "seq").alias("index_id"))
+    asked = records.select("ID", prefix.alias("outlet"), T.slug(c("title")).alias("title_key")).filter("outlet is not null")
+    return asked.join(n, "outlet", "left").join(titles, ["outlet", "title_key"], "left").select("ID", "outlet", F.coalesce("n_index", F.lit(0)).alias("n_index"), "index_id")
 
 
 def year_of_toc(records: DataFrame, index: DataFrame) -> DataFrame:

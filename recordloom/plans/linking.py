@@ -236,8 +236,9 @@ def oracle_sql() -> dict[str, str]:
         "J2_toc_lookup": k + """t as (select toc, title_slug, arg_min(ID, seq) as index_id from k where processed and toc is not null group by toc, title_slug)
             select k.ID, k.toc as toc_key, t.index_id, case when t.index_id is not null then 'found' when k.toc in (select toc from t) then 'not-in-toc' else 'not-in-index' end as result
             from k left join t on t.toc = k.toc and t.title_slug = k.title_slug where not k.processed and k.toc is not null""",
-        "J3_toc_prefix": k + f"""t as (select {pre} as outlet, count(*) as n from k where processed and toc is not null group by 1)
-            select ID, {pre} as outlet, coalesce(t.n, 0) as n_index from k left join t on t.outlet = {pre} where not processed and toc is not null""",
+        "J3_toc_prefix": k + f"""t as (select {pre} as outlet, count(*) as n from k where processed and toc is not null group by 1),
+            h as (select {pre} as outlet, title_slug, arg_min(ID, seq) as index_id from k where processed and toc is not null and title_slug is not null group by 1, 2)
+            select ID, {pre} as outlet, coalesce(t.n, 0) as n_index, h.index_id from k left join t on t.outlet = {pre} left join h on h.outlet = {pre} and h.title_slug = k.title_slug where not processed and toc is not null""",
         "J4_year_of_toc": k + "t as (select toc, arg_min(year, seq) as y from k where processed and toc is not null and year is not null group by toc) select ID, t.y as toc_year from k left join t on t.toc = k.toc where not processed",
         "J5_fields_to_remove": k + f"""t as (select distinct toc from k where processed and ENTRYTYPE = 'article' and journal is not null),
             q as (select ID, {jslug} || '|' || {v} || '|' || {n} as a, {jslug} || '|' || {v} || '|-' as b, {jslug} || '|-|' || {n} as c, {jslug} || '|-|-' as d from r where not processed and ENTRYTYPE = 'article' and journal is not null)

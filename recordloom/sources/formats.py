@@ -158,18 +158,48 @@ def count_records(texts: DataFrame, kind: str) -> DataFrame:
 READERS = {"bib": read_bib, "ris": read_ris, "nbib": read_nbib, "enl": read_enl, "txt": read_enl}
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the files at a path, by their suffix."""
+def load(spark: SparkSession, path: str, rename: dict[str, str] | None = None, id_column: str | None = None) -> DataFrame:
+    """Records of the files at a path, by their suffix: source, seq, ENTRYTYPE, local_id, fields.
+
+    Of tables (csv, json) each column is a field, ``rename`` gives columns other names, and ``id_column`` holds the local id (else it is empty).
+    """
     suffix = path.rsplit(".", 1)[-1].lower()
-    if suffix not in READERS:
+    if suffix in READERS:
+        return READERS[suffix](files(spark, path))
+    if suffix not in ("csv", "json"):
         raise NotImplementedError(f"no reader for .{suffix}")
-    return READERS[suffix](files(spark, path))
+    table = read_csv(spark, path, rename) if suffix == "csv" else read_json(spark, path)
+    if suffix == "json":
+        table = table.select(*(F.col(f"`{n}`").cast("string").alias((rename or {}).get(n, n.lower())) for n in table.columns))
+    return table_records(table, id_column).withColumn("source", F.lit(path))
+
+
+def table_records(table: DataFrame, id_column: str | None = None) -> DataFrame:
+    """Rows of a table as records: ENTRYTYPE from entrytype (misc where it is empty), the other known columns as fields."""
+    names = [n for n in table.columns if n.lower() not in ("entrytype", (id_column or "").lower())]
+    pairs = F.filter(F.array(*(F.struct(F.lit(n.lower()).alias("key"), F.col(f"`{n}`").cast("string").alias("value")) for n in names)), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+    kind = next((F.coalesce(F.lower(F.col(f"`{n}`")), F.lit("misc")) for n in table.columns if n.lower() == "entrytype"), F.lit("misc"))
+    local = F.col(f"`{id_column}`").cast("string") if id_column else F.lit(None).cast("string")
+    return table.select(F.lit("table").alias("source"), F.monotonically_increasing_id().alias("seq"), kind.alias("ENTRYTYPE"), local.alias("local_id"), F.map_from_entries(pairs).alias("fields"))
 
 
 def load_text(spark: SparkSession, text: str, kind: str) -> DataFrame:
     return READERS[kind](spark.createDataFrame([("text", text)], "source string, content string"))
 
 
+def save(records: DataFrame, path: str) -> None:
+    """Records written to a path by its suffix: bib, ris, md (texts in the order of the id) or csv (with headers)."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    fields = [f for f in ("ID", "ENTRYTYPE", *ORDER) if f in records.columns]
+    if suffix == "csv":
+        records.select(*fields, *sorted(set(records.columns).difference(fields))).write.csv(path, header=True, escape='"')
+        return
+    texts = {"bib": lambda: bib_text([f for f in ORDER if f in records.columns]), "ris": ris_text, "md": lambda: markdown_row(fields)}
+    if suffix not in texts:
+        raise NotImplementedError(f"no writer for .{suffix}")
+    write_text(records, texts[suffix](), path)
+
+
 def standard_columns(records: DataFrame, fields: list[str]) -> DataFrame:
     """Fields as columns; others with a namespace (a dot) stay in ``extra``."""
     extra = F.map_filter("fields", lambda k, v: k.contains("."))

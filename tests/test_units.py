@@ -263,3 +263,20 @@ def test_best_window_ratio_of_long_texts():
     from recordloom.functions.similarity import best_window_ratio
 
     assert best_window_ratio("needle in it", "x" * 20_000 + "needle in it" + "y" * 20_000) == 100.0
+
+
+def test_load_and_save_by_suffix(spark, tmp_path):
+    from recordloom.sources import formats
+
+    (tmp_path / "a.csv").write_text("Record ID,Title,Year\n1,On things,2020\n2,,\n")
+    (tmp_path / "a.json").write_text('[{"id": "7", "title": "On JSON", "entrytype": "article"}]', encoding="utf-8")
+    got = formats.load(spark, str(tmp_path / "a.csv"), {"Record ID": "record_id"}, "record_id").collect()
+    assert [(r.local_id, r.ENTRYTYPE, r.fields) for r in got] == [("1", "misc", {"title": "On things", "year": "2020"}), ("2", "misc", {})]
+    got = formats.load(spark, str(tmp_path / "a.json"), id_column="id").collect()
+    assert [(r.local_id, r.ENTRYTYPE, r.fields) for r in got] == [("7", "article", {"title": "On JSON"})]
+    rows = spark.createDataFrame([("B", "article", "Smith, A", "T2", "2020"), ("A", "misc", None, "T1", None)], "ID string, ENTRYTYPE string, author string, title string, year string")
+    formats.save(rows, str(tmp_path / "out.bib"))
+    assert [(r.local_id, r.fields) for r in formats.read_bib(formats.files(spark, str(tmp_path / "out.bib"))).orderBy("local_id").collect()] == [("A", {"title": "T1"}), ("B", {"author": "Smith, A", "title": "T2", "year": "2020"})]
+    for what in (lambda: formats.load(spark, "x.doc"), lambda: formats.save(rows, "x.doc")):
+        with pytest.raises(NotImplementedError):
+            what()
