@@ -112,3 +112,9 @@ def tei_documents(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": df["id"], **{k: [r[k] for r in rows] for k in ("title", "abstract", "keywords", "authors", "paragraphs", "references", "error")}})
 
     return docs.select("id", "xml").mapInPandas(run, TEI)
+
+
+def incomplete_files(records: DataFrame, found: str) -> DataFrame:
+    """ID, expected, found: files whose number of pages (column ``found``) isn't that of the record's pages, in Arabic or Roman numbers."""
+    expected = T.expected_pages(T.unify_pages(F.col("pages")))
+    return records.filter("pages is not null").withColumn("expected", expected).filter(F.col("expected") != F.col(found)).select("ID", "expected", F.col(found).alias("found"))

@@ -106,6 +106,12 @@ def as_of_rule(facts: DataFrame, rules: DataFrame, key: str, at: str, start: str
     return out.select("_fact.*", *(c(f"_r.{x}").alias(x) for x in rule_cols))
 
 
+def files_by_hash(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records (ID, hash), files (hash, path) -> ID, found: the first path of equal content, if any."""
+    of = files.filter("hash is not null").groupBy("hash").agg(F.min("path").alias("found"))
+    return records.select("ID", "hash").join(of, "hash", "left").select("ID", "found")
+
+
 def foreign_selection(records: DataFrame, condition: str) -> DataFrame:
     """Records of another project that meet a condition given as text, once for all of them; one that can't be read or names unknown fields selects none."""
     try:

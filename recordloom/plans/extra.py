@@ -12,6 +12,7 @@ from recordloom.functions import text as T
 from recordloom.functions.names import parse_names_udf
 from recordloom.functions.similarity import partial_ratio_udf, ratio_udf
 from recordloom.operators import dedupe as D
+from recordloom.operators import fulltext as X
 from recordloom.operators import history as H
 from recordloom.operators import lookup as L
 from recordloom.operators import prep as P
@@ -75,9 +76,9 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose number of pages isn't what the record's pages say."""
-    r = records(spark, sf_dir).filter("file is not null and pages is not null").withColumns({"expected": T.expected_pages(T.unify_pages(c("pages"))), "found": (c("seq") % 12 + 1).cast("int")})
-    return r.filter("expected <> found").select("ID", "expected", "found")
+    """Files whose number of pages isn't what the record's pages say; a text's page has 3,000 characters."""
+    r = records(spark, sf_dir).filter("file is not null").withColumn("found", F.ceil(F.char_length("text") / 3000).cast("int"))
+    return X.incomplete_files(r, "found")
 
 
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "J8_issue_pairs": f"with {pairs} select a_ID, b_ID, sim from s where a_ID < b_ID and sim >= 70",
         "J9_ranked_candidates": f"with {pairs}, x as (select *, row_number() over (partition by a_ID order by sim desc, b_ID) as place from s) select a_ID, b_ID, sim, cast(place as integer) as place, sim > 80 as likely from x where place <= 20",
         "D3_change_score": f"with k as (select ID, lower(title) as a, lower('the ' || substr(title, 3)) as b from r where title is not null) select ID, round(1 - {ratio('a', 'b')} / 100, 6) as change_score from k",
-        "Q29_pdf_incomplete": f"with k as (select ID, {expected} as expected, cast(seq % 12 + 1 as integer) as found from r where file is not null and pages is not null) select ID, cast(expected as integer) as expected, found from k where expected <> found",
+        "Q29_pdf_incomplete": f"with k as (select ID, {expected} as expected, cast(ceil(length(text) / 3000) as integer) as found from r where file is not null and pages is not null) select ID, cast(expected as integer) as expected, found from k where expected <> found",
         "W2_eligible_ids": "select ID from r where status in ('md_imported', 'md_prepared')",
         "W8_origin_order": "select ID, array_to_string(list_sort(string_split(origins, ';')), ';') as origins, cast(len(string_split(origins, ';')) as integer) as n from r",
         "F17_issue_number": "select ID, coalesce(number, case when seq % 2 = 0 then '9' end) as number from r",

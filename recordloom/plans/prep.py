@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as T
 from recordloom.functions.similarity import ratio_bound, ratio_udf
 from recordloom.operators import prep as P
+from recordloom.operators import lookup as L
 from recordloom.operators import provenance as V
 from recordloom.plans.fixtures import records, with_records
 from recordloom.plans.scalars import DOI_SQL, LCS_SQL, UPPER_SQL
@@ -122,10 +123,9 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files found by content: pages whose number has the same hash as a document's number."""
-    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.sha2(c("page_id").cast("string"), 256).alias("hash"), "url")
-    r = records(spark, sf_dir).filter("file is null").select("ID", F.sha2(c("seq").cast("string"), 256).alias("hash"))
-    return r.join(files, "hash", "left").select("ID", c("url").alias("found"))
+    """Records without a file linked to files of the same content, by its hash."""
+    r = records(spark, sf_dir).withColumn("hash", F.sha2(c("text").cast("binary"), 256))
+    return L.files_by_hash(r.filter("file is null"), r.filter("file is not null").select("hash", c("file").alias("path")))
 
 
 def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +188,6 @@ def oracle_sql() -> dict[str, str]:
         "J10_same_issue_key": f"with k as materialized (select ID, status, {KEY_SQL} as key, {TOC_SQL} as toc from r) select a.ID as a_ID, b.ID as b_ID from k a join k b on a.key = b.key and a.toc = b.toc where a.status in ('md_imported', 'md_prepared') and b.status not in ('md_imported', 'md_prepared')",
         "J13_source_rows": f"with o as (select ID, unnest(string_split(origins, ';')) as origin from r) select ID, o.origin, d.n_chars from o left join (select {src} as origin, n_chars from documents) d on d.origin = o.origin",
         "J15_merge_candidates": f"with k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t from r where title is not null), s as (select a.ID as a_ID, b.ID as b_ID, round({ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID) select * from s where sim > 95",
-        "J23_files_by_hash": "select ID, pages.url as found from r left join pages on page_id = seq where file is null",
+        "J23_files_by_hash": "with f as (select sha256(text) as h, min(file) as path from r where file is not null group by 1) select ID, f.path as found from r left join f on f.h = sha256(r.text) where file is null",
         "J24_enrichment": f"with k as materialized (select ID, seq, {DOI_SQL} as doi, title, volume, year from r), m as (select doi, arg_min(title, seq) as title from k where doi is not null and seq % 3 = 0 group by doi), j as (select k.*, m.doi as md, m.title as mt, coalesce({ratio('lower(k.title)', 'lower(m.title)')} >= 50, false) as ok from k left join m on m.doi = k.doi) select ID, case when md is not null and not ok then null else doi end as doi, case when ok and (volume is null or volume in ('', 'UNKNOWN')) then '77' else volume end as volume, case when ok and (year is null or year in ('', 'UNKNOWN')) then '2011' else year end as year, ok as linked from j",
     }.items()}
