@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import kernels as K
 from recordloom.operators.graph import connected_components
-from recordloom.session import materialize, release
+from recordloom.session import free_exchanges, materialize, release
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -457,6 +457,8 @@ def ngram_components(
     flat = materialize(
         shared.groupBy("block").applyInArrow(_candidates(num, den), "doc_id long, n long, eid binary, tokens binary, prefix int"), "op6"
     )
+    del shared
+    free_exchanges(src.sparkSession)  # the shingles' exchanges, most of what this operator moves
     texts = flat.filter("doc_id is not null").select("doc_id", "n", "eid")
     sets = flat.filter("prefix is not null").groupBy("eid").agg(F.min(F.struct("n", "tokens", "prefix")).alias("s")).select("eid", "s.*")
     sets = materialize(sets, "op6-sets")
