@@ -462,14 +462,15 @@ def ngram_components(
     texts = flat.filter("doc_id is not null").select("doc_id", "n", "eid")
     sets = flat.filter("prefix is not null").groupBy("eid").agg(F.min(F.struct("n", "tokens", "prefix")).alias("s")).select("eid", "s.*")
     sets = materialize(sets, "op6-sets")
+    free_exchanges(src.sparkSession)
 
     tokens = sets.select("eid", "tokens", "prefix").mapInArrow(_prefix_tokens, "token long, eid binary")
     tokens = materialize(tokens, "op6-pre")
     heads = tokens.groupBy("token").agg(F.min("eid").alias("head"), F.max("eid").alias("last")).filter("head <> last").select("token", "head")
     parts = connected_components(tokens.join(heads, "token").select("eid", "head"), "eid", "head")
-    placed = sets.join(parts.withColumnRenamed("node", "eid").withColumnRenamed("component", "part"), "eid")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n_part")).withColumnRenamed("component", "part")
-    placed = materialize(placed.join(sizes, "part").select("part", "n_part", "eid", "n", "tokens"), "op6-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n_part"))
+    of = parts.join(sizes, "component").select(F.col("node").alias("eid"), F.col("component").alias("part"), "n_part")
+    placed = materialize(sets.join(of, "eid").select("part", "n_part", "eid", "n", "tokens"), "op6-parts")  # the shingles are exchanged once
     release(sets, tokens, parts)
     n_sets, n_big = placed.agg(F.count("*"), F.count(F.when(F.col("n_part") > block_sets, 1))).first()
     n_groups = int(max(16, -(-n_sets // 1000)))
