@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.decontaminate import leak_report
+from recordloom.llm.divergence import source_divergence
 from recordloom.llm.html_text import extract_main_text
 from recordloom.llm.language_id import document_rows, fit_documents, identify, page_rows
+from recordloom.llm.line_rules import clean_lines
 from recordloom.llm.nearest import nearest
 from recordloom.llm.ngram_join import ngram_components
 from recordloom.llm.pack import pack_tokens
 from recordloom.llm.phrase_dedup import remove_repeats
 from recordloom.llm.shard import histogram_shards
+from recordloom.llm.spelling import spelling_variants
 from recordloom.llm.token_counts import word_piece_counts
 from recordloom.llm.warc_zip import read_archives, write_archives
 
@@ -72,6 +75,18 @@ def op10_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_piece_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(_table(spark, sf_dir, "documents"), with_text=False).drop("n_lines", "n_removed", "lost_words")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -84,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_zip": op8_warc_zip,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_word_piece_counts": op10_word_piece_counts,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_line_rules": op12_line_rules,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -110,5 +128,42 @@ from b left join k on b.digest = k.digest and b.n >= 1000
 """
 
 
+LINES_SQL = r"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
+w as (select k, doc_id, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) as lines from d),
+g as (select k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s, i from (select k, w, unnest(range(1, len(w) - 1)) as i from w)),
+r as (select k, count(distinct p) as n from (select k, i, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by k, s) as m from g) where m > 1) group by k),
+l as (select k, trim(unnest(lines), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as b from w),
+p as (select k, b, length(b) as chars, len(regexp_split_to_array(b, '[ \t-\r]+')) as words, len(regexp_split_to_array(b, '[ \t]+[|»›•·→>/\\]+[ \t]+')) as items, len(regexp_split_to_array(b, '[!?]{2,}')) - 1 as runs,
+        length(regexp_replace(b, '[ \t-\r\p{L}\p{N}\p{M}]+', '', 'g')) as marks from l),
+x as (select k, sum(words) as words from p where items >= 3 and words - (items - 1) <= 3 * items
+    or chars <= 40 and regexp_matches(b, '(?i)^(home|menu|search|next|previous|prev|back|top|skip to [a-z ]+|read more|more|click here|share|print|reply|log ?in|sign ?(in|up|out)|register|contact( us)?|about( us)?|sitemap|[<«‹]+.*|.*[>»›]+)$')
+    or chars <= 240 and regexp_matches(b, '(?i)(^|[^a-zA-Z])(all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|copyright *[0-9]{4}|licen[sc]ed under|released under|terms of (use|service)|privacy policy|cookie|enable javascript|powered by|lorem ipsum|subscribe to|newsletter|spdx-license|© *[0-9]{4}|\(c\) *[0-9]{4})')
+    or marks > 0.3 * chars or runs >= 3 and runs * 3 >= words or chars < 20 and words < 3 and not regexp_matches(b, '[.!?:;,…。！？：；،؟।"''”’»)\]]$') group by k),
+c as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+        coalesce(r.n, 0) as n_repeat_words, coalesce(x.words, 0) as lost from w left join r using (k) left join x using (k))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= 0.3::double * n_words as kept from c
+"""
+
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+g as (select distinct lang, source from d),
+v as (select lang, term, count(*) as n from t group by lang, term having count(distinct k) >= 10),
+l as (select lang, count(*) as v, sum(n) as n from v group by lang),
+x as (select t.lang, t.source, t.term, count(*) as n from t join v on t.lang = v.lang and t.term = v.term group by all),
+s as (select lang, source, sum(n) as n from x group by all),
+p as (select g.lang, g.source, v.term, coalesce(x.n, 0) as n,
+        cast(1 + (1000000000::hugeint * (coalesce(x.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) as bigint) as p, cast(1 + (1000000000::hugeint * (v.n + 2)) // (l.n + 2 * l.v) as bigint) as q
+      from g join v on g.lang = v.lang join l on l.lang = g.lang left join s on s.lang = g.lang and s.source = g.source left join x on x.lang = g.lang and x.source = g.source and x.term = v.term),
+f as (select a.lang, a.source, b.source as item, cast(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from p where n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+select lang, source, part, item, value, cast(rank as integer) as rank from o where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest_neighbours": NEAREST_SQL, "op8_warc_zip": WARC_SQL}
+    return {"op2_nearest_neighbours": NEAREST_SQL, "op8_warc_zip": WARC_SQL, "op12_line_rules": LINES_SQL, "op13_source_divergence": DIVERGENCE_SQL}
