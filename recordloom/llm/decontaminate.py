@@ -36,29 +36,47 @@ MATCH = "doc_id long, item_id long, start long, end long, edits int"
 BLOCK, LOOK, HITS, POOL = 1 << 20, 1 << 16, 1 << 20, 4096
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each position as one integer (a view)."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q bytes (8 at most) at each position as one integer."""
+    if len(data) < q:
         return np.zeros(0, dtype=np.uint64)
-    return np.ndarray((len(data) - Q + 1,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    if q == 8:
+        return np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    padded = np.concatenate([data, np.zeros(8 - q, dtype=np.uint8)])
+    return np.ndarray((len(data) - q + 1,), dtype="<u8", buffer=padded, strides=(1,)) & np.uint64((1 << 8 * q) - 1)
+
+
+def gram_length(m: int, k: int) -> int:
+    """The longest q up to 8 at which an item of m bytes with k edits still shares a q-gram: m + 1 - q - k q is 1 or more."""
+    return min(Q, m // (k + 1))
+
+
+def indexes(items: list[tuple[int, str]], edit_rate: float) -> list[ItemIndex]:
+    """The items by the length of their q-grams, 8 but for short ones."""
+    by_q: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+    for i, t in items:
+        if i is not None and t:
+            data = PLAIN[np.frombuffer(t.encode(), dtype=np.uint8)]
+            if q := gram_length(len(data), int(len(data) * edit_rate)):
+                by_q[q].append((i, data))
+    return [ItemIndex(kept, edit_rate, q) for q, kept in sorted(by_q.items())]
 
 
 class ItemIndex:
-    """q-grams of the items with edit budgets and lemma bounds; items shorter than q bytes have no q-gram and are left out."""
+    """q-grams of the items with edit budgets and lemma bounds."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float):
-        kept = [(i, PLAIN[np.frombuffer(t.encode(), dtype=np.uint8)]) for i, t in items if i is not None and t is not None and len(t.encode()) >= Q]
+    def __init__(self, kept: list[tuple[int, np.ndarray]], edit_rate: float, q: int):
+        self.q = q
         self.ids = [i for i, _ in kept]
         self.data = [d for _, d in kept]
         self.m = np.array([len(d) for d in self.data], dtype=np.int64)
-        # the bound must stay at 1 or more, which also limits the budget of very short items
-        self.k = np.minimum((self.m * edit_rate).astype(np.int64), (self.m - Q) // Q)
-        self.bound = self.m + 1 - Q - self.k * Q
+        self.k = (self.m * edit_rate).astype(np.int64)
+        self.bound = self.m + 1 - q - self.k * q
         self.shift = np.array([max(4, int(k).bit_length()) for k in self.k], dtype=np.int64)  # band width 2**shift > k
-        self.reach = int((self.m + self.k).max()) if kept else 0
-        gram = np.concatenate([grams(d) for d in self.data]) if kept else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(kept)), self.m - Q + 1)
-        at = np.concatenate([np.arange(n - Q + 1) for n in self.m]) if kept else np.zeros(0, np.int64)
+        self.reach = int((self.m + self.k).max())
+        gram = np.concatenate([grams(d, q) for d in self.data])
+        item = np.repeat(np.arange(len(kept)), self.m - q + 1)
+        at = np.concatenate([np.arange(n - q + 1) for n in self.m])
         order = np.lexsort((at, item, gram))
         gram, item, at = gram[order], item[order], at[order]
         first = np.flatnonzero(K.starts_of_runs(gram, item, at >> self.shift[item]))
@@ -80,7 +98,7 @@ class ItemIndex:
 
     def bands(self, data: np.ndarray, off: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, item number, first diagonal of the band in the text) that reach the bound; data begins at byte ``base`` of its first text."""
-        g = grams(data)
+        g = grams(data, self.q)
         none = np.zeros(0, np.int64)
         if not len(g) or not len(self.gram):
             return none, none, none
@@ -89,9 +107,15 @@ class ItemIndex:
         ok = self.gram[at] == g[pos]
         pos, at = pos[ok], at[ok]
         doc = np.searchsorted(off, pos, "right") - 1
-        inside = pos + Q <= off[doc + 1]  # not across two texts
+        inside = pos + self.q <= off[doc + 1]  # not across two texts
         pos, at, doc = pos[inside], at[inside], doc[inside]
-        rel = pos - off[doc] + base
+        rel = pos - off[doc]
+        # fields of a key: text number, item number, band; bands are counted from the window's own beginning, so their number doesn't grow with the text
+        origin = base >> self.shift
+        item_bits, band_bits = max(1, len(self.ids)).bit_length(), (int(len(data) + self.m.max()) >> 4).bit_length() + 2
+        if len(off).bit_length() + item_bits + band_bits > 63:
+            raise OverflowError("a window's texts, items and bands don't fit a key")
+        half = 1 << (band_bits - 1)
         keys, counts = none, none
         for i, j in K.chunks(np.concatenate([[0], np.cumsum(self.count[at])]), HITS):
             n = self.count[at[i:j]]
@@ -99,11 +123,10 @@ class ItemIndex:
             entry = np.repeat(self.first[at[i:j]] - (np.cumsum(n) - n), n) + np.arange(len(row))
             item = self.item[entry]
             shift = self.shift[item]
-            diag = rel[row] - self.at[entry]
+            diag = rel[row] + (base - (origin[item] << shift)) - self.at[entry]
             band = diag >> shift
             low = ((diag - (band << shift)) < self.k[item]) | self.dense[entry]  # then it is (or another of its stretch may be) also in the overlap of the band before
-            # 24 bits of text number, 19 of item number, 20 of band
-            key = (doc[row] << 39) | (item << 20) | (band + (1 << 19))
+            key = (doc[row] << (item_bits + band_bits)) | (item << band_bits) | (band + half)
             key, row = np.concatenate([key, key[low] - 1]), np.concatenate([row, row[low]])
             order = np.lexsort((row, key))
             key = key[order]
@@ -112,9 +135,9 @@ class ItemIndex:
             n = np.diff(np.append(first, len(key)))
             keys, back = np.unique(np.concatenate([keys, key[first]]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-        doc, item, band = keys >> 39, (keys >> 20) & ((1 << 19) - 1), (keys & ((1 << 20) - 1)) - (1 << 19)
+        doc, item, band = keys >> (item_bits + band_bits), (keys >> band_bits) & ((1 << item_bits) - 1), (keys & ((1 << band_bits) - 1)) - half
         many = counts >= self.bound[item]
-        return doc[many], item[many], (band << self.shift[item])[many]
+        return doc[many], item[many], ((band + origin[item]) << self.shift[item])[many]
 
     def align(self, found: list[tuple[np.ndarray, int, int]]) -> list[tuple[int, int, int] | None]:
         """For each (text, item, first diagonal of a band) the best place (start, end, edits) of the item on the band's diagonals, if within budget."""
@@ -190,34 +213,37 @@ def _windows(off: np.ndarray, reach: int) -> Iterator[tuple[int, int, int, int]]
 
 def _scan(items: list[tuple[int, str]], edit_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, edit_rate)
+        found_by = indexes(items, edit_rate)
 
-        def verified(pool: list[tuple[int | None, int, np.ndarray, int, int]]) -> pa.RecordBatch:
-            """pool: (doc_id, row, text, item, diagonal)."""
-            places = index.align([x[2:] for x in pool])
-            rows = sorted({(row, doc, index.ids[j], *place) for (doc, row, _, j, _), place in zip(pool, places) if place})
+        def verified(pool: list[tuple[int | None, int, int, np.ndarray, int, int]]) -> pa.RecordBatch:
+            """pool: (doc_id, row, index, text, item, diagonal)."""
+            rows = set()
+            for x, index in enumerate(found_by):
+                own = [p for p in pool if p[2] == x]
+                rows.update((row, doc, index.ids[j], *place) for (doc, row, _, _, j, _), place in zip(own, index.align([p[3:] for p in own])) if place)
             types = [pa.int64()] * 4 + [pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([r[c + 1] for r in rows], t) for c, t in enumerate(types)], names=["doc_id", "item_id", "start", "end", "edits"])
+            return pa.RecordBatch.from_arrays([pa.array([r[c + 1] for r in sorted(rows)], t) for c, t in enumerate(types)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        pool: list[tuple[int | None, int, np.ndarray, int, int]] = []
+        pool: list[tuple[int | None, int, int, np.ndarray, int, int]] = []
         seen = 0
         for batch in batches:
             data, off = K.buffers(batch.column(1))
-            found: set[tuple[int, int, int]] = set()
-            for lo, hi, s, e in _windows(off, index.reach):
-                own = off[lo : hi + 1] - off[lo] if hi - lo > 1 else np.array([0, e - s])
-                doc, item, diag = index.bands(PLAIN[data[s:e]], own, s - int(off[lo]) if hi - lo == 1 else 0)
-                found.update(zip((lo + doc).tolist(), item.tolist(), diag.tolist()))
+            found: set[tuple[int, int, int, int]] = set()
+            for x, index in enumerate(found_by):
+                for lo, hi, s, e in _windows(off, index.reach):
+                    own = off[lo : hi + 1] - off[lo] if hi - lo > 1 else np.array([0, e - s])
+                    doc, item, diag = index.bands(PLAIN[data[s:e]], own, s - int(off[lo]) if hi - lo == 1 else 0)
+                    found.update(zip((lo + doc).tolist(), [x] * len(doc), item.tolist(), diag.tolist()))
             row, text = -1, data[:0]
-            for doc, item, diag in sorted(found):
+            for doc, x, item, diag in sorted(found):
                 if doc != row:  # the rows of one text are verified together, so none is reported twice
                     if len(pool) >= POOL:
                         yield verified(pool)
                         pool = []
                     row, text = doc, PLAIN[data[off[doc] : off[doc + 1]]]
-                pool.append((batch.column(0)[doc].as_py(), seen + doc, text, item, diag))
+                pool.append((batch.column(0)[doc].as_py(), seen + doc, x, text, item, diag))
             seen += batch.num_rows
-            if sum(len(x[2]) for x in pool) > 16 * BLOCK:
+            if sum(len(p[3]) for p in pool) > 16 * BLOCK:
                 yield verified(pool)
                 pool = []
         if pool:
@@ -230,8 +256,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.1, bl
     """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> a row for each place of a text that holds an item with at most
     ``edit_rate`` of its bytes edited: doc_id, item_id, start, end (bytes), edits.
 
-    Null or empty texts and items match nothing; items shorter than 8 bytes are left out. Rows without doc_id
-    are left out; rows that repeat a doc_id each report their places. Empty tables give no rows.
+    Null or empty texts and items match nothing; items of any other length are looked up with their whole budget (short ones by shorter q-grams, under 10 bytes without an edit). Rows without
+    doc_id are left out; rows that repeat a doc_id each report their places. Of equally good places on a band of diagonals the first is reported. A text
+    of any length is looked up in windows and held whole by its task. Other columns don't matter. Empty tables give no rows.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()

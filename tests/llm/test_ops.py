@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recordloom.llm.decontaminate import ItemIndex, find_leaks, leak_report
+from recordloom.llm.decontaminate import find_leaks, leak_report
 from recordloom.llm.html_text import extract, extract_main_text
 from recordloom.llm.language_id import address_parts, document_rows, fit, fit_documents, fit_sample, identify, markup_language
 from recordloom.llm.nearest import nearest
@@ -199,8 +199,7 @@ def test_find_leaks(spark):
         rows.append((d, prose(rng, 30) + "\n" + "".join(text).upper() + " " + prose(rng, 30)))
     rows += [(100, None), (101, ""), (102, prose(rng, 200))]
     got = {(r.doc_id, r.item_id): r.edits for r in leak_report(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    index = ItemIndex(items, 0.1)
-    budget = dict(zip(index.ids, index.k.tolist()))
+    budget = {i: len(x.encode()) // 10 for i, x in items if x}
     want = {}
     for d, t in rows:
         for i, x in items:
@@ -245,6 +244,37 @@ def test_find_leaks_in_windows_and_slices(monkeypatch):
     assert scan(items, rows) == whole
 
 
+def test_find_leaks_far_into_a_text():
+    """Items at both ends of 20 MB and about byte 8 Mi, many of them and one alone."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 25)) for i in range(5)]
+    text = bytearray(b"\n" * 20_000_000)
+    at = {0: 0, 1: 8_388_607, 2: 8_388_608 + 1000, 3: 8_388_609 + 5000, 4: len(text) - len(items[4][1].encode())}
+    for i, x in items:
+        raw = x.encode().replace(b" ", b"_", 1)
+        text[at[i] : at[i] + len(raw)] = raw
+    rows = [(7, text.decode())]
+    want = [(7, i, at[i], at[i] + len(x.encode()), 1) for i, x in items]
+    assert sorted(scan(items, rows)) == want
+    assert scan(items[3:4], rows) == want[3:4]
+
+
+def test_find_leaks_of_short_items():
+    """Items of one to forty bytes, whole and with their budget of edits."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for m in [*range(1, 42), 60]:
+        item = "".join(rng.choice(letters) for _ in range(m))
+        k = m // 10
+        wrong, over = list(item), list(item)
+        for j in range(k):
+            wrong[(2 * j + 1) * m // (2 * k)] = "#"
+        for j in range(k + 1):
+            over[(2 * j + 1) * m // (2 * k + 2)] = "#"
+        rows = [(1, f"0123 {item} 4567"), (2, f"0123 {''.join(wrong)} 4567"), (3, f"0123 {''.join(over)} 4567"), (4, "")]
+        assert {(r[0], r[4]) for r in scan([(1, item)], rows)} == {(1, 0), (2, k)}, m
+
+
 def test_find_leaks_in_repetitive_text_stays_small():
     """A million bytes of the letters that an item repeats: no place's hits are spelled out one by one."""
     import resource

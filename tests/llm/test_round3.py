@@ -169,7 +169,7 @@ def test_rules_of_lines(spark):
 
 
 def test_clean_text(spark):
-    body = "\n".join(f"Sentence number {i} says something new about {'abcdefghij'[i]} today." for i in range(10))
+    body = "\n".join(" ".join(f"{w}{i}" for w in "every line has words of its own".split()) + "." for i in range(10))
     text = f"Home | News | About\n{body}\n\nAll rights reserved."
     r = clean_lines(docs(spark, [(1, text, "en", "a"), (2, None, "en", "a")])).orderBy("doc_id").collect()
     assert r[0].clean_text == body and r[0].kept and r[0].n_removed == 2 and r[0].lost_words == 8 and r[0].n_lines == 12
