@@ -24,8 +24,8 @@ def _known(f: str) -> Column:
 
 
 def clean_characters(records: DataFrame) -> DataFrame:
-    """White space of the text fields as single spaces, without tags and character references."""
-    return records.withColumns({f: F.regexp_replace(F.regexp_replace(f, r"\s+", " "), "<[^>]*>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});", "") for f in TEXT_FIELDS})
+    """White space of the text fields as single spaces, without tags; character references stay."""
+    return records.withColumns({f: F.regexp_replace(F.regexp_replace(f, r"\s+", " "), "<[^>]*>", "") for f in TEXT_FIELDS})
 
 
 def impute_year(records: DataFrame, date: str = "date") -> DataFrame:

@@ -11,7 +11,9 @@ from recordloom.functions import text as T
 from recordloom.functions.similarity import ratio_bound, ratio_udf
 from recordloom.operators.graph import connected_components
 from recordloom.operators.quality import checks
+from recordloom.operators.similar import classes, most_similar, similar_sets, word_tokens
 from recordloom.schema import POST, RANK
+from recordloom.session import materialize
 
 # fixed values: titles that many records share
 GENERIC_TITLES = ["editorial", "editorial introduction", "editorial notes", "editor's comments", "book reviews", "editorial note", "reviewer ackowledgment"]
@@ -60,7 +62,7 @@ def pair_similarity(pairs: DataFrame) -> DataFrame:
     s["outlet"] = F.when(both("s_outlet"), c("_outlet")).otherwise(0.0)
     generic = c("a_s_plain_title").isin(GENERIC_TITLES) & c("b_s_plain_title").isin(GENERIC_TITLES)
     value = F.when(both("s_journal") & generic, _weighted(s, GENERIC_WEIGHTS)).when(both("s_journal"), _weighted(s, ARTICLE_WEIGHTS)).otherwise(_weighted(s, OTHER_WEIGHTS))
-    return with_sims.withColumn("similarity", F.bround(value, 4)).drop(*(f"_{k}" for k in sims))
+    return with_sims.withColumn("similarity", F.bround(F.round(value, 10), 4)).drop(*(f"_{k}" for k in sims))
 
 
 def pairs_on(records: DataFrame, keys: dict[str, Column], carry: list[str], max_block: int | None = None) -> DataFrame:
@@ -122,12 +124,51 @@ def _issue_similarity() -> Column:
     return F.round(0.4 * ratio_udf("aa", "ba") + 0.6 * ratio_udf("at", "bt"), 4)
 
 
-def best_match(records: DataFrame, keys: dict[str, Column], threshold: float) -> DataFrame:
-    """The most similar other record among those that share one of the keys: a_ID, b_ID, similarity; the smaller ID of equals, none under ``threshold``."""
-    r = comparable(records)
-    pairs = pair_similarity(pairs_on(r, keys, ["ID", *(x for x in r.columns if x.startswith("s_"))])).filter(c("similarity") >= threshold).select("a_ID", "b_ID", "similarity")
-    both = pairs.unionByName(pairs.select(c("b_ID").alias("a_ID"), c("a_ID").alias("b_ID"), "similarity"))
-    return both.groupBy("a_ID").agg(F.min_by("b_ID", F.struct(-c("similarity"), c("b_ID"))).alias("b_ID"), F.max("similarity").alias("similarity"))
+COMPARED = ["s_author", "s_title", "s_plain_title", "s_year", "s_outlet", "s_volume", "s_number", "s_journal"]
+
+
+def _title_tokens() -> Column:
+    """What titles are joined by: their words; a title that many records share stands for its issue only, since in others it is never a match."""
+    generic = c("s_plain_title").isin(GENERIC_TITLES)
+    return F.when(generic, F.array(F.concat_ws("|", F.lit("|"), "s_volume", "s_number"))).otherwise(word_tokens(c("s_title")))
+
+
+def fuzzy_duplicates(records: DataFrame, alike: float = 0.7, duplicate: float = 0.9, maybe: float = 0.7) -> DataFrame:
+    """Records that may be the same work, over all records: a_ID, b_ID (a_ID < b_ID), similarity, label (duplicate or maybe).
+
+    Records equal in type and all compared fields are one class and each linked with its smallest ID. Between classes those pairs are compared whose titles'
+    words have a Jaccard coefficient of ``alike`` or more; pairs by their smallest IDs. Labels as in pair_labels. Records without a word in the title, and those without an author, match nothing.
+    """
+    r = comparable(records).filter("s_title <> '' and s_author <> '' and not (ENTRYTYPE <=> 'proceedings')").select("ID", "ENTRYTYPE", *COMPARED)
+    same = ["ENTRYTYPE", *COMPARED]
+    heads = materialize(r.groupBy(*same).agg(F.min("ID").alias("head")), "duplicate-classes")
+    on = [r[x].eqNullSafe(heads[x]) for x in same]
+    equal = F.when(r["s_outlet"] == "", 0.95).otherwise(1.0)  # what pair_similarity gives for equal records
+    copies = r.join(heads, on).filter("ID <> head").select(c("head").alias("a_ID"), c("ID").alias("b_ID"), equal.alias("similarity"), F.lit("duplicate").alias("label"))
+    sets = heads.select(c("head").alias("ID"), _title_tokens().alias("tokens"))
+    members, entities = classes(sets)
+    met = similar_sets(entities, alike).select("a", "b")
+    # heads of one title's set: each pair once, by an equi-join; heads of two sets: through their sets' pairs
+    m = materialize(members, "duplicate-sets")
+    a, b = m.select(c("entity").alias("a"), c("ID").alias("x")), m.select(c("entity").alias("b"), c("ID").alias("y"))
+    within = a.join(b, c("a") == c("b")).filter("x < y").select("x", "y")
+    across = met.join(a, "a").join(b, "b").select("x", "y")
+    pairs = within.unionByName(across).select(F.least("x", "y").alias("a_ID"), F.greatest("x", "y").alias("b_ID"))
+    side = lambda n: heads.select(c("head").alias(f"{n}_ID"), *(c(x).alias(f"{n}_{x}") for x in same))
+    labelled = pair_labels(pairs.join(side("a"), "a_ID").join(side("b"), "b_ID"), duplicate, maybe).filter("label <> 'distinct'")
+    return labelled.select("a_ID", "b_ID", "similarity", "label").unionByName(copies)
+
+
+def best_of_all(records: DataFrame, threshold: float = 0.5, k: int = 5, bounds: tuple[float, ...] = (0.8, 0.6, 0.4)) -> DataFrame:
+    """The most similar other record over all records: a_ID, b_ID, similarity; the smaller ID of equals, none under ``threshold``.
+
+    Of each record the ``k`` others are compared whose titles' words are most alike, down to the last of ``bounds``.
+    """
+    r = comparable(records).select("ID", *COMPARED)
+    near = most_similar(r.select("ID", word_tokens(c("s_title")).alias("tokens")), k, bounds).select(c("ID").alias("a_ID"), c("other").alias("b_ID"))
+    side = lambda n: r.select(c("ID").alias(f"{n}_ID"), *(c(x).alias(f"{n}_{x}") for x in COMPARED))
+    pairs = pair_similarity(near.join(side("a"), "a_ID").join(side("b"), "b_ID")).filter(c("similarity") >= threshold)
+    return pairs.groupBy("a_ID").agg(F.min_by("b_ID", F.struct(-c("similarity"), c("b_ID"))).alias("b_ID"), F.max("similarity").alias("similarity"))
 
 
 def cross_level_veto(a: str = "a_ENTRYTYPE", b: str = "b_ENTRYTYPE") -> Column:

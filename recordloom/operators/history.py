@@ -13,11 +13,9 @@ c = F.col
 
 def unique_suffix(n: Column) -> Column:
     """"" for 1, then a, b, ..., z, aa, ...: the suffix of the n-th record of a base id."""
-    k = n - 2
-    letter = lambda x: F.char((x + 97).cast("int"))
-    return F.when(n == 1, "").when(k < 26, letter(k)).when(k < 702, F.concat(letter(F.floor(k / 26) - 1), letter(k % 26))).otherwise(
-        F.concat(letter(F.floor((k - 702) / 676)), letter(F.floor((k - 702) / 26) % 26), letter((k - 702) % 26))
-    )
+    step = lambda a, _: F.when(a["k"] <= 0, a).otherwise(F.struct(F.floor((a["k"] - 1) / 26).cast("long").alias("k"), F.concat(F.char((97 + (a["k"] - 1) % 26).cast("int")), a["s"]).alias("s")))
+    # fourteen letters number more than a long can hold
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct((n - 1).cast("long").alias("k"), F.lit("").alias("s")), step, lambda a: a["s"])
 
 
 def unique_ids(records: DataFrame, base: Column, order: str = "seq") -> DataFrame:

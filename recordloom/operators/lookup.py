@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
+from recordloom.operators.dedupe import COMPARED, comparable, pair_labels
+from recordloom.operators.similar import similar_between, word_tokens
 
 c = F.col
 
@@ -31,16 +33,25 @@ def first_hit(records: DataFrame, index: DataFrame, keys: dict[str, Column]) ->
     return records.select("ID").join(hits, "ID", "left").select("ID", c("h.index_id").alias("index_id"), F.get(names, c("h.kind")).alias("via"))
 
 
-def toc_status(records: DataFrame, index: DataFrame) -> DataFrame:
-    """ID, toc_key, result: found (with index_id), not-in-toc (the issue is known but not the title) or not-in-index."""
+def toc_status(records: DataFrame, index: DataFrame, alike: float = 0.7, duplicate: float = 0.9) -> DataFrame:
+    """ID, toc_key, index_id, result: found, not-in-toc (the issue is known but not the record) or not-in-index.
+
+    A record is found by its title in its issue, or else as a duplicate (similarity of ``duplicate`` or more) of a record of the issue whose title's words have a Jaccard
+    coefficient of ``alike`` or more: the most similar one, of equals the smallest ID.
+    """
     keyed = lambda df: df.select("ID", "seq", T.toc_key().alias("toc_key"), T.slug(c("title")).alias("title_key"))
     of = keyed(index).filter("toc_key is not null")
     titles = of.groupBy("toc_key", "title_key").agg(F.min_by("ID", "seq").alias("index_id"))
     tocs = of.select("toc_key").distinct().withColumn("known", F.lit(True))
-    return (
-        keyed(records).filter("toc_key is not null").join(titles, ["toc_key", "title_key"], "left").join(tocs, "toc_key", "left")
-        .select("ID", "toc_key", "index_id", F.when(c("index_id").isNotNull(), "found").when(c("known"), "not-in-toc").otherwise("not-in-index").alias("result"))
-    )
+    exact = keyed(records).filter("toc_key is not null").join(titles, ["toc_key", "title_key"], "left").join(tocs, "toc_key", "left")
+    # words of titles, each with its issue: only records of one issue share any
+    issue_words = lambda df: df.withColumn("toc_key", T.toc_key()).filter("toc_key is not null").select("ID", F.transform(word_tokens(c("title")), lambda w: F.concat("toc_key", F.lit("|"), w)).alias("tokens"))
+    near = similar_between(issue_words(records), issue_words(index), alike).select("a_ID", "b_ID")
+    side = lambda df, n: comparable(df).select(*(c(x).alias(f"{n}_{x}") for x in ("ID", "ENTRYTYPE", *COMPARED)))
+    pairs = pair_labels(near.join(side(records, "a"), "a_ID").join(side(index, "b"), "b_ID"), duplicate=duplicate).filter("label = 'duplicate'")
+    best = pairs.groupBy(c("a_ID").alias("ID")).agg(F.min_by("b_ID", F.struct(-c("similarity"), c("b_ID"))).alias("near_id"))
+    out = exact.join(best, "ID", "left").withColumn("index_id", F.coalesce("index_id", "near_id"))
+    return out.select("ID", "toc_key", "index_id", F.when(c("index_id").isNotNull(), "found").when(c("known"), "not-in-toc").otherwise("not-in-index").alias("result"))
 
 
 def same_outlet(records: DataFrame, index: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
     best = lambda v: "list_max([" + ", ".join(f"struct_pack(n := {count(v, own)}, o := {-i}, l := '{lang}')" for i, (lang, own) in enumerate(C.COMMON_WORDS.items())) + "])"
     lang = lambda v: f"case when {best(v)}.n >= 2 then {best(v)}.l end"
     known = "(title is not null and title not in ('', 'UNKNOWN'))"
-    clean = lambda v: f"regexp_replace(regexp_replace({v}, '\\s+', ' ', 'g'), '<[^>]*>|&([a-z0-9]+|#[0-9]{{1,6}}|#x[0-9a-f]{{1,6}});', '', 'g')"
+    clean = lambda v: f"regexp_replace(regexp_replace({v}, '\\s+', ' ', 'g'), '<.*?>', '', 'g')"
     return {k: with_records(v) for k, v in {
         "F23f_clean_characters": f"select ID, {clean("'<b>A</b>  &amp; ' || coalesce(title, '')")} as title, {clean('author')} as author, coalesce(year, '2019') as year from r",
         "P21_language_filter": f"""with t as (select ID, language, case when ENTRYTYPE = 'online' then title || ' [der Titel und die Arbeit]' else title end as title from r),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.plans.fixtures import records, with_records
@@ -89,6 +89,28 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.standard_columns(formats.read_ris(texts), ["author", "year", "journal", "volume", "doi"]).select(c("source").alias("ID"), "author", "year", "journal", "volume", "doi")
 
 
+def _written(records: DataFrame, text: Column, suffix: str) -> str:
+    """Record texts as files in the shared folder: where they are."""
+    path = f"{shared_dir(records.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}.{suffix}"
+    formats.write_text(records, text, path)
+    return path
+
+
+def s5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to BibTeX files, which are read in byte ranges."""
+    r = records(spark, sf_dir)
+    got = formats.load(spark, _written(r, formats.bib_text(["author", "title", "year", "doi"]), "bib"))
+    return formats.standard_columns(got, ["author", "title", "year", "doi"]).select(c("local_id").alias("ID"), "ENTRYTYPE", "author", "year", "doi")
+
+
+def s10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to RIS files, which are read in byte ranges."""
+    r = records(spark, sf_dir).filter("journal is not null")
+    text = F.concat(F.lit("TY  - JOUR\nID  - "), "ID", F.lit("\n"), F.regexp_replace(formats.ris_text(), "^TY.*\n", ""), F.lit("\n"))
+    got = formats.load(spark, _written(r, text, "ris"))
+    return formats.standard_columns(got, ["author", "year", "journal", "volume", "doi"]).select(c("local_id").alias("ID"), "author", "year", "journal", "volume", "doi")
+
+
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = records(spark, sf_dir).select(F.concat(F.lit("f"), (c("seq") % 5).cast("string")).alias("source"), formats.bib_text(["title", "year"]).alias("content"))
     return formats.count_records(texts, "bib")
@@ -103,7 +125,7 @@ def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "T1_feed_upsert": t1, "T2_time_variant": t2, "T4_change_classes": t4, "T9_stream_latest": t9, "T10_windowed_counts": t10, "K1_bib": k1, "K2_markdown": k2, "K3_ris": k3, "K5_partial_save": k5,
-        "S4_count_records": s4, "S5_bib_round_trip": s5, "S10_ris_round_trip": s10, "S18_detect_source": s18,
+        "S4_count_records": s4, "S5_bib_round_trip": s5, "S5_bib_files": s5_files, "S10_ris_files": s10_files, "S10_ris_round_trip": s10, "S18_detect_source": s18,
     }
 
 
@@ -135,6 +157,8 @@ def oracle_sql() -> dict[str, str]:
         "K5_partial_save": "select ID, seq, title, case when seq % 5 = 0 then '1900' else year end as year from r union all select 'X1', -1, 'new', '2000'",
         "S4_count_records": "select 'f' || cast(seq % 5 as string) as source, count(*) as n from r group by 1",
         "S5_bib_round_trip": "select ID, ENTRYTYPE, author, year, doi from r",
+        "S5_bib_files": "select ID, ENTRYTYPE, author, year, doi from r",
+        "S10_ris_files": "select ID, nullif(author, 'UNKNOWN') as author, nullif(year, 'UNKNOWN') as year, journal, nullif(volume, 'UNKNOWN') as volume, nullif(doi, 'UNKNOWN') as doi from r where journal is not null",
         "S10_ris_round_trip": "select ID, nullif(author, 'UNKNOWN') as author, nullif(year, 'UNKNOWN') as year, journal, nullif(volume, 'UNKNOWN') as volume, doi from r where journal is not null",
         "S18_detect_source": """with d as (select ID || '.bib' as source, unnest(case seq % 4 when 0 then [struct_pack(database := 'scopus', confidence := 1.0::double)] when 1 then [struct_pack(database := 'ieee', confidence := 0.9::double), struct_pack(database := 'unknown_source', confidence := 0.1::double)]
             when 2 then [struct_pack(database := 'web_of_science', confidence := 0.7::double), struct_pack(database := 'unknown_source', confidence := 0.1::double)] else [struct_pack(database := 'unknown_source', confidence := 0.1::double)] end) as d from r)

@@ -16,7 +16,7 @@ _STATE = " ".join(f"when {i} then '{s}'" for i, s in enumerate(STATES[1:]))
 RECORDS = f"""
 select
   'R' || lpad(cast(doc_id as string), 7, '0') as ID, doc_id as seq,
-  case k % 10 when 0 then 'inproceedings' when 1 then 'book' when 2 then 'phdthesis' when 3 then 'misc' when 4 then 'online' when 5 then 'inproceedings' else 'article' end as ENTRYTYPE,
+  case when k = 52 then 'inbook' when k = 53 then 'proceedings' else case k % 10 when 0 then 'inproceedings' when 1 then 'book' when 2 then 'phdthesis' when 3 then 'misc' when 4 then 'online' when 5 then 'inproceedings' else 'article' end end as ENTRYTYPE,
   case k when 7 then case when lang = 'en' then upper(head) else head end when 11 then 'doi:10.1000/' || cast(doc_id as string) when 13 then head || '...' when 17 then '12345 678 90'
     when 19 then null when 23 then 'UNKNOWN' when 29 then head || ' - Research Paper' when 36 then 'The Journal of src' || cast(cast(floor(doc_id / 7) as bigint) % 11 as string) when 37 then 'Study_of.things2' when 38 then 'Editorial' else head end as title,
   case k when 5 then null when 8 then 'UNKNOWN' when 14 then '{{{{Open Source Group}}}}' when 21 then 'Smith, John and others' when 26 then 'SMITH, JOHN AND LEE, KIM' when 33 then 'Jones, Ann, and Lee, K.'

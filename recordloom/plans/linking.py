@@ -53,6 +53,16 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.journal_ranking(records(spark, sf_dir), _rankings(spark))
 
 
+def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that may be the same work, over all records."""
+    return D.fuzzy_duplicates(records(spark, sf_dir))
+
+
+def j7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of records that are duplicates by their fields."""
+    return D.components(D.fuzzy_duplicates(records(spark, sf_dir)).filter("label = 'duplicate'")).select("ID", "component")
+
+
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.global_id_classes(records(spark, sf_dir))
 
@@ -166,12 +176,58 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "J1_first_hit": j1, "J2_toc_lookup": j2, "J3_toc_prefix": j3, "J4_year_of_toc": j4, "J5_fields_to_remove": j5, "J6_journal_ranking": j6, "J11_global_id_pairs": j11,
+        "J1_first_hit": j1, "J2_toc_lookup": j2, "J3_toc_prefix": j3, "J4_year_of_toc": j4, "J5_fields_to_remove": j5, "J6_journal_ranking": j6, "J7_fuzzy_duplicates": j7, "J7_duplicate_groups": j7_groups, "J11_global_id_pairs": j11,
         "J12_origin_intersection": j12, "J16_cross_set_match": j16, "J18_import_decisions": j18, "J20_year_from_issue": j20, "J21_as_of_rule": j21, "J22_table_diff": j22,
         "D1_candidates": d1, "D2_record_similarity": d2, "D4_pair_labels": d4, "D7_merge_pairs": d7, "D12_fixed_clusters": d12, "D5_components": d5, "D8_pair_vetoes": d8, "D10_merged_records": d10, "D15_toc_items": d15, "M2_origins_status": m2, "M10_diff": m10,
     }
 
 
+def compared(fields: str = "") -> str:
+    """The fields that similarity compares (and further ones), as a table s of records."""
+    blank = lambda f: f"(case when {f} is null or {f} = 'UNKNOWN' then '' else {f} end)"
+    outlet = f"({blank('journal')} || {blank('booktitle')})"
+    words = f"string_split({outlet}, ' ')"
+    short = f"list_min(list_transform(string_split(replace({outlet}, '.', ''), ' '), lambda w: length(w)))"
+    out_sql = f"(case when (upper({outlet}) = {outlet} and lower({outlet}) <> {outlet}) or length({outlet}) - length(replace({outlet}, '.', '')) > 2 then array_to_string(list_transform({words}, lambda w: substr(w, 1, {short})), ' ') else {outlet} end)"
+    lowered = f"translate(lower({blank('author')}), '{T.ACCENTED}', '{T.PLAIN}')"
+    person = "case when contains(n, ',') then split_part(n, ',', 1) || ' ' || array_to_string(list_transform(list_filter(string_split(split_part(n, ',', 2), ' '), lambda w: w <> ''), lambda w: substr(w, 1, 1)), ' ') else n end"
+    author = f"regexp_replace(rtrim(array_to_string(list_transform(string_split({lowered}, ' and '), lambda n: {person}), ' ')), '[^A-Za-z0-9, ]+', '', 'g')"
+    return f"""with s as materialized (select ID, seq, processed, {DOI_SQL} as d, {TOC_SQL} as toc, {author} as author, replace(replace(lower({blank('title')}), ':', ''), '-', '') as title, lower({blank('title')}) as plain, {blank('year')} as year, {out_sql} as outlet,
+            {blank('volume')} as volume, {blank('number')} as number, {blank('journal')} as journal, ENTRYTYPE as et, title as raw_title{fields} from r)"""
+
+
+def similarity() -> str:
+    """From pairs p (a_ID, b_ID) of records s: a table q with sim and label."""
+    ratio = lambda f: f"(case when a.{f} = '' and b.{f} = '' then 1.0 when a.{f} = '' or b.{f} = '' then 0.0 else (200.0 * {LCS_SQL.format(a='a.' + f, b='b.' + f)} / (length(a.{f}) + length(b.{f}))) / 100 end)"
+    generic = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in D.GENERIC_TITLES) + ")"
+    w = lambda weights: " + ".join(f"{x} * {y}::double" for x, y in weights.items())
+    return f"""q0 as (select p.a_ID, p.b_ID, {ratio('author')} as author, {ratio('title')} as title, {ratio('year')} as year, case when a.outlet <> '' and b.outlet <> '' then {ratio('outlet')} else 0.0 end as outlet,
+              case when a.volume = b.volume then 1 else 0 end as volume, case when a.number = b.number then 1 else 0 end as number, a.journal <> '' and b.journal <> '' as art, a.plain in {generic} and b.plain in {generic} as gen,
+              a.volume <> b.volume or a.number <> b.number as oi, a.title = '' or b.title = '' or a.author = '' or b.author = '' as lacks, a.et as ae, b.et as be from p join s a on a.ID = p.a_ID join s b on b.ID = p.b_ID),
+            qn as (select *, cast(round(case when art and gen then {w(D.GENERIC_WEIGHTS)} when art then {w(D.ARTICLE_WEIGHTS)} else {w(D.OTHER_WEIGHTS)} end * 1e10) as bigint) as n from q0),
+            q1 as (select *, (n // 1000000 + case when n % 1000000 > 500000 or n % 1000000 = 500000 and (n // 1000000) % 2 = 1 then 1 else 0 end) / 10000 as sim from qn),
+            q as (select a_ID, b_ID, sim, case when lacks or ae = 'proceedings' or be = 'proceedings' or (ae = 'book' and be = 'inbook') or (ae = 'inbook' and be = 'book') or (gen and oi) or sim < 0.7 then 'distinct' when sim < 0.9 then 'maybe' else 'duplicate' end as label from q1)"""
+
+
+def _words_sql(title: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace(translate(lower({title}), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
+WORDS_SQL = _words_sql("title")
+_SAME_DOI = "p as (select a.ID as a_ID, b.ID as b_ID from s a join s b on a.d = b.d and a.ID < b.ID)"
+_GENERIC = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in D.GENERIC_TITLES) + ")"
+#: pairs of heads: records that differ in a compared field, whose titles' words are alike
+_FUZZY_SQL = f"""e as (select *, min(ID) over (partition by et, author, title, plain, year, outlet, volume, number, journal) as head from s where title <> '' and author <> '' and et is distinct from 'proceedings'),
+    w as materialized (select ID, case when plain in {_GENERIC} then ['||' || volume || '|' || number] else {WORDS_SQL} end as w from e where ID = head), t as (select ID, len(w) as n, unnest(w) as x from w),
+    p as (select a_ID, b_ID from (select a.ID as a_ID, b.ID as b_ID, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jac from t a join t b on a.x = b.x and a.ID < b.ID group by all) where jac >= 0.7 - 1e-12)"""
+#: t: the state of each unprocessed record in the tables of contents of the processed ones
+TOC_FOUND_SQL = f"""ts as materialized (select ID, seq, processed, toc, {_slug_sql('raw_title')} as slug, {_words_sql('raw_title')} as w from s where toc is not null), tw as (select ID, toc, processed, len(w) as n, unnest(w) as x from ts),
+    p as (select a_ID, b_ID from (select a.ID as a_ID, b.ID as b_ID, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jac from tw a join tw b on a.x = b.x and a.toc = b.toc and not a.processed and b.processed group by all) where jac >= 0.7 - 1e-12), {similarity()},
+    near as (select a_ID, arg_min(b_ID, struct_pack(s := -sim, i := b_ID)) as near_id from q where label = 'duplicate' group by a_ID), tt as (select toc, slug, arg_min(ID, seq) as index_id from ts where processed group by toc, slug),
+    t as (select ts.ID, ts.toc as toc_key, coalesce(tt.index_id, near.near_id) as index_id, case when tt.index_id is not null or near.near_id is not null then 'found' when ts.toc in (select toc from tt) then 'not-in-toc' else 'not-in-index' end as result
+      from ts left join tt on tt.toc = ts.toc and tt.slug is not distinct from ts.slug left join near on near.a_ID = ts.ID where not ts.processed)"""
+
+
 _URL = "regexp_replace(url, '/+$', '')"
 _RANK = "case {0} " + " ".join(f"when '{s}' then {n}" for s, n in RANK.items()) + " end"
 
@@ -188,17 +244,6 @@ def oracle_sql() -> dict[str, str]:
     pairs = f"""e as (select ID, kind, case kind when 'doi' then doi_key when 'key' then rec_key when 'pubmedid' then pubmedid else url_key end as key from k, {kinds}),
         f as (select * from e where key is not null and key <> ''), s as (select kind, key, count(*) as n, min(ID) as head from f group by kind, key),
         p as (select a.ID as a_ID, b.ID as b_ID, a.kind from f a join f b on a.kind = b.kind and a.key = b.key and a.ID < b.ID join s on s.kind = a.kind and s.key = a.key where s.n <= 200 or a.ID = s.head)"""
-    blank = lambda f: f"(case when {f} is null or {f} = 'UNKNOWN' then '' else {f} end)"
-    outlet = f"({blank('journal')} || {blank('booktitle')})"
-    words = f"string_split({outlet}, ' ')"
-    short = f"list_min(list_transform(string_split(replace({outlet}, '.', ''), ' '), lambda w: length(w)))"
-    out_sql = f"(case when (upper({outlet}) = {outlet} and lower({outlet}) <> {outlet}) or length({outlet}) - length(replace({outlet}, '.', '')) > 2 then array_to_string(list_transform({words}, lambda w: substr(w, 1, {short})), ' ') else {outlet} end)"
-    lowered = f"translate(lower({blank('author')}), '{T.ACCENTED}', '{T.PLAIN}')"
-    person = "case when contains(n, ',') then split_part(n, ',', 1) || ' ' || array_to_string(list_transform(list_filter(string_split(split_part(n, ',', 2), ' '), lambda w: w <> ''), lambda w: substr(w, 1, 1)), ' ') else n end"
-    author = f"regexp_replace(rtrim(array_to_string(list_transform(string_split({lowered}, ' and '), lambda n: {person}), ' ')), '[^A-Za-z0-9, ]+', '', 'g')"
-    ratio = lambda f: f"(case when a.{f} = '' and b.{f} = '' then 1.0 when a.{f} = '' or b.{f} = '' then 0.0 else (200.0 * {LCS_SQL.format(a='a.' + f, b='b.' + f)} / (length(a.{f}) + length(b.{f}))) / 100 end)"
-    generic = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in D.GENERIC_TITLES) + ")"
-    w = lambda weights: " + ".join(f"{x} * {y}::double" for x, y in weights.items())
     defects = " or ".join(f"coalesce(({by['author']}), false)" for by in _sql_checks().values() if "author" in by)
     ident, others = D.IDENTIFYING, D.OTHER
     known = lambda f: f"{f} is not null and {f} not in ('', 'UNKNOWN')"
@@ -233,9 +278,8 @@ def oracle_sql() -> dict[str, str]:
               union all select a.ID, 2, b.ID, b.seq from k a join k b on a.rec_key = b.rec_key where not a.processed and b.processed),
             x as (select ID, kind, bid, row_number() over (partition by ID order by kind, seq) as n from h)
             select k.ID, x.bid as index_id, case x.kind when 0 then 'doi' when 1 then 'url' when 2 then 'key' end as via from k left join x on x.ID = k.ID and x.n = 1 where not k.processed""",
-        "J2_toc_lookup": k + """t as (select toc, title_slug, arg_min(ID, seq) as index_id from k where processed and toc is not null group by toc, title_slug)
-            select k.ID, k.toc as toc_key, t.index_id, case when t.index_id is not null then 'found' when k.toc in (select toc from t) then 'not-in-toc' else 'not-in-index' end as result
-            from k left join t on t.toc = k.toc and t.title_slug = k.title_slug where not k.processed and k.toc is not null""",
+        "J2_toc_lookup": f"{compared()}, {TOC_FOUND_SQL} select ID, toc_key, index_id, result from t",
+        "J7_fuzzy_duplicates": f"{compared()}, {_FUZZY_SQL}, {similarity()} select a_ID, b_ID, sim as similarity, label from q where label <> 'distinct' union all select head, ID, case when outlet = '' then 0.95 else 1.0 end, 'duplicate' from e where ID <> head",
         "J3_toc_prefix": k + f"""t as (select {pre} as outlet, count(*) as n from k where processed and toc is not null group by 1),
             h as (select {pre} as outlet, title_slug, arg_min(ID, seq) as index_id from k where processed and toc is not null and title_slug is not null group by 1, 2)
             select ID, {pre} as outlet, coalesce(t.n, 0) as n_index, h.index_id from k left join t on t.outlet = {pre} left join h on h.outlet = {pre} and h.title_slug = k.title_slug where not processed and toc is not null""",
@@ -255,15 +299,8 @@ def oracle_sql() -> dict[str, str]:
         + "d as (select coalesce(a.ID, b.ID) as ID, case when a.ID is null then 'right only' when b.ID is null then 'left only' else 'both' end as side, case when a.ID is null or b.ID is null then '' else array_to_string(list_filter(["
         + ", ".join(f"case when a.{f} is distinct from b.{f} then '{f}' end" for f in diff_fields) + "], lambda x: x is not null), ',') end as changed from a full outer join b on a.ID = b.ID) select * from d where side <> 'both' or changed <> ''",
         "D1_candidates": f"select ID, case when status in {post} then 'old_search' else ID end as search_set from r where status not in ('md_imported', 'md_needs_manual_preparation')",
-        "D2_record_similarity": f"""with s as materialized (select ID, {DOI_SQL} as d, {author} as author, replace(replace(lower({blank('title')}), ':', ''), '-', '') as title, lower({blank('title')}) as plain, {blank('year')} as year, {out_sql} as outlet, {blank('volume')} as volume, {blank('number')} as number, {blank('journal')} as journal from r),
-            p as (select a.ID as a_ID, b.ID as b_ID, {ratio('author')} as author, {ratio('title')} as title, {ratio('year')} as year, case when a.outlet <> '' and b.outlet <> '' then {ratio('outlet')} else 0.0 end as outlet,
-              case when a.volume = b.volume then 1 else 0 end as volume, case when a.number = b.number then 1 else 0 end as number, a.journal <> '' and b.journal <> '' as art, a.plain in {generic} and b.plain in {generic} as gen from s a join s b on a.d = b.d and a.ID < b.ID)
-            select a_ID, b_ID, round_even(case when art and gen then {w(D.GENERIC_WEIGHTS)} when art then {w(D.ARTICLE_WEIGHTS)} else {w(D.OTHER_WEIGHTS)} end, 4) as similarity from p""",
-        "D4_pair_labels": f"""with s as materialized (select ID, {DOI_SQL} as d, {author} as author, replace(replace(lower({blank('title')}), ':', ''), '-', '') as title, lower({blank('title')}) as plain, {blank('year')} as year, {out_sql} as outlet, {blank('volume')} as volume, {blank('number')} as number, {blank('journal')} as journal, ENTRYTYPE as et from r),
-            p as (select a.ID as a_ID, b.ID as b_ID, {ratio('author')} as author, {ratio('title')} as title, {ratio('year')} as year, case when a.outlet <> '' and b.outlet <> '' then {ratio('outlet')} else 0.0 end as outlet,
-              case when a.volume = b.volume then 1 else 0 end as volume, case when a.number = b.number then 1 else 0 end as number, a.journal <> '' and b.journal <> '' as art, a.plain in {generic} and b.plain in {generic} as gen, a.volume <> b.volume or a.number <> b.number as oi, a.title = '' or b.title = '' or a.author = '' or b.author = '' as lacks, a.et as ae, b.et as be from s a join s b on a.d = b.d and a.ID < b.ID)
-            , q as (select *, round_even(case when art and gen then {w(D.GENERIC_WEIGHTS)} when art then {w(D.ARTICLE_WEIGHTS)} else {w(D.OTHER_WEIGHTS)} end, 4) as sim from p)
-            select a_ID, b_ID, case when lacks or ae = 'proceedings' or be = 'proceedings' or (ae = 'book' and be = 'inbook') or (ae = 'inbook' and be = 'book') or (gen and oi) or sim < 0.7 then 'distinct' when sim < 0.9 then 'maybe' else 'duplicate' end as label from q""",
+        "D2_record_similarity": f"{compared()}, {_SAME_DOI}, {similarity()} select a_ID, b_ID, sim as similarity from q",
+        "D4_pair_labels": f"{compared()}, {_SAME_DOI}, {similarity()} select a_ID, b_ID, label from q",
         "D7_merge_pairs": f"with g as (select ID, {DOI_SQL} as component, coalesce({_RANK.format('status')}, 0) as rk, curated is null as nc, regexp_matches(ID, '[a-z]$') as let from r where doi is not null), m as (select component, arg_min(ID, struct_pack(r := -rk, c := nc, l := let, i := ID)) as main_ID from g group by component) select main_ID, ID as dupe_ID from g join m using (component) where ID <> main_ID",
         "D12_fixed_clusters": f"with recursive k as materialized (select ID, ENTRYTYPE, {DOI_SQL} as doi_key, {KEY_SQL} as rec_key from r), l as (select ID, case when ENTRYTYPE = 'phdthesis' then ID else doi_key end as comp from k where doi_key is not null), e as (select ID as x, min(ID) over (partition by comp) as y from l union select ID, min(ID) over (partition by rec_key) from k where rec_key is not null), u as (select x, y from e where x <> y union select y, x from e where x <> y), reach(x, y) as (select x, y from u union select reach.x, u.y from reach join u on u.x = reach.y), n as (select x, least(x, min(y)) as c from reach group by x) select ID, coalesce(n.c, ID) as component from l left join n on n.x = l.ID",
         "D5_components": "with recursive " + k[5:].rstrip() + " " + pairs + ", u as (select a_ID as x, b_ID as y from p union select b_ID, a_ID from p), reach(x, y) as (select x, y from u union select reach.x, u.y from reach join u on u.x = reach.y) select x as ID, least(x, min(y)) as component from reach group by x",

@@ -88,8 +88,8 @@ def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar other record of the same issue, at 0.5 or more."""
-    return D.best_match(records(spark, sf_dir), {"toc": T.toc_key()}, 0.5)
+    """The most similar other record, over all records, at 0.5 or more."""
+    return D.best_of_all(records(spark, sf_dir), 0.5)
 
 
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from recordloom.operators.status import TRANSITIONS
+    from recordloom.plans.linking import TOC_FOUND_SQL, WORDS_SQL, compared, similarity
     from recordloom.plans.linking import oracle_sql as linking_sql
 
     from recordloom.schema import RANK
@@ -190,7 +191,9 @@ def oracle_sql() -> dict[str, str]:
     comps = linking_sql()["D5_components"]
     kind = "case when starts_with(origin, 'md_') then 'metadata' when starts_with(origin, 'web') then 'web' else 'database' end"
     with_sql = {
-        "Q12_record_not_in_toc": f"with k as materialized (select ID, processed, {TOC_SQL} as toc, {_slug_sql('title')} as ts from r) select ID, 'record-not-in-toc' as code from k where not processed and toc in (select toc from k where processed and toc is not null) and not exists (select 1 from k b where b.processed and b.toc = k.toc and b.ts = k.ts)",
+        "Q12_record_not_in_toc": f"{compared()}, {TOC_FOUND_SQL} select ID, 'record-not-in-toc' as code from t where result = 'not-in-toc'",
+        "J14_best_match": f"""{compared()}, w as materialized (select ID, {WORDS_SQL} as w from s), t as (select ID, len(w) as n, unnest(w) as x from w), o as (select a.ID as a_ID, b.ID as b_ID, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jac from t a join t b on a.x = b.x and a.ID <> b.ID group by all having jac >= 0.4 - 1e-12),
+            p as (select a_ID, b_ID from (select *, row_number() over (partition by a_ID order by jac desc, b_ID) as place from o) where place <= 5), {similarity()} , best as (select *, row_number() over (partition by a_ID order by sim desc, b_ID) as n from q where sim >= 0.5) select a_ID, b_ID, sim as similarity from best where n = 1""",
         "Q26_text_defects": f"""with f as (select ID, title, author, {flat('text')} as ft, trim(text) = '' as empty, list_filter(list_transform(string_split(title, ' '), lambda w: {flat('w')}), lambda w: w <> '') as tw,
             list_filter(list_transform(string_split(author, ' and '), lambda n: {flat("trim(split_part(n, ',', 1))")}), lambda w: w <> '') as aw from r)
             select ID, 'no-text-in-pdf' as defect from f where empty union all select ID, 'title-not-in-pdf' from f where not empty and title is not null and {share('tw')} <= 0.9

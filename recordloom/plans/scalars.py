@@ -182,10 +182,15 @@ def indel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("seq", F.round(ratio_udf("t", "u"), 6).alias("ratio"))
 
 
+#: longest common subsequence of two texts that aren't empty, by words of 60 bits: a step for each character of the first and word of the second
 LCS_SQL = (
-    "list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i]), lambda prev, i: list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), "
-    "lambda acc, j: list_append(acc, case when substr({a}, i[1], 1) = substr({b}, j[1], 1) then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[-1]) end), [0::bigint]), list_transform(range(0, length({b}) + 1), lambda x: 0::bigint))[-1]"
-)
+    "list_transform([struct_pack(x := string_split({a}, ''), y := string_split({b}, ''))], lambda p: list_sum(list_transform(list_zip(range(len(p.y) // 60 + 1), "
+    "list_reduce(list_transform(p.x, lambda ch: list_transform(range(len(p.y) // 60 + 1), lambda w: cast(list_sum(list_transform(range(60), lambda j: case when p.y[w * 60 + j + 1] = ch then 1::bigint << j else 0 end)) as bigint))), "
+    "lambda v, m: list_reduce(list_transform(range(1, len(v) + 1), lambda w: [v[w], m[w]]), "
+    "lambda s, e: list_concat([(e[1] + (e[1] & e[2]) + s[1]) >> 60], s[2:], [((e[1] + (e[1] & e[2]) + s[1]) & FULL) | (e[1] & ~e[2])]), [0::bigint])[2:], "
+    "list_transform(range(len(p.y) // 60 + 1), lambda w: FULL::bigint))), "
+    "lambda z: greatest(least(60, len(p.y) - 60 * z[1]), 0) - bit_count(z[2] & ((1::bigint << cast(greatest(least(60, len(p.y) - 60 * z[1]), 0) as integer)) - 1)))))[1]"
+).replace("FULL", str((1 << 60) - 1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

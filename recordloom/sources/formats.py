@@ -1,8 +1,8 @@
 """Text formats of bibliographic records: readers that split files into records and parse them in Arrow tasks, and writers.
 
-A reader takes a table (path, content) of whole files, as ``spark.read.text(wholetext=True)`` gives them, or any table with
-a text column, and returns a row for each record: source, local_id, ENTRYTYPE, fields (map), seq. Files are
-first cut into record texts by an expression, so a large file's records are parsed by many tasks.
+A reader returns a row for each record: source, local_id, ENTRYTYPE, fields (map), seq (which rises through a file). ``load`` reads files in byte ranges: the first
+line of a record serves as the text source's line separator, so each task takes up at the first record of its range and reads the last one to its end, and a large file
+is read and parsed by many tasks. read_bib, read_ris, read_nbib and read_enl take a table (source, content) of whole texts instead.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +32,36 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("content"))
 
 
+#: what stands before each record but a file's first one: the text source's line separator; what a piece must have to be a record, and what isn't one
+STARTS = {"bib": ["\n@"], "ris": ["\nTY  - "], "nbib": ["\nPMID- ", "\nOWN - "], "enl": ["\n%0 "]}
+PARTS = {"bib": r"(?m)^(?=\s*@)", "ris": r"(?m)^(?=TY  ?- )", "nbib": r"\n\s*\n", "enl": r"\n\s*\n"}
+RECORDS = {"bib": r"^@\s*[A-Za-z]+\s*\{", "ris": r"(?m)^TY  ?- .*\n(?s:.*)^[A-Z][A-Z0-9]{1,3} *- ?", "nbib": r"(?m)^TI *- ", "enl": "(?m)^%T "}
+NO_RECORDS = r"^@\s*(comment|preamble|string)"
+
+
+def split_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """source (a file's name), seq, record: the record texts of all files at a path, read in byte ranges.
+
+    Lines end by \\n or \\r\\n. What stands before a file's first record is left out, and a byte order mark is. seq is (start of the range, place in it). Records that begin in another way than the separator
+    says (indented, one space in a RIS tag) are cut out of the piece that they are in; a file of such records only is read by one task.
+    """
+    starts = STARTS[kind]
+    if len(starts) > 1:  # the first line tells which
+        head = spark.read.text(path).filter("value <> ''").first()
+        starts = [s for s in starts if head is not None and head[0].lstrip("\ufeff").startswith(s.strip())] or starts
+    tag = starts[0][1:]
+    pieces = spark.read.text(path, lineSep=starts[0]).select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n").alias("v"))
+    # the separator took a record's tag; a file's first piece still has its own
+    whole = F.when(F.col("v").rlike(r"\A\s*" + re.escape(tag.strip()).replace(r"\ ", " *")), F.col("v")).otherwise(F.concat(F.lit(tag), "v"))
+    cut = pieces.select("source", "at", F.explode(F.split(whole, PARTS[kind])).alias("record")).withColumn("record", F.trim("record") if kind in ("nbib", "enl") else F.ltrim("record"))
+    cut = cut.filter(F.col("record").rlike(RECORDS[kind]))
+    if kind == "bib":
+        cut = cut.filter(~F.lower("record").rlike(NO_RECORDS))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in the task, which reads less than 2**24 records
+    seq = F.when(place < 1 << 24, F.shiftleft("at", 24).bitwiseOR(place)).otherwise(F.raise_error(F.lit("more than 16,777,216 records in one range: lower spark.sql.files.maxPartitionBytes")).cast("long"))
+    return cut.select("source", seq.alias("seq"), "record")
+
+
 def _cut(texts: DataFrame, pattern: str, keep: Column) -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace("content", "^\\ufeff", ""), "\r\n?", "\n")
     cut = texts.select("source", F.posexplode(F.split(clean, pattern)).alias("seq", "record"))
@@ -39,12 +69,15 @@ def _cut(texts: DataFrame, pattern: str, keep: Column) -> DataFrame:
 
 
 def _parsed(records: DataFrame, parse: Callable[[str], tuple[str | None, str | None, dict[str, str]]]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            got = [parse(r) for r in df["record"]]
-            yield pd.DataFrame({"source": df["source"], "seq": df["seq"], "ENTRYTYPE": [g[0] for g in got], "local_id": [g[1] for g in got], "fields": [g[2] for g in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, seq, texts = batch.columns
+            got = [parse(r) for r in texts.to_pylist()]
+            kinds, ids, fields = zip(*got) if got else ((), (), ())
+            types = (pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([source, seq, *(pa.array(x, t) for x, t in zip((kinds, ids, [list(f.items()) for f in fields]), types))], names=["source", "seq", "ENTRYTYPE", "local_id", "fields"])
 
-    return records.mapInPandas(run, RECORD)
+    return records.select("source", "seq", "record").mapInArrow(run, RECORD)
 
 
 def _fold(pairs: list[tuple[str, str]], names: dict[str, str]) -> dict[str, str]:
@@ -155,17 +188,19 @@ def count_records(texts: DataFrame, kind: str) -> DataFrame:
     return n.withColumn("n", F.col("n") - 1) if kind == "csv" else n
 
 
+PARSERS = {"bib": parse_bib, "ris": parse_ris, "nbib": parse_nbib, "enl": parse_enl}
 READERS = {"bib": read_bib, "ris": read_ris, "nbib": read_nbib, "enl": read_enl, "txt": read_enl}
 
 
 def load(spark: SparkSession, path: str, rename: dict[str, str] | None = None, id_column: str | None = None) -> DataFrame:
-    """Records of the files at a path, by their suffix: source, seq, ENTRYTYPE, local_id, fields.
+    """Records of the file, or the folder of files, at a path, by its suffix: source, seq, ENTRYTYPE, local_id, fields.
 
     Of tables (csv, json) each column is a field, ``rename`` gives columns other names, and ``id_column`` holds the local id (else it is empty).
     """
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix in READERS:
-        return READERS[suffix](files(spark, path))
+        kind = "enl" if suffix == "txt" else suffix
+        return _parsed(split_records(spark, path, kind), PARSERS[kind])
     if suffix not in ("csv", "json"):
         raise NotImplementedError(f"no reader for .{suffix}")
     table = read_csv(spark, path, rename) if suffix == "csv" else read_json(spark, path)
