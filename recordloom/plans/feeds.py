@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.plans.fixtures import records, with_records
 from recordloom.session import shared_dir
 from recordloom.sources import detect, formats
-from recordloom.streaming import feed
+from recordloom.streaming import feed, keyed
 
 c = F.col
 
@@ -44,15 +44,27 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, drained: the last event of each user."""
+    """Events as a stream into keyed state, drained: the last event of each user out of the log of changes."""
     where = f"{shared_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
     static = spark.read.parquet(f"{sf_dir}/events.parquet")
     # the table may be one file or a folder of files
     base, _, name = f"{sf_dir}/events.parquet".rpartition("/")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{base}/{name}*")
-    query = feed.stream_latest(stream, "user_id", "event_id", "event_type", f"{where}/table", f"{where}/state")
-    query.awaitTermination()
-    return feed.read_latest(spark, f"{where}/table", query.lastProgress["batchId"] if query.lastProgress else 0)
+    keyed.append_log(keyed.feed_changes(stream, "user_id", "event_id", ["event_type"]), f"{where}/log", f"{where}/state").awaitTermination()
+    return keyed.latest_of_log(spark, f"{where}/log", "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's files as a stream: a second export repeats the processed records, books with another title."""
+    where = f"{shared_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
+    r = records(spark, sf_dir).select(F.split_part("origins", F.lit("/"), F.lit(1)).alias("source"), c("ID").alias("local_id"), "title", "year", "ENTRYTYPE", "processed")
+    first = r.withColumn("export", F.lit("1"))
+    second = r.filter("processed").withColumns({"title": F.when(c("ENTRYTYPE") == "book", F.concat(F.coalesce("title", F.lit("")), F.lit(" (2nd)"))).otherwise(c("title")), "export": F.lit("2")})
+    for part in (first, second):
+        part.drop("ENTRYTYPE", "processed").write.mode("append").partitionBy("export").parquet(f"{where}/in")
+    stream = spark.readStream.schema("source string, local_id string, title string, year string, export string").parquet(f"{where}/in").withColumn("_file", c("export"))
+    keyed.append_log(keyed.append_only_changes(stream, ["title", "year"]), f"{where}/log", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/log").groupBy("change").agg(F.sum("n").alias("n"))
 
 
 def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +136,7 @@ def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "T1_feed_upsert": t1, "T2_time_variant": t2, "T4_change_classes": t4, "T9_stream_latest": t9, "T10_windowed_counts": t10, "K1_bib": k1, "K2_markdown": k2, "K3_ris": k3, "K5_partial_save": k5,
+        "T1_feed_upsert": t1, "T2_time_variant": t2, "T4_change_classes": t4, "T8_append_only_stream": t8, "T9_stream_latest": t9, "T10_windowed_counts": t10, "K1_bib": k1, "K2_markdown": k2, "K3_ris": k3, "K5_partial_save": k5,
         "S4_count_records": s4, "S5_bib_round_trip": s5, "S5_bib_files": s5_files, "S10_ris_files": s10_files, "S10_ris_round_trip": s10, "S18_detect_source": s18,
     }
 
@@ -145,6 +157,7 @@ def oracle_sql() -> dict[str, str]:
         "T9_stream_latest": f"select user_id, event_id, event_type from ({last('true')})",
         "T10_windowed_counts": "select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events group by 1, 2",
     } | {k: with_records(v) for k, v in {
+        "T8_append_only_stream": "select * from (select 'added' as change, count(*) as n from r union all select 'repeated', count(*) from r where processed and ENTRYTYPE <> 'book' union all select 'violation', count(*) from r where processed and ENTRYTYPE = 'book') where n > 0",
         "T4_change_classes": """with n as (select ID, seq, case when seq % 17 = 0 then 'RETRACTED: ' || title else title end as title, case when year = 'forthcoming' and seq % 2 = 0 then '2024' else year end as year,
             case when seq % 13 = 0 then '99' else volume end as volume, case when seq % 13 = 0 then '1' else number end as number from r), o as (select * from r where seq % 10 <> 1)
             select n.ID, case when o.ID is null then 'added' when o.title is not distinct from n.title and o.year is not distinct from n.year and o.volume is not distinct from n.volume and o.number is not distinct from n.number then 'same'

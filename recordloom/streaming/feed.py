@@ -1,12 +1,9 @@
-"""Feeds: keyed upserts of source rows, in batches or as a stream, with classified changes."""
+"""Feeds: keyed upserts of source rows in batches, with classified changes (as a stream: keyed.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 c = F.col
 
@@ -45,33 +42,6 @@ def classify(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> Dat
     return n.join(o, key, "left").select(key, kind.alias("change"))
 
 
-def stream_latest(events: DataFrame, key: str, ts: str, value: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """The latest value of each key as a table at ``path``: every micro-batch merges its last rows into the newest version.
-
-    Versions are folders named by the batch, so a batch that is run again writes the same version anew; readers take the
-    largest one (read_latest).
-    """
-    fields = [key, ts, value]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = latest(batch.select(*fields), key, ts)
-        if number > 0:
-            last = upsert(spark.read.schema(last.schema).parquet(f"{path}/v={number - 1:09d}"), last, key, ts)
-        last.write.mode("overwrite").parquet(f"{path}/v={number:09d}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def read_latest(spark, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={version:09d}")
-
-
 def windowed_counts(events: DataFrame, ts: str, by: list[str], window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts in tumbling windows; on a stream, rows later than ``late`` are dropped and their state is freed."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), *by).agg(F.count("*").alias("n")).select(c("w.start").alias("window_start"), *by, "n")
-
-
-def drain(query: StreamingQuery, then: Callable[[], DataFrame]) -> DataFrame:
-    query.awaitTermination()
-    return then()

@@ -211,17 +211,6 @@ def test_upsert_order_and_time_variant(spark):
     assert got == [("a", 5, "x", 1), ("b", 6, "new", 2), ("c", 1, "c", 3)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(i % 7, i, f"v{i}") for i in range(100)]
-    for b in range(4):
-        spark.createDataFrame(rows[b::4], "k int, t int, v string").coalesce(1).write.parquet(str(tmp_path / f"in/b{b}"))
-    stream = spark.readStream.schema("k int, t int, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = feed.stream_latest(stream, "k", "t", "v", str(tmp_path / "table"), str(tmp_path / "state"))
-    q.awaitTermination()
-    got = feed.read_latest(spark, str(tmp_path / "table"), q.lastProgress["batchId"]).collect()
-    assert sorted(map(tuple, got)) == sorted((k, max(i for i in range(100) if i % 7 == k), f"v{max(i for i in range(100) if i % 7 == k)}") for k in range(7))
-
-
 def test_threshold_grid(spark):
     rows = [("r1", "p1", 3), ("r1", "p2", 1), ("r2", "p1", 2)]
     got = {(r.i, r.j): r.n for r in reports.threshold_grid(spark.createDataFrame(rows, "ref string, paper string, n_intext int")).collect()}
