@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import catalogues, cleaning, extra, feeds, linking, more, prep, quality, reports, review, scalars
+from recordloom.plans import catalogues, cleaning, extra, feeds, linking, more, prep, quality, reports, review, scalars, versions
 
-MODULES = [quality, scalars, review, linking, reports, feeds, prep, more, extra, catalogues, cleaning]
+MODULES = [quality, scalars, review, linking, reports, feeds, prep, more, extra, catalogues, cleaning, versions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
