@@ -11,8 +11,9 @@ threshold that further subtrees beside the path must reach; blocks of prose ther
 articles need not.
 
 Parts that a page marks as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments of readers are left out of all this. Words of class names and ids that only hint at it (widget, related) count for less: where a
-tenth of the page's text or less lies outside of such parts, they are let in, and only those that don't hold the content go. A marked part ends
+comments of readers are left out of all this. Elements and roles decide alone; words of class names and ids are weighed. Words that only hint (widget, related): where a
+tenth of the page's text or less lies outside of such parts, they are let in, and only those that don't hold the content go. Words that name such a part (notice, comments): they are
+let in likewise where besides there is no block of running text outside of them, so an article isn't lost to its wrapper's name, nor given up for its comments. A marked part ends
 where its element does: at its end tag, where HTML implies
 the end, or at its parent's end tag. One that has no end tag at all also ends where a new section begins (an inline one or
 a form control: where any block begins).
@@ -23,7 +24,9 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,24 +59,27 @@ SECTION = frozenset("article aside footer h1 header main nav section".split())
 BLOCK_START = CLOSES_P | SECTION | GROUPS | ROWS | {"li", "dt", "dd"}
 CONTROLS = frozenset("button select noscript object canvas svg math audio video iframe".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# words of class names and ids that mark what isn't the article
+# words of class names and ids that name what isn't the article
 MARKS = re.compile(
     r"^(ad|ads|adv|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|nav|navbar|navigation|topbar|"
-    r"breadcrumbs?|footer|site-?header|page-?header|masthead|comments?|comment-?list|comments-area|replies|disqus\w*|respond)$"
+    r"breadcrumbs?|footer|site-?header|page-?header|masthead|comments?|comment-?list|comments-area|replies|disqus\w*|respond|"
+    r"(ad|ads|comments?|cookies?|sidebar|menu|nav)-(\d+|area|author|banner|bar|block|body|bottom|box|consent|container|content|count|footer|form|header|inner|items?|left|links?|list|main|menu|meta|notice|outer|"
+    r"popup|primary|reply|right|secondary|section|side|slot|text|thread|toggle|top|unit|widget|wrap|wrapper))$"
 )
 # those that hint at it
 HINTS = re.compile(r"^(promo\w*|banner|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar)$")
-PREFIXES = ("ad-", "ads-", "comment-", "cookie-", "sidebar-", "menu-", "nav-")
 KEEP = frozenset("html body main article".split())
 # what stays beside the content unless it is mostly links
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure details".split())
 # what isn't a whole content by itself
 PART = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption".split())
-HINT, MARK = 1, 2
+HINT, WORD, MARK = 1, 2, 3
+#: characters of a block of running text
+RUNNING = 80
 
 
 def _boilerplate(tag: str, attrs: str) -> int:
-    """MARK, HINT or 0, by the attributes."""
+    """MARK, WORD, HINT or 0, by the attributes."""
     if tag in KEEP or not attrs:
         return 0
     found = 0
@@ -85,10 +91,10 @@ def _boilerplate(tag: str, attrs: str) -> int:
             return MARK
         if name in ("class", "id"):
             for w in value.replace("_", "-").split():
-                if MARKS.match(w) or w.startswith(PREFIXES):
-                    return MARK
-                if HINTS.match(w):
-                    found = HINT
+                if MARKS.match(w):
+                    found = WORD
+                elif HINTS.match(w):
+                    found = max(found, HINT)
     return found
 
 
@@ -137,12 +143,17 @@ def extract(page: str) -> str:
     """The main text: blocks joined by an empty line, white space within a block as one space."""
     tags, parents, marks, runs = ["html"], [-1], [0], []  # runs: (node, text, in a link, break number)
     stack, names = [0], ["html"]
+    places: dict[str, list[int]] = defaultdict(list)  # where on the stack elements of a name are open
+    boxes = [0]  # and where elements that aren't inline are
     in_link, block_no, at = 0, 0, 0
     dropped, has_end = 0, False  # where on the stack a marked subtree begins, and whether that element has an end tag
 
     def pop_to(i: int) -> None:
         nonlocal in_link, block_no, dropped
         for tag in names[i:]:
+            places[tag].pop()
+            if tag not in INLINE:
+                boxes.pop()
             if tag == "a":
                 in_link -= 1
             elif tag not in INLINE:
@@ -155,9 +166,16 @@ def extract(page: str) -> str:
         tags.append(tag)
         parents.append(stack[-1])
         marks.append(mark)
+        places[tag].append(len(names))
+        if tag not in INLINE:
+            boxes.append(len(names))
         stack.append(len(tags) - 1)
         names.append(tag)
 
+    def last(kinds: Iterable[str]) -> int:
+        """Where the innermost open element of these names is; 0 for none."""
+        return max((places[t][-1] for t in kinds if places[t]), default=0)
+
     tokens, ended = _tokens(page)
     for number, (start, end, close, tag, attrs) in enumerate(tokens):
         if start > at:
@@ -173,17 +191,12 @@ def extract(page: str) -> str:
                 if tag == "br":
                     runs.append((stack[-1], " ", False, block_no))
                 continue
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] == tag:
-                    pop_to(i)
-                    break
-                if names[i] not in INLINE and tag in INLINE:
-                    break  # an inline end tag doesn't close blocks
-                if names[i] in END_SCOPE.get(tag, ()):
-                    break
+            # an inline end tag doesn't close blocks
+            if places[tag] and (i := places[tag][-1]) > last(END_SCOPE.get(tag, ())) and not (tag in INLINE and boxes[-1] > i):
+                pop_to(i)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and "body" not in names:
+            if tag == "body" and not places["body"]:
                 if dropped:
                     pop_to(dropped)
                 push("body", 0)
@@ -198,24 +211,18 @@ def extract(page: str) -> str:
         if tag == "br":
             runs.append((stack[-1], " ", False, block_no))
             continue
-        if tag in CLOSES_P and "p" in names:
-            i = len(names) - 1 - names[::-1].index("p")
-            if not END_SCOPE["p"].intersection(names[i:]):
-                pop_to(i)
+        if tag in CLOSES_P and places["p"] and (i := places["p"][-1]) > last(END_SCOPE["p"]):
+            pop_to(i)
         if tag in SAME:
-            like = 0
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] in SAME[tag]:
-                    like = i
-                elif names[i] in SCOPE[tag]:
-                    break
+            stop = last(SCOPE[tag])
+            like = [x[bisect_right(x, stop)] for x in (places[t] for t in SAME[tag]) if x and x[-1] > stop]
             if like:
-                pop_to(like)
-        if tag in VOID or tag in RAW_TEXT and tag in SKIP or attrs.endswith("/") and (tag in EMPTY or "svg" in names or "math" in names):
+                pop_to(min(like))
+        if tag in VOID or tag in RAW_TEXT and tag in SKIP or attrs.endswith("/") and (tag in EMPTY or places["svg"] or places["math"]):
             if tag not in INLINE:
                 block_no += 1
             continue
-        mark = MARK if tag in SKIP or tag == "header" and not {"article", "main"}.intersection(names) else _boilerplate(tag, attrs)
+        mark = MARK if tag in SKIP or tag == "header" and not (places["article"] or places["main"]) else _boilerplate(tag, attrs)
         if mark and not dropped:
             dropped, has_end = len(names), number in ended
         if tag == "a":
@@ -266,12 +273,19 @@ def _select(tags: list[str], parents: list[int], marks: list[int], runs: list[tu
     level = list(marks)  # with what is above
     for i in range(1, k):
         level[i] = max(level[i], level[parents[i]])
-    sizes = [0, 0, 0]
-    for node, text, _, _ in runs:
-        sizes[level[node]] += len("".join(text.split()))
-    if not sizes[0] + sizes[HINT]:
+    sizes = [0, 0, 0, 0]
+    running: dict[int, int] = defaultdict(int)  # characters of blocks outside of links and of named parts
+    for node, text, linked, number in runs:
+        n = len("".join(text.split()))
+        sizes[level[node]] += n
+        if level[node] < WORD and not linked:
+            running[number] += n
+    seen = sum(sizes[:MARK])
+    if not seen:
         return ""
-    most = HINT if sizes[0] * 10 < sizes[0] + sizes[HINT] else 0
+    most = 0 if sizes[0] * 10 >= seen - sizes[WORD] and sizes[0] else HINT
+    if (sizes[0] + sizes[HINT]) * 10 < seen and max(running.values(), default=0) < RUNNING:
+        most = WORD
     dense, total, chars, lchars = densities(tags, parents, [x > most for x in level], runs)
     best = max(range(k), key=lambda i: (total[i], -i))
     path = [best]
@@ -290,7 +304,7 @@ def _select(tags: list[str], parents: list[int], marks: list[int], runs: list[tu
     inside, out = [False] * k, [False] * k
     for i in range(k):
         p = parents[i]
-        out[i] = p >= 0 and out[p] or marks[i] == MARK or marks[i] == HINT and not (most and i in on_path)
+        out[i] = p >= 0 and out[p] or marks[i] > most or marks[i] > 0 and i not in on_path
         inside[i] = i == path[0] or p >= 0 and (inside[p] or p in on_path and i not in on_path and beside(i))
     own = [0] * k  # text directly in the elements around the content
     for node, text, linked, _ in runs:

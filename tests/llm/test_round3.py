@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm.divergence import shares, source_divergence
+from recordloom.llm.html_text import extract, extract_main_text
 from recordloom.llm.line_rules import broken_rule, clean_lines
 from recordloom.llm.queries import oracle_sql
 from recordloom.llm.spelling import ErrataTrie, common_prefix, near_words, spelling_variants
@@ -196,3 +198,37 @@ def test_divergence_of_nothing(spark):
 def test_shares_of_large_counts():
     n, total = np.array([[0, 10**12, 8 * 10**14]]), np.array([[9 * 10**14]])
     assert shares(n, total).tolist() == [[1 + 10**9 * (int(x) + 2) // (9 * 10**14) for x in n[0]]]
+
+
+# --- operator 1: names of wrappers, deep nesting
+
+ARTICLE = "<p>" + "The article has a body of running text, which goes on for some time. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("name", "notice menu comments alert footer respond ad-hoc nav-target comment-free sidebar cookie-free ads-r-us".split())
+def test_wrappers_keep_the_article(name):
+    assert extract(f'<main><div class="{name}">{ARTICLE}</div></main>').startswith("The article has")
+    page = f'<html><head><title>T</title></head><body><nav>Home About</nav><h1>Title</h1><div id="{name}">{ARTICLE}</div><div class="comments">nice one</div><form>Send</form><footer>imprint</footer></body></html>'
+    got = extract(page)
+    assert "The article has" in got and not any(x in got for x in ("nice one", "Send", "imprint", "Home"))
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "sidebar", "ad-slot", "cookie-banner", "notice"])
+def test_named_parts_go_beside_an_article(name):
+    """Also where they hold far more text than the article does."""
+    other = "".join(f"<p>Part number {i} by someone who disagrees at length with all of it.</p>" for i in range(80))
+    assert extract(f'<h1>Head</h1><p>{"An article of some length that says a thing or two. " * 3}</p><div class="{name}">{other}</div>') == "Head\n\n" + " ".join(["An article of some length that says a thing or two."] * 3)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p><b><span>" * 30_000 + "x</b>", "<ul><li>" * 30_000 + "x", "<a>" * 50_000 + "x" + "</b></div>" * 50_000, "<table><tr><td>" * 20_000 + "x"])
+def test_deep_nesting_is_linear(page):
+    began = time.process_time()
+    assert extract(page) == "x"
+    assert time.process_time() - began < 8
+
+
+def test_pages_of_nothing(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    assert extract_main_text(spark.createDataFrame([], schema)).collect() == []
+    got = extract_main_text(spark.createDataFrame([(1, None, None, 1, "a"), (None, "u", "", 1, "a"), (1, "u", "<p>", 1, "a")], schema)).collect()
+    assert [(r.text, r.n_chars) for r in got] == [("", 0)] * 3
