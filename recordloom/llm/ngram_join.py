@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join by prefix trees (operator 6).
 
-Every document becomes the set of its distinct word shingles (64-bit hashes). Two documents link when
+Every document becomes the set of its distinct word shingles (64-bit hashes, of which the upper 48 bits leave
+the task; equal sets are told by 128 bits). Two documents link when
 the Jaccard similarity of their sets is at least ``num/den``. The job:
 
 1. Shingle every text in Arrow tasks. A set is emitted once per task as packed blocks, dealt out by
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import kernels as K
 from recordloom.operators.graph import connected_components
-from recordloom.session import free_exchanges, materialize, release
+from recordloom.session import materialize, release
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,6 +118,15 @@ def long_text_shingles(data: np.ndarray, words: int) -> np.ndarray:
     return np.unique(K.mix(acc + np.uint64(k)))
 
 
+def _narrow(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of 48 bits as columns of four and two bytes."""
+    return tok.astype(np.uint32), (tok >> np.uint64(32)).astype(np.uint16)
+
+
+def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
 def _steps(idx: np.ndarray) -> np.ndarray:
     """Ascending numbers as differences, which compress better."""
     return np.diff(idx, prepend=idx.dtype.type(0))
@@ -148,8 +158,9 @@ def _shingle_blocks(words: int, buckets: int, block_tokens: int, seen_sets: int)
             rows = [(block % buckets, block, 1, K.pack(*cols))]
             if tokens:
                 tok, idx = (np.concatenate(x) for x in zip(*tokens))
-                for b, at in K.split_by((tok >> np.uint64(16)) % np.uint64(buckets)):
-                    rows.append((b, block, 0, K.pack(tok[at], _steps(idx[at]))))
+                tok >>= np.uint64(16)
+                for b, at in K.split_by(tok % np.uint64(buckets)):
+                    rows.append((b, block, 0, K.pack(*_narrow(tok[at]), _steps(idx[at]))))
             held, tokens, n_sets, n_tokens, n_texts = [], [], 0, 0, 0
             block_no += 1
             return pa.RecordBatch.from_arrays(
@@ -193,9 +204,9 @@ def _count_shared(key: tuple, t: pa.Table) -> pa.Table:
     kind, block, blob = (t.column(c).to_pylist() for c in ("kind", "block", "blob"))
     out = [(b, 1, x) for k, b, x in zip(kind, block, blob) if k]
     at = [i for i, k in enumerate(kind) if not k]
-    parts = [K.unpack(blob[i], "u8", "u4") for i in at]
+    parts = [K.unpack(blob[i], "u4", "u2", "u4") for i in at]
     if parts:
-        tok, idx = np.concatenate([p[0] for p in parts]), np.concatenate([np.cumsum(p[1], dtype=np.uint32) for p in parts])
+        tok, idx = np.concatenate([_wide(*p[:2]) for p in parts]), np.concatenate([np.cumsum(p[2], dtype=np.uint32) for p in parts])
         src = np.repeat(np.arange(len(at)), [len(p[0]) for p in parts])
         order = np.argsort(tok, kind="stable")
         new = np.flatnonzero(K.starts_of_runs(tok[order]))
@@ -205,7 +216,7 @@ def _count_shared(key: tuple, t: pa.Table) -> pa.Table:
         keep = np.flatnonzero(df > 1)
         for s, rows in K.split_by(src[keep]):
             rows = keep[rows]
-            out.append((block[at[s]], 0, K.pack(tok[rows], _steps(idx[rows]), df[rows])))
+            out.append((block[at[s]], 0, K.pack(*_narrow(tok[rows]), _steps(idx[rows]), df[rows])))
     return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
 
 
@@ -218,10 +229,10 @@ def _candidates(num: int, den: int) -> Callable[[tuple, pa.Table], pa.Table]:
         eid = np.stack([d1, d2], axis=1).astype(">u8").tobytes()
         eids = [eid[16 * i : 16 * i + 16] if size[i] else None for i in range(len(ids))]
         cols = {"doc_id": ids.tolist(), "n": size.tolist(), "eid": eids, "tokens": [None] * len(ids), "prefix": [None] * len(ids)}
-        parts = [K.unpack(b, "u8", "u4", "u4") for k, b in zip(kind, blob) if not k]
+        parts = [K.unpack(b, "u4", "u2", "u4", "u4") for k, b in zip(kind, blob) if not k]
         none = np.zeros(0, np.uint32)
-        tok, df = (np.concatenate([none.astype(kind), *(p[c] for p in parts)]) for c, kind in ((0, np.uint64), (2, np.uint32)))
-        idx = np.concatenate([none, *(np.cumsum(p[1], dtype=np.uint32) for p in parts)])
+        tok, df = np.concatenate([none.astype(np.uint64), *(_wide(*p[:2]) for p in parts)]), np.concatenate([none, *(p[3] for p in parts)])
+        idx = np.concatenate([none, *(np.cumsum(p[2], dtype=np.uint32) for p in parts)])
         order = np.lexsort((tok, df, idx))
         tok, idx, df = tok[order], idx[order], df[order]
         row_of = {int(e): i for i, e in enumerate(entity.tolist()) if e >= 0}
@@ -234,7 +245,7 @@ def _candidates(num: int, den: int) -> Callable[[tuple, pa.Table], pa.Table]:
                 cols["doc_id"].append(None)
                 cols["n"].append(n)
                 cols["eid"].append(eids[i])
-                cols["tokens"].append(K.pack(tok[lo:hi], df[lo:hi]))
+                cols["tokens"].append(K.pack(*_narrow(tok[lo:hi]), df[lo:hi]))
                 cols["prefix"].append(need)
         return pa.table({"doc_id": pa.array(cols["doc_id"], pa.int64()), "n": pa.array(cols["n"], pa.int64()), "eid": pa.array(cols["eid"], pa.binary()), "tokens": pa.array(cols["tokens"], pa.binary()), "prefix": pa.array(cols["prefix"], pa.int32())})
 
@@ -341,8 +352,8 @@ def trie_links(sets: list[tuple[bytes, int, bytes]], num: int, den: int, labels:
     a probe and a stored set that is no probe are looked for.
     """
     trie = SetTrie(num, den)
-    parts = [K.unpack(s[2], "u8", "u4") for s in sets]
-    tok, df = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    parts = [K.unpack(s[2], "u4", "u2", "u4") for s in sets]
+    tok, df = np.concatenate([_wide(*p[:2]) for p in parts]), np.concatenate([p[2] for p in parts])
     uniq, first, inv = np.unique(tok, return_index=True, return_inverse=True)
     order = np.lexsort((uniq, -df[first].astype(np.int64)))  # frequent first
     rank = np.empty(len(uniq), dtype=np.int64)
@@ -457,12 +468,8 @@ def ngram_components(
     flat = materialize(
         shared.groupBy("block").applyInArrow(_candidates(num, den), "doc_id long, n long, eid binary, tokens binary, prefix int"), "op6"
     )
-    del shared
-    free_exchanges(src.sparkSession)  # the shingles' exchanges, most of what this operator moves
     texts = flat.filter("doc_id is not null").select("doc_id", "n", "eid")
-    sets = flat.filter("prefix is not null").groupBy("eid").agg(F.min(F.struct("n", "tokens", "prefix")).alias("s")).select("eid", "s.*")
-    sets = materialize(sets, "op6-sets")
-    free_exchanges(src.sparkSession)
+    sets = flat.filter("prefix is not null")  # a set may be there more than once, sent by several tasks
 
     tokens = sets.select("eid", "tokens", "prefix").mapInArrow(_prefix_tokens, "token long, eid binary")
     tokens = materialize(tokens, "op6-pre")
@@ -470,8 +477,10 @@ def ngram_components(
     parts = connected_components(tokens.join(heads, "token").select("eid", "head"), "eid", "head")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n_part"))
     of = parts.join(sizes, "component").select(F.col("node").alias("eid"), F.col("component").alias("part"), "n_part")
-    placed = materialize(sets.join(of, "eid").select("part", "n_part", "eid", "n", "tokens"), "op6-parts")  # the shingles are exchanged once
-    release(sets, tokens, parts)
+    # the candidates' shingles are exchanged once, by set; copies of a set are alike
+    placed = sets.join(of, "eid").groupBy("eid").agg(*(F.first(x).alias(x) for x in ("part", "n_part", "n", "tokens"))).select("part", "n_part", "eid", "n", "tokens")
+    placed = materialize(placed, "op6-parts")
+    release(tokens, parts)
     n_sets, n_big = placed.agg(F.count("*"), F.count(F.when(F.col("n_part") > block_sets, 1))).first()
     n_groups = int(max(16, -(-n_sets // 1000)))
     links = (
@@ -496,7 +505,7 @@ def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         tok, eid = [], []
         for e, blob, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            t = K.unpack(blob, "u8", "u4")[0][:p]
+            t = _wide(*K.unpack(blob, "u4", "u2", "u4")[:2])[:p]
             tok.append(t.view(np.int64))
             eid += [e] * len(t)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok) if tok else np.zeros(0, np.int64)), pa.array(eid, pa.binary())], names=["token", "eid"])
