@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as T
 from recordloom.functions.similarity import partial_ratio_udf
 from recordloom.operators.prep import comma_names
+from recordloom.operators.language import Profiles, tell_languages
 
 c = F.col
-# fixed values: very common words of four languages
-COMMON_WORDS = {
-    "deu": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "von", "zu"], "eng": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "on"],
-    "fra": ["le", "la", "les", "et", "des", "est", "une", "dans", "pour", "que"], "spa": ["el", "los", "las", "y", "del", "es", "una", "por", "con", "que"],
-}
 #: fields whose white space and markup are cleaned
 TEXT_FIELDS = ["title", "author", "journal", "booktitle"]
 
@@ -52,32 +48,23 @@ def drop_redundant_containers(records: DataFrame, threshold: float = 90.0) -> Da
     return marked.withColumns({"booktitle": F.when(~(c("_same") & (c("ENTRYTYPE") == "article")), c("booktitle")), "journal": F.when(~(c("_same") & (c("ENTRYTYPE") == "inproceedings")), c("journal"))}).drop("_same")
 
 
-def text_language(text: Column, least: int = 2) -> Column:
-    """The language with most of its common words in the text, the first in the alphabet of equals; null with fewer than ``least``."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    common = lambda own: F.size(F.filter(words, lambda w: w.isin(own)))
-    counted = F.array(*(F.struct(common(own).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, own) in enumerate(COMMON_WORDS.items())))
-    best = F.array_max(counted)
-    return F.when(best["n"] >= least, best["lang"])
-
-
-def language_filter(records: DataFrame, keep: list[str] | None = None, short: int = 30) -> DataFrame:
-    """ID, title, other_titles (language -> title in brackets), language, verdict: kept, manual or excluded.
+def language_filter(records: DataFrame, profiles: Profiles, keep: list[str] | None = None, short: int = 30) -> DataFrame:
+    """ID, title, other_title (language=title of the one in brackets), language, verdict: kept, manual or excluded.
 
     Without a title the language is dropped and the record kept; a language to keep is kept; short titles count as English; titles in several
-    languages, the further ones in brackets, are split; else the title's common words tell, and one whose language they don't tell needs a hand.
+    languages, the further one in brackets, are split; else the title's trigrams tell, and one whose language they don't tell needs a hand.
     """
     keep = keep or ["eng"]
     split = c("title").rlike(r"^.+\[.+\]\s*$")
     first = F.when(split, F.trim(F.regexp_extract("title", r"^(.+?)\s*\[(.+)\]\s*$", 1))).otherwise(c("title"))
     second = F.when(split, F.regexp_extract("title", r"^(.+?)\s*\[(.+)\]\s*$", 2))
-    other = F.coalesce(text_language(second), F.lit("und"))
-    language = (
-        F.when(~_known("title"), F.lit(None).cast("string")).when(c("language").isin(keep), c("language")).when(F.char_length("title") < short, "eng").otherwise(text_language(first))
-    )
-    out = records.withColumns({"_language": language, "_first": first, "_other": F.when(split, F.concat_ws("=", other, second))})
+    r = records.select("ID", "title", "language", first.alias("first"), second.alias("second"))
+    texts = r.select("ID", F.explode(F.array(F.struct(F.lit(1).alias("place"), c("first").alias("text")), F.struct(F.lit(2).alias("place"), c("second").alias("text")))).alias("t")).select("ID", "t.*").filter("text is not null")
+    told = tell_languages(texts, profiles, ["ID", "place"]).groupBy("ID").agg(*(F.max(F.when(c("place") == i, c("lang"))).alias(f"told_{i}") for i in (1, 2)))
+    language = F.when(~_known("title"), F.lit(None).cast("string")).when(c("language").isin(keep), c("language")).when(F.char_length("title") < short, "eng").otherwise(c("told_1"))
+    out = r.join(told, "ID", "left").withColumns({"_language": language, "_other": F.when(c("second").isNotNull(), F.concat_ws("=", F.coalesce("told_2", F.lit("und")), "second"))})
     verdict = F.when(~_known("title") | c("_language").isin(keep), "kept").when(c("_language").isNull(), "manual").otherwise("excluded")
-    return out.withColumn("verdict", verdict).select("ID", c("_first").alias("title"), c("_other").alias("other_title"), c("_language").alias("language"), "verdict")
+    return out.withColumn("verdict", verdict).select("ID", c("first").alias("title"), c("_other").alias("other_title"), c("_language").alias("language"), "verdict")
 
 
 def doi_metadata_defects(records: DataFrame, metadata: DataFrame, fields: list[str] | None = None, least: float = 60.0) -> DataFrame:

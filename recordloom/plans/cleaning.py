@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
 from recordloom.operators import cleaning as C
+from recordloom.operators.language import fit_profiles
 from recordloom.plans.fixtures import records, with_records
 from recordloom.plans.scalars import PAGES_SQL
 from recordloom.sources import formats
@@ -35,7 +36,7 @@ def f23f(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p21(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir).withColumn("title", F.when(c("ENTRYTYPE") == "online", F.concat("title", F.lit(" [der Titel und die Arbeit]"))).otherwise(c("title")))
-    return C.language_filter(r)
+    return C.language_filter(r, fit_profiles(r.filter(c("language").rlike("^[a-z]{3}$")).select(c("language").alias("lang"), c("abstract").alias("text"))))
 
 
 def p36(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,19 +87,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    words = lambda v: f"string_split_regex(lower({v}), '[^\\p{{L}}]+')"
-    count = lambda v, own: f"len(list_filter({words(v)}, lambda w: w in ({', '.join(repr(x) for x in own)})))"
-    best = lambda v: "list_max([" + ", ".join(f"struct_pack(n := {count(v, own)}, o := {-i}, l := '{lang}')" for i, (lang, own) in enumerate(C.COMMON_WORDS.items())) + "])"
-    lang = lambda v: f"case when {best(v)}.n >= 2 then {best(v)}.l end"
+    # trigrams of the texts of a table x (k, text), as a table of k, gram, n
+    grams = lambda x: f"(select k, substr(' ' || w || ' ', i, 3) as gram, sum(m) as n from (select k, w, m, unnest(range(1, length(w) + 1)) as i from (select k, w, count(*) as m from (select k, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from {x}) where length(w) <= 40 group by all)) group by all)"
+    weight = lambda n: f"cast(round(1000 * ln(({n} + 1) / (total + kinds))) as bigint)"
     known = "(title is not null and title not in ('', 'UNKNOWN'))"
     clean = lambda v: f"regexp_replace(regexp_replace({v}, '\\s+', ' ', 'g'), '<.*?>', '', 'g')"
     return {k: with_records(v) for k, v in {
         "F23f_clean_characters": f"select ID, {clean("'<b>A</b>  &amp; ' || coalesce(title, '')")} as title, {clean('author')} as author, coalesce(year, '2019') as year from r",
-        "P21_language_filter": f"""with t as (select ID, language, case when ENTRYTYPE = 'online' then title || ' [der Titel und die Arbeit]' else title end as title from r),
-            s as (select *, regexp_matches(title, '^.+\\[.+\\]\\s*$') as two from t),
+        "P21_language_filter": f"""with p as (select language as k, abstract as text from r where regexp_matches(language, '^[a-z]{{3}}$') and abstract is not null), pk as (select * from p where k in (select k from p group by k having count(*) >= 20)),
+            g as materialized (select * from {grams('pk')}), tot as (select k, sum(n) as total, (select count(distinct gram) from g) as kinds from g group by k),
+            pg as materialized (select g.k as lang, gram, n, {weight('n')} as weight from g join tot using (k)), lg as (select k as lang, {weight('0')} as absent, u.usual from tot join (select lang, floor(sum(n * weight) / sum(n)) as usual from pg group by lang) u on u.lang = k),
+            s0 as (select ID, language, case when ENTRYTYPE = 'online' then title || ' [der Titel und die Arbeit]' else title end as title from r), s as (select *, regexp_matches(title, '^.+\\[.+\\]\\s*$') as two from s0),
             u as (select *, case when two then trim(regexp_extract(title, '^(.+?)\\s*\\[(.+)\\]\\s*$', 1)) else title end as a, case when two then regexp_extract(title, '^(.+?)\\s*\\[(.+)\\]\\s*$', 2) end as b from s),
-            v as (select *, case when not {known} then null when language in ('eng') then language when length(title) < 30 then 'eng' else {lang('a')} end as l from u)
-            select ID, a as title, case when two then coalesce({lang('b')}, 'und') || '=' || b end as other_title, l as language, case when not {known} or l in ('eng') then 'kept' when l is null then 'manual' else 'excluded' end as verdict from v""",
+            tx as (select ID || '/1' as k, a as text from u where a is not null union all select ID || '/2', b from u where b is not null), tg as materialized (select * from {grams('tx')}), nn as (select k, sum(n) as n from tg group by k),
+            sc as (select tg.k, pg.lang, sum(tg.n * pg.weight) as s, sum(tg.n) as known from tg join pg using (gram) group by all), sd as (select sc.k, sc.lang, sc.known, nn.n, lg.usual, s + (nn.n - known) * absent as score from sc join nn using (k) join lg using (lang)),
+            be as (select *, row_number() over (partition by k order by score desc, lang) as place from sd), told as (select k, lang from be where place = 1 and n >= 10 and 100 * known >= 60 * n and score >= n * (usual - 1000)),
+            v as (select u.*, t2.lang as l2, case when not {known} then null when language in ('eng') then language when length(title) < 30 then 'eng' else t1.lang end as l from u left join told t1 on t1.k = u.ID || '/1' left join told t2 on t2.k = u.ID || '/2')
+            select ID, a as title, case when two then coalesce(l2, 'und') || '=' || b end as other_title, l as language, case when not {known} or l in ('eng') then 'kept' when l is null then 'manual' else 'excluded' end as verdict from v""",
         "S11_nbib_round_trip": "select ID as local_id, 'article' as ENTRYTYPE, 'On ' || ID as title, journal, volume, number from r where journal is not null",
         "S12_enl_round_trip": "select ID as source, 'article' as ENTRYTYPE, 'On ' || ID as title, volume, number from r where journal is not null",
         "T7_resumed": "select ID, split_part(origins, '/', 1) as source, case when processed then 'before' else 'now' end as made from r",
