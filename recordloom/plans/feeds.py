@@ -14,6 +14,8 @@ from recordloom.sources import detect, formats
 from recordloom.streaming import feed, keyed
 
 c = F.col
+#: all of a record's authors as "Last, First"
+WHOLE_NAMES = r"^[A-Z][\p{Ll}]+, [A-Z][\p{Ll}]+( and [A-Z][\p{Ll}]+, [A-Z][\p{Ll}]+)*$"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +125,16 @@ def s10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.standard_columns(got, ["author", "year", "journal", "volume", "doi"]).select(c("local_id").alias("ID"), "author", "year", "journal", "volume", "doi")
 
 
+def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by authors with whole names as a list of citation texts, read again."""
+    r = records(spark, sf_dir).filter("journal is not null and volume is not null and volume <> 'UNKNOWN'").filter(c("author").rlike(WHOLE_NAMES) & c("year").rlike("^[0-9]{4}$"))
+    short = F.array_join(F.transform(F.split("author", " and "), lambda n: F.concat(F.split_part(n, F.lit(", "), F.lit(1)), F.lit(" "), F.substring(F.split_part(n, F.lit(", "), F.lit(2)), 1, 1))), ", ")
+    text = F.concat(short, F.lit(" ("), "year", F.lit(") On the making of record "), "ID", F.lit(". "), F.initcap("journal"), F.lit(" "), "volume", F.when(c("number").isNotNull(), F.concat(F.lit("("), "number", F.lit(")"))).otherwise(""), F.lit(": 11–19."))
+    got = formats.load(spark, _written(r, text, "md"))
+    fields = formats.standard_columns(got, ["author", "year", "title", "journal", "volume", "number", "pages"])
+    return fields.select(F.regexp_extract("title", "R[0-9]+$", 0).alias("ID"), "ENTRYTYPE", "author", "year", "title", "journal", "volume", "number", "pages")
+
+
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = records(spark, sf_dir).select(F.concat(F.lit("f"), (c("seq") % 5).cast("string")).alias("source"), formats.bib_text(["title", "year"]).alias("content"))
     return formats.count_records(texts, "bib")
@@ -137,7 +149,7 @@ def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "T1_feed_upsert": t1, "T2_time_variant": t2, "T4_change_classes": t4, "T8_append_only_stream": t8, "T9_stream_latest": t9, "T10_windowed_counts": t10, "K1_bib": k1, "K2_markdown": k2, "K3_ris": k3, "K5_partial_save": k5,
-        "S4_count_records": s4, "S5_bib_round_trip": s5, "S5_bib_files": s5_files, "S10_ris_files": s10_files, "S10_ris_round_trip": s10, "S18_detect_source": s18,
+        "S4_count_records": s4, "S5_bib_round_trip": s5, "S5_bib_files": s5_files, "S10_ris_files": s10_files, "S15_reference_lists": s15, "S10_ris_round_trip": s10, "S18_detect_source": s18,
     }
 
 
@@ -157,6 +169,9 @@ def oracle_sql() -> dict[str, str]:
         "T9_stream_latest": f"select user_id, event_id, event_type from ({last('true')})",
         "T10_windowed_counts": "select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events group by 1, 2",
     } | {k: with_records(v) for k, v in {
+        "S15_reference_lists": f"""select ID, 'article' as ENTRYTYPE, array_to_string(list_transform(string_split(author, ' and '), lambda n: split_part(n, ', ', 1) || ', ' || substr(split_part(n, ', ', 2), 1, 1)), ' and ') as author, year, 'On the making of record ' || ID as title,
+            array_to_string(list_transform(string_split(journal, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as journal, volume, number, '11--19' as pages from r
+            where journal is not null and volume is not null and volume <> 'UNKNOWN' and regexp_matches(author, '{WHOLE_NAMES}') and regexp_matches(year, '^[0-9]{{4}}$')""",
         "T8_append_only_stream": "select * from (select 'added' as change, count(*) as n from r union all select 'repeated', count(*) from r where processed and ENTRYTYPE <> 'book' union all select 'violation', count(*) from r where processed and ENTRYTYPE = 'book') where n > 0",
         "T4_change_classes": """with n as (select ID, seq, case when seq % 17 = 0 then 'RETRACTED: ' || title else title end as title, case when year = 'forthcoming' and seq % 2 = 0 then '2024' else year end as year,
             case when seq % 13 = 0 then '99' else volume end as volume, case when seq % 13 = 0 then '1' else number end as number from r), o as (select * from r where seq % 10 <> 1)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions.citations import parse_reference
+
 RECORD = "source string, seq long, ENTRYTYPE string, local_id string, fields map<string,string>"
 
 # fixed values: tags of the formats and the fields they fill
@@ -169,6 +171,11 @@ def read_enl(texts: DataFrame) -> DataFrame:
     return _parsed(_cut(texts, r"\n\s*\n", F.col("record").rlike("(?m)^%T ")), parse_enl)
 
 
+def read_references(lines: DataFrame) -> DataFrame:
+    """lines (source, seq, value) of reference lists, a citation text each -> records. Headings and empty lines are none."""
+    return _parsed(lines.filter(F.trim("value") != "").filter(~F.substring(F.ltrim("value"), 1, 2).contains("#")).select("source", "seq", F.col("value").alias("record")), parse_reference)
+
+
 def read_csv(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:
     """A table with headers; all values are strings, empty ones are null, columns in lower case."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
@@ -201,6 +208,8 @@ def load(spark: SparkSession, path: str, rename: dict[str, str] | None = None, i
     if suffix in READERS:
         kind = "enl" if suffix == "txt" else suffix
         return _parsed(split_records(spark, path, kind), PARSERS[kind])
+    if suffix == "md":
+        return read_references(spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.shiftleft(F.col("_metadata.file_block_start"), 24).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("seq"), "value"))
     if suffix not in ("csv", "json"):
         raise NotImplementedError(f"no reader for .{suffix}")
     table = read_csv(spark, path, rename) if suffix == "csv" else read_json(spark, path)
