@@ -202,56 +202,92 @@ OTHER = ["url", "doi", "language", "file", "ENTRYTYPE"]
 
 def _container_fold(values: Column) -> Column:
     """The outlet's name out of an array in order: one without a point is taken over one with it, and one with a smaller share of capitals over a larger."""
-    better = lambda old, new: (old.contains(".") & ~new.contains(".")) | (T.percent_upper(old) > T.percent_upper(new))
+    better = lambda old, new: (old["v"].contains(".") & ~new["v"].contains(".")) | (T.percent_upper(old["v"]) > T.percent_upper(new["v"]))
     return F.aggregate(values, F.get(values, F.lit(0)), lambda old, new: F.when(better(old, new), new).otherwise(old))
 
 
-def _distinct_in_order(rows: DataFrame, key: str, field: str) -> DataFrame:
-    """key, an array of the field's distinct known values by their first place: copies are merged before any array is made."""
-    known = rows.filter(c(field).isNotNull() & ~c(field).isin("", "UNKNOWN")).groupBy(key, field).agg(F.min("seq").alias("seq"))
-    return known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", c(field).alias("v")))), lambda x: x["v"]).alias(f"_{field}"))
+def _title_fold(values: Column) -> Column:
+    """The title out of an array in order: one with a smaller share of capitals that doesn't end in a mark is taken, unless the two differ in " - " and ": " only."""
+    same = lambda x: F.replace(x["v"], F.lit(" - "), F.lit(": "))
+    better = lambda old, new: (same(old) != same(new)) & (T.percent_upper(new["v"]) < T.percent_upper(old["v"])) & ~new["v"].rlike("[*12]$")
+    return F.aggregate(values, F.get(values, F.lit(0)), lambda old, new: F.when(better(old, new), new).otherwise(old))
 
 
-def merge_groups(grouped: DataFrame, key: str = "component") -> DataFrame:
+def merge_groups(grouped: DataFrame, key: str = "component", preferred: tuple[str, ...] = (), provenance: str | None = None) -> DataFrame:
     """Merge the records of each group field by field; the group's order is ``seq``.
 
     The pairwise rules are folds over that order; each is given here as one ordered aggregate, which needs no
     collected group:
 
-    * author: the first without a defect, else the first; year: the last that is four digits, else the last; pages: the first range with two hyphens, else the first;
-    * title: the least share of capitals among the first record and those that don't end in a mark, the earliest of equals;
-    * journal, booktitle: the fold of their distinct values, which each enter once, at their first place (see _container_fold);
+    * author: the first without a defect, else the first; year: the last that is four digits, else the last that isn't empty; pages: the first range with two hyphens, else the first;
+    * title, journal, booktitle: the fold of their distinct values, which each enter once, at their first place (see _title_fold and _container_fold);
     * url: the first with https, else the last; file: all distinct ones, joined; ENTRYTYPE: the first but misc; other fields: the first that is known;
     * origins: all of them; status: the highest.
 
+    Records with an origin that holds one of ``preferred`` overwrite the fields that identify the work, so a field's rules begin at the last such record that knows it.
     Of groups with curated records (column ``curated``) fields are the last known ones of these; what no curated record knows is empty if it identifies the work (but for
     pages), and else comes from the records ahead of the first curated one, by the rules above.
+
+    ``provenance`` names a map column field -> (source, note). The result then has that map of the chosen values, and a field that the first record marks as IGNORE:missing isn't filled in.
+
+    Records are exchanged by group once; both passes over them, and the distinct values, stay where they are.
     """
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
-    origins = grouped.select(key, F.explode(F.split("origins", ";")).alias("o")).distinct().groupBy(key).agg(F.concat_ws(";", F.array_sort(F.collect_set("o"))).alias("origins"))
-    all_of = grouped.groupBy(key).agg(F.min_by("ID", "seq").alias("ID"), F.count("*").alias("n_merged"), F.max_by("status", rank[c("status")]).alias("status"), F.min(F.when(c("curated").isNotNull(), c("seq"))).alias("_curated_at"))
-    rows = grouped.join(all_of.select(key, "_curated_at"), key)
-    known = lambda f: c(f).isNotNull() & ~c(f).isin("", "UNKNOWN")
-    curated = rows.filter("curated is not null").groupBy(key).agg(*(F.max_by(f, F.when(known(f), c("seq"))).alias(f"_c_{f}") for f in (*IDENTIFYING, *OTHER)))
-    rows = rows.filter(c("_curated_at").isNull() | (c("seq") < c("_curated_at")))
-    fill = lambda f: F.coalesce(F.min_by(f, F.when(known(f), c("seq"))), F.min_by(f, "seq")).alias(f)
-    title_ok = known("title") & ~c("title").rlike("[*12]$")
+    fields = (*IDENTIFYING, *OTHER)
+    known = lambda f: F.coalesce(c(f).isNotNull() & ~c(f).isin("", "UNKNOWN"), F.lit(False))
+    chosen = F.exists(F.split("origins", ";"), lambda o: reduce(lambda x, y: x | y, (o.contains(p) for p in preferred))) if preferred else F.lit(False)
+    begins = {f: F.max(F.when(chosen & known(f), c("seq"))).alias(f"_from_{f}") for f in IDENTIFYING} if preferred else {}
+    groups = grouped.groupBy(key).agg(
+        F.min_by("ID", "seq").alias("_main"), F.count("*").alias("n_merged"), F.max_by("status", rank[c("status")]).alias("_status"), F.min(F.when(c("curated").isNotNull(), c("seq"))).alias("_curated_at"), *begins.values()
+    )
+    carried = [key, "seq", "origins", "curated", *fields, *([provenance] if provenance else [])]
+    rows = grouped.select(*carried).join(groups, key)
+
+    early = c("_curated_at").isNull() | (c("seq") < c("_curated_at"))
+    live = {f: early & (c(f"_from_{f}").isNull() | (c("seq") >= c(f"_from_{f}"))) if f in begins else early for f in fields}
+    text = lambda: F.lit(None).cast("string")
+    at = lambda f, x: F.try_element_at(c(provenance), F.lit(f))[x] if provenance else text()
+    v = {f: F.struct(c(f).alias("v"), at(f, "source").alias("source"), at(f, "note").alias("note")) for f in fields}
+    least = lambda f, *order, when=None: F.min_by(v[f], F.when(live[f] if when is None else live[f] & when, F.struct(*(x.alias(f"o{i}") for i, x in enumerate((*order, c("seq")))))))
+    no = lambda x: F.coalesce(~x, F.lit(True))
+    blank = lambda f: c(f).isNull() | (c(f) == "")
     bad_author = F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(by_field["author"], F.lit(False)) for _, by_field in checks().values() if "author" in by_field)), F.lit(False))
     misc = c("ENTRYTYPE").isNull() | c("ENTRYTYPE").isin("", "misc")
-    merged = rows.groupBy(key).agg(
-        F.min_by("author", F.struct((~known("author")).alias("no"), bad_author.alias("bad"), c("seq").alias("s"))).alias("author"),
-        F.max_by("year", F.struct(F.coalesce(c("year").rlike("^[0-9]{4}$"), F.lit(False)).alias("ok"), c("seq").alias("seq"))).alias("year"),
-        F.min_by("pages", F.struct((~F.coalesce(c("pages").contains("--"), F.lit(False))).alias("no"), c("seq").alias("seq"))).alias("pages"),
-        F.coalesce(F.min_by("title", F.when(title_ok, F.struct(T.percent_upper(c("title")).alias("u"), c("seq").alias("s")))), F.min_by("title", "seq")).alias("title"),
-        F.coalesce(F.min_by("url", F.when(c("url").startswith("https"), c("seq"))), F.max_by("url", F.when(known("url"), c("seq")))).alias("url"),
-        F.min_by("ENTRYTYPE", F.struct(misc.alias("m"), c("seq").alias("s"))).alias("ENTRYTYPE"),
-        *(fill(f) for f in ("volume", "number", "doi", "language")),
-    )
-    for f in ("journal", "booktitle", "file"):
-        merged = merged.join(_distinct_in_order(rows, key, f), key, "left").withColumn(f, F.array_join(f"_{f}", ";") if f == "file" else _container_fold(c(f"_{f}"))).drop(f"_{f}")
-    out = all_of.join(origins, key).join(merged, key, "left").join(curated, key, "left")
-    of = lambda f: F.when(c("_curated_at").isNotNull(), c(f"_c_{f}")).otherwise(c(f)) if f in IDENTIFYING and f != "pages" else F.coalesce(f"_c_{f}", f)
-    return out.select(key, "ID", "n_merged", "status", "origins", *(of(f).alias(f) for f in (*IDENTIFYING, *OTHER)))
+
+    def fill(f: str) -> Column:
+        first, base = least(f, when=known(f)), least(f)
+        kept = F.array_contains(F.split(base["note"], ","), "IGNORE:missing") & (base["v"].isNull() | base["v"].isin("", "UNKNOWN"))
+        return F.when(F.coalesce(kept, F.lit(False)), base).otherwise(F.coalesce(first, base)) if provenance else F.coalesce(first, base)
+
+    rules = {
+        "author": least("author", ~known("author"), bad_author), "pages": least("pages", no(c("pages").contains("--")), blank("pages")), "title": least("title"),
+        "year": F.max_by(v["year"], F.when(live["year"], F.struct(F.coalesce(c("year").rlike("^[0-9]{4}$"), F.lit(False)).alias("ok"), (~blank("year")).alias("there"), c("seq").alias("seq")))),
+        "url": F.coalesce(least("url", when=c("url").startswith("https")), F.max_by(v["url"], F.when(live["url"] & known("url"), c("seq")))),
+        "ENTRYTYPE": least("ENTRYTYPE", misc), **{f: fill(f) for f in ("volume", "number", "doi", "language")},
+    }
+    curated = {f: F.max_by(v[f], F.when(c("curated").isNotNull() & known(f), c("seq"))).alias(f"_c_{f}") for f in fields}
+    single = rows.groupBy(key).agg(*(F.first(x).alias(x) for x in ("_main", "n_merged", "_status", "_curated_at")), *(x.alias(f"_r_{f}") for f, x in rules.items()), *curated.values())
+
+    # distinct values by their first place; copies are merged before any array is made
+    value = lambda f, when: F.when(when & known(f), F.struct(F.lit(f).alias("field"), *(v[f][x].alias(x) for x in ("v", "source", "note"))))
+    several = F.array_compact(F.array(*(value(f, live[f]) for f in ("title", "journal", "booktitle", "file"))))
+    origins = F.transform(F.split("origins", ";"), lambda o: F.struct(F.lit("origins").alias("field"), o.alias("v"), text().alias("source"), text().alias("note")))
+    values = rows.select(key, "seq", F.explode(F.concat(several, F.coalesce(origins, F.array().cast("array<struct<field:string,v:string,source:string,note:string>>")))).alias("x")).select(key, "seq", "x.*")
+    values = values.groupBy(key, "field", "v").agg(F.min("seq").alias("seq"), F.min_by(F.struct("source", "note"), "seq").alias("p"))
+    listed = lambda f: F.array_sort(F.collect_list(F.when(c("field") == f, F.struct("seq", "v", "p.source", "p.note")))).alias(f"_l_{f}")
+    lists = values.groupBy(key).agg(*(listed(f) for f in ("title", "journal", "booktitle", "file", "origins")))
+
+    out = single.join(lists, key, "left")
+    plain = lambda x: F.when(x.isNotNull(), F.struct(x["v"].alias("v"), x["source"].alias("source"), x["note"].alias("note")))
+    joined = lambda f: F.array_join(F.transform(F.array_sort(c(f"_l_{f}")), lambda x: x["v"]), ";")
+    of_rules = {f: c(f"_r_{f}") for f in rules} | {f: plain(_container_fold(c(f"_l_{f}"))) for f in ("journal", "booktitle")}
+    of_rules["title"] = F.coalesce(plain(_title_fold(c("_l_title"))), c("_r_title"))
+    first_file = F.get("_l_file", F.lit(0))
+    of_rules["file"] = F.when(F.size("_l_file") > 0, F.struct(joined("file").alias("v"), first_file["source"].alias("source"), first_file["note"].alias("note")))
+    fused = lambda f: F.when(c("_curated_at").isNotNull(), c(f"_c_{f}")).otherwise(of_rules[f]) if f in IDENTIFYING and f != "pages" else F.coalesce(c(f"_c_{f}"), of_rules[f])
+    out = out.select(key, c("_main").alias("ID"), "n_merged", c("_status").alias("status"), F.array_join(F.array_sort(F.transform("_l_origins", lambda x: x["v"])), ";").alias("origins"), *(fused(f).alias(f) for f in fields))
+    made = [F.map_from_entries(F.array_compact(F.array(*(F.when(c(f)["v"].isNotNull() & c(f)["source"].isNotNull(), F.struct(F.lit(f), F.struct(c(f)["source"].alias("source"), c(f)["note"].alias("note")))) for f in fields)))).alias(provenance)] if provenance else []
+    return out.select(key, "ID", "n_merged", "status", "origins", *(c(f)["v"].alias(f) for f in fields), *made)
 
 
 def merge_pairs(grouped: DataFrame, key: str = "component") -> DataFrame:

@@ -160,6 +160,18 @@ def d15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).filter("journal is not null or booktitle is not null").select("journal", "booktitle", F.when(c("journal").isNotNull(), c("volume")).otherwise(c("year")).alias("part")).distinct()
 
 
+def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records merged by DOI with provenance; those with a metadata origin are preferred, and missing numbers of articles are said to be in order."""
+    g = _grouped(spark, sf_dir)
+    note = F.when((c("ENTRYTYPE") == "article") & c("number").isNull(), "IGNORE:missing").otherwise("")
+    cell = lambda f, n: F.struct(F.concat(c("ID"), F.lit("/"), F.lit(f)).alias("source"), n.alias("note"))
+    fields = ("year", "volume", "number", "pages")
+    g = g.withColumn("prov", F.create_map(*(x for f in fields for x in (F.lit(f), cell(f, note if f == "number" else F.lit(""))))))
+    merged = D.merge_groups(g, preferred=("md_",), provenance="prov")
+    rows = merged.select("ID", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c(f).alias("value"), F.try_element_at("prov", F.lit(f)).alias("p")) for f in fields))).alias("x"))
+    return rows.select("ID", "x.field", "x.value", c("x.p.source").alias("source"), c("x.p.note").alias("note"))
+
+
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.merge_groups(_grouped(spark, sf_dir)).select("ID", "origins", "status")
 
@@ -178,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "J1_first_hit": j1, "J2_toc_lookup": j2, "J3_toc_prefix": j3, "J4_year_of_toc": j4, "J5_fields_to_remove": j5, "J6_journal_ranking": j6, "J7_fuzzy_duplicates": j7, "J7_duplicate_groups": j7_groups, "J11_global_id_pairs": j11,
         "J12_origin_intersection": j12, "J16_cross_set_match": j16, "J18_import_decisions": j18, "J20_year_from_issue": j20, "J21_as_of_rule": j21, "J22_table_diff": j22,
-        "D1_candidates": d1, "D2_record_similarity": d2, "D4_pair_labels": d4, "D7_merge_pairs": d7, "D12_fixed_clusters": d12, "D5_components": d5, "D8_pair_vetoes": d8, "D10_merged_records": d10, "D15_toc_items": d15, "M2_origins_status": m2, "M10_diff": m10,
+        "D1_candidates": d1, "D2_record_similarity": d2, "D4_pair_labels": d4, "D7_merge_pairs": d7, "D12_fixed_clusters": d12, "D5_components": d5, "D8_pair_vetoes": d8, "D10_merged_records": d10, "D15_toc_items": d15, "M1_merge_preferred": m1, "M2_origins_status": m2, "M10_diff": m10,
     }
 
 
@@ -256,13 +268,14 @@ def oracle_sql() -> dict[str, str]:
         a as (select component, arg_min(ID, seq) as ID, count(*) as n_merged, arg_max(status, rank) as status, any_value(curated_at) as curated_at from g1 group by component),
         c as (select component, {', '.join(f"(max(struct_pack(s := seq, v := {f})) filter ({known(f)})).v as c_{f}" for f in (*ident, *others))} from g1 where curated is not null group by component),
         g as (select * from g1 where curated_at is null or seq < curated_at),
+        tf as (select component, list_reduce(list(v order by s), lambda x, y: case when replace(x, ' - ', ': ') <> replace(y, ' - ', ': ') and {UPPER_SQL.format('y')} < {UPPER_SQL.format('x')} and not regexp_matches(y, '[*12]$') then y else x end) as folded from {firsts('title')} group by component),
         m as (select component, coalesce(min(struct_pack(b := bad, s := seq, v := author)) filter ({known('author')}), min(struct_pack(b := bad, s := seq, v := author))).v as author,
-            coalesce(max(struct_pack(s := seq, v := year)) filter (regexp_matches(year, '^[0-9]{{4}}$')), max(struct_pack(s := seq, v := year))).v as year,
-            coalesce(min(struct_pack(s := seq, v := pages)) filter (pages like '%--%'), min(struct_pack(s := seq, v := pages))).v as pages,
-            coalesce(min(struct_pack(u := up, s := seq, v := title)) filter ({known('title')} and not regexp_matches(title, '[*12]$')), min(struct_pack(u := 0.0::double, s := seq, v := title))).v as title,
+            coalesce(max(struct_pack(s := seq, v := year)) filter (regexp_matches(year, '^[0-9]{{4}}$')), max(struct_pack(s := seq, v := year)) filter (year is not null and year <> ''), max(struct_pack(s := seq, v := year))).v as year,
+            coalesce(min(struct_pack(s := seq, v := pages)) filter (pages like '%--%'), min(struct_pack(s := seq, v := pages)) filter (pages is not null and pages <> ''), min(struct_pack(s := seq, v := pages))).v as pages,
+            coalesce(any_value(tf.folded), min(struct_pack(s := seq, v := title)).v) as title,
             coalesce(min(struct_pack(s := seq, v := url)) filter (url like 'https%'), max(struct_pack(s := seq, v := url)) filter ({known('url')})).v as url,
             coalesce(min(struct_pack(s := seq, v := ENTRYTYPE)) filter (ENTRYTYPE not in ('', 'misc')), min(struct_pack(s := seq, v := ENTRYTYPE))).v as ENTRYTYPE,
-            {', '.join(first_of(f) for f in ('volume', 'number', 'doi', 'language'))} from g group by component),
+            {', '.join(first_of(f) for f in ('volume', 'number', 'doi', 'language'))} from g left join tf using (component) group by component),
         j as (select component, {fold('journal')} as journal from {firsts('journal')} group by component), b as (select component, {fold('booktitle')} as booktitle from {firsts('booktitle')} group by component),
         f as (select component, array_to_string(list(v order by s), ';') as file from {firsts('file')} group by component),
         z as (select a.ID, n_merged, status, origins, {', '.join(f"case when curated_at is not null then c_{x} else {x} end as {x}" if x in ident and x != 'pages' else f"coalesce(c_{x}, {x}) as {x}" for x in (*ident, *others))}
@@ -310,6 +323,19 @@ def oracle_sql() -> dict[str, str]:
               len(sh) > 0 and list_sort(list_filter(ao, lambda x: list_contains(sh, split_part(x, '/', 1)))) <> list_sort(list_filter(bo, lambda x: list_contains(sh, split_part(x, '/', 1)))) as same_source from p""",
         "D10_merged_records": merged + " select * from z",
         "D15_toc_items": "select distinct journal, booktitle, case when journal is not null then volume else year end as part from r where journal is not null or booktitle is not null",
+        "M1_merge_preferred": f"""with g0 as (select *, {DOI_SQL} as component, case when ENTRYTYPE = 'article' and number is null then 'IGNORE:missing' else '' end as nn, origins like '%md_%' as pref from r where doi is not null),
+            gc as (select *, min(case when curated is not null then seq end) over (partition by component) as curated_at, arg_min(ID, seq) over (partition by component) as main from g0),
+            x as (select component, main, curated_at, seq, ID, curated, pref, unnest([struct_pack(field := 'year', v := year, note := ''), struct_pack(field := 'volume', v := volume, note := ''), struct_pack(field := 'number', v := number, note := nn), struct_pack(field := 'pages', v := pages, note := '')], recursive := true) from gc),
+            k as (select *, {known('v')} as ok, max(case when pref and {known('v')} then seq end) over (partition by component, field) as begins from x),
+            l as (select *, (curated_at is null or seq < curated_at) and (begins is null or seq >= begins) as live from k),
+            q as (select component, any_value(main) as ID, field, any_value(curated_at) as curated_at,
+                max(struct_pack(s := seq, v := v, i := ID, note := note)) filter (curated is not null and ok) as cur,
+                min(struct_pack(s := seq, v := v, i := ID, note := note)) filter (live) as base, min(struct_pack(s := seq, v := v, i := ID, note := note)) filter (live and ok) as first,
+                max(struct_pack(o := coalesce(regexp_matches(v, '^[0-9]{{4}}$'), false), e := v is not null and v <> '', s := seq, v := v, i := ID, note := note)) filter (live) as y, min(struct_pack(o := not coalesce(contains(v, '--'), false), e := v is null or v = '', s := seq, v := v, i := ID, note := note)) filter (live) as p from l group by component, field),
+            z as (select ID, field, case when field = 'year' then struct_pack(v := y.v, i := y.i, note := y.note) when field = 'pages' then struct_pack(v := p.v, i := p.i, note := p.note)
+                when base.note = 'IGNORE:missing' and (base.v is null or base.v in ('', 'UNKNOWN')) or first is null then struct_pack(v := base.v, i := base.i, note := base.note) else struct_pack(v := first.v, i := first.i, note := first.note) end as e, struct_pack(v := cur.v, i := cur.i, note := cur.note) as c, curated_at from q),
+            f as (select ID, field, case when curated_at is not null and field <> 'pages' then c when c.v is not null then c else e end as e from z)
+            select ID, field, e.v as value, case when e.v is not null then e.i || '/' || field end as source, case when e.v is not null then e.note end as note from f""",
         "M2_origins_status": merged + " select ID, origins, status from z",
         "M10_diff": f"with g as (select *, {DOI_SQL} as comp from r where doi is not null), h as (select * from (select *, row_number() over (partition by comp order by seq) as n from g) where n = 1), d as (select g.ID, unnest(["
         + ", ".join(f"struct_pack(field := '{f}', old := h.{f}, new := g.{f})" for f in m10_fields) + "]) as d from g join h on g.comp = h.comp where g.ID <> h.ID) select ID, d.field as field, case when d.old is null then 'add' when d.new is null then 'remove' else 'change' end as kind, d.old as old, d.new as new from d where d.old is distinct from d.new",
