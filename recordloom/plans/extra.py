@@ -17,6 +17,7 @@ from recordloom.operators import history as H
 from recordloom.operators import lookup as L
 from recordloom.operators import prep as P
 from recordloom.operators import provenance as V
+from recordloom.operators import transfer as O
 from recordloom.plans.fixtures import records, with_records
 from recordloom.plans.scalars import LCS_SQL, PAGES_SQL, TOC_SQL, _expected_sql
 from recordloom.schema import POST
@@ -38,25 +39,22 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated records have one provenance entry, the curation."""
     r = records(spark, sf_dir).withColumn("prov", V.parse_cell(F.concat(F.lit("title:src/"), c("seq").cast("string"), F.lit(";missing; year:manual;;"))))
-    cur = F.create_map(F.lit("CURATED"), F.struct(F.lit("https://curation").alias("source"), F.lit("").alias("note")))
-    out = r.withColumn("prov", F.when(c("curated").isNotNull(), cur).otherwise(c("prov")))
+    out = r.withColumn("prov", O.curate_provenance(c("prov"), c("curated").isNotNull(), "https://curation"))
     return out.select("ID", F.explode("prov").alias("field", "p")).select("ID", "field", "p.source", "p.note")
 
 
 def p32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A worklist edited by hand: changed fields are taken, cleared ones are marked as not needed."""
-    r = records(spark, sf_dir).select("ID", "seq", "year", "volume")
-    edited = r.filter("seq % 4 = 0").select("ID", F.when(c("seq") % 8 == 0, "2015").otherwise(c("year")).alias("n_year"), F.when(c("seq") % 12 != 0, c("volume")).alias("n_volume"), F.lit(True).alias("e"))
-    j = r.join(edited, "ID", "left")
-    new = lambda f: F.when(c("e") & c(f"n_{f}").isNotNull() & (c(f"n_{f}") != "UNKNOWN"), c(f"n_{f}")).when(c("e") & c(f"n_{f}").isNull(), F.lit(None)).otherwise(c(f))
-    return j.select("ID", new("year").alias("year"), new("volume").alias("volume"), F.when(c("e") & c("volume").isNotNull() & c("n_volume").isNull(), "IGNORE:missing").alias("volume_note"))
+    """A worklist of all unprocessed records edited by hand: forthcoming years are set, volumes of what isn't an article are cleared."""
+    r = records(spark, sf_dir).select("ID", "ENTRYTYPE", "processed", "year", "volume")
+    edits = r.filter("not processed").select("ID", F.when(c("year") == "forthcoming", "2015").otherwise(c("year")).alias("year"), F.when(c("ENTRYTYPE") == "article", c("volume")).alias("volume"))
+    return O.import_edits(r, edits, ["year", "volume"]).select("ID", "year", "volume", F.try_element_at("notes", F.lit("volume")).alias("volume_note"), F.try_element_at("notes", F.lit("year")).alias("year_note"))
 
 
 def p37(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records handed to another project get the next ids there."""
+    """All records handed to a project that has the processed ones: new ones get the next ids there."""
     r = records(spark, sf_dir)
-    there = r.filter("seq % 5 = 0").select(c("ID").alias("origin"), F.lpad((F.floor(c("seq") / 5) + 1).cast("string"), 6, "0").alias("id"))
-    return H.next_ids(there, r.filter("seq % 5 = 1").select(c("ID").alias("origin")), "origin")
+    there = r.filter("processed").select(c("ID").alias("origin"), F.lpad((c("seq") + 1).cast("string"), 6, "0").alias("id"))
+    return O.distribute(there, r)
 
 
 def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +85,8 @@ def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origins of each record in order, records by their number of origins."""
-    return records(spark, sf_dir).select("ID", F.array_sort(F.split("origins", ";")).alias("o")).select("ID", F.array_join("o", ";").alias("origins"), F.size("o").alias("n")).orderBy(F.desc("n"), "ID")
+    """Records by their number of origins."""
+    return O.change_order(records(spark, sf_dir), F.size(F.split("origins", ";")))
 
 
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +94,8 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).withColumn("issue", F.when(c("seq") % 2 == 0, "9"))
-    return r.select("ID", F.coalesce("number", "issue").alias("number"))
+    """Records whose source names the number issue: it is taken where there is no number."""
+    return O.rename_where_absent(records(spark, sf_dir).withColumn("issue", c("volume")), {"issue": "number"}).select("ID", "number")
 
 
 def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +134,7 @@ def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Included records as a bibliography."""
-    return records(spark, sf_dir).filter("status in ('rev_included', 'rev_synthesized')").select("ID", formats.bib_text(["author", "title", "year"]).alias("text"))
+    return O.bibliography(records(spark, sf_dir), "bib", ["author", "title", "year"])
 
 
 def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,21 +179,20 @@ def oracle_sql() -> dict[str, str]:
     ratio = lambda a, b: f"(case when {a} = '' and {b} = '' then 100.0 when {a} = '' or {b} = '' then 0.0 else 200.0 * {LCS_SQL.format(a=a, b=b)} / (length({a}) + length({b})) end)"
     pairs = f"k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t, lower(author) as a from r where title is not null and author is not null), s as (select a.ID as a_ID, b.ID as b_ID, round(0.4 * {ratio('a.a', 'b.a')} + 0.6 * {ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID <> b.ID)"
     bib = "'@' || ENTRYTYPE || '{' || ID || ',' || chr(10) || array_to_string(list_filter([" + ", ".join(f"case when {f} is not null and {f} <> '' then '   {f.ljust(28)} = {{' || {f} || '}}' end" for f in ("author", "title", "year")) + "], lambda x: x is not null), ',' || chr(10)) || ',' || chr(10) || '}' || chr(10)"
-    new = lambda f: f"case when e and n_{f} is not null and n_{f} <> 'UNKNOWN' then n_{f} when e and n_{f} is null then null else {f} end as {f}"
     fill = lambda f, v: f"case when curated is null and seq % 2 = 0 and ({f} is null or {f} in ('', 'UNKNOWN', 'forthcoming')) then '{v}' else {f} end as {f}"
     expected = _expected_sql().replace("pages", f"({PAGES_SQL})")
     return {k: with_records(v) for k, v in {
         "P3_foreign_predicate": "select ID from r where ENTRYTYPE = 'article' and volume in ('1', '2')",
         "P15_curated": "select ID, 'CURATED' as field, 'https://curation' as source, '' as note from r where curated is not null union all select ID, 'title', 'src/' || cast(seq as string), 'missing' from r where curated is null union all select ID, 'year', 'manual', '' from r where curated is null",
-        "P32_manual_import": f"with j as (select *, seq % 4 = 0 as e, case when seq % 8 = 0 then '2015' else year end as n_year, case when seq % 12 <> 0 then volume end as n_volume from r) select ID, {new('year')}, {new('volume')}, case when e and volume is not null and n_volume is null then 'IGNORE:missing' end as volume_note from j",
-        "P37_distribute": "with t as (select ID as origin, lpad(cast(seq // 5 + 1 as string), 6, '0') as id from r where seq % 5 = 0) select * from t union all select ID, lpad(cast((select max(cast(id as bigint)) from t) + row_number() over (order by ID) as string), 6, '0') from r where seq % 5 = 1",
+        "P32_manual_import": "select ID, case when not processed and year = 'forthcoming' then '2015' else year end as year, case when processed or ENTRYTYPE = 'article' then volume when volume = 'UNKNOWN' then null end as volume, case when not processed and ENTRYTYPE <> 'article' and volume is not null then 'IGNORE:missing' end as volume_note, cast(null as varchar) as year_note from r",
+        "P37_distribute": "with t as (select ID as origin, lpad(cast(seq + 1 as string), 6, '0') as id from r where processed) select * from t union all select ID, lpad(cast((select max(cast(id as bigint)) from t) + row_number() over (order by ID) as string), 6, '0') from r where not processed",
         "J8_issue_pairs": f"with {pairs} select a_ID, b_ID, sim from s where a_ID < b_ID and sim >= 70",
         "J9_ranked_candidates": f"with {pairs}, x as (select *, row_number() over (partition by a_ID order by sim desc, b_ID) as place from s) select a_ID, b_ID, sim, cast(place as integer) as place, sim > 80 as likely from x where place <= 20",
         "D3_change_score": f"with k as (select ID, lower(title) as a, lower('the ' || substr(title, 3)) as b from r where title is not null) select ID, round(1 - {ratio('a', 'b')} / 100, 6) as change_score from k",
         "Q29_pdf_incomplete": f"with k as (select ID, {expected} as expected, cast(ceil(length(text) / 3000) as integer) as found from r where file is not null and pages is not null) select ID, cast(expected as integer) as expected, found from k where expected <> found",
         "W2_eligible_ids": "select ID from r where status in ('md_imported', 'md_prepared')",
-        "W8_origin_order": "select ID, array_to_string(list_sort(string_split(origins, ';')), ';') as origins, cast(len(string_split(origins, ';')) as integer) as n from r",
-        "F17_issue_number": "select ID, coalesce(number, case when seq % 2 = 0 then '9' end) as number from r",
+        "W8_origin_order": "with k as (select ID, array_to_string(list_sort(string_split(origins, ';')), ';') as origins, cast(len(string_split(origins, ';')) as integer) as score from r) select *, row_number() over (order by score desc, ID) as place from k",
+        "F17_issue_number": "select ID, coalesce(nullif(number, ''), volume) as number from r",
         "T3_propagate": f"select ID, {fill('year', '2023')}, {fill('volume', '5')} from r",
         "K6_bibliography": f"select ID, {bib} as text from r where status in ('rev_included', 'rev_synthesized')",
         "S6_header_scan": "select ID, origins, status from r",

@@ -221,11 +221,11 @@ def similarity() -> str:
             q as (select a_ID, b_ID, sim, case when lacks or ae = 'proceedings' or be = 'proceedings' or (ae = 'book' and be = 'inbook') or (ae = 'inbook' and be = 'book') or (gen and oi) or sim < 0.7 then 'distinct' when sim < 0.9 then 'maybe' else 'duplicate' end as label from q1)"""
 
 
-def _words_sql(title: str) -> str:
+def words_sql(title: str) -> str:
     return f"list_distinct(list_filter(string_split(regexp_replace(translate(lower({title}), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
 
 
-WORDS_SQL = _words_sql("title")
+WORDS_SQL = words_sql("title")
 _SAME_DOI = "p as (select a.ID as a_ID, b.ID as b_ID from s a join s b on a.d = b.d and a.ID < b.ID)"
 _GENERIC = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in D.GENERIC_TITLES) + ")"
 #: pairs of heads: records that differ in a compared field, whose titles' words are alike
@@ -233,7 +233,7 @@ _FUZZY_SQL = f"""e as (select *, min(ID) over (partition by et, author, title, p
     w as materialized (select ID, case when plain in {_GENERIC} then ['||' || volume || '|' || number] else {WORDS_SQL} end as w from e where ID = head), t as (select ID, len(w) as n, unnest(w) as x from w),
     p as (select a_ID, b_ID from (select a.ID as a_ID, b.ID as b_ID, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jac from t a join t b on a.x = b.x and a.ID < b.ID group by all) where jac >= 0.7 - 1e-12)"""
 #: t: the state of each unprocessed record in the tables of contents of the processed ones
-TOC_FOUND_SQL = f"""ts as materialized (select ID, seq, processed, toc, {_slug_sql('raw_title')} as slug, {_words_sql('raw_title')} as w from s where toc is not null), tw as (select ID, toc, processed, len(w) as n, unnest(w) as x from ts),
+TOC_FOUND_SQL = f"""ts as materialized (select ID, seq, processed, toc, {_slug_sql('raw_title')} as slug, {words_sql('raw_title')} as w from s where toc is not null), tw as (select ID, toc, processed, len(w) as n, unnest(w) as x from ts),
     p as (select a_ID, b_ID from (select a.ID as a_ID, b.ID as b_ID, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jac from tw a join tw b on a.x = b.x and a.toc = b.toc and not a.processed and b.processed group by all) where jac >= 0.7 - 1e-12), {similarity()},
     near as (select a_ID, arg_min(b_ID, struct_pack(s := -sim, i := b_ID)) as near_id from q where label = 'duplicate' group by a_ID), tt as (select toc, slug, arg_min(ID, seq) as index_id from ts where processed group by toc, slug),
     t as (select ts.ID, ts.toc as toc_key, coalesce(tt.index_id, near.near_id) as index_id, case when tt.index_id is not null or near.near_id is not null then 'found' when ts.toc in (select toc from tt) then 'not-in-toc' else 'not-in-index' end as result

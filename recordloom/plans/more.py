@@ -11,6 +11,7 @@ from recordloom.functions import text as T
 from recordloom.operators import dedupe as D
 from recordloom.operators import fulltext as X
 from recordloom.operators import lookup as L
+from recordloom.operators import transfer as O
 from recordloom.plans.fixtures import records, with_records
 from recordloom.plans.scalars import DOI_SQL, TOC_SQL, _slug_sql
 from recordloom.schema import POST
@@ -68,10 +69,8 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the best source in issues that have none processed become processed."""
-    r = records(spark, sf_dir).withColumns({"toc": T.toc_key(), "best": c("seq") % 2 == 0}).filter("toc is not null")
-    done = r.filter(c("best") & c("status").isin(POST["md_processed"])).select("toc").distinct()
-    return r.filter("best and status = 'md_prepared'").join(done, "toc", "left_anti").select("ID", "toc", F.lit("md_processed").alias("status"))
+    """Records of the best source in issues that have none of it processed become processed."""
+    return O.first_source(records(spark, sf_dir))
 
 
 def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,18 +93,14 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of another project, found by DOI."""
-    r = records(spark, sf_dir).withColumn("doi", T.normalise_doi(c("doi"))).filter("doi is not null")
-    other = r.filter("processed").groupBy("doi").agg(F.min_by("status", "seq").alias("other"))
-    out = F.when(c("other").isin(POST["rev_prescreen_included"]) & (c("other") != "rev_prescreen_excluded"), "rev_prescreen_included").when(c("other") == "rev_prescreen_excluded", "rev_prescreen_excluded")
-    return r.filter("not processed").join(other, "doi").select("ID", out.alias("decision"))
+    r = records(spark, sf_dir)
+    return O.import_statuses(r.filter("not processed"), r.filter("processed"), T.normalise_doi(c("doi")))
 
 
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages set by hand; records that were excluded for their language are reset."""
-    labels = _t(spark, sf_dir, "labels").select(c("doc_id").alias("seq"), F.lit("eng").alias("new_language"))
-    r = records(spark, sf_dir).join(labels, "seq", "left")
-    reset = c("new_language").isNotNull() & (c("status") == "rev_prescreen_excluded")
-    return r.select("ID", F.coalesce("new_language", "language").alias("language"), F.when(reset, "md_prepared").otherwise(c("status")).alias("status"))
+    labels = _t(spark, sf_dir, "labels").select(F.concat(F.lit("R"), F.lpad(c("doc_id").cast("string"), 7, "0")).alias("ID"), F.lit("eng").alias("language"))
+    return O.import_languages(records(spark, sf_dir), labels)
 
 
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +195,7 @@ def oracle_sql() -> dict[str, str]:
             union all select ID, 'author-not-in-pdf' from f where not empty and author is not null and lower(title) not like '%editorial%' and {share('aw')} <= 0.8""",
         "A22_source_comparison": f"with o as (select ID, unnest(string_split(origins, ';')) as origin, unnest(range(1, len(string_split(origins, ';')) + 1)) as pos from r) select ID, arg_min(origin, pos) filter ({kind} = 'database') as database, arg_min(origin, pos) filter ({kind} = 'metadata') as metadata, arg_min(origin, pos) filter ({kind} = 'web') as web from o group by ID",
         "D6_primary": f"with k as (select ID, {DOI_SQL} as doi, row_number() over (partition by {DOI_SQL} order by {rank} desc, curated is null, regexp_matches(ID, '[a-z]$'), ID) as n, count(*) over (partition by {DOI_SQL}) as m from r where doi is not null) select doi, ID as primary_id, m as n from k where n = 1",
-        "D14_first_source": f"with k as materialized (select ID, seq, status, {TOC_SQL} as toc from r) select ID, toc, 'md_processed' as status from k where seq % 2 = 0 and status = 'md_prepared' and toc is not null and toc not in (select toc from k where toc is not null and seq % 2 = 0 and status in {inn(POST['md_processed'])})",
+        "D14_first_source": f"with k as materialized (select ID, status, {TOC_SQL} as toc, split_part(origins, '/', 1) as source from r), n as (select toc, source, count(*) as n, bool_or(status in {inn(POST['md_processed'])}) as done from k where toc is not null group by all), b as (select *, row_number() over (partition by toc order by n desc, source) as place from n) select k.ID, k.toc, k.source, 'md_processed' as status from k join b on b.toc = k.toc and b.source = k.source and b.place = 1 and not b.done where status = 'md_prepared'",
         "J17_other_decisions": f"with k as (select ID, seq, status, processed, {DOI_SQL} as doi from r where doi is not null), o as (select doi, arg_min(status, seq) as other from k where processed group by doi) select k.ID, case when other = 'rev_prescreen_excluded' then 'rev_prescreen_excluded' when other in {inn(POST['rev_prescreen_included'])} then 'rev_prescreen_included' end as decision from k join o on o.doi = k.doi where not k.processed",
         "J19_language_import": "select ID, case when l.doc_id is not null then 'eng' else language end as language, case when l.doc_id is not null and status = 'rev_prescreen_excluded' then 'md_prepared' else status end as status from r left join labels l on l.doc_id = r.seq",
         "P17_last_round": "select ID, " + ", ".join(f"case when {f} not in ('', 'NA', 'UNKNOWN') then {f} end as {f}" for f in ("title", "author", "year", "doi")) + " from r",

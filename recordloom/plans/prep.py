@@ -12,6 +12,7 @@ from recordloom.functions.similarity import ratio_bound, ratio_udf
 from recordloom.operators import prep as P
 from recordloom.operators import lookup as L
 from recordloom.operators import provenance as V
+from recordloom.operators import transfer as O
 from recordloom.plans.fixtures import records, with_records
 from recordloom.plans.scalars import DOI_SQL, LCS_SQL, UPPER_SQL
 
@@ -129,10 +130,10 @@ def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata filled in by DOI."""
+    """Unprocessed records enriched by the processed ones: by DOI, and by title where there is none."""
     r = records(spark, sf_dir).withColumn("doi", T.normalise_doi(c("doi")))
-    meta = r.filter("doi is not null and seq % 3 = 0").groupBy("doi").agg(F.min_by("title", "seq").alias("title"), F.lit("77").alias("volume"), F.lit("2011").alias("year"))
-    return P.enrich(r, meta, "doi", ["volume", "year"], 0.5).select("ID", "doi", "volume", "year", "linked")
+    meta = r.filter("processed").select("doi", "title", "volume", "year")
+    return O.enrich_records(r.filter("not processed"), meta, ["volume", "year"], 0.5).select("ID", "doi", "volume", "year", "via")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -144,8 +145,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from recordloom.plans.linking import words_sql as words
     from recordloom.plans.scalars import KEY_SQL, TOC_SQL
 
+    filled = lambda f, m: f"case when (j.{f} is null or j.{f} in ('', 'UNKNOWN')) and ok then coalesce({m}, j.{f}) when (j.{f} is null or j.{f} in ('', 'UNKNOWN')) and b.ID is not null then coalesce(b.{f}, j.{f}) else j.{f} end as {f}"
+
     prov = f"p as (select ID, seq, year, title, journal, doi, unnest([struct_pack(field := 'title', source := 'src.bib/' || cast(seq as string), note := {NOTE_SQL}), struct_pack(field := 'year', source := 'manual', note := ''), struct_pack(field := 'author', source := 'ORIGINAL', note := 'incomplete-field')], recursive := true) from r)"
     add = "case when {n} = '' then '{c}' when list_contains(string_split({n}, ','), '{c}') then {n} else {n} || ',{c}' end"
     rem = "case when list_contains(string_split(note, ','), 'missing') then array_to_string(list_filter(string_split(note, ','), lambda x: x not in ('missing', 'IGNORE:missing')), ',') else note end"
@@ -189,5 +193,11 @@ def oracle_sql() -> dict[str, str]:
         "J13_source_rows": f"with o as (select ID, unnest(string_split(origins, ';')) as origin from r) select ID, o.origin, d.n_chars from o left join (select {src} as origin, n_chars from documents) d on d.origin = o.origin",
         "J15_merge_candidates": f"with k as materialized (select ID, {TOC_SQL} as toc, lower(title) as t from r where title is not null), s as (select a.ID as a_ID, b.ID as b_ID, round({ratio('a.t', 'b.t')}, 4) as sim from k a join k b on a.toc = b.toc and a.ID < b.ID) select * from s where sim > 95",
         "J23_files_by_hash": "with f as (select sha256(text) as h, min(file) as path from r where file is not null group by 1) select ID, f.path as found from r left join f on f.h = sha256(r.text) where file is null",
-        "J24_enrichment": f"with k as materialized (select ID, seq, {DOI_SQL} as doi, title, volume, year from r), m as (select doi, arg_min(title, seq) as title from k where doi is not null and seq % 3 = 0 group by doi), j as (select k.*, m.doi as md, m.title as mt, coalesce({ratio('lower(k.title)', 'lower(m.title)')} >= 50, false) as ok from k left join m on m.doi = k.doi) select ID, case when md is not null and not ok then null else doi end as doi, case when ok and (volume is null or volume in ('', 'UNKNOWN')) then '77' else volume end as volume, case when ok and (year is null or year in ('', 'UNKNOWN')) then '2011' else year end as year, ok as linked from j",
+        "J24_enrichment": f"""with k as materialized (select ID, processed, {DOI_SQL} as doi, title, volume, year from r), m0 as (select doi, (min(struct_pack(a := title is not null, t := title, b := volume is not null, v := volume, c := year is not null, y := year))) as f from k where processed and doi is not null group by doi), m as materialized (select doi, f.t as title, f.v as volume, f.y as year from m0),
+            j as (select k.*, m.doi as md, m.volume as mv, m.year as my, coalesce({ratio('lower(k.title)', 'lower(m.title)')} >= 50, false) as ok from k left join m on m.doi = k.doi where not processed),
+            w as (select ID, unnest({words('title')}) as x, len({words('title')}) as n from j where not ok and (doi is null or md is not null) and length(title) >= 5 and title <> 'UNKNOWN'), mw as (select doi, unnest({words('title')}) as x, len({words('title')}) as n from m),
+            p as (select ID, mw.doi as doi from w join mw using (x) group by ID, mw.doi having count(*) / (any_value(w.n) + any_value(mw.n) - count(*)) >= 0.7 - 1e-12),
+            t as (select p.ID, m.*, {ratio('lower(j.title)', 'lower(m.title)')} as s from p join j using (ID) join m on m.doi = p.doi), b as (select *, row_number() over (partition by ID order by s desc, doi) as place from t where s >= 50)
+            select j.ID, case when ok then j.doi when b.ID is not null then b.doi when md is not null then null else j.doi end as doi, {filled('volume', 'mv')}, {filled('year', 'my')}, case when ok then 'doi' when b.ID is not null then 'title' end as via
+            from j left join b on b.ID = j.ID and b.place = 1""",
     }.items()}
