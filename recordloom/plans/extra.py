@@ -23,6 +23,7 @@ from recordloom.plans.scalars import LCS_SQL, PAGES_SQL, TOC_SQL, _expected_sql
 from recordloom.schema import POST
 from recordloom.session import shared_dir
 from recordloom.sources import formats
+from recordloom.sources.workbooks import read_workbooks, workbooks
 
 c = F.col
 
@@ -155,6 +156,13 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_csv(spark, path, {"Record ID": "ID", "Publication Year": "year"})
 
 
+def s13_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as workbooks, read again."""
+    books = workbooks(records(spark, sf_dir).select(c("ID").alias("Record ID"), c("title").alias("Title"), c("year").alias("Publication Year")), ["Record ID", "Title", "Publication Year"], order="Record ID")
+    cell = lambda n: F.try_element_at("cells", F.lit(n))
+    return read_workbooks(books).select(cell("Record ID").alias("ID"), cell("Title").alias("title"), cell("Publication Year").alias("year"))
+
+
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "json")
     records(spark, sf_dir).select("ID", "title", c("seq").alias("number")).write.json(path)
@@ -171,7 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "P3_foreign_predicate": p3, "P15_curated": p15, "P32_manual_import": p32, "P37_distribute": p37, "J8_issue_pairs": j8, "J9_ranked_candidates": j9, "D3_change_score": d3, "Q29_pdf_incomplete": q29, "W2_eligible_ids": w2,
         "W8_origin_order": w8, "F11_bibtex_names": f11, "F17_issue_number": f17, "F19_strip_tags": f19, "F24_nested_values": f24, "F31_partial_ratio": f31, "F32_query_similarity": f32, "T3_propagate": t3, "K6_bibliography": k6,
-        "S6_header_scan": s6, "S13_csv_round_trip": s13, "S14_json_round_trip": s14, "S21_import_violations": s21,
+        "S6_header_scan": s6, "S13_csv_round_trip": s13, "S13_workbooks": s13_workbooks, "S14_json_round_trip": s14, "S21_import_violations": s21,
     }
 
 
@@ -197,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "K6_bibliography": f"select ID, {bib} as text from r where status in ('rev_included', 'rev_synthesized')",
         "S6_header_scan": "select ID, origins, status from r",
         "S13_csv_round_trip": "select ID, title, year from r",
+        "S13_workbooks": "select ID, nullif(title, '') as title, nullif(year, '') as year from r",
         "S14_json_round_trip": "select ID, title, cast(seq as string) as number from r",
         "S21_import_violations": "with v as (select unnest(list_filter([case when seq % 11 = 0 then 'no ID' end, case when seq % 13 = 0 then 'no ENTRYTYPE' end, case when seq % 5 = 0 then 'field name' end, case when title is null or title = '' then 'empty value' end, case when seq % 7 = 0 then 'provenance field' end], lambda x: x is not null)) as problem from r) select problem, count(*) as n from v group by 1",
     }.items()} | {

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.citations import parse_reference
+from recordloom.sources.workbooks import read_workbooks, save_workbooks, workbooks
 
 RECORD = "source string, seq long, ENTRYTYPE string, local_id string, fields map<string,string>"
 
@@ -210,6 +211,9 @@ def load(spark: SparkSession, path: str, rename: dict[str, str] | None = None, i
         return _parsed(split_records(spark, path, kind), PARSERS[kind])
     if suffix == "md":
         return read_references(spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.shiftleft(F.col("_metadata.file_block_start"), 24).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("seq"), "value"))
+    if suffix == "xlsx":
+        books = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("source"), "content")
+        return workbook_records(read_workbooks(books), rename, id_column)
     if suffix not in ("csv", "json"):
         raise NotImplementedError(f"no reader for .{suffix}")
     table = read_csv(spark, path, rename) if suffix == "csv" else read_json(spark, path)
@@ -227,17 +231,30 @@ def table_records(table: DataFrame, id_column: str | None = None) -> DataFrame:
     return table.select(F.lit("table").alias("source"), F.monotonically_increasing_id().alias("seq"), kind.alias("ENTRYTYPE"), local.alias("local_id"), F.map_from_entries(pairs).alias("fields"))
 
 
+def workbook_records(rows: DataFrame, rename: dict[str, str] | None = None, id_column: str | None = None) -> DataFrame:
+    """Rows of workbooks (source, seq, cells) as records, as table_records makes them of tables."""
+    names = F.create_map(*(F.lit(x) for kv in (rename or {"": ""}).items() for x in kv))
+    cells = F.transform_keys("cells", lambda k, v: F.coalesce(F.try_element_at(names, k), F.regexp_replace(F.lower(F.trim(k)), " ", "_")))
+    local = F.try_element_at("cells", F.lit(id_column)) if id_column else F.lit(None).cast("string")
+    skip = ["entrytype", *([id_column.lower(), id_column] if id_column else [])]
+    named = rows.select("source", "seq", cells.alias("fields"), local.alias("local_id"))
+    return named.select("source", "seq", F.coalesce(F.lower(F.try_element_at("fields", F.lit("entrytype"))), F.lit("misc")).alias("ENTRYTYPE"), "local_id", F.map_filter("fields", lambda k, v: ~k.isin(*skip)).alias("fields"))
+
+
 def load_text(spark: SparkSession, text: str, kind: str) -> DataFrame:
     return READERS[kind](spark.createDataFrame([("text", text)], "source string, content string"))
 
 
 def save(records: DataFrame, path: str) -> None:
-    """Records written to a path by its suffix: bib, ris, md (texts in the order of the id) or csv (with headers)."""
+    """Records written to a path by its suffix: bib, ris, md (texts in the order of the id), csv (with headers) or xlsx (a folder of workbooks)."""
     suffix = path.rsplit(".", 1)[-1].lower()
     fields = [f for f in ("ID", "ENTRYTYPE", *ORDER) if f in records.columns]
     if suffix == "csv":
         records.select(*fields, *sorted(set(records.columns).difference(fields))).write.csv(path, header=True, escape='"')
         return
+    if suffix == "xlsx":
+        save_workbooks(workbooks(records, [*fields, *sorted(set(records.columns).difference(fields))]), path)
+        return
     texts = {"bib": lambda: bib_text([f for f in ORDER if f in records.columns]), "ris": ris_text, "md": lambda: markdown_row(fields)}
     if suffix not in texts:
         raise NotImplementedError(f"no writer for .{suffix}")
