@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -60,9 +59,3 @@ def release(*tables: DataFrame) -> None:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def free_exchanges(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: Spark's cleaner then deletes the shuffle files of plans that nothing refers to any more, while a long job goes on."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
