@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
-from recordloom.functions.similarity import lcs_length, lcs_lengths
+from recordloom.functions import similarity
+from recordloom.functions.similarity import best_window_ratio, lcs_length, lcs_lengths
 from recordloom.operators import dedupe as D
 from recordloom.plans.catalogue import oracle_sql, queries
 from tests.test_oracle import norm
@@ -69,3 +70,9 @@ def test_one_key_needs_no_second_exchange_of_pairs(spark):
     pairs = D.pairs_on(df, {"k": F.col("k")}, ["ID"])
     assert pairs.collect() == [("R1", "R2", ["k"])]
     assert "collect_set" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_contained_text_needs_no_grid(monkeypatch):
+    """A title that stands in its abstract has a window alike: no strands are combed, and others have the same ratio as before."""
+    monkeypatch.setattr(similarity, "window_strands", None)
+    assert best_window_ratio("a title", "with a title in it") == best_window_ratio("with a title in it", "a title") == best_window_ratio("x", "x") == 100.0
