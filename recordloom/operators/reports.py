@@ -42,10 +42,13 @@ def keyword_counts(df: DataFrame, field: str, above: int = 2, stop: list[str] |
 def threshold_grid(citations: DataFrame, steps: int = 19) -> DataFrame:
     """citations (ref, paper, n_intext) -> i, j, n: references that at least j papers cite at least i times each.
 
-    Per reference, the number of papers at each i is one small array; the grid is counted from histograms, not by a
+    Mentions beyond the last step count as that many, so a reference has at most ``steps`` counts, one for each number of mentions; the grid is counted from histograms, not by a
     join of the table with the grid.
     """
-    by_i = citations.select("ref", F.explode(F.sequence(F.lit(1), F.least(c("n_intext"), F.lit(steps)))).alias("i")).filter("n_intext >= 1").groupBy("ref", "i").agg(F.count("*").alias("m"))
+    counts = citations.filter("n_intext >= 1").groupBy("ref", F.least(c("n_intext"), F.lit(steps)).alias("q")).agg(F.count("*").alias("n"))
+    # the counts of a reference are few, however many cite it, and need no further partial sums
+    papers = F.array(*(F.struct(F.lit(i).alias("i"), F.sum(F.when(c("q") >= i, c("n"))).alias("m")) for i in range(1, steps + 1)))
+    by_i = counts.repartition("ref").groupBy("ref").agg(papers.alias("p")).select(F.explode("p").alias("p")).select("p.*").filter("m is not null")
     hist = by_i.groupBy("i", F.least("m", F.lit(steps)).alias("m")).agg(F.count("*").alias("n"))
     cells = hist.select("i", F.explode(F.sequence(F.lit(1), c("m").cast("int"))).alias("j"), "n")
     return cells.groupBy("i", "j").agg(F.sum("n").alias("n"))
