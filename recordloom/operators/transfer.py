@@ -27,18 +27,21 @@ def enrich_records(records: DataFrame, metadata: DataFrame, fields: list[str], l
     A DOI whose metadata has a title less alike than ``least`` is dropped. Records that have no DOI then, and a title of at least ``short`` characters, ask by title: of metadata whose titles' words have
     a Jaccard coefficient of ``alike`` or more the one of the most similar title counts, the smaller DOI of equals, if it is as alike as ``least``. Fields that are known stay.
     """
-    one = metadata.filter("doi is not null").groupBy("doi").agg(F.min(F.struct("title", *fields)).alias("m")).select("doi", "m.*")
+    one = materialize(metadata.filter("doi is not null").groupBy("doi").agg(F.min(F.struct("title", *fields)).alias("m")).select("doi", "m.*"), "metadata")
     first = materialize(enrich(records, one, "doi", fields, least), "enriched")
-    asks = first.filter(~c("linked") & c("doi").isNull() & (F.char_length("title") >= short) & (c("title") != "UNKNOWN"))
-    words = lambda df, key: df.select(c(key).alias("ID"), word_tokens(c("title")).alias("tokens"))
-    near = similar_between(words(asks, "ID"), words(one, "doi"), alike).select(c("a_ID").alias("ID"), c("b_ID").alias("_doi"))
-    found = near.join(asks.select("ID", F.lower("title").alias("_a")), "ID").join(one.select(c("doi").alias("_doi"), F.lower("title").alias("_b"), *(c(f).alias(f"_m_{f}") for f in fields)), "_doi")
+    first = first.withColumn("_a", F.when(~c("linked") & c("doi").isNull() & (F.char_length("title") >= short) & (c("title") != "UNKNOWN"), F.lower("title")))
+    # of one title only the smallest DOI can count, and records of one title have one answer: copies meet as one
+    asks = first.filter("_a is not null").groupBy("_a").agg(F.min("ID").alias("_id"))
+    offers = one.filter("title is not null").groupBy(F.lower("title").alias("_b")).agg(F.min_by(F.struct(c("doi").alias("_doi"), *(c(f).alias(f"_m_{f}") for f in fields)), "doi").alias("_m"))
+    words = lambda df, key, title: df.select(c(key).alias("ID"), word_tokens(c(title)).alias("tokens"))
+    near = similar_between(words(asks, "_id", "_a"), words(offers, "_m._doi", "_b"), alike).select(c("a_ID").alias("_id"), c("b_ID").alias("_doi"))
+    found = near.join(asks, "_id").join(offers.select(c("_m._doi").alias("_doi"), "_b", "_m"), "_doi").select("_a", "_b", "_m")
     found = found.filter(ratio_bound(c("_a"), c("_b")) >= 100 * least).withColumn("_r", ratio_udf("_a", "_b")).filter(c("_r") >= 100 * least)
-    best = found.groupBy("ID").agg(F.min_by(F.struct("_doi", *(f"_m_{f}" for f in fields)), F.struct(-c("_r"), c("_doi"))).alias("_best"))
-    out = first.join(best, "ID", "left")
+    best = found.groupBy("_a").agg(F.min_by("_m", F.struct(-c("_r"), c("_m._doi"))).alias("_best"))
+    out = first.join(best, "_a", "left")
     filled = {f: F.when(c("_best").isNotNull() & _blank(f), F.coalesce(c(f"_best._m_{f}"), c(f))).otherwise(c(f)) for f in fields}
     via = F.when(c("linked"), "doi").when(c("_best").isNotNull(), "title")
-    return out.withColumns(filled | {"doi": F.coalesce("doi", "_best._doi"), "via": via}).drop("_best", "linked")
+    return out.withColumns(filled | {"doi": F.coalesce("doi", "_best._doi"), "via": via}).drop("_a", "_best", "linked")
 
 
 def first_source(records: DataFrame, ready: str = "md_prepared") -> DataFrame:
