@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import text as T
 from recordloom.operators.dedupe import COMPARED, comparable, pair_labels
 from recordloom.operators.similar import similar_between, word_tokens
+from recordloom.session import materialize
 
 c = F.col
 
@@ -44,9 +45,15 @@ def toc_status(records: DataFrame, index: DataFrame, alike: float = 0.7, duplica
     titles = of.groupBy("toc_key", "title_key").agg(F.min_by("ID", "seq").alias("index_id"))
     tocs = of.select("toc_key").distinct().withColumn("known", F.lit(True))
     exact = keyed(records).filter("toc_key is not null").join(titles, ["toc_key", "title_key"], "left").join(tocs, "toc_key", "left")
-    # words of titles, each with its issue: only records of one issue share any
-    issue_words = lambda df: df.withColumn("toc_key", T.toc_key()).filter("toc_key is not null").select("ID", F.transform(word_tokens(c("title")), lambda w: F.concat("toc_key", F.lit("|"), w)).alias("tokens"))
-    near = similar_between(issue_words(records), issue_words(index), alike).select("a_ID", "b_ID")
+    exact = materialize(exact.select("ID", "toc_key", "index_id", "known"), "exact-titles")
+    # words of titles, each with its issue: only records of one issue share any; who is found by title needs no duplicate
+    rest = records.join(exact.filter("index_id is null and known").select("ID"), "ID", "left_semi")
+
+    def issue_words(df: DataFrame) -> DataFrame:
+        w = df.select("ID", T.toc_key().alias("toc_key"), word_tokens(c("title")).alias("w")).filter("toc_key is not null")
+        return w.select("ID", F.zip_with("w", F.array_repeat("toc_key", F.size("w")), lambda w, toc: F.xxhash64(toc, w)).alias("tokens"))
+
+    near = similar_between(issue_words(rest), issue_words(index), alike).select("a_ID", "b_ID")
     side = lambda df, n: comparable(df).select(*(c(x).alias(f"{n}_{x}") for x in ("ID", "ENTRYTYPE", *COMPARED)))
     pairs = pair_labels(near.join(side(records, "a"), "a_ID").join(side(index, "b"), "b_ID"), duplicate=duplicate).filter("label = 'duplicate'")
     best = pairs.groupBy(c("a_ID").alias("ID")).agg(F.min_by("b_ID", F.struct(-c("similarity"), c("b_ID"))).alias("near_id"))
