@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
-from recordloom.functions.similarity import ratio_bound, ratio_udf
+from recordloom.operators import dedupe as D
 from recordloom.operators import prep as P
 from recordloom.operators import lookup as L
 from recordloom.operators import provenance as V
@@ -116,11 +116,8 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs in one issue whose titles are alike; the length bound drops pairs ahead of the similarity."""
-    r = records(spark, sf_dir).select("ID", T.toc_key().alias("toc"), F.lower("title").alias("t")).filter("toc is not null and t is not null")
-    pairs = r.select(c("ID").alias("a_ID"), "toc", c("t").alias("a")).join(r.select(c("ID").alias("b_ID"), "toc", c("t").alias("b")), "toc").filter("a_ID < b_ID")
-    pairs = pairs.filter(ratio_bound(c("a"), c("b")) >= 95)
-    return pairs.withColumn("sim", F.round(ratio_udf("a", "b"), 4)).filter("sim > 95").select("a_ID", "b_ID", "sim")
+    """Pairs in one issue whose titles are alike."""
+    return D.alike_titles(records(spark, sf_dir), 95.0)
 
 
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +128,7 @@ def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unprocessed records enriched by the processed ones: by DOI, and by title where there is none."""
-    r = records(spark, sf_dir).withColumn("doi", T.normalise_doi(c("doi")))
+    r = records(spark, sf_dir).select("ID", "processed", T.normalise_doi(c("doi")).alias("doi"), "title", "volume", "year")
     meta = r.filter("processed").select("doi", "title", "volume", "year")
     return O.enrich_records(r.filter("not processed"), meta, ["volume", "year"], 0.5).select("ID", "doi", "volume", "year", "via")
 
