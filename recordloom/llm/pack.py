@@ -40,10 +40,10 @@ WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 class Encoder:
     """Ids of a tokenizer file as the tokenizers library makes them, without special tokens around a text (those inside are matched).
 
-    A byte-level BPE is asked for each word once and its ids are kept (``keep`` words at most); other kinds are asked for whole texts.
+    A byte-level BPE is asked for each word once and its ids are kept (``keep`` words at most, first those that were met again); other kinds are asked for whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
         from tokenizers import Tokenizer
 
@@ -61,28 +61,37 @@ class Encoder:
         self.known: dict[str, int] = {}  # word -> its number; a word's ids are flat[end[number] : end[number + 1]]
         self.end = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
+        self.again = np.zeros(0, dtype=bool)  # by number: met again after it was asked for
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of known words, one after the other, and where each word's end."""
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _ids(self, words: list[str] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words (or of their numbers), one after the other, and where each word's end."""
+        number = words if isinstance(words, np.ndarray) else self._numbers(words)
         first = self.end[number]
         size = self.end[number + 1] - first
         done = np.cumsum(size)
         return self.flat[np.repeat(first - (done - size), size) + np.arange(done[-1] if len(done) else 0)], done
 
     def _forget(self, but: set[str]) -> None:
-        """Keep no words but these, which are in use."""
-        kept = list(but.intersection(self.known))
-        self.flat, done = self._ids(kept)
-        self.known, self.end = dict(zip(kept, range(len(kept)))), np.concatenate([[0], done])
+        """Keep these words, which are in use, and those that were met again since the last time, where they leave room."""
+        kept = [w for w, again in zip(self.known, self.again.tolist()) if again or w in but]
+        ids, done = self._ids(kept)
+        if 4 * (len(kept) + len(but)) > 3 * self.keep or len(ids) > 4 * self.keep:
+            kept = list(but.intersection(self.known))
+            ids, done = self._ids(kept)
+        self.flat, self.known, self.end = ids, dict(zip(kept, range(len(kept)))), np.concatenate([[0], done])
+        self.again = np.zeros(len(kept), dtype=bool)
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Words that begin with a space are asked for in one text: the split falls between them, and the tokens' lengths tell them apart."""
-        joined = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        alone = list(set(words).difference(joined))
+        joined, alone = [], []
+        for w in words:
+            (joined if w[0] == " " and len(w) > 1 and not w[1].isspace() else alone).append(w)
         ids = np.array(self._ask(["".join(joined)])[0], dtype="<u4")
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) for w in joined])) + 1
         rest = self._ask(alone)
@@ -106,8 +115,12 @@ class Encoder:
         distinct = set(words)
         if len(self.known) + len(distinct) > self.keep or len(self.flat) > 8 * self.keep:
             self._forget(distinct)
+        before = len(self.known)
         self._learn(list(distinct.difference(self.known)))
-        ids, done = self._ids(words)
+        number = self._numbers(words)
+        self.again = np.concatenate([self.again, np.zeros(len(self.known) - before, dtype=bool)])
+        self.again[number[number < before]] = True
+        ids, done = self._ids(number)
         cut = np.concatenate([[0], done])[np.cumsum([len(w) for w in split])]
         return np.split(ids, cut[:-1])
 
