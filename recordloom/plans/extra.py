@@ -153,7 +153,7 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     records(spark, sf_dir).select(c("ID").alias("Record ID"), c("title").alias("Title"), c("year").alias("Publication Year")).write.csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    return formats.read_csv(spark, path, {"Record ID": "ID", "Publication Year": "year"})
+    return formats.read_csv(spark, path, {"Record ID": "ID", "Publication Year": "year"}, keep_empty=True)
 
 
 def s13_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:

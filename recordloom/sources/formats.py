@@ -8,6 +8,7 @@ is read and parsed by many tasks. read_bib, read_ris, read_nbib and read_enl tak
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -177,11 +178,14 @@ def read_references(lines: DataFrame) -> DataFrame:
     return _parsed(lines.filter(F.trim("value") != "").filter(~F.substring(F.ltrim("value"), 1, 2).contains("#")).select("source", "seq", F.col("value").alias("record")), parse_reference)
 
 
-def read_csv(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:
-    """A table with headers; all values are strings, empty ones are null, columns in lower case."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, rename: dict[str, str] | None = None, keep_empty: bool = False) -> DataFrame:
+    """A table with headers; all values are strings, empty ones are null (with ``keep_empty`` those without quotes only), columns in lower case."""
+    # Spark takes what equals its null value for null, so that is a text no table has; without an escape of the escape it drops NUL beside quotes
+    options = {"escape": '"', "charToEscapeQuoteEscaping": '"'} | ({"nullValue": f"null-{uuid.uuid4().hex}"} if keep_empty else {})
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, **options)
     names = {c: (rename or {}).get(c, c.strip().lower().replace(" ", "_")) for c in df.columns}
-    return df.select(*(F.nullif(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names.items()))
+    value = lambda c: F.col(f"`{c}`") if keep_empty else F.nullif(F.col(f"`{c}`"), F.lit(""))
+    return df.select(*(value(c).alias(n) for c, n in names.items()))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
