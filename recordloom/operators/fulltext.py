@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -21,34 +21,50 @@ COVER_PHRASES = ["thisarticlewasdownloadedby", "seediscussions,stats,andauthorpr
 
 def squashed(col: Column) -> Column:
     """Lower-case letters and digits without accents."""
-    return F.regexp_replace(F.lower(T.remove_accents(col)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(T.remove_accents(col)), "[^a-z0-9]+", "")
 
 
 def no_text(col: Column) -> Column:
     return F.coalesce(F.trim(col), F.lit("")) == ""
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` the value, which is worked out once for a row, however often ``of`` names it (inner functions would do so for each element)."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _share(parts: Column, flat: Column) -> Column:
+    """Share of the parts that have letters or digits which the squashed text holds."""
+    words = F.filter(F.transform(parts, squashed), lambda w: w != "")
+    return _once(words, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: flat.contains(w))) / F.size(ws)).otherwise(F.lit(0.0)))
+
+
+def _title_share(title: Column, flat: Column) -> Column:
+    # a text that holds the whole title holds its words, without a search for each
+    whole = _once(squashed(title), lambda t: (t != "") & flat.contains(t))
+    return F.when(whole, 1.0).otherwise(_share(F.split(title, " "), flat))
+
+
 def title_share(title: Column, text: Column) -> Column:
     """Share of the title's words that the text has."""
-    words = F.filter(F.transform(F.split(title, " "), squashed), lambda w: w != "")
-    hits = F.filter(words, lambda w: squashed(text).contains(w))
-    return F.when(F.size(words) > 0, F.size(hits) / F.size(words)).otherwise(F.lit(0.0))
+    return _once(squashed(text), lambda flat: _title_share(title, flat))
 
 
 def author_share(author: Column, text: Column) -> Column:
     """Share of the last names that the text has."""
-    names = F.filter(F.transform(T.last_names(author), squashed), lambda w: w != "")
-    hits = F.filter(names, lambda w: squashed(text).contains(w))
-    return F.when(F.size(names) > 0, F.size(hits) / F.size(names)).otherwise(F.lit(0.0))
+    return _once(squashed(text), lambda flat: _share(T.last_names(author), flat))
 
 
 def text_defects(records: DataFrame, text: str = "text") -> DataFrame:
-    """ID, defect of the full text: no text, title or authors not in it."""
+    """ID, defect of the full text: no text, title or authors not in it. The text is squashed once, whatever the number of words."""
     empty = no_text(c(text))
-    title = c("title").isNotNull() & (title_share(c("title"), c(text)) <= 0.9)
-    author = c("author").isNotNull() & ~F.lower("title").contains("editorial") & (author_share(c("author"), c(text)) <= 0.8)
-    found = F.array_compact(F.array(F.when(empty, F.lit("no-text-in-pdf")), F.when(~empty & title, F.lit("title-not-in-pdf")), F.when(~empty & author, F.lit("author-not-in-pdf"))))
-    return records.select("ID", F.explode_outer(found).alias("defect")).filter("defect is not null")
+
+    def found(flat: Column) -> Column:
+        title = c("title").isNotNull() & (_title_share(c("title"), flat) <= 0.9)
+        author = c("author").isNotNull() & ~F.lower("title").contains("editorial") & (_share(T.last_names(c("author")), flat) <= 0.8)
+        return F.array_compact(F.array(F.when(empty, F.lit("no-text-in-pdf")), F.when(~empty & title, F.lit("title-not-in-pdf")), F.when(~empty & author, F.lit("author-not-in-pdf"))))
+
+    return records.select("ID", F.explode_outer(_once(squashed(c(text)), found)).alias("defect")).filter("defect is not null")
 
 
 def has_cover_page(text: Column) -> Column:
